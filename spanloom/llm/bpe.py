@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from spanloom.session import ship, table
 
@@ -213,7 +214,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)
-    schema = docs.schema.add("token_ids", "binary").add("decoded", "binary")
+    schema = StructType(list(docs.schema)).add("token_ids", "binary").add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared, pattern)
@@ -259,6 +260,19 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     )
 
 
+def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """``doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256`` of every row of ``docs``."""
+    made = encode_documents(docs.select("doc_id", "source", "text"), ranks, pattern)
+    return made.select(
+        "doc_id",
+        "source",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        "token_ids",
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
     """Rank table and pattern of a public tokenizer."""
     import public_tokenizers

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe
+from spanloom.llm import bpe, langid, minhash, mixing
 
 
 def queries():
-    return {"op6_bpe": bpe.op6_bpe}
+    """Query by name; each takes (spark, sf_dir)."""
+    return {
+        "op2_minhash": minhash.op2_minhash,
+        "op5_langid": langid.op5_langid,
+        "op6_bpe": bpe.op6_bpe,
+        "op8_mix": mixing.op8_mix,
+    }
 
 
 def oracle_sql():
+    """DuckDB SQL for the queries that SQL can express."""
     return {}
