@@ -6,6 +6,12 @@ from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanloom.functions import payload
+from spanloom.operators import cleaning, loss, structure
+from spanloom.plans.tree import with_depth
+from spanloom.sources.views import DIRTY_SQL, HEAP_SQL, dirty_spans, heap_spans
 
 FLAGSHIP = "nearest_survivor"
 
@@ -17,14 +23,240 @@ class Entry(NamedTuple):
     sql: str | None = None
 
 
+DEEP = """, deep AS (
+  SELECT *, 0 AS depth, span_id AS root_id FROM spans WHERE parent_id = 0
+  UNION ALL
+  SELECT s.*, d.depth + 1, d.root_id FROM spans s JOIN deep d ON s.trace_id = d.trace_id AND s.parent_id = d.span_id
+)"""
+KINDS = (
+    DEEP
+    + """, kinds AS (
+  SELECT d.*, k.parent_id IS NULL AS leaf, k.parent_id IS NULL OR d.depth % 3 = 0 AS carrier,
+    ((((d.trace_id % 100003) * 7919 + (d.span_id % 100003) * 104729 + 42 * 1299709) * 48271) % 2147483647 % 10000) / 10000 AS u
+  FROM deep d LEFT JOIN (SELECT DISTINCT trace_id, parent_id FROM spans) k ON k.trace_id = d.trace_id AND k.parent_id = d.span_id
+), drops AS (SELECT *, NOT carrier AND u < 0.5 AS dropped FROM kinds)"""
+)
+ANCHORS = """, walk AS (
+  SELECT o.trace_id, o.span_id, o.depth, p.span_id AS here, p.dropped AS lost, p.parent_id AS up, p.depth AS at_depth
+  FROM drops o JOIN drops p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id
+  WHERE NOT o.dropped AND p.dropped
+  UNION ALL
+  SELECT w.trace_id, w.span_id, w.depth, p.span_id, p.dropped, p.parent_id, p.depth
+  FROM walk w JOIN drops p ON p.trace_id = w.trace_id AND p.span_id = w.up WHERE w.lost
+), anchors AS (
+  SELECT trace_id, span_id, depth, here AS anchor_id, depth - at_depth - 1 AS gap FROM walk WHERE NOT lost
+)"""
+START = f"WITH RECURSIVE {HEAP_SQL}"
+
+
+def _heap(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(heap_spans(spark, sf_dir))
+
+
+def _dirty(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: op(dirty_spans(spark, sf_dir))
+
+
+def _bytes_sql() -> str:
+    pb = -(-payload.bloom_size(3, 1e-2)[0] // 8)
+    pcrb = 4 + -(-payload.bloom_size(2, 1e-2)[0] // 8)
+    return (
+        START
+        + KINDS
+        + f""", each AS (
+  SELECT k.*, s.scheme, s.size, s.scheme <> 'vanilla' AS has FROM kinds k
+  CROSS JOIN (VALUES ('vanilla', 0), ('pb', {pb}), ('pcr', 4), ('pcrb', {pcrb})) s(scheme, size)
+)
+SELECT trace_id, scheme, count(*) AS num_spans, count(*) FILTER (carrier) AS num_carriers,
+  sum(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::BIGINT AS payload_bytes,
+  sum(CASE WHEN has AND NOT carrier THEN 3 ELSE 0 END)::BIGINT AS depth_bytes,
+  sum(CASE WHEN has AND parent_id <> 0 THEN 4 + size ELSE 0 END)::BIGINT AS baggage_bytes,
+  max(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::BIGINT AS max_payload,
+  sum(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::DOUBLE / count(*) AS amortized_by_total
+FROM each GROUP BY trace_id, scheme"""
+    )
+
+
+BAD = """, rules AS (
+  SELECT d.trace_id, count(*) AS spans, count(*) - count(DISTINCT d.span_id) AS duplicates,
+    count(*) FILTER (d.parent_id <> 0 AND k.span_id IS NULL) AS dangling, count(*) FILTER (d.parent_id = 0) AS roots
+  FROM dirty d LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM dirty) k ON k.trace_id = d.trace_id AND k.span_id = d.parent_id
+  GROUP BY d.trace_id
+)"""
+
+
 def entries() -> dict[str, Entry]:
     """All entries by name."""
-    return {}
+    heap, dirty = _heap, _dirty
+    return {
+        "span_depths": Entry(
+            heap(lambda s: with_depth(s).select("trace_id", "span_id", "depth", "root_id")),
+            START + DEEP + " SELECT trace_id, span_id, depth, root_id FROM deep",
+        ),
+        "trace_shape": Entry(
+            heap(structure.trace_shape),
+            START
+            + DEEP
+            + """ SELECT d.trace_id, count(*) AS num_spans, count(DISTINCT service) AS num_services, min(start_us) AS start_us,
+  max(end_us) AS end_us, max(end_us) - min(start_us) AS wall_us, count(*) FILTER (end_us <= start_us) AS zero_runtime,
+  max(depth)::BIGINT AS max_depth, count(*) FILTER (parent_id = 0) AS roots, 0::BIGINT AS unreachable,
+  coalesce(any_value(f.n), 0)::BIGINT AS max_fanout
+FROM deep d LEFT JOIN (SELECT trace_id, max(n) AS n FROM (SELECT trace_id, parent_id, count(*) AS n FROM spans WHERE parent_id <> 0
+  GROUP BY ALL) GROUP BY trace_id) f ON f.trace_id = d.trace_id GROUP BY d.trace_id""",
+        ),
+        "max_concurrency": Entry(
+            heap(structure.max_concurrency),
+            START
+            + """, steps AS (SELECT trace_id, start_us AS t, 1 AS d FROM spans UNION ALL
+  SELECT trace_id, greatest(start_us, end_us), -1 FROM spans
+), run AS (SELECT trace_id, sum(d) OVER (PARTITION BY trace_id ORDER BY t, d DESC ROWS UNBOUNDED PRECEDING) AS n FROM steps)
+SELECT trace_id, max(n)::BIGINT AS max_concurrent FROM run GROUP BY trace_id""",
+        ),
+        "service_totals": Entry(
+            dirty(structure.service_totals),
+            f"WITH {DIRTY_SQL}"
+            + """ SELECT d.service, count(*) AS total_spans, count(*) FILTER (d.parent_id <> 0 AND k.span_id IS NULL) AS dangling_spans,
+  count(DISTINCT d.trace_id) AS total_traces
+FROM dirty d LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM dirty) k ON k.trace_id = d.trace_id AND k.span_id = d.parent_id
+GROUP BY d.service""",
+        ),
+        "event_order": Entry(
+            heap(structure.ordered_events),
+            START
+            + DEEP
+            + """, e AS (SELECT trace_id, span_id, depth, 0 AS kind, start_us AS ts FROM deep UNION ALL
+  SELECT trace_id, span_id, depth, 1, end_us FROM deep)
+SELECT trace_id, span_id, kind, ts, row_number() OVER (PARTITION BY trace_id
+  ORDER BY ts, kind, CASE WHEN kind = 0 THEN depth ELSE -depth END, span_id)::INTEGER AS pos FROM e""",
+        ),
+        "sibling_ordinals": Entry(
+            heap(structure.sibling_ordinals),
+            START
+            + """ SELECT trace_id, span_id, (CASE WHEN parent_id = 0 THEN 0 ELSE
+  row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY start_us, span_id) END)::INTEGER AS seq FROM spans""",
+        ),
+        "crisp_clip": Entry(
+            heap(structure.crisp_clip),
+            START
+            + """, clip AS (SELECT trace_id, span_id, parent_id, start_us, end_us FROM spans WHERE parent_id = 0
+  UNION ALL SELECT s.trace_id, s.span_id, s.parent_id, greatest(s.start_us, c.start_us), least(s.end_us, c.end_us)
+  FROM spans s JOIN clip c ON s.trace_id = c.trace_id AND s.parent_id = c.span_id WHERE s.end_us >= c.start_us AND s.start_us <= c.end_us)
+SELECT * FROM clip""",
+        ),
+        "leaf_residues": Entry(
+            heap(structure.leaf_residues),
+            START
+            + DEEP
+            + """, kids AS (SELECT trace_id, parent_id, count(*) AS n FROM spans WHERE parent_id <> 0 GROUP BY ALL)
+SELECT c.cpd, (depth % c.cpd)::INTEGER AS residue, count(*) FILTER (n IS NULL) AS leaves, count(*) FILTER (n > 1) AS branches
+FROM deep d LEFT JOIN kids k ON k.trace_id = d.trace_id AND k.parent_id = d.span_id
+CROSS JOIN (VALUES (2), (3), (4), (5), (6)) c(cpd) GROUP BY ALL""",
+        ),
+        "fanout_widths": Entry(
+            dirty(structure.fanout_widths),
+            f"WITH {DIRTY_SQL}"
+            + """, kids AS (SELECT trace_id, parent_id, count(*) AS width FROM dirty WHERE parent_id <> 0 GROUP BY ALL)
+SELECT width, count(*) AS spans, count(DISTINCT trace_id) AS traces FROM kids GROUP BY width""",
+        ),
+        "top_services": Entry(
+            heap(structure.top_services),
+            START
+            + """, n AS (SELECT trace_id, service, count(*) AS spans FROM spans GROUP BY ALL), r AS (
+  SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY spans DESC, service)::INTEGER AS place FROM n)
+SELECT * FROM r WHERE place <= 3""",
+        ),
+        "time_components": Entry(
+            heap(lambda s: structure.time_components(s.withColumn("end_us", F.col("start_us") + (F.col("end_us") - F.col("start_us")) / 1000).withColumn("end_us", F.col("end_us").cast("long")).withColumn("trace_id", F.col("trace_id") * 1000 + F.col("span_id")))),
+            START
+            + """, t AS (SELECT trace_id * 1000 + span_id AS id, min(start_us) AS lo, max(start_us + ((end_us - start_us) // 1000)) AS hi
+  FROM spans GROUP BY ALL), m AS (SELECT *, max(hi) OVER (ORDER BY lo, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t
+), c AS (SELECT *, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, id ROWS UNBOUNDED PRECEDING)::BIGINT AS component FROM m)
+SELECT component, count(*) AS traces, min(lo) AS start_us, max(hi) AS end_us FROM c GROUP BY component""",
+        ),
+        "event_density": Entry(
+            heap(structure.density),
+            START
+            + """ SELECT (ts // 86400000000)::BIGINT AS bucket, count(*) AS events FROM (SELECT start_us AS ts FROM spans UNION ALL SELECT end_us FROM spans)
+GROUP BY ALL""",
+        ),
+        "trace_size_percentiles": Entry(
+            heap(lambda s: structure.index_percentiles(s.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")), "n")),
+            START
+            + """, n AS (SELECT count(*) AS n FROM spans GROUP BY trace_id), l AS (SELECT list(n ORDER BY n) AS l FROM n)
+SELECT p, l[1 + floor(p * (len(l) - 1))::BIGINT] AS value FROM l CROSS JOIN (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) x(p)""",
+        ),
+        "violations": Entry(
+            dirty(cleaning.violations),
+            f"WITH {DIRTY_SQL}" + BAD + " SELECT *, duplicates = 0 AND dangling = 0 AND roots = 1 AS clean FROM rules",
+        ),
+        "violation_patterns": Entry(
+            dirty(cleaning.violation_patterns),
+            f"WITH {DIRTY_SQL}"
+            + BAD
+            + """ SELECT concat_ws('+', CASE WHEN duplicates > 0 THEN 'duplicate' END, CASE WHEN dangling > 0 THEN 'dangling' END,
+  CASE WHEN roots = 0 THEN 'rootless' END, CASE WHEN roots > 1 THEN 'multiroot' END) AS pattern, count(*) AS traces
+FROM rules GROUP BY ALL""",
+        ),
+        "salvage": Entry(
+            dirty(cleaning.salvage),
+            f"WITH RECURSIVE {DIRTY_SQL}"
+            + BAD
+            + """, ok AS (SELECT d.* FROM dirty d JOIN rules r ON r.trace_id = d.trace_id WHERE duplicates = 0 AND dangling = 0 AND roots > 0
+), tree AS (SELECT *, span_id AS root_id FROM ok WHERE parent_id = 0
+  UNION ALL SELECT s.*, t.root_id FROM ok s JOIN tree t ON s.trace_id = t.trace_id AND s.parent_id = t.span_id
+), sizes AS (SELECT trace_id, root_id, count(*) AS n FROM tree GROUP BY ALL
+), best AS (SELECT *, row_number() OVER (PARTITION BY trace_id ORDER BY n DESC, root_id) AS place FROM sizes)
+SELECT t.trace_id, span_id, parent_id, service, start_us, end_us FROM tree t JOIN best b
+ON b.trace_id = t.trace_id AND b.root_id = t.root_id WHERE place = 1""",
+        ),
+        "lenient_repair": Entry(
+            dirty(cleaning.lenient),
+            f"WITH RECURSIVE {DIRTY_SQL}"
+            + """, once AS (SELECT *, count(*) AS copies FROM dirty GROUP BY ALL
+), per AS (SELECT trace_id, count(*) > count(DISTINCT span_id) AS conflict, max(copies) > 1 AS deduped FROM once GROUP BY trace_id
+), ok AS (SELECT o.trace_id, span_id, parent_id, service, start_us, end_us, deduped FROM once o JOIN per p ON p.trace_id = o.trace_id WHERE NOT conflict
+), up AS (SELECT trace_id, span_id, parent_id AS here, 1 AS n FROM ok
+  UNION ALL SELECT u.trace_id, u.span_id, p.parent_id, u.n + 1 FROM up u JOIN ok p ON p.trace_id = u.trace_id AND p.span_id = u.here WHERE u.n < 130
+), top AS (SELECT trace_id, span_id, arg_max(here, n) AS here, max(n) AS n FROM up GROUP BY ALL
+), bad AS (SELECT DISTINCT trace_id FROM top WHERE n >= 130
+), kept AS (SELECT o.*, t.here FROM ok o JOIN top t ON t.trace_id = o.trace_id AND t.span_id = o.span_id
+  WHERE o.trace_id NOT IN (SELECT trace_id FROM bad)
+), fl AS (SELECT trace_id, max(CASE WHEN here <> 0 THEN 1 ELSE 0 END) AS pruned FROM kept GROUP BY trace_id)
+SELECT k.trace_id, span_id, parent_id, service, start_us, end_us, (pruned + CASE WHEN deduped THEN 2 ELSE 0 END)::INTEGER AS flags
+FROM kept k JOIN fl ON fl.trace_id = k.trace_id WHERE k.here = 0""",
+        ),
+        "nested_drops": Entry(
+            heap(loss.nested_drops),
+            START
+            + KINDS
+            + """ SELECT r.rate, count(*) AS spans, count(*) FILTER (NOT k.carrier AND (r.rate >= 1 OR k.u < r.rate)) AS dropped,
+  count(*) FILTER (NOT (NOT k.carrier AND (r.rate >= 1 OR k.u < r.rate)) AND coalesce(NOT p.carrier AND (r.rate >= 1 OR p.u < r.rate), false)) AS orphans
+FROM kinds k LEFT JOIN kinds p ON p.trace_id = k.trace_id AND p.span_id = k.parent_id
+CROSS JOIN (VALUES (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE), (1.0::DOUBLE)) r(rate) GROUP BY r.rate""",
+        ),
+        FLAGSHIP: Entry(
+            heap(loss.nearest_survivor), START + KINDS + ANCHORS + " SELECT trace_id, span_id, depth, anchor_id, gap FROM anchors"
+        ),
+        "checkpoint_above": Entry(
+            heap(loss.checkpoint_above),
+            START
+            + DEEP
+            + """, up AS (SELECT d.trace_id, d.span_id, d.depth, p.span_id AS here, p.depth AS at_depth, p.parent_id AS next
+  FROM deep d JOIN deep p ON p.trace_id = d.trace_id AND p.span_id = d.parent_id
+  UNION ALL SELECT u.trace_id, u.span_id, u.depth, p.span_id, p.depth, p.parent_id
+  FROM up u JOIN deep p ON p.trace_id = u.trace_id AND p.span_id = u.next WHERE u.at_depth % 3 <> 0)
+SELECT trace_id, span_id, depth, here AS ckpt_id FROM up WHERE at_depth % 3 = 0""",
+        ),
+        "checkpoint_reconstruction": Entry(heap(loss.reconstruct_by_checkpoint)),
+        "scheme_bytes": Entry(heap(payload.scheme_bytes), _bytes_sql()),
+    }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Query by name."""
     return {name: e.run for name, e in entries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL by query name."""
     return {name: e.sql for name, e in entries().items() if e.sql}
