@@ -45,7 +45,10 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All columns of ``docs`` plus ``size, text_crc32, shard, slot``."""
+    """All columns of ``docs`` plus ``size, text_crc32, shard, slot``.
+
+    Columns of ``docs`` with one of these names come back with two underscores in front.
+    """
     spark = ship(docs.sparkSession)
     names = {c: f"__{c}" for c in docs.columns if c in ("size", "text_crc32", "shard", "slot", "bucket", "place")}
     own = docs.withColumnsRenamed(names)
