@@ -29,7 +29,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanloom.llm.graph import components
 from spanloom.session import materialize, ship, table
@@ -42,8 +41,6 @@ SEED = 1_234_567
 #: Up to so many open components of a bucket meet pair by pair, more of them block by block.
 FEW = 16
 BLOCK = 256
-#: Sampled agreement from which a block's pair is verified: far below the threshold (five deviations).
-SKETCH_FLOOR = 0.4
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _U = np.uint64
@@ -102,10 +99,10 @@ def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
 
-def weighted_shingles(words: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of one document (sorted) and their weights."""
+def _shingles(words: np.ndarray, idf: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of one document (sorted), their mean idf and their counts."""
     if not len(words):
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64)
     value = idf[(words & _U(IDF_CELLS - 1)).astype(np.int64)].astype(np.float64)
     k = min(size, len(words))
     n = len(words) - k + 1
@@ -115,7 +112,13 @@ def weighted_shingles(words: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -
         h = _mix((h + words[j : j + n]) * _ODD[j % len(_ODD)])
         mean += value[j : j + n]
     h, first, times = np.unique(h, return_index=True, return_counts=True)
-    return h, mean[first] / k * times
+    return h, mean[first] / k, times
+
+
+def weighted_shingles(words: np.ndarray, idf: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of one document (sorted) and their weights."""
+    h, value, times = _shingles(words, idf, size)
+    return h, value * times
 
 
 class Sampler:
@@ -164,10 +167,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, k1, k2, bands, sketch`` of every document that has a word.
+    """``doc_id, k1, k2, bands`` of every document that has a word.
 
-    ``k1, k2`` identify the word sequence; ``bands`` holds the band keys, ``sketch`` 16 bits of
-    every sample.
+    ``k1, k2`` identify the word sequence; ``bands`` holds the band keys.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
@@ -178,7 +180,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 hashes, starts = word_hashes(part.column(1))
-                ids, k1, k2, keys, sketches = [], [], [], [], []
+                ids, k1, k2, keys = [], [], [], []
                 doc_ids = part.column(0).to_pylist()
                 for i, doc_id in enumerate(doc_ids):
                     words = hashes[starts[i] : starts[i + 1]]
@@ -193,7 +195,6 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                     for r in range(rows):
                         key = _mix((key ^ got[r::rows]) * _ODD[r % 4])
                     keys.append(key.view(np.int64))
-                    sketches.append((got >> _U(48)).astype("<u2").tobytes())
                 offsets = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -202,13 +203,12 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                         pa.array(k1, pa.int64()),
                         pa.array(k2, pa.int64()),
                         pa.ListArray.from_arrays(offsets, flat),
-                        pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "k1", "k2", "bands", "sketch"],
+                    names=["doc_id", "k1", "k2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>"
     )
 
 
@@ -225,7 +225,6 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = shared.value
-        known: dict[int, tuple] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
@@ -240,71 +239,139 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
                     [pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64()), pa.array(sim[ok], pa.float64())],
                     names=["a", "b", "sim"],
                 )
-        known.clear()
 
     return full.mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _open_pairs(members: DataFrame, sketches: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs to test among one member of each component of a bucket, without those tested."""
+def _open_members(members: DataFrame) -> DataFrame:
+    """One member of each component of the buckets that hold several, with their number."""
     one = members.groupBy("bucket", "component").agg(F.min("id").alias("id"))
     sized = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("open")).where("open > 1")
-    one = materialize(one.join(sized, "bucket").select("bucket", "id", "open"), "near-open")
-    few = one.where(F.col("open") <= FEW)
+    return materialize(one.join(sized, "bucket").select("bucket", "id", "open"), "near-open")
+
+
+def _few_pairs(members: DataFrame, tested: DataFrame) -> DataFrame:
+    """All pairs of the buckets with few open components, without those tested."""
+    few = members.where(F.col("open") <= FEW)
     pairs = few.alias("x").join(few.alias("y"), "bucket").where("x.id > y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    many = one.where(F.col("open") > FEW)
-    if many.limit(1).count():
-        ordered = many.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1)
-        blocks = F.floor((F.col("open") - 1) / BLOCK).cast("int")
-        own = F.floor(F.col("place") / BLOCK).cast("int")
-        dealt = (
-            ordered.withColumn("own", own)
-            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks)))
-            .withColumn("lo", F.least("own", "other"))
-            .withColumn("hi", F.greatest("own", "other"))
-            .join(sketches, "id")
-        )
-
-        def compare(rows: pd.DataFrame) -> pd.DataFrame:
-            s = np.array([np.frombuffer(x, dtype="<u2") for x in rows["sketch"]])
-            ids = rows["id"].to_numpy()
-            lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-            x, y = np.flatnonzero(rows["own"].to_numpy() == lo), np.flatnonzero(rows["own"].to_numpy() == hi)
-            got = []
-            for i in x:
-                j = y[(s[y] == s[i]).mean(axis=1) >= SKETCH_FLOOR]
-                got += [(max(ids[i], ids[k]), min(ids[i], ids[k])) for k in j if ids[k] != ids[i]]
-            return pd.DataFrame(sorted(set(got)), columns=["a", "b"], dtype="int64")
-
-        pairs = pairs.union(dealt.groupBy("bucket", "lo", "hi").applyInPandas(compare, "a bigint, b bigint"))
     return pairs.distinct().join(tested, ["a", "b"], "left_anti")
 
 
+def _shingle_units(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles as units: the n-th occurrence of a shingle in a document is a unit of its own.
+
+    The weighted Jaccard similarity is then the plain one over weighted units.
+    """
+    h, weight, times = _shingles(words, idf, SHINGLE)
+    units, weights = [h], [weight]
+    for level in range(1, int(times.max(initial=1))):
+        more = times > level
+        units.append(_mix(h[more] + np.full(int(more.sum()), level, dtype=np.uint64) * _ODD[3]))
+        weights.append(weight[more])
+    return np.concatenate(units), np.concatenate(weights)
+
+
+def block_similarity(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarity of all pairs of a block, by products over their shared units."""
+    n = len(sets)
+    doc = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    unit, weight = np.concatenate([h for h, _ in sets]), np.concatenate([w for _, w in sets])
+    total = np.bincount(doc, weights=weight, minlength=n)
+    _, place, times = np.unique(unit, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    keep = times[place] > 1
+    doc, root, column = doc[keep], np.sqrt(weight[keep]), shared[place[keep]]
+    order = np.argsort(column, kind="stable")
+    doc, root, column = doc[order], root[order], column[order]
+    low = np.zeros((n, n))
+    width = 2048
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [first, first + width])
+        dense = np.zeros((n, width))
+        dense[doc[a:b], column[a:b] - first] = root[a:b]
+        low += dense @ dense.T
+    return low / np.maximum(total[:, None] + total[None, :] - low, 1e-300)
+
+
+def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """The pairs that join two parts not joined before."""
+    root = list(range(n))
+    out = []
+    for i, j in pairs.tolist():
+        x, y = i, j
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+    """Verified links among the members of buckets with many open components, block by block.
+
+    Each block compares its whole texts and returns the links that join it, fewer than its rows.
+    """
+    spark = ship(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(idf)
+    many = members.where(F.col("open") > FEW)
+    cuts = F.ceil(F.col("open") / BLOCK).cast("int")
+    dealt = (
+        many.withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+        .select("bucket", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+        .join(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"), "id")
+    )
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        sets = []
+        for at in range(0, len(ids), 200):
+            hashes, starts = word_hashes(rows.column("text").slice(at, 200).combine_chunks())
+            sets += [_shingle_units(hashes[starts[i] : starts[i + 1]], shared.value) for i in range(len(starts) - 1)]
+        close = np.triu(block_similarity(sets) >= threshold, 1)
+        if lo != hi:
+            close &= own[:, None] != own[None, :]
+        got = _spanning(np.argwhere(close), len(ids))
+        a = [max(int(ids[i]), int(ids[j])) for i, j in got]
+        b = [min(int(ids[i]), int(ids[j])) for i, j in got]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array([threshold] * len(a), pa.float64())})
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, sim double").where("a <> b")
+
+
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures, representatives (``k1, k2, id``) and the components of the verified links."""
     idf = word_idf(docs)
     sig = materialize(signatures(docs, idf), "near-sig")
     reps = materialize(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-reps")
     own = sig.join(reps, ["k1", "k2"]).where("doc_id = id").dropDuplicates(["id"])
-    own = materialize(own.select("id", "bands", "sketch"), "near-own")
     keys = own.select("id", F.explode("bands").alias("bucket"))
+    keys = materialize(keys, "near-keys")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
     members = materialize(keys.join(shared, "bucket").select("bucket", "id", "first"), "near-members")
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     tested = materialize(star, "near-pairs")
     links = materialize(verify(tested, docs, idf, threshold).distinct(), "near-links")
+    blocks_open = True
     while True:
         found = components(links)
         labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        pairs = materialize(_open_pairs(labelled, own.select("id", "sketch"), tested), "near-pairs")
-        if not pairs.limit(1).count():
-            break
-        new = materialize(verify(pairs, docs, idf, threshold).distinct(), "near-links")
+        left = _open_members(labelled)
+        pairs = materialize(_few_pairs(left, tested), "near-pairs")
+        new = verify(pairs, docs, idf, threshold)
+        if blocks_open and left.where(F.col("open") > FEW).limit(1).count():
+            new = new.unionByName(_block_links(left, docs, idf, threshold))
+        new = materialize(new.distinct(), "near-links")
+        blocks_open = False
         tested = tested.unionByName(pairs)
         if not new.limit(1).count():
-            break
+            return sig, reps, found
         links = links.unionByName(new)
-    return sig, reps, found
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
