@@ -32,6 +32,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 MAX_SOURCES = 1_000_000
+BROADCAST_SOURCES = 100_000
 HASH_SLICES = 4096
 SEED = 20_011
 NEWTON_STEPS = 60
@@ -51,7 +52,7 @@ def share_targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: float = MA
         if not over:
             target |= {s: weight[s] * level for s in free}
             break
-        target |= {s: cap * sizes[s] for s in over}
+        target |= {s: float(cap * sizes[s]) for s in over}
         free -= over
     return target
 
@@ -65,6 +66,11 @@ def _per_source(spark: SparkSession, values: dict[str | None, tuple], columns: s
     return spark.createDataFrame([(_keyed(s), *v) for s, v in values.items()], f"source_key string, {columns}")
 
 
+def _small(per_source: DataFrame, sources: int) -> DataFrame:
+    """A table of one row per source, broadcast if there are few enough (a third of all rows may be one source's)."""
+    return F.broadcast(per_source) if sources <= BROADCAST_SOURCES else per_source
+
+
 def solve_rates(base: DataFrame, targets: dict[str | None, float], copies: int = MAX_COPIES) -> dict[str | None, float]:
     """The tilted rate of each source's documents, by Newton steps on the dual."""
     spark = base.sparkSession
@@ -74,7 +80,7 @@ def solve_rates(base: DataFrame, targets: dict[str | None, float], copies: int =
     for step in range(NEWTON_STEPS):
         rates = _per_source(spark, {s: (rate_of(x),) for s, x in tilt.items()}, "rate double")
         sums = (
-            base.join(rates, "source_key")
+            base.join(_small(rates, len(tilt)), "source_key")
             .groupBy("source_key")
             .agg(
                 F.sum("size").alias("words"),
@@ -96,8 +102,9 @@ def solve_rates(base: DataFrame, targets: dict[str | None, float], copies: int =
                 tilt[s] = min(40.0, max(-40.0, tilt[s] + max(-2.0, min(2.0, gap / r["slope"]))))
         if worst < 1e-9:
             break
+    # rounded, since the last digits of a distributed sum depend on the order of its parts
     return {
-        s: float(copies) if target >= copies * sizes[s] * (1 - 1e-12) and sizes[s] else 0.0 if target <= 0 else rate_of(tilt[s])
+        s: float(copies) if target >= copies * sizes[s] * (1 - 1e-12) and sizes[s] else 0.0 if target <= 0 else round(rate_of(tilt[s]), 9)
         for s, target in targets.items()
     }
 
@@ -132,7 +139,7 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
         slices.join(plan, "source_key").where(F.col("slice") > F.col("last_full")).groupBy("source_key").agg(F.min("slice").alias("edge"))
     )
     plan = materialize(plan.join(first_open, "source_key", "left"), "mix-plan")
-    rows = base.join(plan, "source_key")
+    rows = base.join(_small(plan, len(rates)), "source_key")
     inside = Window.partitionBy("source_key").orderBy("u", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         rows.where(F.col("slice") == F.col("edge"))
@@ -150,7 +157,7 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
         now = drawn if turned is None else _turn(drawn, turned)
         gaps = now.groupBy("source_key").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("gap"))
         fits = (
-            now.join(gaps, "source_key")
+            now.join(_small(gaps, len(rates)), "source_key")
             .where(((F.col("gap") > 0) & (F.col("extra") == 0) & (F.col("whole") < copies)) | ((F.col("gap") < 0) & (F.col("extra") == 1)))
             .withColumn("off", F.abs(F.col("size") - F.abs("gap")))
             .where(F.col("off") < F.abs("gap"))
@@ -201,7 +208,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame
     )
     per = _per_source(spark, {s: (sizes[s], targets[s], rates[s]) for s in sizes}, "source_size long, target double, rate double")
     same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["source_key"] == taken["_key"])
-    return sized.join(taken, same).join(per, "source_key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    return sized.join(taken, same).join(_small(per, len(sizes)), "source_key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
