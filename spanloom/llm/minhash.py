@@ -354,6 +354,10 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     keys = materialize(keys, "near-keys")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
     members = materialize(keys.join(shared, "bucket").select("bucket", "id", "first"), "near-members")
+    # only documents that share a bucket are ever compared: their texts are dealt out once
+    asked = members.select("id").distinct().withColumnRenamed("id", "doc_id")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = materialize(whole.join(asked, "doc_id", "left_semi"), "near-texts")
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     tested = materialize(star, "near-pairs")
     links = materialize(verify(tested, docs, idf, threshold).distinct(), "near-links")
