@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import payload
-from spanloom.operators import cleaning, loss, structure
+from spanloom.operators import arrival, cleaning, loss, structure
 from spanloom.plans.tree import with_depth
 from spanloom.sources.views import DIRTY_SQL, HEAP_SQL, dirty_spans, heap_spans
 
@@ -85,6 +85,18 @@ BAD = """, rules AS (
 )"""
 
 
+PROPERTIES = """, props AS (
+  SELECT d.trace_id, count(*) AS num_spans, max(end_us) - min(start_us) AS duration_us, count(DISTINCT service) AS num_services,
+    max(CASE WHEN d.parent_id <> 0 AND k.span_id IS NULL THEN 1 ELSE 0 END) AS hit
+  FROM dirty d LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM dirty) k ON k.trace_id = d.trace_id AND k.span_id = d.parent_id
+  GROUP BY d.trace_id
+), long AS (
+  SELECT trace_id, hit, 'num_spans' AS name, num_spans::DOUBLE AS value FROM props UNION ALL
+  SELECT trace_id, hit, 'duration_us', duration_us::DOUBLE FROM props UNION ALL
+  SELECT trace_id, hit, 'num_services', num_services::DOUBLE FROM props
+)"""
+
+
 def entries() -> dict[str, Entry]:
     """All entries by name."""
     heap, dirty = _heap, _dirty
@@ -184,6 +196,48 @@ GROUP BY ALL""",
             START
             + """, n AS (SELECT count(*) AS n FROM spans GROUP BY trace_id), l AS (SELECT list(n ORDER BY n) AS l FROM n)
 SELECT p, l[1 + floor(p * (len(l) - 1))::BIGINT] AS value FROM l CROSS JOIN (VALUES (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) x(p)""",
+        ),
+        "arrival_correlations": Entry(
+            dirty(arrival.correlations),
+            f"WITH {DIRTY_SQL}"
+            + PROPERTIES
+            + """, r AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY value) + (count(*) OVER (PARTITION BY name, value) - 1) / 2 AS place FROM long)
+SELECT name, count(*) AS traces,
+  CASE WHEN count(*) >= 100 AND var_pop(hit) > 0 AND var_pop(value) > 0 THEN round(corr(place, hit), 6) END AS spearman,
+  CASE WHEN count(*) >= 100 AND var_pop(hit) > 0 AND var_pop(value) > 0 THEN round(corr(value, hit), 6) END AS point_biserial
+FROM r GROUP BY name""",
+        ),
+        "quantile_lift": Entry(
+            dirty(arrival.quantile_lift),
+            f"WITH {DIRTY_SQL}"
+            + PROPERTIES
+            + """, l AS (SELECT name, list(value ORDER BY value) AS l, count(*) AS n FROM long GROUP BY name
+), spots AS (SELECT name, l, n, i * (n - 1) // 20 AS lo, i * (n - 1) % 20 AS rest FROM l CROSS JOIN range(21) s(i)
+), e AS (SELECT DISTINCT name, l[lo + 1] + (l[least(lo + 1, n - 1) + 1] - l[lo + 1]) * rest::DOUBLE / 20::DOUBLE AS edge FROM spots
+), m AS (SELECT name, count(*) AS edges FROM e GROUP BY name
+), b AS (SELECT x.trace_id, x.name, any_value(x.value) AS value, any_value(x.hit) AS hit, count(e.edge) - 1 AS reached
+  FROM long x LEFT JOIN e ON e.name = x.name AND e.edge <= x.value GROUP BY ALL
+), g AS (SELECT b.*, greatest(0, least(reached, edges - 2))::INTEGER AS bin FROM b JOIN m ON m.name = b.name)
+SELECT name, bin, count(*) AS traces, sum(hit)::BIGINT AS hits, sum(hit)::DOUBLE / count(*) AS rate, median(value) AS centre
+FROM g GROUP BY name, bin HAVING count(*) >= 10""",
+        ),
+        "service_rates": Entry(
+            dirty(arrival.service_rates),
+            f"WITH {DIRTY_SQL}"
+            + """ SELECT d.service, count(*) AS total_spans, count(*) FILTER (d.parent_id <> 0 AND k.span_id IS NULL) AS dangling_spans,
+  (count(*) FILTER (d.parent_id <> 0 AND k.span_id IS NULL))::DOUBLE / count(*) AS rate
+FROM dirty d LEFT JOIN (SELECT DISTINCT trace_id, span_id FROM dirty) k ON k.trace_id = d.trace_id AND k.span_id = d.parent_id
+GROUP BY d.service HAVING count(*) >= 100 ORDER BY rate DESC, d.service LIMIT 30""",
+        ),
+        "prefix_bytes": Entry(
+            heap(arrival.prefix_bytes),
+            START
+            + DEEP
+            + """, w AS (SELECT trace_id, (((trace_id % 100003) * 7919 + (span_id % 100003) * 104729 + 42 * 1299709) * 48271) % 2147483647 AS wire
+  FROM deep WHERE depth % 3 = 0
+), x AS (SELECT trace_id, xor(wire, lag(wire) OVER (PARTITION BY trace_id ORDER BY wire)) AS x FROM w)
+SELECT trace_id, count(*) AS checkpoints, (coalesce(max(CASE WHEN x = 0 THEN 4 ELSE (32 - length(bin(x))) // 8 END), 0) + 1)::INTEGER AS needed_bytes
+FROM x GROUP BY trace_id""",
         ),
         "violations": Entry(
             dirty(cleaning.violations),

@@ -12,10 +12,15 @@ CPD, RATE, SEED = 3, 0.5, 42
 GRAIN = 10_000
 
 
+def uniform_mix(seed: int = SEED) -> Column:
+    """31 mixed bits of a span's ids."""
+    mixed = (F.col("trace_id") % 100_003) * 7_919 + (F.col("span_id") % 100_003) * 104_729 + seed * 1_299_709
+    return (mixed * 48_271) % 2_147_483_647
+
+
 def uniform(seed: int = SEED) -> Column:
     """A span's own uniform number; every rate is a threshold on it, so drops nest across rates."""
-    mixed = (F.col("trace_id") % 100_003) * 7_919 + (F.col("span_id") % 100_003) * 104_729 + seed * 1_299_709
-    return ((mixed * 48_271) % 2_147_483_647 % GRAIN) / GRAIN
+    return (uniform_mix(seed) % GRAIN) / GRAIN
 
 
 def with_kind(spans: DataFrame, cpd: int = CPD) -> DataFrame:
