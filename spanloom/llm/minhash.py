@@ -9,10 +9,12 @@ that agree in all rows of a band become candidates, and every candidate link is
 weighted Jaccard similarity of the whole texts.
 
 Equal word sequences are collapsed first (one representative). A band's bucket is never expanded
-into all its pairs: each member meets the bucket's first member; the links found join members into
-components; then buckets that still hold several components compare one member of each - pair by
-pair if they are few, block by block over the sampled sketches if they are many - until a round
-finds no link.
+into all its pairs: each member meets the bucket's first member, and the links found join members
+into components. Every pair of a bucket that lies in two components is then compared by sketch, in
+blocks: the members outside the bucket's largest component meet all members, so a large settled
+group is dealt out once. Members whose sketches agree with another component in ``ALIKE`` samples
+(at similarity 0.8 a pair has fewer once in 100,000 times) have their whole texts compared, as pairs
+in small buckets and as blocks in large ones. Documents with no such partner never ship their text.
 
 Cases: null, empty and white-space texts have no shingle and are alone in their class; rows with a
 null ``doc_id`` are alone and kept; rows that repeat a ``doc_id`` form one row; very long texts are
@@ -38,9 +40,14 @@ THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 IDF_CELLS = 1 << 20
 SEED = 1_234_567
-#: Up to so many open components of a bucket meet pair by pair, more of them block by block.
+#: Samples of BANDS * ROWS that must agree before whole texts are compared.
+ALIKE = 13
+#: The alike pairs of a bucket with up to so many members are listed; larger buckets go block by block.
 FEW = 16
-BLOCK = 256
+#: Members of a block: sketches, texts.
+SKETCHES, BLOCK = 1024, 256
+#: So many candidate ids (8 bytes each) are broadcast to pick out their texts; more are joined by a shuffle.
+IDS_SENT = 2_000_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _U = np.uint64
@@ -167,9 +174,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, k1, k2, bands`` of every document that has a word.
+    """``doc_id, k1, k2, bands, sketch`` of every document that has a word.
 
-    ``k1, k2`` identify the word sequence; ``bands`` holds the band keys.
+    ``k1, k2`` identify the word sequence; ``bands`` holds the band keys and ``sketch`` 16 bits of
+    every sample.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
@@ -180,7 +188,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 hashes, starts = word_hashes(part.column(1))
-                ids, k1, k2, keys = [], [], [], []
+                ids, k1, k2, keys, sketch = [], [], [], [], []
                 doc_ids = part.column(0).to_pylist()
                 for i, doc_id in enumerate(doc_ids):
                     words = hashes[starts[i] : starts[i + 1]]
@@ -195,6 +203,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                     for r in range(rows):
                         key = _mix((key ^ got[r::rows]) * _ODD[r % 4])
                     keys.append(key.view(np.int64))
+                    sketch.append((got >> _U(48)).astype(np.uint16).tobytes())
                 offsets = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -203,12 +212,13 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                         pa.array(k1, pa.int64()),
                         pa.array(k2, pa.int64()),
                         pa.ListArray.from_arrays(offsets, flat),
+                        pa.array(sketch, pa.binary()),
                     ],
-                    names=["doc_id", "k1", "k2", "bands"],
+                    names=["doc_id", "k1", "k2", "bands", "sketch"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>"
+        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
     )
 
 
@@ -243,18 +253,80 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
     return full.mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _open_members(members: DataFrame) -> DataFrame:
-    """One member of each component of the buckets that hold several, with their number."""
-    one = members.groupBy("bucket", "component").agg(F.min("id").alias("id"))
-    sized = one.groupBy("bucket").agg(F.count(F.lit(1)).alias("open")).where("open > 1")
-    return materialize(one.join(sized, "bucket").select("bucket", "id", "open"), "near-open")
+def _samples(sketch: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of 16-bit samples."""
+    held = b"".join(sketch.to_pylist())
+    return np.frombuffer(held, dtype=np.uint16).reshape(len(sketch), -1) if held else np.zeros((0, 1), np.uint16)
 
 
-def _few_pairs(members: DataFrame, tested: DataFrame) -> DataFrame:
-    """All pairs of the buckets with few open components, without those tested."""
-    few = members.where(F.col("open") <= FEW)
-    pairs = few.alias("x").join(few.alias("y"), "bucket").where("x.id > y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    return pairs.distinct().join(tested, ["a", "b"], "left_anti")
+def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches agree in ``ALIKE`` samples or more."""
+    full = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(
+        sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = (_samples(batch.column(2)) == _samples(batch.column(3))).sum(axis=1)
+            keep = pa.array(same >= ALIKE)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def _dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members dealt to blocks so that each one outside the largest component meets all others.
+
+    ``minor`` members come in ``small`` blocks, and block ``lo`` of them meets block ``hi`` of all
+    members; a member is in a block once as asker (``asks``) and once as asked.
+    """
+    per = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("size"))
+    top = per.groupBy("bucket").agg(
+        F.sum("size").alias("n"), F.max(F.struct("size", F.col("component").alias("id"))).alias("top"), F.count(F.lit(1)).alias("open")
+    )
+    top = top.where("open > 1").select("bucket", "n", F.col("top.id").alias("largest"), (F.col("n") - F.col("top.size")).alias("outside"))
+    cuts, small = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("outside") / block).cast("int")
+    each = members.join(top, "bucket").withColumn("spot", F.xxhash64("id"))
+    asks = each.where("component <> largest").withColumn("asks", F.lit(True))
+    asks = asks.withColumn("lo", F.pmod("spot", small).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    asked = each.withColumn("asks", F.lit(False)).withColumn("hi", F.pmod("spot", cuts).cast("int"))
+    asked = asked.withColumn("lo", F.explode(F.sequence(F.lit(0), small - 1)))
+    columns = ["bucket", "id", "component", "n", "asks", "lo", "hi"]
+    return asks.select(*columns).unionByName(asked.select(*columns))
+
+
+def _sketch_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """``bucket, id, a, b``: members alike to one of another component and, in small buckets, their pairs."""
+    dealt = _dealt(members, SKETCHES).join(sketches, "id")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        asks, bucket = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("bucket")[0].as_py()
+        sample = _samples(rows.column("sketch"))
+        x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
+        same = np.zeros((len(x), len(y)), dtype=np.uint8)
+        for k in range(sample.shape[1]):
+            same += sample[x, k][:, None] == sample[y, k][None, :]
+        close = (same >= ALIKE) & (component[x][:, None] != component[y][None, :])
+        if rows.column("n")[0].as_py() <= FEW:
+            i, j = np.nonzero(close)
+            a, b = np.maximum(ids[x[i]], ids[y[j]]), np.minimum(ids[x[i]], ids[y[j]])
+            return pa.table({"bucket": [bucket] * len(a), "id": a, "a": a, "b": b}, schema=found)
+        near = np.unique(np.concatenate([ids[x[close.any(axis=1)]], ids[y[close.any(axis=0)]]]))
+        none = [None] * len(near)
+        return pa.table({"bucket": [bucket] * len(near), "id": near, "a": none, "b": none}, schema=found)
+
+    found = pa.schema([(name, pa.int64()) for name in ("bucket", "id", "a", "b")])
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "bucket bigint, id bigint, a bigint, b bigint").distinct()
+
+
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``doc_id, text`` of the given ids, written once."""
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    asked = ids.select(F.col("id").alias("doc_id"))
+    asked = F.broadcast(asked) if ids.count() <= IDS_SENT else asked
+    return materialize(whole.join(asked, "doc_id", "left_semi"), "near-texts")
 
 
 def _shingle_units(words: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,38 +382,33 @@ def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
 
 
 def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
-    """Verified links among the members of buckets with many open components, block by block.
+    """Verified links between the components of large buckets, block by block.
 
     Each block compares its whole texts and returns the links that join it, fewer than its rows.
     """
     spark = ship(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
-    many = members.where(F.col("open") > FEW)
-    cuts = F.ceil(F.col("open") / BLOCK).cast("int")
-    dealt = (
-        many.withColumn("own", F.pmod(F.xxhash64("id"), cuts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-        .select("bucket", "id", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-        .join(docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null"), "id")
-    )
+    dealt = _dealt(members, BLOCK).join(docs.withColumnRenamed("doc_id", "id"), "id")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, own = rows.column("id").to_numpy(), rows.column("own").to_numpy()
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        sets = []
-        for at in range(0, len(ids), 200):
-            hashes, starts = word_hashes(rows.column("text").slice(at, 200).combine_chunks())
+        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        asks = rows.column("asks").to_numpy(zero_copy_only=False)
+        _, once, place = np.unique(ids, return_index=True, return_inverse=True)
+        first, texts, sets = ids[once], rows.column("text").take(pa.array(once)), []
+        for at in range(0, len(once), 200):
+            hashes, starts = word_hashes(texts.slice(at, 200).combine_chunks())
             sets += [_shingle_units(hashes[starts[i] : starts[i + 1]], shared.value) for i in range(len(starts) - 1)]
-        close = np.triu(block_similarity(sets) >= threshold, 1)
-        if lo != hi:
-            close &= own[:, None] != own[None, :]
-        got = _spanning(np.argwhere(close), len(ids))
-        a = [max(int(ids[i]), int(ids[j])) for i, j in got]
-        b = [min(int(ids[i]), int(ids[j])) for i, j in got]
+        asker, asked = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=bool)
+        asker[place[asks]] = asked[place[~asks]] = True
+        of = component[once]
+        close = (block_similarity(sets) >= threshold) & asker[:, None] & asked[None, :] & (of[:, None] != of[None, :])
+        got = _spanning(np.argwhere(close), len(first))
+        a = [max(int(first[i]), int(first[j])) for i, j in got]
+        b = [min(int(first[i]), int(first[j])) for i, j in got]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array([threshold] * len(a), pa.float64())})
 
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, sim double").where("a <> b")
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, sim double")
 
 
 def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -350,32 +417,25 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     sig = materialize(signatures(docs, idf), "near-sig")
     reps = materialize(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-reps")
     own = sig.join(reps, ["k1", "k2"]).where("doc_id = id").dropDuplicates(["id"])
-    keys = own.select("id", F.explode("bands").alias("bucket"))
-    keys = materialize(keys, "near-keys")
+    own = materialize(own.select("id", "bands", "sketch"), "near-own")
+    keys, sketches = own.select("id", F.explode("bands").alias("bucket")), own.select("id", "sketch")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
     members = materialize(keys.join(shared, "bucket").select("bucket", "id", "first"), "near-members")
-    # only documents that share a bucket are ever compared: their texts are dealt out once
-    asked = members.select("id").distinct().withColumnRenamed("id", "doc_id")
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = materialize(whole.join(asked, "doc_id", "left_semi"), "near-texts")
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    tested = materialize(star, "near-pairs")
-    links = materialize(verify(tested, docs, idf, threshold).distinct(), "near-links")
-    blocks_open = True
-    while True:
-        found = components(links)
-        labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        left = _open_members(labelled)
-        pairs = materialize(_few_pairs(left, tested), "near-pairs")
-        new = verify(pairs, docs, idf, threshold)
-        if blocks_open and left.where(F.col("open") > FEW).limit(1).count():
-            new = new.unionByName(_block_links(left, docs, idf, threshold))
-        new = materialize(new.distinct(), "near-links")
-        blocks_open = False
-        tested = tested.unionByName(pairs)
-        if not new.limit(1).count():
-            return sig, reps, found
-        links = links.unionByName(new)
+    pairs = materialize(_alike(star, sketches), "near-pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = materialize(verify(pairs, _texts(docs, ids), idf, threshold), "near-links")
+    found = components(links)
+
+    labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    near = materialize(_sketch_blocks(materialize(labelled, "near-labelled"), sketches), "near-alike")
+    pairs = near.where("a is not null").select("a", "b").distinct()
+    large = near.where("a is null").select("bucket", "id").join(found, "id", "left")
+    large = large.select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
+    texts = _texts(docs, ids)
+    more = verify(pairs, texts, idf, threshold).unionByName(_block_links(large, texts, idf, threshold))
+    return sig, reps, components(links.unionByName(materialize(more, "near-links")))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

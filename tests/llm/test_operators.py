@@ -105,6 +105,25 @@ def test_near_duplicates_equal_brute_force(spark, odd_docs):
     assert minhash.drop_near_duplicates(odd_docs).count() == 7
 
 
+def test_minhash_blocks_lose_no_pair(spark):
+    """All pairs of different components meet in a block, whatever the sizes of the components."""
+    rows = [(b, 100 * b + i, c) for b, sizes in enumerate(((9, 1), (3, 3, 2, 1), (1,) * 7, (5,))) for i, c in
+            enumerate(c for c, n in enumerate(sizes) for _ in range(n))]
+    dealt = minhash._dealt(spark.createDataFrame(rows, "bucket long, id long, component long"), 2).collect()
+    met = {frozenset((x.id, y.id)) for x in dealt for y in dealt
+           if (x.bucket, x.lo, x.hi) == (y.bucket, y.lo, y.hi) and x.asks and not y.asks and x.component != y.component}
+    want = {frozenset((i, j)) for b, i, c in rows for d, j, e in rows if b == d and c != e}
+    assert met == want
+
+
+def test_minhash_chain_in_one_bucket(spark):
+    """Documents that drift from a common start: each is near its neighbours only."""
+    base, drift = words(400, 1).split(), words(400, 2).split()
+    rows = [(k, " ".join(drift[: 6 * k] + base[6 * k :]), "en", "s") for k in range(40)]
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == dict.fromkeys(range(40), 0)
+
+
 def test_block_similarity_is_weighted_jaccard():
     idf = np.random.default_rng(1).random(minhash.IDF_CELLS).astype(np.float32) + 1
     draw = np.random.default_rng(2)
