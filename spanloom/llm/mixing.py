@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
 MAX_SOURCES = 1_000_000
 BROADCAST_SOURCES = 100_000
+BROADCAST_UNITS = 1_000_000
 HASH_SLICES = 4096
 SEED = 20_011
 NEWTON_STEPS = 60
@@ -151,7 +152,7 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
         ((F.col("slice") <= F.col("last_full")) | F.coalesce("at_edge", F.lit(False))).cast("int")
         * (F.col("whole") < copies).cast("int"),
     )
-    drawn = materialize(drawn.select("row", "doc_id", "source_key", "size", "u", "whole", "target", "extra"), "mix-drawn")
+    drawn = materialize(drawn.select("row", "doc_id", "source_key", "size", "u", "whole", "target", "extra", "slice", "last_full"), "mix-drawn")
     turned = None
     for _ in range(GAP_STEPS):
         now = drawn if turned is None else _turn(drawn, turned)
@@ -176,24 +177,36 @@ def _turn(drawn: DataFrame, turned: DataFrame) -> DataFrame:
     return drawn.join(times, "row", "left").withColumn("extra", (F.col("extra") + F.coalesce("times", F.lit(0))) % 2).drop("times")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies``: one row per row of ``docs``.
+def _unit_key() -> dict[str, Column]:
+    """What the mix knows of a row besides its size: source key and hash."""
+    return {
+        "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
+        "u": F.xxhash64(F.lit(SEED), "doc_id"),
+    }
 
-    Rows that share ``doc_id`` and ``source`` are mixed as one unit, so they get equal copies.
-    """
-    spark = docs.sparkSession
+
+def _slice() -> Column:
+    return F.pmod(F.col("u"), F.lit(HASH_SLICES)).cast("int")
+
+
+def _by_rule(copies: int) -> Column:
+    """Copies that the plan of a source gives by the slice alone, before the edge and the last turns."""
+    return F.col("whole") + ((F.col("slice") <= F.col("last_full")) & (F.col("whole") < copies)).cast("int")
+
+
+def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame, dict, dict, dict]:
+    """Sizes of all rows, copies of every unit (rows that share doc_id and source), sizes, targets and rates by source."""
     sized = docs.select(
         F.col("doc_id"),
         F.col("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("source_key"),
-        F.xxhash64(F.lit(SEED), "doc_id").alias("u"),
+        *[c.alias(name) for name, c in _unit_key().items()],
     )
     sized = materialize(sized, "mix-sizes")
     base = materialize(
         sized.groupBy("doc_id", "source", "source_key", "u")
         .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-        .withColumn("slice", F.pmod(F.col("u"), F.lit(HASH_SLICES)).cast("int"))
+        .withColumn("slice", _slice())
         .withColumn("row", F.monotonically_increasing_id()),
         "mix-units",
     )
@@ -203,10 +216,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame
     sizes = {r["source"]: int(r["words"]) for r in totals}
     targets = share_targets(sizes, weights, copies)
     rates = solve_rates(base, targets, copies) if sizes else {}
-    taken = round_copies(base, rates, targets, copies).select(
-        F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("copies")
-    )
-    per = _per_source(spark, {s: (sizes[s], targets[s], rates[s]) for s in sizes}, "source_size long, target double, rate double")
+    return sized, round_copies(base, rates, targets, copies), sizes, targets, rates
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
+    """``doc_id, source, size, source_size, target, rate, copies``: one row per row of ``docs``.
+
+    Rows that share ``doc_id`` and ``source`` are mixed as one unit, so they get equal copies.
+    """
+    sized, units, sizes, targets, rates = _units(docs, weights, copies)
+    taken = units.select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("copies"))
+    per = _per_source(docs.sparkSession, {s: (sizes[s], targets[s], rates[s]) for s in sizes}, "source_size long, target double, rate double")
     same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["source_key"] == taken["_key"])
     return sized.join(taken, same).join(_small(per, len(sizes)), "source_key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
 
@@ -218,8 +238,21 @@ def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
-    """The mixed corpus: every row of ``docs`` as often as the mix takes it, columns unchanged."""
-    made = mix(docs, weights, copies).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies").distinct()
-    made = materialize(made.where("copies > 0").withColumnRenamed("copies", "_copies"), "mix-copies")
-    joined = docs.join(made, docs["doc_id"].eqNullSafe(made["_id"]) & docs["source"].eqNullSafe(made["_source"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it, columns unchanged.
+
+    Texts are not dealt out: the plan of a source gives a row's copies from its hash, and only the
+    units of the edge slices and of the last turns, a small share, are looked up by id.
+    """
+    _, units, sizes, _, _ = _units(docs, weights, copies)
+    units = materialize(units.select("doc_id", "source_key", "slice", "whole", "last_full", "copies"), "mix-copies")
+    plan = units.groupBy("source_key").agg(F.first("whole").alias("whole"), F.first("last_full").alias("last_full"))
+    odd = units.where(F.col("copies") != _by_rule(copies))
+    odd = materialize(
+        odd.select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("_copies")), "mix-odd"
+    )
+    odd = F.broadcast(odd) if odd.count() <= BROADCAST_UNITS else odd
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source")
+    rows = rows.withColumns(_unit_key()).withColumn("slice", _slice()).join(_small(plan, len(sizes)), "source_key")
+    rows = rows.join(odd, rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["source_key"] == odd["_key"]), "left")
+    taken = rows.withColumn("_copies", F.coalesce("_copies", _by_rule(copies))).where("_copies > 0")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -215,3 +216,15 @@ def test_empty_tables(spark):
     assert langid.predict(none, langid.train(none)).count() == 0
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_chats(turns).count() == 0
+
+
+def test_apply_mix_takes_what_the_mix_says(spark):
+    """Every row comes out as often as ``mix`` counts it, with null ids and sources and clashing columns."""
+    rows = [(None if i % 97 == 0 else i, words(3 + i % 40, i), "en", (None, "a", "b", "c")[i % 7 % 4]) for i in range(600)]
+    docs = docs_of(spark, rows).withColumn("whole", F.lit(7)).withColumn("_row", F.lit("x"))
+    want = Counter()
+    for r in mixing.mix(docs).groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect():
+        want[(r.doc_id, r.source)] += r.n
+    made = mixing.apply_mix(docs)
+    assert made.columns == docs.columns
+    assert Counter((r.doc_id, r.source) for r in made.collect()) == +want
