@@ -124,7 +124,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, fl
     draw = np.random.Generator(np.random.PCG64(seed))
     w, bias = np.zeros(x.shape[1], dtype=np.float64), 0.0
     alpha = np.zeros(len(y))
-    norm = (x.astype(np.float64) ** 2).sum(1) + 1.0
+    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1.0  # no wide copy of x
     for _ in range(EPOCHS):
         moved = 0.0
         for i in draw.permutation(len(y)):
