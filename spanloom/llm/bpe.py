@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanloom.session import ship, table
+from spanloom.llm.batches import ship_texts
+from spanloom.session import table
 
 #: Words that a worker remembers (about 200 bytes each); beyond it the table starts anew.
 REMEMBERED_WORDS = 800_000
@@ -212,7 +213,7 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, tex
 
     The rank table is broadcast; its size is that of a tokenizer file, never of the data.
     """
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)
     schema = StructType(list(docs.schema)).add("token_ids", "binary").add("decoded", "binary")
 
@@ -236,7 +237,7 @@ def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
 
     The digests are taken where the ids are made, so ids never travel back to the JVM.
     """
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanloom.session import ship, table
+from spanloom.llm.batches import ship_texts
+from spanloom.session import table
 
 CELLS = 1 << 14
 TRAIN_ROWS = 2400
@@ -200,7 +201,7 @@ def _logistic(x: float) -> float:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Hierarchy:
     """Fit on a bounded, equal-sized sample of each language of ``docs``."""
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
@@ -244,7 +245,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
 
 def predict(docs: DataFrame, model: Hierarchy, text: str = "text") -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred string, lang_score double``."""
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

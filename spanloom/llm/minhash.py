@@ -32,8 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.batches import ship_texts
 from spanloom.llm.graph import components
-from spanloom.session import materialize, ship, table
+from spanloom.session import materialize, table
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -81,7 +82,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Inverse document frequency by word cell, over all documents (a fixed-size table)."""
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(IDF_CELLS, dtype=np.int64)
@@ -179,7 +180,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
     ``k1, k2`` identify the word sequence; ``bands`` holds the band keys and ``sketch`` 16 bits of
     every sample.
     """
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
 
 def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD) -> DataFrame:
     """``a, b, sim`` of the pairs whose whole texts are similar enough."""
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").where("_id is not null")
     full = (
@@ -386,7 +387,7 @@ def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float) ->
 
     Each block compares its whole texts and returns the links that join it, fewer than its rows.
     """
-    spark = ship(docs.sparkSession)
+    spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
     dealt = _dealt(members, BLOCK).join(docs.withColumnRenamed("doc_id", "id"), "id")
 
