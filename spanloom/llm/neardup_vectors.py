@@ -1,17 +1,14 @@
-"""Near-duplicate embeddings by NN-descent.
+"""Near-duplicate embeddings by exact comparison in blocks.
 
-Equal vectors are collapsed into one node first. A neighbour graph starts from blocks of nodes
-that are close in the order of a random-hyperplane code. Each round then joins neighbours of
-neighbours: the nodes that share a pivot (its neighbours and those that name it) are compared with
-one another, and what is closer than a node's farthest neighbour enters its list. A list that is
-full of neighbours within the threshold is saturated and doubles. Links are the edges within the
-threshold. To have every link of a saturated neighbourhood, the lists of a linked component grow
-to the whole component: its members are compared in blocks and only counts leave a block. Recall
-is audited against brute force for a fixed number of vectors; below ``RECALL`` another start from
-new hyperplanes and more rounds are added.
+Equal vectors are collapsed into one node first. The nodes of one length are dealt by a hash of
+their id into blocks of at most about ``BLOCK_VALUES`` components and ``BLOCK`` rows, and each pair
+of blocks is compared whole, so every pair of nodes meets exactly once, however far apart the rest
+of the table lies and however full a neighbourhood is. Links are the pairs within the threshold.
+Only counts and links that hold a component together leave a pair of blocks: the pairs themselves
+where they are few, else a star per component found inside the tile.
 
-No group is ever held whole: pivots with many neighbours, blocks of the start and components are
-all cut into parts of ``PART`` rows.
+The work grows with the square of the number of distinct vectors, what is shuffled with the
+number of vectors times the number of blocks. No group is ever held whole.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components have no links;
 vectors of different length do not link; rows that repeat a vec_id are one vector (the smallest);
@@ -26,23 +23,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from spanloom.llm.graph import components
 from spanloom.llm.topk import finite
 from spanloom.session import materialize, ship, table
 
 THRESHOLD = 0.95
-LIST = 8
-ROUNDS = 3
-MORE_STARTS = 3
-PART = 256
-PLANES = 20
-AUDIT = 256
-RECALL = 0.98
-SETTLED = 0.002
+BLOCK = 8192
+#: Components (rows x length) of a block: 32 MB as doubles.
+BLOCK_VALUES = 1 << 22
+#: Rows of a tile: what a pair of blocks holds of its similarities at once.
+TILE = 1024
+#: Links of a tile that are passed on one by one, per node that has any.
+SPARSE = 4
 SEED = 4_099
-EDGE = "u bigint, v bigint, sim double"
+FOUND = "id bigint, linked bigint, other bigint"
 
 
 def _unit(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
@@ -51,15 +46,6 @@ def _unit(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _runs(keys: list[np.ndarray]) -> np.ndarray:
-    """Starts of the runs of equal keys, and the end."""
-    n = len(keys[0])
-    new = np.ones(n, dtype=bool)
-    if n:
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.append(np.flatnonzero(new), n)
-
-
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every ``vec_id`` with its node (the smallest id of its equals), and the nodes."""
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
@@ -74,219 +60,82 @@ def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.select("vec_id").join(owned.select("vec_id", F.col("id").alias("node")), "vec_id", "left"), nodes
 
 
-def start(nodes: DataFrame, seed: int) -> DataFrame:
-    """Edges to the closest nodes of a block in the order of a hyperplane code."""
-    spark = nodes.sparkSession
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column("dim").to_numpy()
-            out = np.zeros(batch.num_rows, dtype=np.int64)
-            for d in np.unique(dims):
-                at = np.flatnonzero(dims == d)
-                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((int(d), PLANES))
-                bits = (_unit(batch.column("x").take(pa.array(at)), len(at)) @ planes) > 0
-                out[at] = bits @ (1 << np.arange(PLANES, dtype=np.int64)[::-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "code"])
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                yield from _closest(batch.slice(at, PART))
-
-    def _closest(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, dims = part.column("id").to_numpy(), part.column("dim").to_numpy()
-        for d in np.unique(dims):
-            at = np.flatnonzero(dims == d)
-            x = _unit(part.column("x").take(pa.array(at)), len(at))
-            yield _best(ids[at], x @ x.T, np.full(len(at), -2.0), LIST)
-
-    coded = nodes.select("id", "x", "dim").mapInArrow(code, "id bigint, x array<double>, dim int, code bigint")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = coded.repartitionByRange(parts, "dim", "code", "id").sortWithinPartitions("dim", "code", "id")
-    return ordered.mapInArrow(near, EDGE)
-
-
-def _best(ids: np.ndarray, sim: np.ndarray, floor: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k best of every row that are above the row's floor."""
-    n = len(ids)
-    np.fill_diagonal(sim, -3.0)
-    k = min(k, n - 1)
-    if k < 1:
-        u = v = s = np.zeros(0)
-    else:
-        at = np.argpartition(sim, n - k, axis=1)[:, n - k :]
-        value = np.take_along_axis(sim, at, axis=1)
-        ok = value > floor[:, None]
-        u, v, s = np.repeat(ids, k)[ok.ravel()], ids[at][ok], value[ok]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(u.astype(np.int64)), pa.array(v.astype(np.int64)), pa.array(s.astype(np.float64))], names=["u", "v", "sim"]
-    )
-
-
-def trim(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """Each node's list: its best edges, as many as its size says, with the size for the next round."""
-    whole = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    sized = whole.join(sizes, "u", "left") if sizes is not None else whole.withColumn("size", F.lit(None).cast("int"))
-    ranked = sized.withColumn("size", F.coalesce("size", F.lit(LIST))).withColumn(
-        "place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    )
-    return materialize(ranked.where("place <= size").select("u", "v", "sim", "size"), "vec-graph")
-
-
-def next_sizes(graph: DataFrame) -> DataFrame:
-    """List sizes: a list that is full of neighbours within the threshold doubles."""
-    lists = graph.groupBy("u").agg(F.max("size").alias("size"), F.count(F.when(F.col("sim") >= THRESHOLD, 1)).alias("close"))
-    return lists.select("u", F.when(F.col("close") >= F.col("size"), F.col("size") * 2).otherwise(F.col("size")).alias("size"))
-
-
-def refine(graph: DataFrame, nodes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Edges found by comparing the nodes that share a pivot."""
-    here = graph.select(F.col("u").alias("pivot"), F.col("v").alias("id"))
-    back = graph.select(F.col("v").alias("pivot"), F.col("u").alias("id"))
-    own = graph.select(F.col("u").alias("pivot"), F.col("u").alias("id"))
-    members = here.union(back).union(own).distinct()
-    floors = graph.groupBy("u").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n")).join(sizes, "u")
-    floors = floors.select(F.col("u").alias("id"), F.when(F.col("n") < F.col("size"), F.lit(-2.0)).otherwise(F.col("least")).alias("floor"))
-    counts = members.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    dealt = (
-        members.join(counts, "pivot")
-        .withColumn("part", F.pmod(F.xxhash64("id", "pivot"), F.ceil(F.col("n") / PART)).cast("int"))
-        .join(floors, "id")
-        .join(nodes.select("id", "x", "dim"), "id")
-        .select("pivot", "part", "dim", "id", "floor", "x")
-    )
-    parts = max(1, int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    grouped = dealt.repartition(parts, "pivot", "part", "dim").sortWithinPartitions("pivot", "part", "dim")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rows = now if rest is None else pa.concat_tables([rest, now])
-            edge = _runs([rows.column(c).to_numpy() for c in ("pivot", "part", "dim")])
-            yield from compare(rows, edge[:-1])
-            rest = rows.slice(int(edge[-2])) if rows.num_rows else None
-        if rest is not None and rest.num_rows:
-            yield from compare(rest, np.array([0, rest.num_rows]))
-
-    def compare(rows: pa.Table, edge: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if len(edge) < 2:
-            return
-        ids, floor, dims = (rows.column(c).to_numpy() for c in ("id", "floor", "dim"))
-        flat = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        at = np.concatenate([[0], np.cumsum(dims)])
-        got = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            x = flat[at[a] : at[b]].reshape(b - a, -1)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            found = _best(ids[a:b], x @ x.T, floor[a:b], LIST)
-            if found.num_rows:
-                got.append(found)
-        if got:
-            yield from pa.Table.from_batches(got).combine_chunks().to_batches()
-
-    return grouped.mapInArrow(run, EDGE)
+def _stars(close: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what ``close`` connects: each node and the smallest id of its component here."""
+    none = np.iinfo(np.int64).max
+    rows, cols = left.copy(), right.copy()
+    while True:
+        rows_ = np.minimum(rows, np.where(close, cols[None, :], none).min(axis=1))
+        cols_ = np.minimum(cols, np.where(close, rows_[:, None], none).min(axis=0))
+        if (rows_ == rows).all() and (cols_ == cols).all():
+            return np.concatenate([left, right]), np.concatenate([rows, cols])
+        rows, cols = rows_, cols_
+
+
+def _compare(left: tuple, right: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+    """Counts and links between two blocks of ``ids, equals, x``, tile by tile."""
+    ids, equals, x = left
+    ids2, equals2, y = right
+    count, count2 = np.zeros(len(ids)), np.zeros(len(ids2))
+    for at in range(0, len(ids), TILE):
+        skip = at if same else 0  # of a block and itself, only what lies right of the tile
+        close = x[at : at + TILE] @ y[skip:].T >= THRESHOLD
+        if same:
+            low = np.arange(len(close))
+            close[:, : len(close)] &= low[None, :] > low[:, None]
+        r, c = np.flatnonzero(close.any(axis=1)), np.flatnonzero(close.any(axis=0))
+        if not len(r):
+            continue
+        close, r, c = close[np.ix_(r, c)], r + at, c + skip
+        count[r] += close @ equals2[c].astype(np.float64)
+        count2[c] += equals[r].astype(np.float64) @ close
+        if np.count_nonzero(close) <= SPARSE * (len(r) + len(c)):
+            i, j = np.nonzero(close)
+            u, v = ids[r[i]], ids2[c[j]]
+        else:
+            u, v = _stars(close, ids[r], ids2[c])
+        yield _found(u, None, v)
+    if same:
+        count += count2
+    for i, n in ((ids, count),) if same else ((ids, count), (ids2, count2)):
+        at = np.flatnonzero(n)
+        yield _found(i[at], n[at].astype(np.int64), None)
 
 
-def descend(nodes: DataFrame, seed: int, graph: DataFrame | None = None) -> DataFrame:
-    """The neighbour graph after a start and rounds of refinement."""
-    edges = start(nodes, seed)
-    sizes = None
-    if graph is not None:
-        edges = edges.unionByName(graph.select("u", "v", "sim"))
-        sizes = next_sizes(graph)
-    graph = trim(edges, sizes)
-    for _ in range(ROUNDS):
-        sizes = next_sizes(graph)
-        grown = trim(graph.select("u", "v", "sim").unionByName(refine(graph, nodes, sizes)), sizes)
-        fresh = grown.join(graph.select("u", "v"), ["u", "v"], "left_anti").count()
-        total = grown.count()
-        graph = grown
-        if fresh <= SETTLED * max(1, total):
-            break
-    return graph
+def _found(ids: np.ndarray, linked: np.ndarray | None, other: np.ndarray | None) -> pa.RecordBatch:
+    columns = [pa.nulls(len(ids), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (ids, linked, other)]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "linked", "other"])
 
 
-def count_links(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """``id, linked``: the vectors of other nodes of its component within the threshold."""
-    members = labels.join(nodes, "id").select("component", "dim", "id", "equals", "x")
-    sized = labels.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    cut = F.ceil(F.col("n") / PART).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    placed = members.join(sized, "component").withColumn("cuts", cut).withColumn("own", own)
-    # small components share parts; inside a part only rows of one component are compared
-    total = max(1, -(-labels.count() // PART))
-    group = F.when(F.col("cuts") == 1, F.pmod(F.xxhash64("component"), F.lit(total))).otherwise(F.col("component"))
+def compare_all(nodes: DataFrame) -> DataFrame:
+    """``id, linked`` (vectors of other nodes within the threshold, in parts) and ``id, other`` (links), of all pairs."""
+    rows = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_VALUES) / F.col("dim"))))
+    sizes = nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / rows).cast("int").alias("cuts"))
     dealt = (
-        placed.withColumn("group", group)
-        .withColumn("whole", F.col("cuts") > 1)
+        nodes.join(F.broadcast(sizes), "dim")
+        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        .withColumn("lo", F.least("own", "other"))
-        .withColumn("hi", F.greatest("own", "other"))
-        .drop("n", "cuts", "other")
+        .select("dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "equals", "x")
     )
 
     def run(rows: pa.Table) -> pa.Table:
-        ids, comp, equals, own_, lo, hi = (rows.column(c).to_numpy() for c in ("id", "component", "equals", "own", "lo", "hi"))
+        ids, equals, own, lo, hi = (rows.column(c).to_numpy() for c in ("id", "equals", "own", "lo", "hi"))
         x = _unit(rows.column("x"), len(ids))
-        if lo[0] == hi[0]:
-            close = (x @ x.T >= THRESHOLD) & (comp[:, None] == comp[None, :])
-            np.fill_diagonal(close, False)
-            counts = close @ equals
-        else:
-            a, b = np.flatnonzero(own_ == lo[0]), np.flatnonzero(own_ == hi[0])
-            close = x[a] @ x[b].T >= THRESHOLD
-            counts = np.zeros(len(ids), dtype=np.int64)
-            counts[a], counts[b] = close @ equals[b], close.T @ equals[a]
-        return pa.table({"id": pa.array(ids), "linked": pa.array(counts.astype(np.int64))})
-
-    parts = dealt.groupBy("group", "whole", "dim", "lo", "hi").applyInArrow(run, "id bigint, linked bigint")
-    return parts.groupBy("id").agg(F.sum("linked").alias("linked"))
-
-
-def audit(nodes: DataFrame, linked: DataFrame) -> float:
-    """Share of the true links of ``AUDIT`` nodes (by hash) that were found; brute force over all rows."""
-    spark = nodes.sparkSession
-    asked = nodes.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(AUDIT).toArrow()
-    if not asked.num_rows:
-        return 1.0
-    shared = spark.sparkContext.broadcast(asked)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = shared.value
-        ids, qd = q.column("id").to_numpy(), q.column("dim").to_numpy()
-        totals = np.zeros(len(ids), dtype=np.int64)
-        for batch in batches:
-            dims, own, equals = (batch.column(c).to_numpy() for c in ("dim", "id", "equals"))
-            for d in np.unique(dims):
-                at, ask = np.flatnonzero(dims == d), np.flatnonzero(qd == d)
-                if not len(ask):
-                    continue
-                x = _unit(batch.column("x").take(pa.array(at)), len(at))
-                y = _unit(q.column("x").take(pa.array(ask)), len(ask))
-                close = (y @ x.T >= THRESHOLD) & (ids[ask][:, None] != own[at][None, :])
-                totals[ask] += close @ equals[at]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(totals)], names=["id", "links"])
+        a, b = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
+        left, right = ((ids[k], equals[k], x[k]) for k in (a, b))
+        none = _found(np.zeros(0, dtype=np.int64), None, None)
+        return pa.Table.from_batches([none, *_compare(left, right, lo[0] == hi[0])])
 
-    true = nodes.mapInArrow(run, "id bigint, links bigint").groupBy("id").agg(F.sum("links").alias("links"))
-    both = true.join(linked, "id", "left").agg(F.sum("links").alias("t"), F.sum(F.least("links", F.coalesce("linked", F.lit(0)))).alias("f"))
-    r = both.first()
-    return 1.0 if not r["t"] else r["f"] / r["t"]
+    return dealt.groupBy("dim", "lo", "hi").applyInArrow(run, FOUND)
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every vector."""
     ship(vectors.sparkSession)
     owned, nodes = nodes_of(vectors)
-    graph = None
-    for again in range(1 + MORE_STARTS):
-        graph = descend(nodes, SEED + again, graph)
-        links = graph.where(F.col("sim") >= THRESHOLD).select(F.col("u").alias("a"), F.col("v").alias("b"))
-        labels = components(links)
-        linked = materialize(count_links(nodes, labels), "vec-linked")
-        if again and audit(nodes, linked) >= RECALL:
-            break
+    pairs = materialize(compare_all(nodes), "vec-linked")
+    labels = components(pairs.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    linked = pairs.where("linked is not null").groupBy("id").agg(F.sum("linked").alias("linked"))
     found = (
         nodes.select("id", "equals")
         .join(labels, "id", "left")
