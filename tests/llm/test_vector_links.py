@@ -38,3 +38,17 @@ def test_isolated_pairs(spark, monkeypatch):
     want = _brute(x)
     assert sum(n for n, _ in want.values()) == 800
     assert _got(spark, x) == want
+
+
+def test_tight_groups_that_link(spark, monkeypatch):
+    """Ten pairs of groups: each vector is all but equal to its own group and at 0.952 of its pair's other group."""
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 1300)
+    draw = np.random.default_rng(14)
+    base = draw.standard_normal((10, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    ends = np.concatenate([base, _turned(draw, base, 0.952)])
+    x = np.repeat(ends, 300, axis=0) + 1e-5 * draw.standard_normal((6000, 64))
+    x = x[draw.permutation(len(x))]
+    want = _brute(x)
+    assert {n for n, _ in want.values()} == {599}
+    assert _got(spark, x) == want
