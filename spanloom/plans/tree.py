@@ -4,31 +4,32 @@ Each round replaces a span's pointer by its pointer's pointer and combines what
 skipped stretch, so a path of length d takes log2(d) rounds of one equi-join. The rows are
 partitioned by ``trace_id``, which all join keys start with. A round's state is written to the shared
 folder: its plan would otherwise double with every round. Rounds end when every path has reached its
-top, so their number follows the depth of the trees and not the number of spans.
+top, so their number follows the depth of the trees and not the number of spans. A path that has
+gone further than its trace has spans runs into a cycle and is not followed on.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.session import materialize
 
-#: Doubling rounds; paths of up to 2**ROUNDS spans are resolved.
-ROUNDS = 7
-
 
 def by_trace(df: DataFrame) -> DataFrame:
     """``df`` partitioned by trace, so that later joins and windows of a trace need no shuffle."""
     return df.repartition("trace_id")
 
 
-def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Column | None = None, rounds: int = ROUNDS) -> DataFrame:
+def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Column | None = None) -> DataFrame:
     """``spans`` plus, per name in ``values``, the fold of a column over self and ancestors.
 
     ``values`` maps a name to (column, how), how being sum, max, min, any or first (the value at the
     top of the path). ``stop`` marks spans whose parent is not followed. ``top_id`` is the last span
-    reached and ``top_parent`` the parent id it names (0: a root; else missing, or part of a cycle).
+    reached and ``top_parent`` the parent id it names (0: a root; else missing). ``unsettled`` marks
+    the spans whose path runs into a cycle: they are their own top, and their folds mean nothing.
     """
     join = {
         "sum": lambda a, b: a + F.coalesce(b, F.lit(0)),
@@ -41,7 +42,7 @@ def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Colum
     start = spans.withColumns({n: c for n, (c, _) in values.items()} | {"_to": next_id, "top_id": F.col("span_id"), "top_parent": next_id})
     folded = [*values, "_to", "top_id", "top_parent"]
     state = materialize(by_trace(start), "fold")
-    for _ in range(rounds):
+    for done in itertools.count(1):
         other = state.select("trace_id", F.col("span_id").alias("_to"), *[F.col(c).alias(f"_up_{c}") for c in folded])
         both = by_trace(state).join(by_trace(other), ["trace_id", "_to"], "left")
         found = F.col("_up__to").isNotNull()
@@ -52,17 +53,25 @@ def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Colum
             "_to": F.when(found, F.col("_up__to")).otherwise(F.lit(0)),
         }
         state = materialize(both.withColumns(new).drop(*[f"_up_{c}" for c in folded]), "fold")
-        if not state.where("_to <> 0").limit(1).count():
+        counts = state.groupBy("trace_id").agg(F.countDistinct("span_id").alias("n"), F.max(F.col("_to") != 0).alias("open"))
+        largest = counts.where("open").agg(F.max("n")).first()[0]
+        # 2**done steps up; a path past a missing parent settles one round later
+        if largest is None or 1 << (done - 1) >= largest:
             break
-    return state.withColumn("unsettled", F.col("_to") != 0).drop("_to")
+    lost = F.col("_to") != 0
+    tops = {"top_id": F.when(lost, F.col("span_id")).otherwise(F.col("top_id")), "top_parent": F.when(lost, F.col("parent_id")).otherwise(F.col("top_parent"))}
+    return state.withColumns(tops | {"unsettled": lost}).drop("_to")
 
 
 def with_depth(spans: DataFrame) -> DataFrame:
-    """``spans`` plus ``depth`` (0 at the top), ``root_id`` and ``rooted`` (the path ends at a root)."""
+    """``spans`` plus ``depth`` (0 at the top), ``root_id`` and ``rooted`` (the path ends at a root).
+
+    Spans whose path runs into a cycle have depth 0.
+    """
     out = fold_up(spans, {"_n": (F.lit(1), "sum")})
     return out.select(
         *spans.columns,
-        (F.col("_n") - 1).alias("depth"),
+        F.when(F.col("unsettled"), 0).otherwise(F.col("_n") - 1).alias("depth"),
         F.col("top_id").alias("root_id"),
         ((F.col("top_parent") == 0) & ~F.col("unsettled")).alias("rooted"),
     )
