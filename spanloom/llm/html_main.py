@@ -4,11 +4,13 @@ A page is read into blocks: the text between two block-level tags, with its root
 (inline tags left out, class and id kept). Per path the text length and the punctuation count of
 its blocks are aggregated, link text counting against them. The two ratios (per block) are smoothed
 over the paths in page order, fused by their product, and thresholded by their spread; the paths
-above the threshold are content paths. The content root is the deepest element that holds most of
-the content paths' text (an ``article`` or ``main`` element that holds it is taken whole), and the
-blocks under it are the main text, except elements that are never article text - menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments - which are known by
-tag, role, or a word of their class or id.
+above the threshold are content paths. An ``article`` or ``main`` element that holds most of the
+content paths' text is the content root and taken whole. Else the root is the smallest container
+that holds every content block and every sentence that is not a link. The blocks under the root are
+the main text, except elements that are never article text - menus, page headers, footers, sidebars,
+notices, adverts, forms, scripts, styles, comments - which are known by tag, role, or a whole name in
+their class or id (its other words may only say where it is on the page), and, outside an article,
+blocks that are mostly links and on no content path.
 
 White space inside a block (a ``br`` counts as white space) becomes one space; blocks are joined by
 one newline; character references are decoded once. Nothing else is dropped or cut.
@@ -21,6 +23,7 @@ row; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import html as entities
+import os
 import re
 from collections.abc import Iterator
 
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.session import ship, table
 
-#: Share of the content paths' text that the content root must hold.
+#: Share of the content paths' text that an article must hold to be the content root.
 ROOT_SHARE = 0.75
 #: A path is content where its fused ratio is above this share of the ratios' spread.
 SPREAD = 0.25
@@ -69,7 +72,21 @@ BOILERPLATE_WORDS = set(
     share sharing social follow related recommended recommendations recirculation trending widget widgets toolbar pager pagination
     hidden skip""".split()
 )
-WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|\d+")
+#: Words that say where on the page an element is; beside them, a boilerplate word is the name.
+LAYOUT_WORDS = set(
+    """site page main global top bottom left right upper lower primary secondary container wrapper wrap box bar block area section
+    inner outer list item items panel slot unit zone col column row fixed sticky mobile desktop links link nav form post posts article entry content
+    icon icons button buttons btn text title body""".split()
+)
+#: Boilerplate words that are no headings: inside an article an id is mostly made from its section's heading.
+NO_HEADING = set(
+    """adbox adsense adslot adverts nav navbar submenu breadcrumb breadcrumbs sidebar sidebars masthead topbar bottombar gdpr popup modal
+    newsletter signup searchbox comments commentlist disqus respond pager pagination toolbar""".split()
+)
+WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|\d+")
+SENTENCE = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*\s*$")
+#: A root that is one of these is a part of what it stands in.
+CONTAINERS = set("html body div section article main".split())
 
 
 class Element:
@@ -90,12 +107,20 @@ def _boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in BOILERPLATE_ROLES:
         return True
-    words = {w.lower() for w in WORDS.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
+    known = BOILERPLATE_WORDS
     if tag in INLINE or tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p"):
-        words -= {"header", "side", "legal", "promo"}
+        known = known - {"header", "side", "legal", "promo"}
     elif inside_article:
-        words -= {"header"}
-    return bool(words & BOILERPLATE_WORDS)
+        known = known - {"header"}
+    if any(_named(name, known) for name in attrs.get("class", "").split()):
+        return True
+    return any(_named(name, known & NO_HEADING if inside_article else known) for name in attrs.get("id", "").split())
+
+
+def _named(name: str, known: set[str]) -> bool:
+    """Whether a class or id as a whole names boilerplate."""
+    words = {w.lower() for w in WORDS.findall(name)}
+    return bool(words & known) and all(w in known or w in LAYOUT_WORDS or w.isdigit() for w in words)
 
 
 def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
@@ -248,13 +273,21 @@ def main_text(page: str | None) -> str:
             label.startswith("article") for path, _ in mass if path[: len(root)] == root for label in path[len(root) :]
         ):
             break  # an article is taken whole
-    chosen = set()
-    for path, _, _, _ in content:
-        chosen.add(_plain(path))
+    chosen = {_plain(path) for path, _, _, _ in content}
+    articles = [k for k, label in enumerate(root) if label.split("#")[0].split(".")[0] in ("article", "main")]
+    whole = bool(articles)
+    if whole:
+        root = root[: articles[-1] + 1]
+    else:
+        held = [path for path, text, links, _ in blocks if _plain(path) in chosen or (2 * links <= len(text) and SENTENCE.search(text))]
+        held = held or [path for path, _, _, _ in content]
+        root = tuple(os.path.commonprefix(held))[: max(0, min(map(len, held)) - 1)]  # the block's own element is no root
+        while root and root[-1].split("#")[0].split(".")[0] not in CONTAINERS:
+            root = root[:-1]
     kept = []
     for path, text, links, _ in blocks:
         inside = path[: len(root)] == root or (path[-1:] and path[-1][:2] in HEADINGS and path[:-1] == root[: len(path) - 1])
-        if inside and (_plain(path) in chosen or links <= 0.5 * len(text)):
+        if inside and (whole or _plain(path) in chosen or 2 * links <= len(text)):
             kept.append(text)
     return "\n".join(kept)
 
