@@ -17,7 +17,7 @@ group is dealt out once. Members whose sketches agree with another component in
 in small buckets and as blocks in large ones. Documents with no such partner never ship their text.
 
 Cases: null, empty and white-space texts have no shingle and are alone in their class; rows with a
-null ``doc_id`` are alone and kept; rows that repeat a ``doc_id`` form one row; very long texts are
+null ``doc_id`` are alone and kept; an id with several texts links the near copies of each; very long texts are
 compared whole; extra columns are ignored; an empty table gives no rows.
 """
 
@@ -439,26 +439,63 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     return sig, reps, components(links.unionByName(materialize(more, "near-links")))
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, class_id, kept``: one row per document id; the class's smallest id is kept."""
-    sig, reps, found = near_links(docs, threshold)
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` plus ``_number``, an id for each pair of id and text, and the numbers that differ from the id.
+
+    Rows of equal id and text become one. Of an id's other texts the least by hash has the id itself
+    as its number; the rest are numbered above all ids.
+    """
+    own = docs.withColumn("_number", F.col("doc_id").cast("long"))
+    again = own.where("_number is not null").groupBy("_number").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    again = materialize(again.select("_number"), "near-again")
+    if not again.limit(1).count():
+        return own, None
+    key = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(SEED), "text"))
+    once = materialize(own.join(again, "_number", "left_semi").withColumn("_key", key).dropDuplicates(["_number", "_key"]), "near-once")
+    first = once.groupBy("_number").agg(F.min("_key").alias("_key"))
+    rest = once.select("_number", "_key").join(first, ["_number", "_key"], "left_anti").orderBy("_number", "_key")
+    top = own.agg(F.max("_number")).first()[0]
+    more = materialize(rest.withColumn("_more", F.monotonically_increasing_id() + F.lit(top + 1)), "near-more")
+    single = own.join(again, "_number", "left_anti").select(*docs.columns, "_number")
+    apart = once.join(more, ["_number", "_key"], "left").select(*docs.columns, F.coalesce("_more", "_number").alias("_number"))
+    return single.unionByName(apart), more.select(F.col("_more").alias("doc_id"), F.col("_number").alias("owner"))
+
+
+def _classes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``doc_id, class_id`` of rows whose ids are unique."""
+    sig, reps, found = near_links(rows, threshold)
     labelled = reps.join(found, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("class_id"))
     classes = sig.select("doc_id", "k1", "k2").join(labelled, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    return ids.join(classes, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("class_id", "doc_id") == F.col("doc_id")).alias("kept")
-    )
+    ids = rows.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.join(classes, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def _by_number(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_number").alias("doc_id"), "text")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, class_id, kept``: one row per document id; the class's smallest id is kept.
+
+    An id with several texts is in one class with the near copies of each of them.
+    """
+    rows, more = _numbered(docs)
+    classes = _classes(_by_number(rows), threshold)
+    if more is not None:
+        classes = materialize(classes, "near-classes")
+        links = classes.select(F.col("doc_id").alias("a"), F.col("class_id").alias("b"))
+        joined = components(links.unionByName(more.select(F.col("doc_id").alias("a"), F.col("owner").alias("b"))))
+        own = classes.join(more.select("doc_id"), "doc_id", "left_anti").select("doc_id")
+        classes = own.join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        classes = classes.select("doc_id", F.coalesce("component", "doc_id").alias("class_id"))
+    return classes.select("doc_id", "class_id", (F.col("class_id") == F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each class (rows with a null id stay), one row per id."""
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    again = materialize(again.select("doc_id"), "near-again")
-    if again.limit(1).count():
-        once = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-    gone = near_duplicates(docs, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each class (rows with a null id stay), one row per id and text."""
+    rows, _ = _numbered(docs)
+    gone = _classes(_by_number(rows), threshold).where("class_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows["_number"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
