@@ -6,9 +6,14 @@ rank order over the whole corpus at once, and each merge updates only the two ne
 pairs it touches. Words already replayed by a worker are kept in a bounded table, so frequent
 words are replayed once per worker.
 
+Digests are taken where the ids are made: neither decoded texts nor, for the query, ids travel
+back to the JVM. Rows leave a worker in slices bounded by the characters they hold.
+
 Cases: null text counts as empty; empty text gives no ids (hash of the empty string); texts of
-any length are encoded whole; repeated rows each give a row; extra input columns are ignored by
-the query and kept by :func:`encode_documents`.
+any length are encoded whole; repeated rows and rows that share an id each give a row; a null id
+stays null; an empty table gives no rows; extra input columns are ignored by the query and by
+:func:`encode_corpus` and kept by :func:`encode_documents`, whose own columns replace those of
+the same names.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ from pyspark.sql.types import StructType
 from spanloom.llm.batches import ship_texts
 from spanloom.session import table
 
-#: Words that a worker remembers (about 200 bytes each); beyond it the table starts anew.
-REMEMBERED_WORDS = 800_000
-#: Characters of text whose new words form one replayed corpus.
-BLOCK_CHARS = 4_000_000
+#: Bytes that a worker's table of replayed words may take (estimated); beyond it the table starts anew.
+REMEMBERED_BYTES = 64 << 20
+#: What an entry of that table takes besides its characters and ids.
+ENTRY_BYTES = 200
+#: Characters of text whose new words form one replayed corpus, and which leave the worker together.
+BLOCK_CHARS = 2_000_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -161,6 +168,7 @@ class Encoder:
         self.merges = Merges(ranks)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -168,10 +176,12 @@ class Encoder:
     def learn(self, pieces: list[list[str]]) -> None:
         """Replay the merges over the words of ``pieces`` that are not known yet."""
         words = set().union(*pieces) if pieces else set()
-        if len(self.known) + len(words) > REMEMBERED_WORDS:
-            self.known = {}
+        if self.held > REMEMBERED_BYTES:
+            self.known, self.held = {}, 0
         new = [w for w in words if w not in self.known]
-        self.known.update(zip(new, self.merges.replay([w.encode() for w in new]), strict=True))
+        ids = self.merges.replay([w.encode() for w in new])
+        self.known.update(zip(new, ids, strict=True))
+        self.held += sum(map(len, new)) + sum(map(len, ids)) + ENTRY_BYTES * len(new)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -208,70 +218,63 @@ def worker_encoder(shared, pattern: str) -> Encoder:
     return _encoders[key]
 
 
-def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``token_ids binary, decoded binary``.
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """Start and texts of runs of rows that hold about ``BLOCK_CHARS`` characters; a long text is a run of its own."""
+    first, held, chars = 0, [], 0
+    for at, text in enumerate(texts):
+        held.append(text.as_py())
+        chars += len(held[-1] or "")
+        if chars >= BLOCK_CHARS:
+            yield first, held
+            first, held, chars = at + 1, [], 0
+    if held:
+        yield first, held
+
+
+def encode_documents(
+    docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", keep: list[str] | None = None, ids: bool = True
+) -> DataFrame:
+    """The columns ``keep`` (all) of ``docs`` plus ``n_tokens, token_ids`` (if ``ids``), ``ids_sha256, decoded_sha256``.
 
     The rank table is broadcast; its size is that of a tokenizer file, never of the data.
     """
     spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks)
-    schema = StructType(list(docs.schema)).add("token_ids", "binary").add("decoded", "binary")
+    own = {"n_tokens": "long", "token_ids": "binary", "ids_sha256": "string", "decoded_sha256": "string"}
+    if not ids:
+        del own["token_ids"]
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    schema = StructType([docs.schema[c] for c in kept])
+    for name, kind in own.items():
+        schema = schema.add(name, kind)
+    sent = kept if text in kept else [*kept, text]
+    place = sent.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                ids = encoder.encode(batch.column(text).to_pylist())
-                back = [encoder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(ids, pa.binary()), pa.array(back, pa.binary())],
-                    names=[*batch.schema.names, "token_ids", "decoded"],
-                )
+        for batch in batches:
+            for at, texts in _slices(batch.column(place)):
+                made = encoder.encode(texts)
+                columns = [
+                    pa.array([len(x) // 4 for x in made], pa.int64()),
+                    *([pa.array(made, pa.binary())] if ids else []),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in made], pa.string()),
+                    pa.array([hashlib.sha256(encoder.decode(x)).hexdigest() for x in made], pa.string()),
+                ]
+                rows = [batch.column(i).slice(at, len(texts)) for i in range(len(kept))]
+                yield pa.RecordBatch.from_arrays([*rows, *columns], names=[*kept, *own])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def digest_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document.
-
-    The digests are taken where the ids are made, so ids never travel back to the JVM.
-    """
-    spark = ship_texts(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(ranks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(shared, pattern)
-        for batch in batches:
-            n, first, second = [], [], []
-            texts = batch.column("text")
-            for at in range(0, batch.num_rows, 1000):
-                for ids in encoder.encode(texts.slice(at, 1000).to_pylist()):
-                    n.append(len(ids) // 4)
-                    first.append(hashlib.sha256(ids).hexdigest())
-                    second.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select(F.col("doc_id"), F.col("text")).mapInArrow(
-        run, f"doc_id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document."""
+    return encode_documents(docs, ranks, pattern, keep=["doc_id"], ids=False)
 
 
 def encode_corpus(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """``doc_id, source, n_tokens, token_ids, ids_sha256, decoded_sha256`` of every row of ``docs``."""
-    made = encode_documents(docs.select("doc_id", "source", "text"), ranks, pattern)
-    return made.select(
-        "doc_id",
-        "source",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        "token_ids",
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode_documents(docs, ranks, pattern, keep=["doc_id", "source"])
 
 
 def tokenizer(name: str = "byte_bpe_50k.tiktoken") -> tuple[dict[bytes, int], str]:
