@@ -5,11 +5,12 @@ one-versus-one linear support vector machines separate the languages of that fam
 by summed margins. Features are the square roots of the relative frequencies of letter 1- to
 3-grams (lower-cased, words set off by one space), hashed into ``CELLS`` cells, of the whole text.
 
-Training reads only text and non-null language of the training rows. At most ``TRAIN_ROWS`` of
-them, equally many per language and chosen by a hash of the text, are collected to fit the
-machines; everything else covers all rows.
+Training reads only text and non-null language of the training rows. At most ``TRAIN_ROWS``
+distinct texts, equally many per language and the first by a hash of the text, are collected to
+fit the machines; copies of a text count once and are combined before they are moved. Everything
+else covers all rows.
 
-Cases: null texts, and texts without a letter, are ``und`` with score 0; empty tables give no rows;
+Cases: a null ``doc_id`` is not held out; null texts, and texts without a letter, are ``und`` with score 0; empty tables give no rows;
 a single learned language is predicted for every text with letters, and with no training row every
 text is ``und``; very long texts are read whole; repeated rows each give a row; extra columns are
 ignored. Exact ties go to the language first in code point order.
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from spanloom.llm.batches import ship_texts
 from spanloom.session import table
@@ -201,18 +203,20 @@ def _logistic(x: float) -> float:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Hierarchy:
     """Fit on a bounded, equal-sized sample of each language of ``docs``."""
-    spark = ship_texts(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     labelled = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.withColumn("u", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("u", 0.02).alias("n")).collect()}
     if not counts:
         return Hierarchy([], np.zeros((0, CELLS), np.float32), np.zeros(0, str))
     each = max(20, rows // len(counts))
-    # a hash threshold takes about 1.3 times the rows wanted; the first by hash are kept
+    # a hash threshold takes about 1.3 times the texts wanted; the first by hash are kept
+    span = float(1 << 63)
     bound = F.lit(0.0)
     for name, n in counts.items():
-        bound = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * each / n + 20 / n))).otherwise(bound)
-    unit = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.withColumn("u", unit).where(F.col("u") < bound)
+        bound = F.when(F.col("lang") == name, F.lit(min(1.0, 1.3 * each / max(1, n) + 20 / max(1, n)))).otherwise(bound)
+    near = labelled.where((F.col("u") + span) / (2 * span) < bound)
+    once = near.groupBy("lang", "u").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,16 +231,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
                 index.append(at.astype("<u2").tobytes())
                 value.append(got[at].astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(lang_, pa.string()), pa.array(u, pa.float64()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
+                [pa.array(lang_, pa.string()), pa.array(u, pa.int64()), pa.array(index, pa.binary()), pa.array(value, pa.binary())],
                 names=["lang", "u", "index", "value"],
             )
 
-    held: dict[str, list] = {}
-    for r in chosen.mapInArrow(run, "lang string, u double, index binary, value binary").collect():
-        held.setdefault(r["lang"], []).append((r["u"], bytes(r["index"]), bytes(r["value"])))
-    picked = [(name, x) for name in sorted(held) for x in sorted(held[name])[:each]]
+    found = once.mapInArrow(run, "lang string, u bigint, index binary, value binary")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))  # of about 1.3 * each rows
+    chosen = found.withColumn("place", place).where(F.col("place") <= each).collect()
+    picked = [(r["lang"], (bytes(r["index"]), bytes(r["value"]))) for r in sorted(chosen, key=lambda r: (r["lang"], r["place"]))]
+    held = {name for name, _ in picked}
     x = np.zeros((len(picked), CELLS), dtype=np.float32)
-    for i, (_, (_, index, value)) in enumerate(picked):
+    for i, (_, (index, value)) in enumerate(picked):
         dense = np.zeros(CELLS, dtype=np.int64)
         dense[np.frombuffer(index, "<u2").astype(np.int64)] = np.frombuffer(value, "<u4")
         x[i] = features(dense)
