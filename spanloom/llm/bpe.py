@@ -33,7 +33,7 @@ from spanloom.llm.batches import ship_texts
 from spanloom.session import table
 
 #: Bytes that a worker's table of replayed words may take (estimated); beyond it the table starts anew.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 128 << 20
 #: What an entry of that table takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Characters of text whose new words form one replayed corpus, and which leave the worker together.
