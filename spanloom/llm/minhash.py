@@ -3,22 +3,30 @@
 A document is the weighted set of its shingles: ``SHINGLE`` consecutive lower-cased words (a
 shorter document is one shingle). A shingle weighs its count in the document times the mean
 inverse document frequency of its words. Word frequencies are counted over all documents, hashed
-into ``IDF_CELLS`` cells, so the table that is broadcast has a fixed size. ICWS draws ``BANDS *
-ROWS`` samples per document whose chance to agree is the weighted Jaccard similarity; documents
-that agree in all rows of a band become candidates, and every candidate link is verified by the
-weighted Jaccard similarity of the whole texts.
+into ``IDF_CELLS`` cells, so the table that is broadcast has a fixed size. A cell's frequency is the
+share of documents that hold one of its words. More documents of a kind leave that share as it is:
+a word that fills a share p of the documents is weighed by p plus what strangers add to its cell,
+about (distinct words of a document) / ``IDF_CELLS``, however large the vocabulary grows. ICWS draws
+``BANDS * ROWS`` samples per document whose chance to agree is the weighted Jaccard similarity;
+documents that agree in all rows of a band become candidates, and every candidate link is verified
+by the weighted Jaccard similarity of the whole texts.
 
 Equal word sequences are collapsed first (one representative). A band's bucket is never expanded
 into all its pairs: each member meets the bucket's first member, and the links found join members
-into components. Every pair of a bucket that lies in two components is then compared by sketch, in
-blocks: the members outside the bucket's largest component meet all members, so a large settled
-group is dealt out once. Members whose sketches agree with another component in ``ALIKE`` samples
-(at similarity 0.8 a pair has fewer once in 100,000 times) have their whole texts compared, as pairs
-in small buckets and as blocks in large ones. Documents with no such partner never ship their text.
-
-Cases: null, empty and white-space texts have no shingle and are alone in their class; rows with a
-null ``doc_id`` are alone and kept; an id with several texts links the near copies of each; very long texts are
-compared whole; extra columns are ignored; an empty table gives no rows.
+into components. Every pair of a bucket that lies in two components is then compared, in blocks:
+the members outside the bucket's largest component meet all members, so a large settled group is
+dealt out once. A pair's texts are read unless its profiles prove that it is below the threshold:
+a profile sums the weights of a document's shingles in ``PROFILE`` cells, rounded up, and the sum
+of two profiles' lesser cells is never less than the weight the two documents share. So no
+candidate is lost, and documents with no possible partner never ship their text. The rest is
+compared as pairs in small buckets and as blocks in large ones. Buckets that hold a large share of
+all rows are joined by broadcast (``HOT_BUCKETS`` of them at most) and so dealt to all tasks.
+
+Cases: null, empty and white-space texts have no shingle and are alone in their class; a row with a
+null ``doc_id`` has no class and gives no row (:func:`drop_near_duplicates` keeps it, whatever its
+text); an id with several texts links the near copies of each; repeated rows are one document; very
+long texts are compared whole; extra columns are ignored (and kept by
+:func:`drop_near_duplicates`); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,13 +48,17 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 10, 3
 IDF_CELLS = 1 << 20
+#: Cells that leave a task and are summed together.
+IDF_RANGE = 4096
 SEED = 1_234_567
-#: Samples of BANDS * ROWS that must agree before whole texts are compared.
-ALIKE = 13
-#: The alike pairs of a bucket with up to so many members are listed; larger buckets go block by block.
+#: Cells of a profile, units of weight in each, and the value of a cell that is full.
+PROFILE, UNIT, FULL = 256, 8.0, 65_535
+#: The open pairs of a bucket with up to so many members are listed; larger buckets go block by block.
 FEW = 16
-#: Members of a block: sketches, texts.
-SKETCHES, BLOCK = 1024, 256
+#: Members of a block: profiles, texts. Rows of a profile block that are compared at a time.
+PROFILES, BLOCK, STRIP = 1024, 256, 64
+#: A bucket with more rows than this, and than its share of ``1 / HOT_BUCKETS`` of all rows, is joined by broadcast.
+HOT_ROWS, HOT_BUCKETS = 1024, 10_000
 #: So many candidate ids (8 bytes each) are broadcast to pick out their texts; more are joined by a shuffle.
 IDS_SENT = 2_000_000
 
@@ -80,6 +92,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
+def _counts(part: int, cells: bytes, n: bytes, docs: int) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([cells], pa.binary()), pa.array([n], pa.binary()), pa.array([docs], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "cells", "n", "docs"])
+
+
 def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Inverse document frequency by word cell, over all documents (a fixed-size table)."""
     spark = ship_texts(docs.sparkSession)
@@ -95,15 +112,30 @@ def word_idf(docs: DataFrame, text: str = "text") -> np.ndarray:
                 seen = np.unique(doc << 20 | cells)
                 held += np.bincount(seen & (IDF_CELLS - 1), minlength=IDF_CELLS)
                 rows += len(starts) - 1
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(held[at], rows))], names=["cell", "n"])
-
-    got = docs.select(text).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    got = got.toArrow()
-    cell, n = got.column("cell").to_numpy(), got.column("n").to_numpy()
-    total = int(n[cell == -1].sum())
+        for part in range(IDF_CELLS // IDF_RANGE):
+            own = held[part * IDF_RANGE : (part + 1) * IDF_RANGE]
+            at = np.flatnonzero(own)
+            if len(at) or not part:
+                yield _counts(part, at.astype("<u2").tobytes(), own[at].astype("<u8").tobytes(), rows if not part else 0)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        rows: dict[int, int] = {}
+        for batch in batches:
+            for part, cells, n, docs_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held = sums.setdefault(part, np.zeros(IDF_RANGE, dtype=np.int64))
+                held[np.frombuffer(cells, "<u2").astype(np.int64)] += np.frombuffer(n, "<u8").astype(np.int64)
+                rows[part] = rows.get(part, 0) + docs_
+        for part, held in sums.items():
+            yield _counts(part, b"", held.astype("<u8").tobytes(), rows[part])
+
+    kind = "part int, cells binary, n binary, docs bigint"
+    tasks = min(IDF_CELLS // IDF_RANGE, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    got = docs.select(text).mapInArrow(count, kind).repartition(tasks, "part").mapInArrow(merge, kind).collect()
+    total = sum(r["docs"] for r in got)
     df = np.zeros(IDF_CELLS)
-    df[cell[cell >= 0]] = n[cell >= 0]
+    for r in got:
+        df[r["part"] * IDF_RANGE : (r["part"] + 1) * IDF_RANGE] = np.frombuffer(r["n"], "<u8")
     return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
 
 
@@ -175,10 +207,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, k1, k2, bands, sketch`` of every document that has a word.
+    """``doc_id, k1, k2, bands, weight, profile`` of every document that has a word.
 
-    ``k1, k2`` identify the word sequence; ``bands`` holds the band keys and ``sketch`` 16 bits of
-    every sample.
+    ``k1, k2`` identify the word sequence, ``bands`` holds the band keys.
     """
     spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
@@ -189,7 +220,7 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
                 hashes, starts = word_hashes(part.column(1))
-                ids, k1, k2, keys, sketch = [], [], [], [], []
+                ids, k1, k2, keys, weight, folded = [], [], [], [], [], []
                 doc_ids = part.column(0).to_pylist()
                 for i, doc_id in enumerate(doc_ids):
                     words = hashes[starts[i] : starts[i + 1]]
@@ -199,12 +230,14 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                     ids.append(doc_id)
                     k1.append(int(_mix((words ^ (place * _ODD[0])) * _ODD[1]).sum().view(np.int64)))
                     k2.append(int((_mix((words + place * _ODD[2]) * _ODD[3]).sum() + _U(len(words))).view(np.int64)))
-                    got = sampler.sample(*weighted_shingles(words, value))
+                    shingles = weighted_shingles(words, value)
+                    got = sampler.sample(*shingles)
                     key = np.arange(bands, dtype=np.uint64) * _ODD[4]
                     for r in range(rows):
                         key = _mix((key ^ got[r::rows]) * _ODD[r % 4])
                     keys.append(key.view(np.int64))
-                    sketch.append((got >> _U(48)).astype(np.uint16).tobytes())
+                    weight.append(float(shingles[1].sum()))
+                    folded.append(profile(*shingles))
                 offsets = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
                 flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -213,13 +246,14 @@ def signatures(docs: DataFrame, idf, bands: int = BANDS, rows: int = ROWS) -> Da
                         pa.array(k1, pa.int64()),
                         pa.array(k2, pa.int64()),
                         pa.ListArray.from_arrays(offsets, flat),
-                        pa.array(sketch, pa.binary()),
+                        pa.array(weight, pa.float64()),
+                        pa.array(folded, pa.binary()),
                     ],
-                    names=["doc_id", "k1", "k2", "bands", "sketch"],
+                    names=["doc_id", "k1", "k2", "bands", "weight", "profile"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(
-        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, sketch binary"
+        run, "doc_id bigint, k1 bigint, k2 bigint, bands array<bigint>, weight double, profile binary"
     )
 
 
@@ -254,28 +288,75 @@ def verify(pairs: DataFrame, docs: DataFrame, idf, threshold: float = THRESHOLD)
     return full.mapInArrow(run, "a bigint, b bigint, sim double")
 
 
-def _samples(sketch: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Sketches as rows of 16-bit samples."""
-    held = b"".join(sketch.to_pylist())
-    return np.frombuffer(held, dtype=np.uint16).reshape(len(sketch), -1) if held else np.zeros((0, 1), np.uint16)
+def profile(h: np.ndarray, weight: np.ndarray) -> bytes:
+    """The weights of a set summed by cell and rounded up; a cell that is too full holds ``FULL``."""
+    sums = np.bincount((h >> _U(56)).astype(np.int64), weights=weight, minlength=PROFILE)
+    return np.minimum(np.ceil(sums * UNIT * (1 + 1e-9)), FULL).astype("<u2").tobytes()
+
+
+def _profiles(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    held = b"".join(column.to_pylist())
+    return np.frombuffer(held, dtype="<u2").reshape(len(column), PROFILE) if held else np.zeros((0, PROFILE), np.uint16)
+
+
+def _open(least: np.ndarray, x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether sets of weights ``x`` and ``y`` that share ``least`` at most can reach the threshold."""
+    shared = np.minimum(least, np.minimum(x, y))
+    return shared * (1 + threshold) >= threshold * (x + y) * (1 - 1e-9)
+
+
+def _shared_at_most(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Upper bound of the weight that the sets behind two profiles share, row by row."""
+    least = np.minimum(x, y)
+    return np.where((least == FULL).any(axis=1), np.inf, least.sum(axis=1, dtype=np.int64) / UNIT)
+
+
+def open_pairs(x: np.ndarray, y: np.ndarray, weight_x: np.ndarray, weight_y: np.ndarray, threshold: float) -> np.ndarray:
+    """Matrix of the pairs that the profiles do not rule out."""
+    out = np.zeros((len(x), len(y)), dtype=bool)
+    for at in range(0, len(x), STRIP):
+        part, w = x[at : at + STRIP], weight_x[at : at + STRIP, None]
+        left = _open(np.inf, w, weight_y[None, :], threshold)
+        near = np.flatnonzero(left.any(axis=0))
+        if not len(near):
+            continue
+        sums = np.zeros((len(part), len(near)), dtype=np.uint32)
+        full = np.zeros(sums.shape, dtype=bool)
+        some_full = bool((part == FULL).any())
+        cells = np.ascontiguousarray(y[near].T)
+        for k in range(PROFILE):
+            least = np.minimum(part[:, k, None], cells[k][None, :])
+            sums += least
+            if some_full:
+                full |= least == FULL
+        most = np.where(full, np.inf, sums / UNIT)
+        out[at : at + STRIP, near] = left[:, near] & _open(most, w, weight_y[None, near], threshold)
+    return out
 
 
-def _alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree in ``ALIKE`` samples or more."""
-    full = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(
-        sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b"
-    )
+def _alike(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """The pairs that their profiles do not rule out."""
+    side = lambda k, w, p: profiles.select(F.col("id").alias(k), F.col("weight").alias(w), F.col("profile").alias(p))
+    full = pairs.join(side("a", "weight_a", "x"), "a").join(side("b", "weight_b", "y"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = (_samples(batch.column(2)) == _samples(batch.column(3))).sum(axis=1)
-            keep = pa.array(same >= ALIKE)
+            x, y = (batch.column(k).to_numpy() for k in (2, 3))
+            keep = pa.array(_open(_shared_at_most(_profiles(batch.column(4)), _profiles(batch.column(5))), x, y, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return full.select("a", "b", "weight_a", "weight_b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
 
+def _with_bucket(rows: DataFrame, per: DataFrame, total: int) -> DataFrame:
+    """``rows`` joined to the one row that ``per`` has for their bucket, hot buckets without dealing them to one task."""
+    hot = F.col("n") > max(HOT_ROWS, total // HOT_BUCKETS)
+    many = F.broadcast(per.where(hot))
+    rest = rows.join(many.select("bucket"), "bucket", "left_anti").join(per.where(~hot), "bucket")
+    return rows.join(many, "bucket").unionByName(rest)
 
-def _dealt(members: DataFrame, block: int) -> DataFrame:
+
+def _dealt(members: DataFrame, block: int, total: int = 0) -> DataFrame:
     """Members dealt to blocks so that each one outside the largest component meets all others.
 
     ``minor`` members come in ``small`` blocks, and block ``lo`` of them meets block ``hi`` of all
@@ -287,7 +368,7 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     )
     top = top.where("open > 1").select("bucket", "n", F.col("top.id").alias("largest"), (F.col("n") - F.col("top.size")).alias("outside"))
     cuts, small = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("outside") / block).cast("int")
-    each = members.join(top, "bucket").withColumn("spot", F.xxhash64("id"))
+    each = _with_bucket(members, materialize(top, "near-open"), total).withColumn("spot", F.xxhash64("id"))
     asks = each.where("component <> largest").withColumn("asks", F.lit(True))
     asks = asks.withColumn("lo", F.pmod("spot", small).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), cuts - 1)))
     asked = each.withColumn("asks", F.lit(False)).withColumn("hi", F.pmod("spot", cuts).cast("int"))
@@ -296,20 +377,17 @@ def _dealt(members: DataFrame, block: int) -> DataFrame:
     return asks.select(*columns).unionByName(asked.select(*columns))
 
 
-def _sketch_blocks(members: DataFrame, sketches: DataFrame) -> DataFrame:
-    """``bucket, id, a, b``: members alike to one of another component and, in small buckets, their pairs."""
-    dealt = _dealt(members, SKETCHES).join(sketches, "id")
+def _profile_blocks(members: DataFrame, profiles: DataFrame, threshold: float, total: int) -> DataFrame:
+    """``bucket, id, a, b``: members with a possible partner in another component and, in small buckets, their pairs."""
+    dealt = _dealt(members, PROFILES, total).join(profiles, "id")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
-        ids, component = rows.column("id").to_numpy(), rows.column("component").to_numpy()
+        ids, component, weight = (rows.column(c).to_numpy() for c in ("id", "component", "weight"))
         asks, bucket = rows.column("asks").to_numpy(zero_copy_only=False), rows.column("bucket")[0].as_py()
-        sample = _samples(rows.column("sketch"))
+        held = _profiles(rows.column("profile"))
         x, y = np.flatnonzero(asks), np.flatnonzero(~asks)
-        same = np.zeros((len(x), len(y)), dtype=np.uint8)
-        for k in range(sample.shape[1]):
-            same += sample[x, k][:, None] == sample[y, k][None, :]
-        close = (same >= ALIKE) & (component[x][:, None] != component[y][None, :])
+        close = open_pairs(held[x], held[y], weight[x], weight[y], threshold) & (component[x][:, None] != component[y][None, :])
         if rows.column("n")[0].as_py() <= FEW:
             i, j = np.nonzero(close)
             a, b = np.maximum(ids[x[i]], ids[y[j]]), np.minimum(ids[x[i]], ids[y[j]])
@@ -382,14 +460,14 @@ def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
-def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float) -> DataFrame:
+def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float, total: int) -> DataFrame:
     """Verified links between the components of large buckets, block by block.
 
     Each block compares its whole texts and returns the links that join it, fewer than its rows.
     """
     spark = ship_texts(docs.sparkSession)
     shared = spark.sparkContext.broadcast(idf)
-    dealt = _dealt(members, BLOCK).join(docs.withColumnRenamed("doc_id", "id"), "id")
+    dealt = _dealt(members, BLOCK, total).join(docs.withColumnRenamed("doc_id", "id"), "id")
 
     def compare(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -403,11 +481,12 @@ def _block_links(members: DataFrame, docs: DataFrame, idf, threshold: float) ->
         asker, asked = np.zeros(len(first), dtype=bool), np.zeros(len(first), dtype=bool)
         asker[place[asks]] = asked[place[~asks]] = True
         of = component[once]
-        close = (block_similarity(sets) >= threshold) & asker[:, None] & asked[None, :] & (of[:, None] != of[None, :])
+        sim = block_similarity(sets)
+        close = (sim >= threshold) & asker[:, None] & asked[None, :] & (of[:, None] != of[None, :])
         got = _spanning(np.argwhere(close), len(first))
         a = [max(int(first[i]), int(first[j])) for i, j in got]
         b = [min(int(first[i]), int(first[j])) for i, j in got]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array([threshold] * len(a), pa.float64())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sim": pa.array([float(sim[i, j]) for i, j in got], pa.float64())})
 
     return dealt.groupBy("bucket", "lo", "hi").applyInArrow(compare, "a bigint, b bigint, sim double")
 
@@ -418,24 +497,25 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     sig = materialize(signatures(docs, idf), "near-sig")
     reps = materialize(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-reps")
     own = sig.join(reps, ["k1", "k2"]).where("doc_id = id").dropDuplicates(["id"])
-    own = materialize(own.select("id", "bands", "sketch"), "near-own")
-    keys, sketches = own.select("id", F.explode("bands").alias("bucket")), own.select("id", "sketch")
+    own = materialize(own.select("id", "bands", "weight", "profile"), "near-own")
+    total = own.count() * BANDS
+    keys, profiles = own.select("id", F.explode("bands").alias("bucket")), own.select("id", "weight", "profile")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = materialize(keys.join(shared, "bucket").select("bucket", "id", "first"), "near-members")
+    members = materialize(_with_bucket(keys, materialize(shared, "near-buckets"), total).select("bucket", "id", "first"), "near-members")
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    pairs = materialize(_alike(star, sketches), "near-pairs")
+    pairs = materialize(_alike(star, profiles, threshold), "near-pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = materialize(verify(pairs, _texts(docs, ids), idf, threshold), "near-links")
     found = components(links)
 
     labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    near = materialize(_sketch_blocks(materialize(labelled, "near-labelled"), sketches), "near-alike")
+    near = materialize(_profile_blocks(materialize(labelled, "near-labelled"), profiles, threshold, total), "near-alike")
     pairs = near.where("a is not null").select("a", "b").distinct()
     large = near.where("a is null").select("bucket", "id").join(found, "id", "left")
     large = large.select("bucket", "id", F.coalesce("component", "id").alias("component"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     texts = _texts(docs, ids)
-    more = verify(pairs, texts, idf, threshold).unionByName(_block_links(large, texts, idf, threshold))
+    more = verify(pairs, texts, idf, threshold).unionByName(_block_links(large, texts, idf, threshold, total))
     return sig, reps, components(links.unionByName(materialize(more, "near-links")))
 
 
