@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.plans.tree import fold_up, with_depth
+from spanloom.plans.tree import fold_up, with_depth, with_tree
 from spanloom.session import materialize
 
 CPD, RATE, SEED = 3, 0.5, 42
@@ -25,10 +25,8 @@ def uniform(seed: int = SEED) -> Column:
 
 def with_kind(spans: DataFrame, cpd: int = CPD) -> DataFrame:
     """``spans`` plus depth, ``leaf`` and ``carrier`` (a checkpoint or a leaf persists a payload)."""
-    kids = spans.where("parent_id <> 0").select("trace_id", F.col("parent_id").alias("span_id")).distinct().withColumn("inner", F.lit(True))
-    deep = with_depth(spans).join(kids, ["trace_id", "span_id"], "left")
-    leaf = F.col("inner").isNull()
-    return deep.withColumn("leaf", leaf).withColumn("carrier", leaf | (F.col("depth") % cpd == 0)).drop("inner")
+    leaf = F.col("children") == 0
+    return with_tree(spans).withColumn("leaf", leaf).withColumn("carrier", leaf | (F.col("depth") % cpd == 0)).drop("children")
 
 
 def with_drops(spans: DataFrame, rate: float = RATE, cpd: int = CPD, seed: int = SEED) -> DataFrame:
@@ -51,27 +49,22 @@ def nested_drops(spans: DataFrame, rates: tuple[float, ...] = (0.05, 0.25, 0.5,
 
 def nearest_survivor(spans: DataFrame, rate: float = RATE, cpd: int = CPD) -> DataFrame:
     """Every orphan's true anchor: its nearest ancestor that was not lost, and the gap between."""
-    return _true_anchors(materialize(with_drops(spans, rate, cpd), "drops"))
+    return true_anchors(with_drops(spans, rate, cpd))
 
 
-def _true_anchors(d: DataFrame) -> DataFrame:
-    # fold over lost spans only: a survivor stops the walk
-    walked = fold_up(d, {}, stop=~F.col("dropped")).select(
-        "trace_id", F.col("span_id").alias("parent_id"), F.col("top_id").alias("anchor_id"), F.col("dropped").alias("p_dropped")
-    )
-    # a walk from a lost parent ends at the survivor above it
-    orphans = d.where("not dropped and parent_id <> 0").join(walked.where("p_dropped"), ["trace_id", "parent_id"])
-    depth = d.select("trace_id", F.col("span_id").alias("anchor_id"), F.col("depth").alias("anchor_depth"))
-    found = orphans.join(depth, ["trace_id", "anchor_id"])
-    return found.select("trace_id", "span_id", "depth", "anchor_id", (F.col("depth") - F.col("anchor_depth") - 1).alias("gap"))
+def true_anchors(d: DataFrame) -> DataFrame:
+    """``trace_id, span_id, depth, anchor_id, gap`` of the survivors whose parent was dropped."""
+    # fold over lost spans only: a survivor stops the walk, so a parent that survived is its own top
+    walked = fold_up(d, {"anchor": (F.col("span_id"), "first"), "at": (F.col("depth"), "first")}, stop=~F.col("dropped"), parents=True)
+    orphans = walked.where("not dropped and parent_id <> 0 and p_anchor <> parent_id")
+    return orphans.select("trace_id", "span_id", "depth", F.col("p_anchor").alias("anchor_id"), (F.col("depth") - F.col("p_at") - 1).alias("gap"))
 
 
 def checkpoint_above(spans: DataFrame, cpd: int = CPD) -> DataFrame:
     """Nearest checkpoint strictly above every span (none for roots)."""
     deep = spans if "depth" in spans.columns else with_depth(spans)
-    held = fold_up(deep, {}, stop=F.col("depth") % cpd == 0)
-    at = held.select("trace_id", F.col("span_id").alias("parent_id"), F.col("top_id").alias("ckpt_id"))
-    return deep.where("parent_id <> 0").join(at, ["trace_id", "parent_id"]).select("trace_id", "span_id", "depth", "ckpt_id")
+    held = fold_up(deep, {"ckpt_id": (F.col("span_id"), "first")}, stop=F.col("depth") % cpd == 0, parents=True)
+    return held.where("p_ckpt_id is not null").select("trace_id", "span_id", "depth", F.col("p_ckpt_id").alias("ckpt_id"))
 
 
 def reconstruct_by_checkpoint(spans: DataFrame, rate: float = RATE, cpd: int = CPD) -> DataFrame:
@@ -81,7 +74,7 @@ def reconstruct_by_checkpoint(spans: DataFrame, rate: float = RATE, cpd: int = C
     its checkpoint band, takes the checkpoint that the carrier names, and is attached to it.
     """
     d = materialize(with_drops(spans, rate, cpd), "drops")
-    truth = _true_anchors(d)
+    truth = true_anchors(d)
     alive = d.where("not dropped")
     # walk up surviving edges as far as the band reaches: its top level hangs on the checkpoint itself
     up = alive.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("p_alive"))

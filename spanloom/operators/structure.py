@@ -67,11 +67,9 @@ def sibling_ordinals(spans: DataFrame) -> DataFrame:
 
 def crisp_clip(spans: DataFrame) -> DataFrame:
     """Spans clipped to their parent's clipped bounds; what lies outside goes with its subtree."""
-    folded = fold_up(spans, {"lo": (F.col("start_us"), "max"), "hi": (F.col("end_us"), "min")})
-    bounds = folded.select("trace_id", F.col("span_id").alias("parent_id"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"))
-    own = folded.select(*spans.columns, "lo", "hi").join(bounds, ["trace_id", "parent_id"], "left")
+    folded = fold_up(spans, {"lo": (F.col("start_us"), "max"), "hi": (F.col("end_us"), "min")}, parents=True)
     out = F.coalesce((F.col("end_us") < F.col("p_lo")) | (F.col("start_us") > F.col("p_hi")), F.lit(False))
-    gone = fold_up(own.withColumn("out", out), {"gone": (F.col("out"), "any")})
+    gone = fold_up(folded.select(*spans.columns, "lo", "hi", out.alias("out")), {"gone": (F.col("out"), "any")})
     return gone.where(~F.col("gone")).select("trace_id", "span_id", "parent_id", F.col("lo").alias("start_us"), F.col("hi").alias("end_us"))
 
 
