@@ -12,9 +12,10 @@ CPD, RATE, SEED = 3, 0.5, 42
 GRAIN = 10_000
 
 
-def uniform_mix(seed: int = SEED) -> Column:
+def uniform_mix(seed: int = SEED, span: Column | None = None) -> Column:
     """31 mixed bits of a span's ids."""
-    mixed = (F.col("trace_id") % 100_003) * 7_919 + (F.col("span_id") % 100_003) * 104_729 + seed * 1_299_709
+    span = F.col("span_id") if span is None else span
+    mixed = (F.col("trace_id") % 100_003) * 7_919 + (span % 100_003) * 104_729 + seed * 1_299_709
     return (mixed * 48_271) % 2_147_483_647
 
 

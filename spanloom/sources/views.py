@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from spanloom.session import table
 
 HOUR_US = 36_000_000_000
+WIDE_SEED = 7 * 1_299_709
 
 
 def heap_spans(spark: SparkSession, sf_dir: str, k: int = 2) -> DataFrame:
@@ -46,6 +47,25 @@ def dirty_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.unionByName(twice).unionByName(other)
 
 
+def wide_spans(spans: DataFrame) -> DataFrame:
+    """``spans`` with ids that fill 63 bits: mixed bits in front, so that prefixes tell most spans apart."""
+
+    def wide(c: str):
+        mixed = (F.col("trace_id") % 100_003) * 7_919 + (F.col(c) % 100_003) * 104_729 + WIDE_SEED
+        return ((mixed * 48_271) % 2_147_483_647) * (1 << 32) + F.col(c)
+
+    up = F.when(F.col("parent_id") == 0, F.lit(0).cast("long")).otherwise(wide("parent_id"))
+    return spans.withColumns({"span_id": wide("span_id"), "parent_id": up})
+
+
+def chain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten traces, each one long path of events in time order: deeper than any heap."""
+    e = heap_spans(spark, sf_dir, k=1)
+    order = Window.partitionBy(F.col("trace_id") % 10).orderBy("start_us", "trace_id", "span_id")
+    rank = F.row_number().over(order).cast("long")
+    return e.select((F.col("trace_id") % 10).alias("trace_id"), rank.alias("span_id"), (rank - 1).alias("parent_id"), "service", "start_us", "end_us")
+
+
 HEAP_SQL = """
 heap AS (
   SELECT user_id::BIGINT AS trace_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS span_id,
@@ -68,3 +88,13 @@ DIRTY_SQL = (
   UNION ALL SELECT trace_id, span_id, parent_id, service, start_us, end_us + 1 FROM bent WHERE trace_id % 17 = 5 AND span_id = 7
 )"""
 )
+
+WIDE_SQL = (
+    HEAP_SQL.replace("), spans AS (", "), narrow AS (")
+    + """, spans AS (
+  SELECT trace_id, ((((trace_id % 100003) * 7919 + (span_id % 100003) * 104729 + 9097963) * 48271) % 2147483647) * 4294967296 + span_id AS span_id,
+    CASE WHEN parent_id = 0 THEN 0 ELSE
+      ((((trace_id % 100003) * 7919 + (parent_id % 100003) * 104729 + 9097963) * 48271) % 2147483647) * 4294967296 + parent_id END AS parent_id,
+    service, start_us, end_us FROM narrow
+)"""
+)
