@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+ROWS_OF_A_FILE = 200_000
 _shipped: set[str] = set()
 
 
@@ -39,15 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
     return str(spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet into the shared folder and read it back.
 
-    Survives lost executors (unlike ``localCheckpoint``) and prunes columns on reread.
+    Survives lost executors (unlike ``localCheckpoint``) and prunes columns on reread. Where ``rows``
+    bounds the number of rows, they go into files of ``ROWS_OF_A_FILE``: a small table is not spread
+    over a file for every shuffle partition.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    schema = df.schema
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> SparkSession:
