@@ -368,7 +368,7 @@ def _dealt(members: DataFrame, block: int, total: int = 0) -> DataFrame:
     )
     top = top.where("open > 1").select("bucket", "n", F.col("top.id").alias("largest"), (F.col("n") - F.col("top.size")).alias("outside"))
     cuts, small = F.ceil(F.col("n") / block).cast("int"), F.ceil(F.col("outside") / block).cast("int")
-    each = _with_bucket(members, materialize(top, "near-open"), total).withColumn("spot", F.xxhash64("id"))
+    each = _with_bucket(members, materialize(top, "near-open", total // 2), total).withColumn("spot", F.xxhash64("id"))
     asks = each.where("component <> largest").withColumn("asks", F.lit(True))
     asks = asks.withColumn("lo", F.pmod("spot", small).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), cuts - 1)))
     asked = each.withColumn("asks", F.lit(False)).withColumn("hi", F.pmod("spot", cuts).cast("int"))
@@ -495,28 +495,32 @@ def near_links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     """Signatures, representatives (``k1, k2, id``) and the components of the verified links."""
     idf = word_idf(docs)
     sig = materialize(signatures(docs, idf), "near-sig")
-    reps = materialize(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-reps")
+    reps = materialize(sig.groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "near-reps", sig.count())
+    total = reps.count()
     own = sig.join(reps, ["k1", "k2"]).where("doc_id = id").dropDuplicates(["id"])
-    own = materialize(own.select("id", "bands", "weight", "profile"), "near-own")
-    total = own.count() * BANDS
+    own = materialize(own.select("id", "bands", "weight", "profile"), "near-own", 8 * total)  # wide rows
+    total *= BANDS
     keys, profiles = own.select("id", F.explode("bands").alias("bucket")), own.select("id", "weight", "profile")
     shared = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    members = materialize(_with_bucket(keys, materialize(shared, "near-buckets"), total).select("bucket", "id", "first"), "near-members")
+    shared = materialize(shared, "near-buckets", total // 2)
+    members = materialize(_with_bucket(keys, shared, total).select("bucket", "id", "first"), "near-members", total)
     star = members.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    pairs = materialize(_alike(star, profiles, threshold), "near-pairs")
+    pairs = materialize(_alike(star, profiles, threshold), "near-pairs", 4 * members.count())
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     links = materialize(verify(pairs, _texts(docs, ids), idf, threshold), "near-links")
-    found = components(links)
+    found = components(links, links.count())
 
     labelled = members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    near = materialize(_profile_blocks(materialize(labelled, "near-labelled"), profiles, threshold, total), "near-alike")
+    labelled = materialize(labelled, "near-labelled", members.count())
+    near = materialize(_profile_blocks(labelled, profiles, threshold, total), "near-alike")
     pairs = near.where("a is not null").select("a", "b").distinct()
     large = near.where("a is null").select("bucket", "id").join(found, "id", "left")
     large = large.select("bucket", "id", F.coalesce("component", "id").alias("component"))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(large.select("id")).distinct()
     texts = _texts(docs, ids)
     more = verify(pairs, texts, idf, threshold).unionByName(_block_links(large, texts, idf, threshold, total))
-    return sig, reps, components(links.unionByName(materialize(more, "near-links")))
+    both = links.unionByName(materialize(more, "near-links"))
+    return sig, reps, components(both, both.count())
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:

@@ -205,7 +205,7 @@ def start(codes: DataFrame, bits: int, starts: int, seed: int) -> DataFrame:
     dealt = codes.mapInArrow(keys, kind)
     at = ["dim", "start", "key"]
     sizes = dealt.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("cuts")).where("cuts > 1")
-    sizes = materialize(sizes, "vec-buckets")
+    sizes = materialize(sizes, "vec-buckets", starts << bits)
     sizes = F.broadcast(sizes) if sizes.count() <= BUCKETS_SENT else sizes
     cut = dealt.join(sizes, at, "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     both = (
@@ -401,19 +401,20 @@ def descend(nodes: DataFrame, miss: float = MISS) -> DataFrame:
         near = new if near is None else near.unionByName(new)
         found = new.where("link").select("a", "b")
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(links, links.count())
         rooms = None
         for _ in range(ROUNDS if bits else 0):  # without a bit every pair has met
-            lists = materialize(lists_of(near, rooms), "vec-lists")
+            lists = materialize(lists_of(near, rooms), "vec-lists", n)
             rooms = lists.select("id", "room")
             met = materialize(refine(lists, codes), "vec-met")
             far = met.where("link").join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
             far = far.join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            far = materialize(far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "vec-far")
-            joined = far.distinct().count()
+            far = far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").distinct()
+            far = materialize(far, "vec-far", n * LIST)
+            joined = far.count()
             if joined:
                 links = links.unionByName(far)
-                labels = components(links)
+                labels = components(links, links.count())
             kept = lists.select(F.col("id").alias("a"), F.explode("near").alias("e")).select("a", "e.b", "e.sim", F.lit(False).alias("link"))
             near = kept.unionByName(met.where("not link"))
             if joined <= SETTLED * n:
