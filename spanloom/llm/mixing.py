@@ -3,15 +3,18 @@
 Every word of a document is a unit of base mass, taken zero to ``MAX_COPIES`` times with mean one
 (a binomial base measure). Tilting it exponentially by its source's multiplier gives a document
 the rate ``MAX_COPIES * e^l / (MAX_COPIES - 1 + e^l)``; the multipliers solve the convex dual of
-"the expected words of a source equal its target", by Newton steps whose gradient and Hessian are
-distributed sums over the documents. Rates are then rounded into whole copies: every document gets
-the rate's integer part, and one copy more goes to the documents that come first in a seeded hash
-order until their words fill the source's rest; single documents that fit the remaining gap best
-are then added or removed.
-
-Memory: the driver holds one row per source (at most ``MAX_SOURCES``, checked); no task holds a
-source, because the hash order is cut into ``HASH_SLICES`` slices and only the one slice in which
-a source's rest ends is ordered document by document.
+"the expected words of a source equal its target". The dual has one term per source, so the
+documents are summed up once and the Newton steps run on the table of sources, where each source's
+row lies; the targets' water level comes from repeated sums over that table. Rates are then rounded
+into whole copies: every document gets the rate's integer part, and one copy more goes to the
+documents that come first in a seeded hash order until their words fill the source's rest; single
+documents that fit the remaining gap best are then added or removed.
+
+Memory: the driver holds a few sums, whatever the number of sources; no task holds a source,
+because the hash order is cut into slices and only the one slice in which a source's rest ends is
+ordered document by document. The number of slices follows the number of documents. Up to
+``BROADCAST_SOURCES`` sources are broadcast to the documents; of more, those with a large share of the
+rows are (``HOT_SOURCES`` at most), the rest are joined by a shuffle.
 
 Cases: null text has size 0; a null source is a source of its own, last in order; empty tables give
 no rows; documents of size 0 take nothing; rows that repeat a document id and source are one unit
@@ -20,8 +23,6 @@ and get equal copies; extra columns are ignored. Equal hashes are ordered by doc
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,17 +32,21 @@ from spanloom.session import materialize, table
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
-MAX_SOURCES = 1_000_000
-BROADCAST_SOURCES = 100_000
+BROADCAST_SOURCES, HOT_SOURCES = 100_000, 10_000
 BROADCAST_UNITS = 1_000_000
-HASH_SLICES = 4096
+#: Slices of the hash order: at least so many, more where a slice would hold this many units.
+HASH_SLICES, SLICE_UNITS = 4096, 100_000
 SEED = 20_011
 NEWTON_STEPS = 60
+SOLVED = 1e-9
 GAP_STEPS = 3
 
 
 def share_targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: float = MAX_COPIES) -> dict[str | None, float]:
-    """Words that each source is to give: weights over the ordered sources, capped and reshared."""
+    """Words that each source is to give: weights over the ordered sources, capped and reshared.
+
+    The rule in plain form, for a table of sources that fits the driver; :func:`targets_of` applies it to any.
+    """
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     total = float(sum(sizes.values()))
@@ -58,68 +63,81 @@ def share_targets(sizes: dict[str | None, int], weights=WEIGHTS, cap: float = MA
     return target
 
 
-def _keyed(source) -> str:
-    return "n" if source is None else f"s{source}"
-
-
-def _per_source(spark: SparkSession, values: dict[str | None, tuple], columns: str) -> DataFrame:
-    """One row per source; its size is checked, and Spark broadcasts it only if it is small."""
-    return spark.createDataFrame([(_keyed(s), *v) for s, v in values.items()], f"source_key string, {columns}")
-
-
-def _small(per_source: DataFrame, sources: int) -> DataFrame:
-    """A table of one row per source, broadcast if there are few enough (a third of all rows may be one source's)."""
-    return F.broadcast(per_source) if sources <= BROADCAST_SOURCES else per_source
-
-
-def solve_rates(base: DataFrame, targets: dict[str | None, float], copies: int = MAX_COPIES) -> dict[str | None, float]:
-    """The tilted rate of each source's documents, by Newton steps on the dual."""
-    spark = base.sparkSession
-    sizes = {s: 0.0 for s in targets}
-    tilt = {s: 0.0 for s in targets}
-    rate_of = lambda x: copies * math.exp(x) / (copies - 1 + math.exp(x))
-    for step in range(NEWTON_STEPS):
-        rates = _per_source(spark, {s: (rate_of(x),) for s, x in tilt.items()}, "rate double")
-        sums = (
-            base.join(_small(rates, len(tilt)), "source_key")
-            .groupBy("source_key")
-            .agg(
-                F.sum("size").alias("words"),
-                F.sum(F.col("size") * F.col("rate")).alias("taken"),
-                F.sum(F.col("size") * F.col("rate") * (1 - F.col("rate") / copies)).alias("slope"),
-            )
-            .collect()
-        )
-        found = {r["source_key"]: r for r in sums}
-        worst = 0.0
-        for s, target in targets.items():
-            r = found[_keyed(s)]
-            sizes[s] = float(r["words"])
-            if target >= copies * sizes[s] * (1 - 1e-12) or target <= 0:
-                continue  # at its bound: the multiplier has no finite solution, the rate is the bound
-            gap = target - r["taken"]
-            worst = max(worst, abs(gap) / target)
-            if r["slope"] > 0:
-                tilt[s] = min(40.0, max(-40.0, tilt[s] + max(-2.0, min(2.0, gap / r["slope"]))))
-        if worst < 1e-9:
+def sources_of(base: DataFrame) -> DataFrame:
+    """``source, source_key, words, units, place``: sources numbered from 0 by code point, null last."""
+    sums = base.groupBy("source", "source_key").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("units"))
+    sums = materialize(sums, "mix-sources")
+    parts = max(1, -(-sums.count() // BROADCAST_SOURCES))
+    order = [F.col("source").isNull(), F.col("source")]
+    dealt = sums.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "mix-order", parts * BROADCAST_SOURCES)
+    offset, upto = F.lit(0).cast("long"), 0
+    for r in sorted(dealt.groupBy("part").count().collect()):  # one row per BROADCAST_SOURCES sources
+        offset = F.when(F.col("part") == r["part"], F.lit(upto).cast("long")).otherwise(offset)
+        upto += r["count"]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + offset
+    return dealt.withColumn("place", place).drop("part")
+
+
+def targets_of(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_COPIES) -> DataFrame:
+    """``sources`` plus ``target``: the words that each one is to give."""
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = materialize(sources.withColumn("weight", weight), "mix-weights")
+    most = F.lit(float(cap)) * F.col("words")
+    total = float(rows.agg(F.sum("words")).first()[0] or 0)
+    level, capped = 0.0, -1
+    while True:  # every pass but the last one caps a source more
+        over = most < F.col("weight") * F.lit(level)
+        sums = rows.agg(
+            F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.sum(F.when(over, most)).alias("words"), F.count(F.when(over, 1)).alias("n")
+        ).first()
+        if sums["n"] == capped or not sums["weight"]:
             break
-    # rounded, since the last digits of a distributed sum depend on the order of its parts
-    return {
-        s: float(copies) if target >= copies * sizes[s] * (1 - 1e-12) and sizes[s] else 0.0 if target <= 0 else round(rate_of(tilt[s]), 9)
-        for s, target in targets.items()
-    }
+        capped = sums["n"]
+        level = (total - (sums["words"] or 0.0)) / sums["weight"]
+    return rows.withColumn("target", F.least(most, F.col("weight") * F.lit(level))).drop("weight")
+
 
+def solve_rates(targets: DataFrame, copies: int = MAX_COPIES) -> DataFrame:
+    """``targets`` plus ``rate``: the tilted rate of each source's documents, by Newton steps on the dual.
 
-def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[str | None, float], copies: int = MAX_COPIES) -> DataFrame:
+    A source at its bound has no finite multiplier; its rate is the bound. A source that does not settle is an error.
+    """
+    rate_of = lambda x: copies * F.exp(x) / (copies - 1 + F.exp(x))
+    want = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(F.lit(0.0))
+    rows = targets.withColumn("want", want)
+    bound = (F.col("want") >= copies * (1 - 1e-12)) | (F.col("want") <= 0)
+
+    def step(x: Column, _) -> Column:
+        gap, slope = F.col("want") - rate_of(x), rate_of(x) * (1 - rate_of(x) / copies)
+        return F.greatest(F.lit(-40.0), F.least(F.lit(40.0), x + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), gap / slope))))
+
+    tilt = F.when(~bound, F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step))
+    rows = materialize(rows.withColumn("tilt", tilt), "mix-rates")
+    off = rows.agg(F.max(F.when(~bound, F.abs(rate_of(F.col("tilt")) - F.col("want")) / F.col("want")))).first()[0]
+    if off is not None and off > SOLVED:
+        raise RuntimeError(f"the mix did not settle: a rate is off by a share of {off}")
+    edge = F.when((F.col("want") > 0) & (F.col("words") > 0), F.lit(float(copies))).otherwise(F.lit(0.0))
+    return rows.withColumn("rate", F.when(bound, edge).otherwise(F.round(rate_of(F.col("tilt")), 9))).drop("want", "tilt")
+
+
+def _with_source(rows: DataFrame, per: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` joined to the one row that ``per`` has for their source; a third of all rows may be one source's."""
+    if sources.count() <= BROADCAST_SOURCES:
+        return rows.join(F.broadcast(per), "source_key")
+    total = sources.agg(F.sum("units")).first()[0]
+    hot = F.broadcast(sources.where(F.col("units") > total // HOT_SOURCES).select("source_key"))
+    many = rows.join(F.broadcast(per.join(hot, "source_key", "left_semi")), "source_key")
+    return many.unionByName(rows.join(hot, "source_key", "left_anti").join(per, "source_key"))
+
+
+def round_copies(base: DataFrame, sources: DataFrame, copies: int = MAX_COPIES) -> DataFrame:
     """``base`` plus whole ``copies`` per row; the words of a source come near its target."""
-    spark = base.sparkSession
-    whole = {s: min(copies, math.floor(r + 1e-12)) for s, r in rates.items()}
     # the words that the extra copies are to add; the slices up to the cut take all of theirs
     slices = base.groupBy("source_key", "slice").agg(F.sum("size").alias("words"))
-    fixed = _per_source(spark, {s: (whole[s], float(targets[s])) for s in rates}, "whole int, target double")
-    sums = base.groupBy("source_key").agg(F.sum("size").alias("source_words"))
-    want = fixed.join(sums, "source_key").select(
-        "source_key", "whole", "target", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_words")).alias("rest")
+    whole = F.least(F.lit(copies), F.floor(F.col("rate") + 1e-12)).cast("int")
+    want = sources.withColumn("whole", whole).select(
+        "source_key", "whole", "target", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("words")).alias("rest")
     )
     run = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cut = (
@@ -139,8 +157,9 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
     first_open = (
         slices.join(plan, "source_key").where(F.col("slice") > F.col("last_full")).groupBy("source_key").agg(F.min("slice").alias("edge"))
     )
-    plan = materialize(plan.join(first_open, "source_key", "left"), "mix-plan")
-    rows = base.join(_small(plan, len(rates)), "source_key")
+    n = sources.count()
+    plan = materialize(plan.join(first_open, "source_key", "left"), "mix-plan", n)
+    rows = _with_source(base, plan, sources)
     inside = Window.partitionBy("source_key").orderBy("u", "doc_id", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = (
         rows.where(F.col("slice") == F.col("edge"))
@@ -158,7 +177,7 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
         now = drawn if turned is None else _turn(drawn, turned)
         gaps = now.groupBy("source_key").agg((F.first("target") - F.sum(F.col("size") * (F.col("whole") + F.col("extra")))).alias("gap"))
         fits = (
-            now.join(_small(gaps, len(rates)), "source_key")
+            _with_source(now, gaps, sources)
             .where(((F.col("gap") > 0) & (F.col("extra") == 0) & (F.col("whole") < copies)) | ((F.col("gap") < 0) & (F.col("extra") == 1)))
             .withColumn("off", F.abs(F.col("size") - F.abs("gap")))
             .where(F.col("off") < F.abs("gap"))
@@ -166,7 +185,7 @@ def round_copies(base: DataFrame, rates: dict[str | None, float], targets: dict[
             .agg(F.min(F.struct("off", "u", "doc_id", "row")).alias("best"))
             .select("source_key", F.col("best.row").alias("row"))
         )
-        more = materialize(fits, "mix-gap")
+        more = materialize(fits, "mix-gap", n)
         turned = more if turned is None else turned.unionByName(more)
     return _turn(drawn, turned).withColumn("copies", F.col("whole") + F.col("extra"))
 
@@ -185,8 +204,8 @@ def _unit_key() -> dict[str, Column]:
     }
 
 
-def _slice() -> Column:
-    return F.pmod(F.col("u"), F.lit(HASH_SLICES)).cast("int")
+def _slice(slices: int) -> Column:
+    return F.pmod(F.col("u"), F.lit(slices)).cast("int")
 
 
 def _by_rule(copies: int) -> Column:
@@ -194,8 +213,8 @@ def _by_rule(copies: int) -> Column:
     return F.col("whole") + ((F.col("slice") <= F.col("last_full")) & (F.col("whole") < copies)).cast("int")
 
 
-def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame, dict, dict, dict]:
-    """Sizes of all rows, copies of every unit (rows that share doc_id and source), sizes, targets and rates by source."""
+def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Sizes of all rows, copies of every unit (rows that share doc_id and source), the sources' targets and rates, slices."""
     sized = docs.select(
         F.col("doc_id"),
         F.col("source"),
@@ -203,20 +222,12 @@ def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame,
         *[c.alias(name) for name, c in _unit_key().items()],
     )
     sized = materialize(sized, "mix-sizes")
-    base = materialize(
-        sized.groupBy("doc_id", "source", "source_key", "u")
-        .agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-        .withColumn("slice", _slice())
-        .withColumn("row", F.monotonically_increasing_id()),
-        "mix-units",
-    )
-    totals = base.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = {r["source"]: int(r["words"]) for r in totals}
-    targets = share_targets(sizes, weights, copies)
-    rates = solve_rates(base, targets, copies) if sizes else {}
-    return sized, round_copies(base, rates, targets, copies), sizes, targets, rates
+    rows = sized.count()
+    slices = max(HASH_SLICES, rows // SLICE_UNITS)
+    base = sized.groupBy("doc_id", "source", "source_key", "u").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    base = materialize(base.withColumn("slice", _slice(slices)).withColumn("row", F.monotonically_increasing_id()), "mix-units", rows)
+    sources = solve_rates(targets_of(sources_of(base), weights, copies), copies)
+    return sized, round_copies(base, sources, copies), sources, slices
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
@@ -224,11 +235,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame
 
     Rows that share ``doc_id`` and ``source`` are mixed as one unit, so they get equal copies.
     """
-    sized, units, sizes, targets, rates = _units(docs, weights, copies)
+    sized, units, sources, _ = _units(docs, weights, copies)
     taken = units.select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("copies"))
-    per = _per_source(docs.sparkSession, {s: (sizes[s], targets[s], rates[s]) for s in sizes}, "source_size long, target double, rate double")
+    per = sources.select("source_key", F.col("words").alias("source_size"), "target", "rate")
     same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["source_key"] == taken["_key"])
-    return sized.join(taken, same).join(_small(per, len(sizes)), "source_key").select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    both = _with_source(sized.join(taken, same), per, sources)
+    return both.select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +255,7 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> Dat
     Texts are not dealt out: the plan of a source gives a row's copies from its hash, and only the
     units of the edge slices and of the last turns, a small share, are looked up by id.
     """
-    _, units, sizes, _, _ = _units(docs, weights, copies)
+    _, units, sources, slices = _units(docs, weights, copies)
     units = materialize(units.select("doc_id", "source_key", "slice", "whole", "last_full", "copies"), "mix-copies")
     plan = units.groupBy("source_key").agg(F.first("whole").alias("whole"), F.first("last_full").alias("last_full"))
     odd = units.where(F.col("copies") != _by_rule(copies))
@@ -252,7 +264,7 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> Dat
     )
     odd = F.broadcast(odd) if odd.count() <= BROADCAST_UNITS else odd
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source")
-    rows = rows.withColumns(_unit_key()).withColumn("slice", _slice()).join(_small(plan, len(sizes)), "source_key")
+    rows = _with_source(rows.withColumns(_unit_key()).withColumn("slice", _slice(slices)), plan, sources)
     rows = rows.join(odd, rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["source_key"] == odd["_key"]), "left")
     taken = rows.withColumn("_copies", F.coalesce("_copies", _by_rule(copies))).where("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
