@@ -49,6 +49,9 @@ class Scheme:
     topology_only: bool = False
     emit_order: bool = False
     omit_ordinal: bool = False
+    #: Filters of a prime number of bits, which probe evenly; ``byte_cap``: without a byte more.
+    prime: bool = False
+    byte_cap: bool = False
 
     def settled(self) -> Scheme:
         if self.name not in SCHEMES:
@@ -58,7 +61,7 @@ class Scheme:
     @property
     def filter_size(self) -> tuple[int, int]:
         """Bits and probes of a filter: a whole window for pb and cgpb, the levels between checkpoints else."""
-        return bloom_size(self.cpd if self.name in ("pb", "cgpb") else max(1, self.cpd - 1), self.fp)
+        return bloom_size(self.cpd if self.name in ("pb", "cgpb") else max(1, self.cpd - 1), self.fp, self.prime, self.byte_cap)
 
 
 class Trees:

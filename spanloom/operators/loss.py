@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions import hashing
+from spanloom.plans.traces import map_traces
 from spanloom.plans.tree import fold_up, with_depth, with_tree
 from spanloom.session import materialize
 
@@ -61,6 +65,42 @@ def true_anchors(d: DataFrame) -> DataFrame:
     return orphans.select("trace_id", "span_id", "depth", F.col("p_anchor").alias("anchor_id"), (F.col("depth") - F.col("p_at") - 1).alias("gap"))
 
 
+def fragments(d: DataFrame) -> DataFrame:
+    """Per connected part of the survivors (``frag_id``, its root): spans, carriers and the depth of the shallowest one."""
+    parts = fold_up(d.where("not dropped"), {})
+    depth = F.min(F.when(F.col("carrier"), F.col("depth"))).alias("carrier_depth")
+    return parts.groupBy("trace_id", F.col("top_id").alias("frag_id")).agg(F.count(F.lit(1)).alias("spans"), F.count(F.when(F.col("carrier"), 1)).alias("carriers"), depth)
+
+
+def lost_parents(d: DataFrame) -> DataFrame:
+    """Dropped spans that orphans name as their parent, with how many do: one node each in a rebuilt tree."""
+    gone = d.where("dropped").select("trace_id", F.col("span_id").alias("parent_id"))
+    orphans = d.where("not dropped").join(gone, ["trace_id", "parent_id"])
+    return orphans.groupBy("trace_id", F.col("parent_id").alias("lost_id")).agg(F.count(F.lit(1)).alias("orphans"), (F.first("depth") - 1).cast("int").alias("depth"))
+
+
+def seeded_interior_drops(spans: DataFrame, rate: float, cpd: int = CPD, seed: int = SEED) -> DataFrame:
+    """``trace_id, span_id`` of dropped spans that are no root, leaf or checkpoint.
+
+    Each trace draws from its own stream: a seeded step per trace, then one number per such span in the
+    order of ids as unsigned numbers.
+    """
+    kinds = with_kind(spans, cpd).where("not carrier and parent_id <> 0").select("trace_id", "span_id")
+
+    def run(rows: pa.Table) -> pa.Table:
+        trace, span = (rows.column(c).to_numpy() for c in ("trace_id", "span_id"))
+        at = np.lexsort((span.view(np.uint64), trace))
+        trace, span = trace[at], span[at]
+        first = np.concatenate([[True], trace[1:] != trace[:-1]]) if len(at) else np.zeros(0, bool)
+        index = np.arange(len(at))
+        place = index - np.maximum.accumulate(np.where(first, index, 0)) if len(at) else index
+        state = hashing.splitmix64(trace.view(np.uint64) ^ np.uint64(seed)) + place.astype(np.uint64) * hashing.SPLIT_ADD
+        gone = hashing.uniform_of(hashing.splitmix64(state)) < rate
+        return pa.table([trace[gone], span[gone]], names=["trace_id", "span_id"])
+
+    return map_traces(kinds, run, "trace_id bigint, span_id bigint")
+
+
 def checkpoint_above(spans: DataFrame, cpd: int = CPD) -> DataFrame:
     """Nearest checkpoint strictly above every span (none for roots)."""
     deep = spans if "depth" in spans.columns else with_depth(spans)

@@ -65,6 +65,18 @@ def sibling_ordinals(spans: DataFrame) -> DataFrame:
     return by_trace(spans).select("trace_id", "span_id", seq.alias("seq"))
 
 
+def end_lists(spans: DataFrame) -> DataFrame:
+    """Per child: ordinals of the siblings that ended since the sibling before it started, in the order they ended."""
+    seq = sibling_ordinals(spans.where("parent_id <> 0"))
+    at = ordered_events(spans).join(spans.select("trace_id", "span_id", "parent_id"), ["trace_id", "span_id"]).where("parent_id <> 0")
+    at = at.join(seq, ["trace_id", "span_id"])
+    upto = Window.partitionBy("trace_id", "parent_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = at.withColumn("starts", F.sum((F.col("kind") == 0).cast("int")).over(upto))
+    ends = run.where("kind = 1").groupBy("trace_id", "parent_id", (F.col("starts") + 1).alias("starts"))
+    ends = ends.agg(F.array_sort(F.collect_list(F.struct("pos", "seq"))).alias("e"))
+    return run.where("kind = 0").join(ends, ["trace_id", "parent_id", "starts"]).select("trace_id", "span_id", F.col("e.seq").alias("ends"))
+
+
 def crisp_clip(spans: DataFrame) -> DataFrame:
     """Spans clipped to their parent's clipped bounds; what lies outside goes with its subtree."""
     folded = fold_up(spans, {"lo": (F.col("start_us"), "max"), "hi": (F.col("end_us"), "min")}, parents=True)
