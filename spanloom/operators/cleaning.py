@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.plans.tree import fold_up
+from spanloom.session import materialize
 
 PRUNED, DEDUPED = 1, 2
 
@@ -43,7 +44,7 @@ def salvage(spans: DataFrame) -> DataFrame:
     """
     ok = violations(spans).where("duplicates = 0 and dangling = 0 and roots > 0").select("trace_id")
     kept = spans.join(ok, "trace_id", "left_semi")
-    rooted = fold_up(kept, {}).where("top_parent = 0 and not unsettled")
+    rooted = materialize(fold_up(kept, {}).where("top_parent = 0 and not unsettled").select(*spans.columns, "top_id"), "salvage")
     sizes = rooted.groupBy("trace_id", "top_id").agg(F.count(F.lit(1)).alias("n"))
     unsigned = F.col("top_id").bitwiseXOR(F.lit(-(1 << 63)))
     best = sizes.groupBy("trace_id").agg(F.min_by("top_id", F.struct((-F.col("n")).alias("n"), unsigned.alias("u"))).alias("top_id"))
@@ -58,7 +59,7 @@ def lenient(spans: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) > F.countDistinct("span_id")).alias("conflict"), (F.max("copies") > 1).alias("deduped")
     )
     whole = once.join(per.where(~F.col("conflict")).select("trace_id", "deduped"), "trace_id")
-    found = fold_up(whole, {})
+    found = materialize(fold_up(whole, {}).select(*spans.columns, "deduped", "top_parent", "unsettled"), "repair")
     looped = found.where("unsettled").select("trace_id").distinct()
     kept = found.join(looped, "trace_id", "left_anti")
     pruned = kept.groupBy("trace_id").agg(F.max((F.col("top_parent") != 0).cast("int")).alias("pruned"))

@@ -60,14 +60,14 @@ def nearest_survivor(spans: DataFrame, rate: float = RATE, cpd: int = CPD) -> Da
 def true_anchors(d: DataFrame) -> DataFrame:
     """``trace_id, span_id, depth, anchor_id, gap`` of the survivors whose parent was dropped."""
     # fold over lost spans only: a survivor stops the walk, so a parent that survived is its own top
-    walked = fold_up(d, {"anchor": (F.col("span_id"), "first"), "at": (F.col("depth"), "first")}, stop=~F.col("dropped"), parents=True)
+    walked = fold_up(d, {"anchor": (F.col("span_id"), "first"), "at": (F.col("depth"), "first")}, stop=~F.col("dropped"), parents=True, sized=True)
     orphans = walked.where("not dropped and parent_id <> 0 and p_anchor <> parent_id")
     return orphans.select("trace_id", "span_id", "depth", F.col("p_anchor").alias("anchor_id"), (F.col("depth") - F.col("p_at") - 1).alias("gap"))
 
 
 def fragments(d: DataFrame) -> DataFrame:
     """Per connected part of the survivors (``frag_id``, its root): spans, carriers and the depth of the shallowest one."""
-    parts = fold_up(d.where("not dropped"), {})
+    parts = fold_up(d.where("not dropped"), {}, sized=True)
     depth = F.min(F.when(F.col("carrier"), F.col("depth"))).alias("carrier_depth")
     return parts.groupBy("trace_id", F.col("top_id").alias("frag_id")).agg(F.count(F.lit(1)).alias("spans"), F.count(F.when(F.col("carrier"), 1)).alias("carriers"), depth)
 
@@ -104,7 +104,7 @@ def seeded_interior_drops(spans: DataFrame, rate: float, cpd: int = CPD, seed: i
 def checkpoint_above(spans: DataFrame, cpd: int = CPD) -> DataFrame:
     """Nearest checkpoint strictly above every span (none for roots)."""
     deep = spans if "depth" in spans.columns else with_depth(spans)
-    held = fold_up(deep, {"ckpt_id": (F.col("span_id"), "first")}, stop=F.col("depth") % cpd == 0, parents=True)
+    held = fold_up(deep, {"ckpt_id": (F.col("span_id"), "first")}, stop=F.col("depth") % cpd == 0, parents=True, sized=True)
     return held.where("p_ckpt_id is not null").select("trace_id", "span_id", "depth", F.col("p_ckpt_id").alias("ckpt_id"))
 
 
@@ -120,7 +120,7 @@ def reconstruct_by_checkpoint(spans: DataFrame, rate: float = RATE, cpd: int = C
     # walk up surviving edges as far as the band reaches: its top level hangs on the checkpoint itself
     up = alive.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("p_alive"))
     linked = alive.join(up, ["trace_id", "parent_id"], "left")
-    frag = fold_up(linked, {}, stop=F.col("p_alive").isNull() | (F.col("depth") % cpd == 1))
+    frag = fold_up(linked, {}, stop=F.col("p_alive").isNull() | (F.col("depth") % cpd == 1), sized=True)
     carriers = frag.where("carrier").groupBy("trace_id", F.col("top_id").alias("span_id"))
     borrowed = carriers.agg(F.min(F.struct("depth", F.col("span_id").alias("id"))).alias("best")).select(
         "trace_id", "span_id", F.col("best.id").alias("carrier_id")

@@ -23,7 +23,7 @@ def _count(c: Column) -> Column:
 def fragment_roots(truth: DataFrame) -> DataFrame:
     """``truth``'s survivors plus ``frag_id``, the root of their fragment."""
     alive = truth.where("not dropped")
-    return fold_up(alive, {}).withColumnRenamed("top_id", "frag_id").drop("top_parent", "unsettled", "children")
+    return fold_up(alive, {}, sized=True).withColumnRenamed("top_id", "frag_id").drop("top_parent", "unsettled", "children")
 
 
 def graded(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
@@ -266,7 +266,7 @@ def violations(survivors: DataFrame, bridges: DataFrame) -> DataFrame:
         say(both.where("own_depth is null or anchor_depth is null"), "dangling", "orphan_id"),
         say(known.where("own_depth <> anchor_depth + 1 + synthetic"), "depth-arith", "orphan_id"),
         say(known.where("synthetic < 1"), "spacing", "orphan_id"),
-        say(fold_up(tree, {}).where("unsettled"), "cycle", "span_id"),
+        say(fold_up(tree, {}, sized=True).where("unsettled"), "cycle", "span_id"),
     ]
     out = found[0]
     for more in found[1:]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.plans.tree import by_trace, fold_up, with_depth
+from spanloom.session import materialize
 
 
 def trace_shape(spans: DataFrame) -> DataFrame:
@@ -77,12 +78,18 @@ def end_lists(spans: DataFrame) -> DataFrame:
     return run.where("kind = 0").join(ends, ["trace_id", "parent_id", "starts"]).select("trace_id", "span_id", F.col("e.seq").alias("ends"))
 
 
+def clip(spans: DataFrame, start: str = "start_us", end: str = "end_us", sized: bool = False) -> DataFrame:
+    """``spans`` with bounds clipped to their parent's clipped bounds; what lies outside goes with its subtree."""
+    folded = fold_up(spans, {"_lo": (F.col(start), "max"), "_hi": (F.col(end), "min")}, parents=True, sized=sized)
+    out = F.coalesce((F.col(end) < F.col("p__lo")) | (F.col(start) > F.col("p__hi")), F.lit(False))
+    gone = fold_up(folded.select(*spans.columns, "_lo", "_hi", out.alias("_out")), {"_gone": (F.col("_out"), "any")}, sized=True)
+    inside = gone.where(~F.col("_gone")).withColumns({start: F.col("_lo"), end: F.col("_hi")})
+    return inside.select(*spans.columns)
+
+
 def crisp_clip(spans: DataFrame) -> DataFrame:
-    """Spans clipped to their parent's clipped bounds; what lies outside goes with its subtree."""
-    folded = fold_up(spans, {"lo": (F.col("start_us"), "max"), "hi": (F.col("end_us"), "min")}, parents=True)
-    out = F.coalesce((F.col("end_us") < F.col("p_lo")) | (F.col("start_us") > F.col("p_hi")), F.lit(False))
-    gone = fold_up(folded.select(*spans.columns, "lo", "hi", out.alias("out")), {"gone": (F.col("out"), "any")})
-    return gone.where(~F.col("gone")).select("trace_id", "span_id", "parent_id", F.col("lo").alias("start_us"), F.col("hi").alias("end_us"))
+    """:func:`clip` of the ids and bounds alone."""
+    return clip(spans.select("trace_id", "span_id", "parent_id", "start_us", "end_us"))
 
 
 def leaf_residues(spans: DataFrame, low: int = 2, high: int = 6) -> DataFrame:
@@ -108,25 +115,42 @@ def top_services(spans: DataFrame, k: int = 3) -> DataFrame:
     return n.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def time_components(spans: DataFrame, slices: int = 1024) -> DataFrame:
-    """Groups of traces that overlap in time, found without one global order.
+def trace_components(spans: DataFrame, start: str = "start_us", end: str = "end_us") -> DataFrame:
+    """``trace_id, lo, hi, component``: traces whose times overlap, directly or through others, share a number.
 
-    Traces are cut into time slices; only the running maximum of slice ends is a global window
-    (one row per slice), the order inside a slice is local.
+    Traces are put in order of their start by ranges. A range knows the furthest end of the ranges before
+    it and how many groups began in them (one row per shuffle partition), so no order is global but theirs.
     """
-    t = spans.groupBy("trace_id").agg(F.min("start_us").alias("lo"), F.max("end_us").alias("hi"))
-    span = t.agg(F.min("lo").alias("first"), (F.max("lo") - F.min("lo") + 1).alias("range"))
-    cut = t.crossJoin(F.broadcast(span)).withColumn("slice", F.floor((F.col("lo") - F.col("first")) / F.col("range") * slices))
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    ends = cut.groupBy("slice").agg(F.max("hi").alias("hi")).select("slice", F.max("hi").over(before).alias("carried"))
-    local = Window.partitionBy("slice").orderBy("lo", "trace_id").rowsBetween(Window.unboundedPreceding, -1)
-    marked = cut.join(F.broadcast(ends), "slice").withColumn("reach", F.greatest(F.max("hi").over(local), "carried"))
-    starts = marked.withColumn("new", (F.col("reach").isNull() | (F.col("lo") > F.col("reach"))).cast("int"))
-    counts = starts.groupBy("slice").agg(F.sum("new").alias("n"))
-    base = counts.select("slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    upto = Window.partitionBy("slice").orderBy("lo", "trace_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    numbered = starts.join(F.broadcast(base), "slice").withColumn("component", F.col("base") + F.sum("new").over(upto))
-    return numbered.groupBy("component").agg(F.count(F.lit(1)).alias("traces"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us"))
+    t = spans.groupBy("trace_id").agg(F.min(start).alias("lo"), F.max(end).alias("hi"))
+    parts = max(1, int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = materialize(t.repartitionByRange(parts, "lo", "trace_id").withColumn("part", F.spark_partition_id()), "trace-times")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy("part").agg(F.max("hi").alias("hi")).select("part", F.max("hi").over(ahead).alias("carried"))
+    local = Window.partitionBy("part").orderBy("lo", "trace_id")
+    before, upto = local.rowsBetween(Window.unboundedPreceding, -1), local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.greatest(F.max("hi").over(before), "carried")
+    starts = dealt.join(F.broadcast(ends), "part").withColumn("reach", reach)
+    starts = starts.withColumn("new", (F.col("reach").isNull() | (F.col("lo") > F.col("reach"))).cast("int"))
+    counts = starts.groupBy("part").agg(F.sum("new").alias("n"))
+    base = counts.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+    numbers = starts.join(F.broadcast(base), "part").withColumn("component", F.col("base") + F.sum("new").over(upto))
+    return numbers.select("trace_id", "lo", "hi", "component")
+
+
+def time_components(spans: DataFrame) -> DataFrame:
+    """Groups of traces that overlap in time: traces, first start, last end."""
+    return trace_components(spans).groupBy("component").agg(F.count(F.lit(1)).alias("traces"), F.min("lo").alias("start_us"), F.max("hi").alias("end_us"))
+
+
+def component_gaps(spans: DataFrame) -> DataFrame:
+    """One row: groups, the largest, and the least, median and greatest gap between neighbours (index rule)."""
+    c = materialize(time_components(spans), "components")
+    nexts = c.select((F.col("component") - 1).alias("component"), F.col("start_us").alias("next_us"))
+    gaps = c.join(nexts, "component").select((F.col("next_us") - F.col("end_us")).alias("gap"))
+    middle = index_percentiles(gaps, "gap", (0.5,)).select(F.col("value").alias("gap_median"))
+    head = c.agg(F.count(F.lit(1)).alias("components"), F.max("traces").alias("largest"))
+    ends = gaps.agg(F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"))
+    return head.crossJoin(F.broadcast(ends)).join(F.broadcast(middle), F.lit(True), "left")
 
 
 def density(spans: DataFrame, window_us: int = 86_400_000_000) -> DataFrame:
@@ -135,11 +159,20 @@ def density(spans: DataFrame, window_us: int = 86_400_000_000) -> DataFrame:
     return spans.select(ts.alias("ts")).groupBy(F.floor(F.col("ts") / window_us).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("events"))
 
 
-def index_percentiles(values: DataFrame, column: str, ps: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
-    """Values at index int(p * (n - 1)) of the sorted column, from a histogram of its values."""
-    h = values.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = h.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy()))
+def index_percentiles(values: DataFrame, column: str, ps: tuple[float, ...] = (0.5, 0.9, 0.99), rule: str = "floor") -> DataFrame:
+    """``p, value``: the value at an index of the sorted column, int(p * (n - 1)) or, by ``rule`` "share", int(p * n).
+
+    Equal values are counted first, and the counted values are dealt by ranges: the ranges' totals (one
+    row per shuffle partition) say in which one an index lies.
+    """
+    parts = max(1, int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    h = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialize(h.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()), "values")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("m"))
+    sums = sums.select("part", F.coalesce(F.sum("m").over(ahead), F.lit(0)).alias("off"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    upto = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = dealt.withColumn("inner", F.sum("n").over(upto)).join(F.broadcast(sums), "part").withColumn("upto", F.col("inner") + F.col("off"))
     p = ranked.withColumn("p", F.explode(F.array(*[F.lit(x) for x in ps])))
-    at = F.floor(F.col("p") * (F.col("total") - 1))
+    at = F.floor(F.col("p") * (F.col("total") - 1)) if rule == "floor" else F.least(F.floor(F.col("p") * F.col("total")), F.col("total") - 1)
     return p.where((F.col("upto") > at) & (F.col("upto") - F.col("n") <= at)).select("p", "value")

@@ -164,7 +164,17 @@ def _by_joins(start: DataFrame, how: dict[str, str], parents: bool, carried: lis
     return state.select(*carried, *how, *([f"p_{c}" for c in how] if parents else []), "top_id", "top_parent", "unsettled", "children")
 
 
-def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Column | None = None, parents: bool = False) -> DataFrame:
+#: Applications that have met a giant trace: from then on every fold looks for them.
+_giants: set[str] = set()
+
+
+def _seen_giants(df: DataFrame) -> bool:
+    return df.sparkSession.sparkContext.applicationId in _giants
+
+
+def fold_up(
+    spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Column | None = None, parents: bool = False, sized: bool = False
+) -> DataFrame:
     """``spans`` plus, per name in ``values``, the fold of a column over self and ancestors.
 
     ``values`` maps a name to (column, how), how being sum, max, min, any, or (bits) or first (the
@@ -172,31 +182,35 @@ def fold_up(spans: DataFrame, values: dict[str, tuple[Column, str]], stop: Colum
     there is also ``p_<name>``, what the fold holds at the span's parent (null for none). ``top_id`` is
     the last span reached and ``top_parent`` the parent id it names (0: a root; else missing);
     ``children`` counts the spans that name this one as their parent. ``unsettled`` marks the spans
-    whose path runs into a cycle: they are their own top, and their folds mean nothing.
+    whose path runs into a cycle: they are their own top, and their folds mean nothing. ``sized`` says
+    that the traces come out of an earlier fold, which has looked for giants.
     """
     next_id = F.col("parent_id") if stop is None else F.when(stop, F.lit(0)).otherwise(F.col("parent_id"))
     carried = [c for c in spans.columns if c not in values and c not in ("top_id", "top_parent", "unsettled", "children")]
     start = spans.withColumns({n: c for n, (c, _) in values.items()} | {"_to": next_id.cast("long")}).select(*carried, *values, "_to")
     how = {n: h for n, (_, h) in values.items()}
+    if sized and not _seen_giants(spans):
+        return _by_arrow(start, how, parents, carried)
     sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= GIANT:
         return _by_arrow(start, how, parents, carried)
+    _giants.add(spans.sparkSession.sparkContext.applicationId)
     giants = F.broadcast(materialize(sizes.where(F.col("n") > GIANT).select("trace_id"), "giants"))  # a row per GIANT spans at most
     small = _by_arrow(start.join(giants, "trace_id", "left_anti").select(*start.columns), how, parents, carried)
     return small.unionByName(_by_joins(start.join(giants, "trace_id", "left_semi").select(*start.columns), how, parents, carried))
 
 
-def with_depth(spans: DataFrame) -> DataFrame:
+def with_depth(spans: DataFrame, sized: bool = False) -> DataFrame:
     """``spans`` plus ``depth`` (0 at the top), ``root_id`` and ``rooted`` (the path ends at a root).
 
     Spans whose path runs into a cycle have depth 0.
     """
-    return with_tree(spans).drop("children")
+    return with_tree(spans, sized).drop("children")
 
 
-def with_tree(spans: DataFrame) -> DataFrame:
+def with_tree(spans: DataFrame, sized: bool = False) -> DataFrame:
     """:func:`with_depth` plus ``children``."""
-    out = fold_up(spans, {"_n": (F.lit(1), "sum")})
+    out = fold_up(spans, {"_n": (F.lit(1), "sum")}, sized=sized)
     own = [c for c in spans.columns if c not in ("depth", "root_id", "rooted", "children")]
     return out.select(
         *own,
