@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import payload
 from spanloom.operators import arrival, cleaning, loss, structure
 from spanloom.plans.tree import with_depth
-from spanloom.queries import ingest, recon
+from spanloom.queries import ingest, recon, studies
 from spanloom.queries.base import ANCHORS, DEEP, KINDS, START, Entry
 from spanloom.sources.views import DIRTY_SQL, dirty_spans, heap_spans
 
@@ -276,7 +276,7 @@ SELECT trace_id, span_id, depth, here AS ckpt_id FROM up WHERE at_depth % 3 = 0"
 def all_entries() -> dict[str, Entry]:
     """The entries of all families by name."""
     found = entries()
-    for family in (recon, ingest):
+    for family in (recon, ingest, studies):
         found |= family.entries()
     return found
 

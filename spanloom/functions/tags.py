@@ -60,7 +60,9 @@ def base64_bytes(n: Column) -> Column:
     return (F.ceil(n / 3) * 4).cast("long")
 
 
-def filter_text_bytes(members: int, p: float) -> int:
-    """Characters of a serialised filter of ``members`` at rate ``p`` in base64: whole 64-bit words and a header."""
-    bits = math.ceil(-max(1, members) * math.log(p) / math.log(2) ** 2)
-    return -(-(FILTER_HEADER + 8 * -(-bits // 64)) // 3) * 4
+def filter_text_bytes(members: int, p: float = 0.01) -> int:
+    """Characters of a serialised filter of ``members`` at rate ``p`` in base64: its bytes and a header; none for no member."""
+    if members <= 0:
+        return 0
+    bits = math.ceil(-members * math.log(p) / math.log(2) ** 2)
+    return math.ceil((-(-bits // 8) + FILTER_HEADER) * 4 / 3)
