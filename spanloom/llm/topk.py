@@ -1,12 +1,13 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Candidates are dealt into blocks, queries into blocks of their own, and every query block meets
-every candidate block once (a stated query set against all rows, in blocks). Inside a pair of
-blocks each dimension is a list of the candidates sorted by their contribution to the query's
-score. The lists are read sequentially, deeper and deeper; a candidate's lower bound takes the
-lists' last values for what has not been read of it, its upper bound the values at the reading
-depth. Reading stops when all but a few candidates cannot reach the k-th best lower bound; the
-final scores of those few are then resolved exactly. The block results meet in one ranking.
+Candidates are dealt into blocks, one task each, and every query goes once to every block (a stated
+query set against all rows, in blocks): a candidate is moved once, whatever the number of queries, and
+a block reads the queries as a stream behind its candidates. Inside a block each dimension is a list of
+the candidates (``LIST_ROWS`` at a time) sorted by their contribution to the query's score. The lists
+are read sequentially, deeper and deeper; a candidate's lower bound takes the lists' last values for
+what has not been read of it, its upper bound the values at the reading depth. Reading stops when all
+but a few candidates cannot reach the k-th best lower bound, of these lists or of those read before;
+the final scores of those few are then resolved exactly. The blocks' best meet in one ranking.
 
 Cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of
 different length are not compared; rows that repeat a vec_id are rows of their own, and a query
@@ -16,6 +17,8 @@ fewer rows; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,8 +28,8 @@ from pyspark.sql.window import Window
 from spanloom.session import materialize, ship, table
 
 K = 10
-CANDIDATE_BLOCK = 4096
-QUERY_BLOCK = 256
+#: Candidates of a block, components (rows x length) that it may hold, and rows of its lists.
+CANDIDATE_BLOCK, BLOCK_VALUES, LIST_ROWS = 32_768, 1 << 22, 4096
 SCALE = 1024
 EXACT = float(1 << 53)
 
@@ -47,8 +50,8 @@ class Lists:
         self.values = np.take_along_axis(self.x, self.up.T, axis=0).T.copy()
         self.largest = int(np.abs(self.x).max(initial=0))
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The block's k best (id, score), without rows of the query's own id."""
+    def top(self, query_id: int, q: np.ndarray, k: int, least: float = -np.inf) -> list[tuple[int, int]]:
+        """The k best (id, score) of these, without rows of the query's own id; what is below ``least`` may be left out."""
         n = len(self.ids)
         other = self.ids != query_id
         if not other.any():
@@ -57,12 +60,12 @@ class Lists:
         dims = np.flatnonzero(q)
         exact = float(self.largest) * float(np.abs(q).max(initial=0)) * len(q) < EXACT
         if len(dims) and exact and n > 8 * k:
-            near = self._read(q, dims, other, k)
+            near = self._read(q, dims, other, k, least)
         score = self.x[near].astype(np.int64) @ q.astype(np.int64)
         best = np.lexsort((self.ids[near], -score))[:k]
         return [(int(self.ids[near[i]]), int(score[i])) for i in best]
 
-    def _read(self, q: np.ndarray, dims: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    def _read(self, q: np.ndarray, dims: np.ndarray, other: np.ndarray, k: int, floor: float) -> np.ndarray:
         """Candidates that may be among the k best, by bounds from sequential reads."""
         n = len(self.ids)
         weight = q[dims].astype(np.float64)
@@ -83,44 +86,69 @@ class Lists:
             edge = gains[:, depth - 1]
             lower = np.where(other, sums + least.sum() - seen @ least, -np.inf)
             upper = np.where(other, sums + edge.sum() - seen @ edge, -np.inf)
-            kth = np.partition(lower, n - k)[n - k]
+            kth = max(floor, np.partition(lower, n - k)[n - k])
             open_ = np.flatnonzero(upper >= kth)
             if depth == n or len(open_) <= 8 * k:
                 return open_
             reach = depth + max(32, n // 8)
 
 
+def best_of(lists: list[Lists], query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """The k best (id, score) over several lists; what one list gives is the bar for the next."""
+    best: list[tuple[int, int]] = []
+    for part in lists:
+        bar = best[k - 1][1] if len(best) >= k else -np.inf
+        best = sorted(best + part.top(query_id, q, k, bar), key=lambda x: (-x[1], x[0]))[:k]
+    return best
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """``query_id, rank, vec_id, score``; both sides have ``vec_id`` and ``x array<bigint>``."""
     spark = ship(candidates.sparkSession)
-    n, m = candidates.count(), queries.count()
-    blocks, shares = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    cut = lambda parts: F.pmod(F.xxhash64("vec_id", "x"), F.lit(parts)).cast("int")
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = candidates.select("vec_id", "x", F.size("x").alias("dim"), cut(blocks).alias("block")).withColumn("share", all_of(shares))
-    right = queries.select("vec_id", "x", F.size("x").alias("dim"), cut(shares).alias("share")).withColumn("block", all_of(blocks))
-    rows = left.withColumn("asks", F.lit(False)).unionByName(right.withColumn("asks", F.lit(True)))
-
-    def run(part: pa.Table) -> pa.Table:
-        ids = part.column("vec_id").to_numpy()
-        asks = part.column("asks").to_numpy(zero_copy_only=False)
-        flat = part.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        x = flat.reshape(len(ids), -1).astype(np.float64)
-        if np.abs(flat).max(initial=0) >= EXACT:
-            x = flat.reshape(len(ids), -1)
-        out = []
-        if asks.any() and not asks.all():
-            lists = Lists(ids[~asks], x[~asks])
-            for i in np.flatnonzero(asks):
-                out += [(int(ids[i]), v, s) for v, s in lists.top(int(ids[i]), x[i], k)]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("query_id", "vec_id", "score"), columns, strict=True)})
-
-    best = rows.groupBy("block", "share", "dim").applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    sizes = candidates.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("dim")).first()
+    n, room = sizes["n"], max(1, min(CANDIDATE_BLOCK, BLOCK_VALUES // max(1, sizes["dim"] or 1)))
+    blocks = max(1, -(-n // room), min(spark.sparkContext.defaultParallelism, n // LIST_ROWS))
+    columns = ["vec_id", "x", F.size("x").alias("dim")]
+    # any even deal will do: the blocks' results do not depend on it
+    left = candidates.select(*columns, F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"))
+    right = queries.select(*columns, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"))
+    # a partition is a block: per length its candidates come first, then the queries
+    dealt = left.unionByName(right).repartitionById(blocks, "block").sortWithinPartitions("dim", "asks", "vec_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, held, lists = None, [], []
+        for batch in batches:
+            dims, asks = batch.column(2).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((dims[1:] != dims[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(dims)], strict=True):
+                if a == b:
+                    continue
+                if dims[a] != dim:
+                    dim, held, lists = dims[a], [], []
+                ids, x = batch.column(0).slice(a, b - a).to_numpy(), _matrix(batch.column(1).slice(a, b - a))
+                if not asks[a]:
+                    held.append((ids, x))
+                    continue
+                if held:
+                    whole, values = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+                    lists = [Lists(whole[at : at + LIST_ROWS], values[at : at + LIST_ROWS]) for at in range(0, len(whole), LIST_ROWS)]
+                    held = []
+                out = [(int(i), v, s) for i, q in zip(ids, x, strict=True) for v, s in best_of(lists, int(i), q, k)]
+                found = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in found], names=["query_id", "vec_id", "score"])
+
+    best = dealt.select("vec_id", "x", "dim", "block", "asks").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors as rows, in doubles where these hold them exactly."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    x = flat.reshape(len(column), -1)
+    return x if np.abs(flat).max(initial=0) >= EXACT else x.astype(np.float64)
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best of every hundredth vector of ``embeddings`` among all others."""
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
