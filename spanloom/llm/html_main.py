@@ -23,7 +23,6 @@ row; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import html as entities
-import os
 import re
 from collections.abc import Iterator
 
@@ -90,12 +89,55 @@ CONTAINERS = set("html body div section article main".split())
 
 
 class Element:
-    """An open element of the page."""
+    """An open element of the page, with what holds for everything in it."""
 
-    __slots__ = ("tag", "label", "never", "kept")
+    __slots__ = ("tag", "node", "own", "never", "kept")
 
-    def __init__(self, tag: str, label: str, never: bool, kept: bool):
-        self.tag, self.label, self.never, self.kept = tag, label, never, kept
+    def __init__(self, tag: str, node: int, own: bool, never: bool, kept: bool):
+        #: ``node`` is that of the innermost block element; ``own``: this element is excluded itself.
+        self.tag, self.node, self.own, self.never, self.kept = tag, node, own, never, kept
+
+
+class Paths:
+    """The tag paths of a page as nodes that know their parent; parents come before children, 0 is the empty path.
+
+    ``label`` tells containers apart by number, ``plain`` is the node's path without the numbers.
+    """
+
+    def __init__(self):
+        self.parent, self.label, self.plain = [0], [""], [0]
+        self._known: dict[tuple[int, str], int] = {}
+        self._plain: dict[tuple[int, str], int] = {}
+
+    def child(self, at: int, label: str) -> int:
+        node = self._known.get((at, label))
+        if node is None:
+            node = self._known[at, label] = len(self.parent)
+            self.parent.append(at)
+            self.label.append(label)
+            self.plain.append(self._plain.setdefault((self.plain[at], label.split("#")[0]), len(self._plain) + 1))
+        return node
+
+    def tag(self, node: int) -> str:
+        return self.label[node].split("#")[0].split(".")[0]
+
+    def sums(self, values: dict[int, float]) -> list[float]:
+        """What the values of the nodes below and at every node add up to."""
+        out = [0.0] * len(self.parent)
+        for node, v in values.items():
+            out[node] += v
+        for node in range(len(out) - 1, 0, -1):
+            out[self.parent[node]] += out[node]
+        return out
+
+
+class Block:
+    """A text block: its path, its text, how many of its characters are links, whether it is never article text."""
+
+    __slots__ = ("node", "text", "links", "never")
+
+    def __init__(self, node: int, text: str, links: int, never: bool):
+        self.node, self.text, self.links, self.never = node, text, links, never
 
 
 def _boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
@@ -123,20 +165,22 @@ def _named(name: str, known: set[str]) -> bool:
     return bool(words & known) and all(w in known or w in LAYOUT_WORDS or w.isdigit() for w in words)
 
 
-def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
-    """``(path, text, link characters, excluded)`` of every text block in page order."""
-    out: list[tuple[tuple[str, ...], str, int, bool]] = []
+def blocks_of(page: str) -> tuple[list[Block], Paths]:
+    """The text blocks in page order and their paths, in time linear in the page."""
+    out: list[Block] = []
+    paths = Paths()
     stack: list[Element] = []
+    count: dict[str, int] = {}
     held: list[str] = []
-    links = anchors = number = 0
+    links = number = 0
 
     def flush() -> None:
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                path = tuple(e.label for e in stack if e.tag not in INLINE)
-                out.append((path, text, min(links, len(text)), any(e.never for e in stack)))
+                node, never = (stack[-1].node, stack[-1].never) if stack else (0, False)
+                out.append(Block(node, text, min(links, len(text)), never))
             held.clear()
         links = 0
 
@@ -146,18 +190,27 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             # one decoding pass: the common reference is cut out first, so its result is not decoded again
             text = "&".join(map(entities.unescape, raw.split("&amp;"))) if "&" in raw else raw
             held.append(text)
-            if anchors:
+            if count.get("a"):
                 links += len(text.strip())
 
     def leave(depth: int) -> None:
-        nonlocal anchors
-        anchors -= sum(e.tag == "a" for e in stack[depth:])
-        if any(e.tag not in INLINE for e in stack[depth:]):
-            flush()
-        elif any(e.never for e in stack[depth:]):
+        gone = stack[depth:]
+        if any(e.tag not in INLINE or e.own for e in gone):
             flush()
+        for e in gone:
+            count[e.tag] -= 1
         del stack[depth:]
 
+    def close(tags: set[str]) -> None:
+        """Leave the innermost open element of these, if no barrier stands over it."""
+        if any(count.get(t) for t in tags):
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth].tag in tags:
+                    leave(depth)
+                    break
+                if stack[depth].tag in BARRIER:
+                    break
+
     at = 0
     size = len(page)
     while at < size:
@@ -174,13 +227,10 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
             continue
         tag = name.lower()
         if m["close"] or m["close2"]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    leave(depth)
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            if count.get(tag):
+                leave(next(d for d in range(len(stack) - 1, -1, -1) if stack[d].tag == tag))
+            elif tag not in INLINE:
+                flush()
             continue
         if tag == "br" or tag == "wbr":
             held.append(" " if tag == "br" else "")
@@ -190,105 +240,120 @@ def blocks_of(page: str) -> list[tuple[tuple[str, ...], str, int, bool]]:
                 flush()
             continue
         if tag in CLOSES_P:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == "p":
-                    leave(depth)
-                    break
-                if stack[depth].tag in BARRIER:
-                    break
+            close({"p"})
         if tag in IMPLIED:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag in IMPLIED[tag]:
-                    leave(depth)
-                    break
-                if stack[depth].tag in BARRIER:
-                    break
+            close(IMPLIED[tag])
         attr = m["attr"] or m["attr2"] or ""
         attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(attr)} if attr.strip() else {}
-        inside = any(e.kept for e in stack)
-        never = _boilerplate(tag, attrs, inside)
+        over = stack[-1] if stack else Element("", 0, False, False, False)
+        own = _boilerplate(tag, attrs, over.kept)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if tag not in INLINE or never:
+        if tag not in INLINE or own:
             flush()
-        label = ".".join(filter(None, [tag, attrs.get("id", ""), *attrs.get("class", "").split()]))
         kept = tag in ("article", "main") or attrs.get("role", "").lower() in ("main", "article")
         if kept or tag in ("div", "section"):
-            number += 1
-            label += f"#{number}"  # containers are told apart; the ratio's paths leave this out
+            number += 1  # containers are told apart; the ratio's paths leave this out
         if not attr.rstrip().endswith("/") or tag not in ("path", "circle", "rect", "line", "use"):
-            stack.append(Element(tag, label, never, kept))
-            anchors += tag == "a"
+            node = over.node
+            if tag not in INLINE:
+                label = ".".join(filter(None, [tag, attrs.get("id", ""), *attrs.get("class", "").split()]))
+                node = paths.child(node, f"{label}#{number}" if kept or tag in ("div", "section") else label)
+            stack.append(Element(tag, node, own, over.never or own, over.kept or kept))
+            count[tag] = count.get(tag, 0) + 1
     flush()
-    return out
+    return out, paths
 
 
-def _plain(path: tuple[str, ...]) -> tuple[str, ...]:
-    return tuple(label.split("#")[0] for label in path)
-
-
-def path_ratios(blocks: list[tuple[tuple[str, ...], str, int, bool]]) -> dict[tuple[str, ...], float]:
-    """Smoothed and fused ratio of every tag path."""
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for path, text, links, _ in blocks:
-        got = sums.setdefault(_plain(path), [0, 0, 0])
+def path_ratios(blocks: list[Block], paths: Paths) -> dict[int, float]:
+    """Smoothed and fused ratio of every tag path, by its plain node."""
+    sums: dict[int, list[float]] = {}
+    for b in blocks:
+        got = sums.setdefault(paths.plain[b.node], [0, 0, 0])
         got[0] += 1
-        got[1] += max(0, len(text) - 2 * links)
-        got[2] += len(PUNCTUATION.findall(text)) * (1 - links / len(text))
-    paths = list(sums)
-    value = np.array([sums[p] for p in paths], dtype=float).reshape(-1, 3)
+        got[1] += max(0, len(b.text) - 2 * b.links)
+        got[2] += len(PUNCTUATION.findall(b.text)) * (1 - b.links / len(b.text))
+    value = np.array(list(sums.values()), dtype=float).reshape(-1, 3)
     ratio = value[:, 1:] / value[:, :1]
     around = np.pad(ratio, ((1, 1), (0, 0)), mode="edge")
     smooth = (around[:-2] + 2 * around[1:-1] + around[2:]) / 4
     # a path keeps at least three quarters of its own ratio: smoothing lifts, it does not erase
     smooth = np.where(ratio > 0, np.maximum(smooth, 0.75 * ratio), 0)
     fused = np.sqrt(smooth[:, 0] * (smooth[:, 1] + 0.25))
-    return dict(zip(paths, fused.tolist(), strict=True))
+    return dict(zip(sums, fused.tolist(), strict=True))
+
+
+def content_root(blocks: list[Block], chosen: list[Block], paths: Paths, ratio: dict[int, float]) -> tuple[int, bool]:
+    """The node that holds the main text, and whether it is an article that is taken whole.
+
+    ``chosen`` are the blocks on content paths, weighed by ratio and length. The walk goes down while one
+    child holds most of the weight; a block's own element is no root.
+    """
+    weight: dict[int, float] = {}
+    for b in chosen:
+        weight[b.node] = weight.get(b.node, 0.0) + ratio[paths.plain[b.node]] * max(1, len(b.text) - 2 * b.links)
+    mass = paths.sums(weight)
+    kids: dict[int, list[int]] = {}
+    article_below = [False] * len(mass)
+    for node in range(len(mass) - 1, 0, -1):
+        if mass[node] > 0:
+            kids.setdefault(paths.parent[node], []).append(node)
+            article_below[paths.parent[node]] |= article_below[node] or paths.label[node].startswith("article")
+    root, articles = 0, 0
+    while root in kids:
+        inner = {k: mass[k] - weight.get(k, 0.0) for k in reversed(kids[root])}
+        best = max(inner, key=inner.__getitem__)
+        if inner[best] <= 0 or inner[best] < ROOT_SHARE * mass[0]:
+            break
+        root = best
+        if paths.tag(root) in ("article", "main"):
+            articles = root
+            if not article_below[root]:
+                break  # an article is taken whole
+    if articles:
+        return articles, True
+    on = {paths.plain[b.node] for b in chosen}
+    held = [b for b in blocks if paths.plain[b.node] in on or (2 * b.links <= len(b.text) and SENTENCE.search(b.text))]
+    ends = {b.node for b in held}
+    within = paths.sums(dict.fromkeys(ends, 1.0))
+    below: dict[int, int] = {}
+    for node in range(1, len(within)):
+        if within[node] == len(ends):
+            below[paths.parent[node]] = node
+    root = 0
+    while root in below:
+        root = below[root]
+    while root and (root in ends or paths.tag(root) not in CONTAINERS):
+        root = paths.parent[root]
+    return root, False
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
-    blocks = [b for b in blocks_of(page or "") if not b[3]]
+    every, paths = blocks_of(page or "")
+    blocks = [b for b in every if not b.never]
     if not blocks:
         return ""
-    ratio = path_ratios(blocks)
+    ratio = path_ratios(blocks, paths)
     fused = np.array(list(ratio.values()))
     bound = SPREAD * float(fused.std()) if len(fused) > 1 else 0.0
-    content = [b for b in blocks if ratio[_plain(b[0])] >= bound and ratio[_plain(b[0])] > 0] or blocks
-    mass = [(path, ratio[_plain(path)] * max(1, len(text) - 2 * links)) for path, text, links, _ in content]
-    total = sum(w for _, w in mass)
-    root: tuple[str, ...] = ()
-    while True:
-        below: dict[str, float] = {}
-        for path, w in mass:
-            if len(path) > len(root) + 1 and path[: len(root)] == root:  # the block's own element is no root
-                below[path[len(root)]] = below.get(path[len(root)], 0.0) + w
-        best = max(below, key=below.__getitem__, default=None)
-        if best is None or below[best] < ROOT_SHARE * total:
-            break
-        root += (best,)
-        if best.split("#")[0].split(".")[0] in ("article", "main") and not any(
-            label.startswith("article") for path, _ in mass if path[: len(root)] == root for label in path[len(root) :]
-        ):
-            break  # an article is taken whole
-    chosen = {_plain(path) for path, _, _, _ in content}
-    articles = [k for k, label in enumerate(root) if label.split("#")[0].split(".")[0] in ("article", "main")]
-    whole = bool(articles)
-    if whole:
-        root = root[: articles[-1] + 1]
-    else:
-        held = [path for path, text, links, _ in blocks if _plain(path) in chosen or (2 * links <= len(text) and SENTENCE.search(text))]
-        held = held or [path for path, _, _, _ in content]
-        root = tuple(os.path.commonprefix(held))[: max(0, min(map(len, held)) - 1)]  # the block's own element is no root
-        while root and root[-1].split("#")[0].split(".")[0] not in CONTAINERS:
-            root = root[:-1]
+    content = {p for p, r in ratio.items() if r >= bound and r > 0} or set(ratio)
+    chosen = [b for b in blocks if paths.plain[b.node] in content]
+    root, whole = content_root(blocks, chosen, paths, ratio)
+    inside, chain = [False] * len(paths.parent), {0}
+    at = root
+    while at:
+        chain.add(at)
+        at = paths.parent[at]
+    for node in range(len(inside)):
+        inside[node] = node == root or (node > root and inside[paths.parent[node]])
     kept = []
-    for path, text, links, _ in blocks:
-        inside = path[: len(root)] == root or (path[-1:] and path[-1][:2] in HEADINGS and path[:-1] == root[: len(path) - 1])
-        if inside and (whole or _plain(path) in chosen or 2 * links <= len(text)):
-            kept.append(text)
+    for b in blocks:
+        heading = paths.label[b.node][:2] in HEADINGS and paths.parent[b.node] in chain
+        if (inside[b.node] or heading) and (whole or paths.plain[b.node] in content or 2 * b.links <= len(b.text)):
+            kept.append(b.text)
     return "\n".join(kept)
 
 
