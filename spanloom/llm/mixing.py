@@ -268,3 +268,24 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> Dat
     rows = rows.join(odd, rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["source_key"] == odd["_key"]), "left")
     taken = rows.withColumn("_copies", F.coalesce("_copies", _by_rule(copies))).where("_copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes and targets that the mix of all ``documents`` goes by, before rates are rounded."""
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), F.round(F.least(F.col("target") / F.col("source_size"), F.lit(3.0)), 6).alias("rate"))
+
+
+TARGETS = r"""
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), s AS (SELECT source, sum(size)::BIGINT AS words FROM sized GROUP BY source
+), w AS (SELECT *, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM s
+), o AS (SELECT *, row_number() OVER (ORDER BY 3.0::DOUBLE * words / weight, source NULLS LAST) AS place FROM w
+), u AS (SELECT *, coalesce(sum(3 * words) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+    sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(words) OVER () AS total FROM o
+), l AS (SELECT min(place) AS place FROM u WHERE 3.0::DOUBLE * words / weight >= (total - capped)::DOUBLE / open
+), level AS (SELECT (total - capped)::DOUBLE / open AS level FROM u JOIN l ON l.place = u.place
+), t AS (SELECT source, words, least(3.0::DOUBLE * words, weight * level) AS target FROM w CROSS JOIN level)
+SELECT z.doc_id, z.size::BIGINT AS size, t.words AS source_size, round(t.target, 6) AS target, round(least(t.target / t.words, 3), 6) AS rate
+FROM sized z JOIN t ON t.source IS NOT DISTINCT FROM z.source
+"""

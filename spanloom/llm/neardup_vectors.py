@@ -453,3 +453,21 @@ def near_duplicates(vectors: DataFrame) -> DataFrame:
 def op9_neardup_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all ``embeddings``."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE ids AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL GROUP BY vec_id
+), v AS (
+  SELECT vec_id, list_transform(e, lambda y: y::DOUBLE) AS x FROM ids
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(e, lambda y: y <> 0)) > 0
+), n AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS norm FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_inner_product(a.x, b.x) / (a.norm * b.norm) >= 0.95
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), component AS (SELECT a, min(b) AS least FROM reach GROUP BY a
+), degree AS (SELECT a, count(*) AS links FROM links GROUP BY a)
+SELECT i.vec_id, coalesce(d.links, 0) AS n_links, least(i.vec_id, coalesce(c.least, i.vec_id)) AS component_id,
+  least(i.vec_id, coalesce(c.least, i.vec_id)) = i.vec_id AS kept
+FROM ids i LEFT JOIN degree d ON d.a = i.vec_id LEFT JOIN component c ON c.a = i.vec_id
+"""

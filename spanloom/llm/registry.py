@@ -18,9 +18,10 @@ def queries():
         "op8_mix": mixing.op8_mix,
         "op9_neardup_vectors": neardup_vectors.op9_neardup_vectors,
         "op10_shard": sharding.op10_shard,
+        "mix_targets": mixing.mix_targets,
     }
 
 
 def oracle_sql():
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op3_chat": chat.ORACLE, "op7_topk": topk.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op7_topk": topk.ORACLE, "op9_neardup_vectors": neardup_vectors.ORACLE, "mix_targets": mixing.TARGETS}
