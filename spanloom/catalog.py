@@ -25,21 +25,22 @@ def _dirty(op: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str]
 
 
 def _bytes_sql() -> str:
-    pb = -(-payload.bloom_size(3, 1e-2)[0] // 8)
-    pcrb = 4 + -(-payload.bloom_size(2, 1e-2)[0] // 8)
+    size = "ceil(ceil(-{n} * ln(0.01) / (ln(2) * ln(2))) / 8)::BIGINT"
+    varint = "(1 + ({0} >= 128)::INT + ({0} >= 16384)::INT)"
     return (
         START
         + KINDS
         + f""", each AS (
-  SELECT k.*, s.scheme, s.size, s.scheme <> 'vanilla' AS has FROM kinds k
-  CROSS JOIN (VALUES ('vanilla', 0), ('pb', {pb}), ('pcr', 4), ('pcrb', {pcrb})) s(scheme, size)
+  SELECT k.*, s.scheme, s.size, s.scheme <> 'vanilla' AS has, {varint.format("(CASE WHEN s.scheme = 'pb' THEN depth % 3 ELSE depth END)")} AS level,
+    {varint.format("depth")} AS own FROM kinds k
+  CROSS JOIN (VALUES ('vanilla', 0), ('pb', {size.format(n=3)}), ('pcr', 4), ('pcrb', 4 + {size.format(n=2)})) s(scheme, size)
 )
 SELECT trace_id, scheme, count(*) AS num_spans, count(*) FILTER (carrier) AS num_carriers,
-  sum(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::BIGINT AS payload_bytes,
-  sum(CASE WHEN has AND NOT carrier THEN 3 ELSE 0 END)::BIGINT AS depth_bytes,
-  sum(CASE WHEN has AND parent_id <> 0 THEN 4 + size ELSE 0 END)::BIGINT AS baggage_bytes,
-  max(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::BIGINT AS max_payload,
-  sum(CASE WHEN has AND carrier THEN 5 + size ELSE 0 END)::DOUBLE / count(*) AS amortized_by_total
+  sum(CASE WHEN has AND carrier THEN 4 + level + size ELSE 0 END)::BIGINT AS payload_bytes,
+  sum(CASE WHEN has AND NOT carrier THEN 2 + own ELSE 0 END)::BIGINT AS depth_bytes,
+  sum(CASE WHEN has AND parent_id <> 0 THEN 3 + level + size ELSE 0 END)::BIGINT AS baggage_bytes,
+  max(CASE WHEN has AND carrier THEN 4 + level + size ELSE 0 END)::BIGINT AS max_payload,
+  sum(CASE WHEN has AND carrier THEN 4 + level + size ELSE 0 END)::DOUBLE / count(*) AS amortized_by_total
 FROM each GROUP BY trace_id, scheme"""
     )
 
@@ -232,19 +233,9 @@ ON b.trace_id = t.trace_id AND b.root_id = t.root_id WHERE place = 1""",
         ),
         "lenient_repair": Entry(
             dirty(cleaning.lenient),
-            f"WITH RECURSIVE {DIRTY_SQL}"
-            + """, once AS (SELECT *, count(*) AS copies FROM dirty GROUP BY ALL
-), per AS (SELECT trace_id, count(*) > count(DISTINCT span_id) AS conflict, max(copies) > 1 AS deduped FROM once GROUP BY trace_id
-), ok AS (SELECT o.trace_id, span_id, parent_id, service, start_us, end_us, deduped FROM once o JOIN per p ON p.trace_id = o.trace_id WHERE NOT conflict
-), up AS (SELECT trace_id, span_id, parent_id AS here, 1 AS n FROM ok
-  UNION ALL SELECT u.trace_id, u.span_id, p.parent_id, u.n + 1 FROM up u JOIN ok p ON p.trace_id = u.trace_id AND p.span_id = u.here WHERE u.n < 130
-), top AS (SELECT trace_id, span_id, arg_max(here, n) AS here, max(n) AS n FROM up GROUP BY ALL
-), bad AS (SELECT DISTINCT trace_id FROM top WHERE n >= 130
-), kept AS (SELECT o.*, t.here FROM ok o JOIN top t ON t.trace_id = o.trace_id AND t.span_id = o.span_id
-  WHERE o.trace_id NOT IN (SELECT trace_id FROM bad)
-), fl AS (SELECT trace_id, max(CASE WHEN here <> 0 THEN 1 ELSE 0 END) AS pruned FROM kept GROUP BY trace_id)
-SELECT k.trace_id, span_id, parent_id, service, start_us, end_us, (pruned + CASE WHEN deduped THEN 2 ELSE 0 END)::INTEGER AS flags
-FROM kept k JOIN fl ON fl.trace_id = k.trace_id WHERE k.here = 0""",
+            f"WITH RECURSIVE {DIRTY_SQL}, norm AS (SELECT * FROM dirty)"
+            + ingest.LENIENT
+            + " SELECT trace_id, span_id, parent_id, service, start_us, end_us, flags FROM kept",
         ),
         "nested_drops": Entry(
             heap(loss.nested_drops),
@@ -268,7 +259,15 @@ CROSS JOIN (VALUES (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)
   FROM up u JOIN deep p ON p.trace_id = u.trace_id AND p.span_id = u.next WHERE u.at_depth % 3 <> 0)
 SELECT trace_id, span_id, depth, here AS ckpt_id FROM up WHERE at_depth % 3 = 0""",
         ),
-        "checkpoint_reconstruction": Entry(heap(loss.reconstruct_by_checkpoint)),
+        "checkpoint_reconstruction": Entry(
+            heap(loss.reconstruct_by_checkpoint),
+            START
+            + KINDS
+            + ANCHORS
+            + recon.PREFIX.format(shift=1)
+            + """ SELECT b.trace_id, count(*) AS orphans, count(b.anchor_id) AS reconnected, count(*) FILTER (b.anchor_id = a.anchor_id) AS anchor_correct
+FROM bridges b JOIN anchors a ON a.trace_id = b.trace_id AND a.span_id = b.orphan_id GROUP BY b.trace_id""",
+        ),
         "scheme_bytes": Entry(heap(payload.scheme_bytes), _bytes_sql()),
     }
 

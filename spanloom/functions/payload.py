@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.hashing import bloom_size
+from spanloom.operators.handlers import varint_bytes
 from spanloom.operators.loss import with_kind
 
 
-def bloom_size(n: int, p: float) -> tuple[int, int]:
-    """Bits and hash count for n members at false-positive rate p."""
-    m = max(1, math.ceil(-n * math.log(p) / math.log(2) ** 2))
-    return m, max(1, math.ceil(m / n * math.log(2)))
-
-
-def varint_bytes(n: Column) -> Column:
-    """Bytes of an unsigned varint: seven bits a byte."""
-    out = F.lit(1)
-    for k in range(1, 9):
-        out = out + (n >= (1 << (7 * k))).cast("int")
-    return out
-
-
 def scheme_bytes(spans: DataFrame, cpd: int = 3, fp: float = 1e-2, prefix: int = 4) -> DataFrame:
     """Per trace and scheme: emitted payloads, their bytes, calls and baggage bytes.
 
@@ -37,7 +23,8 @@ def scheme_bytes(spans: DataFrame, cpd: int = 3, fp: float = 1e-2, prefix: int =
     size = F.lit(0)
     for s, n in body.items():
         size = F.when(F.col("scheme") == s, F.lit(n)).otherwise(size)
-    level = varint_bytes(F.col("depth") % cpd)
+    # checkpoint prefixes travel with the absolute depth, filters alone with the depth in the window
+    level = varint_bytes(F.when(F.col("scheme") == "pb", F.col("depth") % cpd).otherwise(F.col("depth")))
     on = F.col("scheme") != "vanilla"
     payload = F.when(on & F.col("carrier"), 4 + level + size).otherwise(0)
     depth_only = F.when(on & ~F.col("carrier"), 2 + varint_bytes(F.col("depth"))).otherwise(0)
