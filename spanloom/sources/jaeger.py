@@ -48,8 +48,8 @@ def read_documents(spark: SparkSession, path: str, lines: bool = False, camel: b
 
 
 def bad_documents(docs: DataFrame) -> DataFrame:
-    """Files with a document that could not be read."""
-    return docs.where("_corrupt_record is not null").groupBy("source").agg(F.count(F.lit(1)).alias("documents"))
+    """Files with documents that could not be read, and how many of these at least name a trace."""
+    return docs.where("_corrupt_record is not null").groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.count("traceID").alias("named"))
 
 
 def traces_of(docs: DataFrame) -> DataFrame:
