@@ -35,7 +35,7 @@ from spanloom.session import ship, table
 #: Share of the content paths' text that an article must hold to be the content root.
 ROOT_SHARE = 0.75
 #: A path is content where its fused ratio is above this share of the ratios' spread.
-SPREAD = 0.25
+SPREAD = 1.0
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -278,7 +278,7 @@ def path_ratios(blocks: list[Block], paths: Paths) -> dict[int, float]:
     value = np.array(list(sums.values()), dtype=float).reshape(-1, 3)
     ratio = value[:, 1:] / value[:, :1]
     around = np.pad(ratio, ((1, 1), (0, 0)), mode="edge")
-    smooth = (around[:-2] + 2 * around[1:-1] + around[2:]) / 4
+    smooth = (around[:-2] + 6 * around[1:-1] + around[2:]) / 8
     # a path keeps at least three quarters of its own ratio: smoothing lifts, it does not erase
     smooth = np.where(ratio > 0, np.maximum(smooth, 0.75 * ratio), 0)
     fused = np.sqrt(smooth[:, 0] * (smooth[:, 1] + 0.25))
