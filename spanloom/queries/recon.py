@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.operators import handlers, loss, reconstruct, scoring, structure
+from spanloom.operators import handlers, ledger, loss, reconstruct, scoring, structure  # noqa: F401 (the ledger adds its engine)
 from spanloom.operators.handlers import Scheme
 from spanloom.queries.base import ANCHORS, DEEP, EVENTS, KINDS, START, WIDE, Entry
 from spanloom.session import materialize
@@ -278,6 +278,12 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
         "pb1_bridges": _true_bridges("pb1"),
         "pb0_bridges": _true_bridges("pb0"),
         "cgp_bridges": _true_bridges("cgp"),
+        "ledger_bridges": _true_bridges("ledger"),
+        "ledger_scores": Entry(_scored("ledger", scoring.score, name="pcrb", fp=1e-2)),
+        "ledger_open_ends": Entry(
+            _scored("ledger", scoring.open_ends, name="pcrb", fp=RARE),
+            WIDE + KINDS + ANCHORS + OPEN_ENDS,
+        ),
         "topology_scores": Entry(
             _scored("cgp", lambda b, t: scoring.topology(b, t).drop("misrouted", "strict_correct"), name="cgprb", fp=RARE),
             WIDE
@@ -303,13 +309,7 @@ SELECT s.trace_id, surv + coalesce(named, 0) AS real_nodes, surv + coalesce(exac
         "wrong_edges": Entry(_scored("pb", scoring.wrong_edges, name="pb", fp=1e-1)),
         "open_ends": Entry(
             _scored("pb2", scoring.open_ends, name="pcrb", fp=RARE),
-            WIDE
-            + KINDS
-            + ANCHORS
-            + """, ends AS (SELECT d.trace_id, d.span_id FROM drops d WHERE NOT d.dropped AND NOT d.carrier
-  AND NOT EXISTS (SELECT 1 FROM drops k WHERE k.trace_id = d.trace_id AND k.parent_id = d.span_id AND NOT k.dropped))
-SELECT e.trace_id, count(*) AS open_ends, count(*) FILTER (EXISTS (SELECT 1 FROM anchors a WHERE a.trace_id = e.trace_id AND a.anchor_id = e.span_id)) AS open_ends_matched
-FROM ends e GROUP BY e.trace_id""",
+            WIDE + KINDS + ANCHORS + OPEN_ENDS,
         ),
         "fragments": Entry(
             lambda spark, sf_dir: loss.fragments(loss.with_drops(heap_spans(spark, sf_dir))),
@@ -351,6 +351,10 @@ SELECT n, p, m, greatest(1, ceil(m / c * ln(2)))::INTEGER AS k FROM m""",
     }
 
 
+OPEN_ENDS = """, ends AS (SELECT d.trace_id, d.span_id FROM drops d WHERE NOT d.dropped AND NOT d.carrier
+  AND NOT EXISTS (SELECT 1 FROM drops k WHERE k.trace_id = d.trace_id AND k.parent_id = d.span_id AND NOT k.dropped))
+SELECT e.trace_id, count(*) AS open_ends, count(*) FILTER (EXISTS (SELECT 1 FROM anchors a WHERE a.trace_id = e.trace_id AND a.anchor_id = e.span_id)) AS open_ends_matched
+FROM ends e GROUP BY e.trace_id"""
 DELAYED_SQL = """, span_pos AS (SELECT trace_id, span_id, any_value(service) AS service, any_value(depth) AS depth, max(CASE WHEN kind = 1 THEN ts END) AS ts,
     max(CASE WHEN kind = 1 THEN pos END) AS end_pos FROM pos GROUP BY ALL
 ), kids AS (SELECT s.trace_id, s.parent_id, s.kind, s.pos, max(CASE WHEN s.kind = 0 THEN s.pos END) OVER (PARTITION BY s.trace_id, s.parent_id) AS last_start
