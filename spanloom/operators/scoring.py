@@ -232,6 +232,44 @@ def wrong_edges(bridges: DataFrame, truth: DataFrame) -> DataFrame:
     return bad.join(last, KEY, "left")
 
 
+def tree_identity(edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """:func:`edge_identity` for whole rebuilt trees, whose nodes without identity are no sources."""
+    named = edges.where("not is_anon").select("trace_id", "node_id", F.when(~F.col("parent_anon"), F.col("parent_id")).alias("parent_id"), F.col("parent_anon").alias("is_anon"))
+    return edge_identity(named, truth)
+
+
+def connectivity_ceilings(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: wrong bridges of only children, of siblings of which one is right or none, and how many lie below a right branch.
+
+    ``rescuable``: a lost branching span between the orphan and its true anchor also has an orphan below
+    it that is placed rightly.
+    """
+    up = truth.select("trace_id", F.col("span_id").alias("orphan_id"), F.col("parent_id").alias("lost_id"))
+    g = graded(bridges.where("anchor_id is not null"), truth).join(up, KEY).withColumn("right", F.col("anchor_id") == F.col("true_anchor"))
+    per = g.groupBy("trace_id", "lost_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("right")).alias("any_right"))
+    both = g.join(per, ["trace_id", "lost_id"])
+    branch = truth.where("parent_id <> 0").groupBy("trace_id", F.col("parent_id").alias("ancestor_id")).agg(F.count(F.lit(1)).alias("kids")).where("kids > 1")
+    gap = ancestors(truth).withColumnRenamed("span_id", "orphan_id").join(both.select(*KEY, "true_gap", "right"), KEY).where("distance <= true_gap")
+    fans = gap.join(branch, ["trace_id", "ancestor_id"])
+    good = fans.where("right").select("trace_id", "ancestor_id").distinct().withColumn("good", F.lit(True))
+    state = fans.where("not right").join(good, ["trace_id", "ancestor_id"], "left").groupBy(*KEY).agg(F.max(F.coalesce("good", F.lit(False))).alias("rescue"))
+    wrong = both.where("not right").join(state, KEY, "left")
+    return wrong.agg(
+        F.count(F.lit(1)).alias("wrong"), _count(F.col("n") == 1).alias("only_child"), _count((F.col("n") > 1) & F.col("any_right")).alias("sibling_right"),
+        _count((F.col("n") > 1) & ~F.col("any_right")).alias("siblings_wrong"), _count(F.col("ambiguous")).alias("ambiguous"), _count(F.col("rescue")).alias("rescuable"),
+        _count(~F.col("rescue")).alias("fanout_without_right"), _count(F.col("rescue").isNull()).alias("no_fanout"),
+    )
+
+
+def breadcrumb_outcomes(trees: DataFrame) -> DataFrame:
+    """One row: traces by outcome of their breadcrumbs, and the share of survivors that the trees know."""
+    wrong = F.col("solved") & ~F.col("embeds")
+    return trees.agg(
+        F.count(F.lit(1)).alias("traces"), _count(~F.col("solved")).alias("unsolvable"), _count(wrong).alias("wrong"), _count(F.col("embeds")).alias("correct"),
+        _count(F.col("exact")).alias("exact"), F.round(F.try_divide(100 * F.sum("known"), F.sum("survivors")), 6).alias("coverage_pct"),
+    )
+
+
 # ---- independent checks ----
 
 

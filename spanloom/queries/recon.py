@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.operators import handlers, ledger, loss, reconstruct, scoring, structure  # noqa: F401 (the ledger adds its engine)
+from spanloom.operators import event_order, fanouts, handlers, ledger, loss, reconstruct, scoring, structure  # noqa: F401 (the ledger adds its engine)
 from spanloom.operators.handlers import Scheme
 from spanloom.queries.base import ANCHORS, DEEP, EVENTS, KINDS, START, WIDE, Entry
 from spanloom.session import materialize
@@ -191,6 +191,33 @@ def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconstruct.breadcrumb_trees(d, s).select("trace_id", "solved", "nodes", "known", "survivors", "ambiguous", "no_place", "embeds", "exact")
 
 
+def _tree_identity(fp: float, engine: str, **settings):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Scheme("cgprb", CPD, fp=fp, **settings)
+        truth = truth_of(spark, sf_dir, s)
+        return scoring.tree_identity(materialize(fanouts.trees(truth.where("not dropped"), s, engine), "trees"), truth)
+
+    return run
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scheme("sbridge", CPD)
+    # ends can be told only where children end before their parents
+    spans = materialize(wide_spans(structure.clip(heap_spans(spark, sf_dir))), "nested")
+    p = handlers.payloads(spans, s).select("trace_id", "span_id", "br")
+    quads = handlers.delayed_ends(spans, s).select("trace_id", "span_id", "quad")
+    ends = structure.ordered_events(spans).where("kind = 1").select("trace_id", "span_id", F.col("pos").alias("end_pos"))
+    order = structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal")
+    d = loss.with_drops(spans)
+    for part in (p, ends, order):
+        d = d.join(part, ["trace_id", "span_id"])
+    return event_order.orders(d.join(quads, ["trace_id", "span_id"], "left"), s)
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.breadcrumb_outcomes(_trees(spark, sf_dir))
+
+
 def _sound(measure):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         truth, b = rebuilt(spark, sf_dir, "pcrb", Scheme("pcrb", CPD))
@@ -338,6 +365,20 @@ FROM drops o JOIN drops p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id
             + """ SELECT trace_id, true AS solved, count(*)::INTEGER AS nodes, (count(*) FILTER (NOT dropped))::INTEGER AS known,
   (count(*) FILTER (NOT dropped))::INTEGER AS survivors, 0::INTEGER AS ambiguous, 0::INTEGER AS no_place, true AS embeds, true AS exact FROM drops GROUP BY trace_id""",
         ),
+        "breadcrumb_orders": Entry(
+            lambda spark, sf_dir: _orders(spark, sf_dir).select("trace_id", "solved", "rejected", "parents", "end_order_ok", "order_ok", "critical_path_ok"),
+            START
+            + """, clip AS (SELECT trace_id, span_id, parent_id, start_us, end_us FROM spans WHERE parent_id = 0
+  UNION ALL SELECT s.trace_id, s.span_id, s.parent_id, greatest(s.start_us, c.start_us), least(s.end_us, c.end_us)
+  FROM spans s JOIN clip c ON s.trace_id = c.trace_id AND s.parent_id = c.span_id WHERE s.end_us >= c.start_us AND s.start_us <= c.end_us
+), k AS (SELECT trace_id, parent_id, count(*) AS n FROM clip GROUP BY ALL)
+SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::INTEGER AS parents, (count(*) FILTER (n > 1))::INTEGER AS end_order_ok,
+  true AS order_ok, true AS critical_path_ok FROM k GROUP BY trace_id""",
+        ),
+        "breadcrumb_outcomes": Entry(_outcomes),
+        "tree_identity": Entry(_tree_identity(RARE, "cgp2", prime=True), None),
+        "tree_identity_greedy": Entry(_tree_identity(1e-2, "cgp1")),
+        "connectivity_ceilings": Entry(_scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1)),
         "seeded_interior_drops": Entry(lambda spark, sf_dir: loss.seeded_interior_drops(wide(spark, sf_dir), 0.5)),
         "filter_sizes": Entry(
             lambda spark, sf_dir: spark.createDataFrame(

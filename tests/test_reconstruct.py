@@ -185,3 +185,66 @@ def test_ledger_without_room(spark):
     assert {(b.orphan_id, b.anchor_id) for b in reconstruct.bridges(rows, "ledger", s).collect()} == {(5, None), (9, 1)}
     alone = survivors(spark, [(1, 0, 0, (), 0)], s)
     assert reconstruct.bridges(alone, "ledger", s).count() == 0
+
+
+def test_fanouts_get_two_children(spark):
+    """A lost branching span that a payload witnesses has two children in the rebuilt tree, at the least cost in depth."""
+    from spanloom.operators import fanouts
+    from spanloom.sources.views import wide_spans
+
+    s = Scheme("cgprb", 4, fp=1e-9, prefix=8, prime=True)
+    truth = with_payloads(wide_spans(binary_tree(spark, 6)), s, 0.7)
+    alive = truth.where("not dropped")
+    for engine in ("cgp2", "cgp1"):
+        edges = materialize(fanouts.trees(alive, s, engine), "edges")
+        r = scoring.tree_identity(edges, truth).first()
+        assert r.edge_wrong == 0 and r.surv_exact == r.surv_nodes > 50
+        kids = edges.where("not parent_anon").groupBy("parent_id").count()
+        named = edges.where("is_fanout").select(F.col("node_id").alias("parent_id")).distinct()
+        assert named.count() > 0 and named.join(kids, "parent_id", "left").where("count is null").count() == 0
+
+
+def test_satisfy_moves_the_cheapest():
+    from spanloom.operators.fanouts import Choice, satisfy
+    from spanloom.operators.reconstruct import Part, Span
+
+    top = Span(1, 0, 0, None, 9)
+    up = [Span(10 + d, 1, d, None, 9) for d in range(1, 7)]
+
+    def choice(id_, parent, depths, fans):
+        p = Part(Span(id_, parent, 8, None, 9), [], None, top=top)
+        return Choice(p, [*(up[d - 1] for d in depths), top], fans)
+
+    # span 77 at depth 4 needs two children: both fragments sit below it at first; one may go to 3, the other to 1
+    a, b, c = choice(100, 900, (6, 3), {4: 77}), choice(101, 901, (5, 1), {4: 77}), choice(102, 902, (6,), {})
+    satisfy([a, b, c], {77: (4, up[5])}, {77: 1})
+    assert (a.anchor.depth, b.anchor.depth, c.anchor.depth) == (3, 1, 6)
+    # with one child by name, one more is enough: the cheaper of the two moves
+    a, b = choice(100, 77, (6, 3), {4: 77}), choice(101, 901, (6, 2), {4: 77})
+    satisfy([a, b], {77: (4, up[5])}, {77: 1})
+    assert (a.anchor.depth, b.anchor.depth) == (3, 6)
+
+
+def test_event_orders_of_nested_spans(spark):
+    """Children that end out of order, with the last end implied and delayed ends attributed."""
+    from spanloom.operators import event_order, structure
+
+    rows = [(1, 1, 0, "a", 0, 100), (1, 2, 1, "b", 1, 90), (1, 3, 1, "b", 2, 30), (1, 4, 1, "b", 40, 60), (1, 5, 1, "b", 45, 55), (1, 6, 2, "c", 10, 20), (1, 7, 2, "c", 11, 15)]
+    spans = spark.createDataFrame(rows, SCHEMA).withColumns({"span_id": F.col("span_id") * (1 << 56), "parent_id": F.col("parent_id") * (1 << 56)})
+    s = Scheme("sbridge", 3)
+    d = loss.with_drops(spans, 1.0).join(handlers.payloads(spans, s).select("trace_id", "span_id", "br"), ["trace_id", "span_id"])
+    d = d.join(structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal"), ["trace_id", "span_id"])
+    d = d.join(structure.ordered_events(spans).where("kind = 1").select("trace_id", "span_id", F.col("pos").alias("end_pos")), ["trace_id", "span_id"])
+    quads = handlers.delayed_ends(spans, s).select("trace_id", "span_id", "quad")
+    r = event_order.orders(d.join(quads, ["trace_id", "span_id"], "left"), s).first()
+    assert (r.solved, r.rejected, r.parents, r.end_order_ok, r.critical_path_ok, r.times_ok) == (True, False, 2, 2, True, True)
+    # two owners of one fingerprint and depth: given up
+    top = reconstruct.Node(0)
+    kids = []
+    for o in (1, 2):
+        k = top.kids[o] = reconstruct.Node(o)
+        k.mark, k.bits, k.kids = 5, 16, {1: reconstruct.Node(1), 2: reconstruct.Node(2)}
+        kids.append(k)
+    assert event_order.owner_of((b"", 1, 5, [1]), [(top, 0), *((k, 1) for k in kids)], 16) == kids
+    kids[0].kids[2].ends = [1]
+    assert event_order.owner_of((b"", 1, 5, [1]), [(top, 0), *((k, 1) for k in kids)], 16) == [kids[1]]
