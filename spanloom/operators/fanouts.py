@@ -13,6 +13,7 @@ The rest of a gap is filled with spans without identity.
 
 from __future__ import annotations
 
+import sys
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -122,6 +123,7 @@ def satisfy(choices: list[Choice], fans: dict[int, tuple[int, Span]], windows: d
             seen.add(passed)
             place(i + 1, cost + c.anchors[0].depth - anchor.depth, {m: n + (m in passed) for m, n in have.items()}, [*picks, k])
 
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * len(free) + 1000))
     place(0, 0, dict.fromkeys(group, 0), [])
     if best is not None:
         for c, k in zip(free, best[1], strict=True):

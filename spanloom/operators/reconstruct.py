@@ -13,6 +13,7 @@ Equal choices are settled by the smallest id as an unsigned number.
 
 from __future__ import annotations
 
+import time
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,7 +27,7 @@ from spanloom.functions.hashing import Blooms
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.traces import groups, map_traces
 
-ENGINES = {"pb": "pb", "pcr": "pcr", "pcrb": "pcrb", "pb2": "pcrb", "pb1": "pcrb", "pb0": "pcrb", "cgp": "cgprb", "ledger": "pcrb"}
+ENGINES = {"pb": "pb", "pcr": "pcr", "pcrb": "pcrb", "pb2": "pcrb", "pb1": "pcrb", "pb0": "pcrb", "cgp": "cgprb", "ledger": "pcrb", "map": "pcrb"}
 BRIDGES = "trace_id bigint, orphan_id bigint, anchor_id bigint, synthetic int, ambiguous boolean, via_carrier bigint, fanout bigint"
 
 
@@ -356,6 +357,26 @@ def bridges(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> Dat
     return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), run, BRIDGES)
 
 
+TIMINGS = "trace_id bigint, survivors int, orphans int, reconnected int, recon_ns bigint"
+
+
+def timings(survivors: DataFrame, engine: str, scheme: Scheme) -> DataFrame:
+    """Per trace: survivors, orphans, those with a place, and the nanoseconds that the engine took (decoding left out)."""
+    s = Scheme(**{**scheme.__dict__, "name": ENGINES[engine]}).settled()
+    names = [c.split()[0] for c in TIMINGS.split(", ")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        out = []
+        for trace, f in _survivors(rows, s):
+            began = time.perf_counter_ns()
+            found = RUN[engine](f)
+            out.append((trace, len(f.spans), len(found), sum(b.anchor is not None for b in found), time.perf_counter_ns() - began))
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=names)
+
+    return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), run, TIMINGS)
+
+
 # ---- breadcrumbs ----
 
 

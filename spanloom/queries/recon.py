@@ -6,7 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.operators import event_order, fanouts, handlers, ledger, loss, reconstruct, scoring, structure  # noqa: F401 (the ledger adds its engine)
+from spanloom.operators import (  # noqa: F401 (the ledgers add their engines)
+    event_order,
+    fanouts,
+    handlers,
+    ledger,
+    loss,
+    map_engine,
+    reconstruct,
+    scoring,
+    structure,
+)
 from spanloom.operators.handlers import Scheme
 from spanloom.queries.base import ANCHORS, DEEP, EVENTS, KINDS, START, WIDE, Entry
 from spanloom.session import materialize
@@ -214,6 +224,17 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_order.orders(d.join(quads, ["trace_id", "span_id"], "left"), s)
 
 
+def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the slowest and the median trace take to rebuild, by engine (index rule)."""
+    truth = truth_of(spark, sf_dir, Scheme("pcrb", CPD))
+    out = None
+    for engine in ("pcrb", "ledger", "map"):
+        t = materialize(reconstruct.timings(truth.where("not dropped"), engine, Scheme("pcrb", CPD)), "timings")
+        part = structure.index_percentiles(t, "recon_ns", (0.5, 0.99, 1.0)).select(F.lit(engine).alias("engine"), "p", F.col("value").alias("recon_ns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.breadcrumb_outcomes(_trees(spark, sf_dir))
 
@@ -306,6 +327,9 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
         "pb0_bridges": _true_bridges("pb0"),
         "cgp_bridges": _true_bridges("cgp"),
         "ledger_bridges": _true_bridges("ledger"),
+        "map_bridges": _true_bridges("map"),
+        "map_scores": Entry(_scored("map", scoring.score, name="pcrb", fp=1e-2)),
+        "map_open_ends": Entry(_scored("map", scoring.open_ends, name="pcrb", fp=RARE), WIDE + KINDS + ANCHORS + OPEN_ENDS),
         "ledger_scores": Entry(_scored("ledger", scoring.score, name="pcrb", fp=1e-2)),
         "ledger_open_ends": Entry(
             _scored("ledger", scoring.open_ends, name="pcrb", fp=RARE),
@@ -379,6 +403,7 @@ SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::I
         "tree_identity": Entry(_tree_identity(RARE, "cgp2", prime=True), None),
         "tree_identity_greedy": Entry(_tree_identity(1e-2, "cgp1")),
         "connectivity_ceilings": Entry(_scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1)),
+        "recon_timings": Entry(_timings),
         "seeded_interior_drops": Entry(lambda spark, sf_dir: loss.seeded_interior_drops(wide(spark, sf_dir), 0.5)),
         "filter_sizes": Entry(
             lambda spark, sf_dir: spark.createDataFrame(

@@ -131,11 +131,22 @@ def lenient(raw: DataFrame) -> DataFrame:
     return _finish(cleaning.lenient(checked.select(*KEPT)), ["flags"])
 
 
-def load(spark: SparkSession, path: str, require_clean: bool = True, lines: bool = False, first: int | None = None) -> DataFrame:
-    """The spans of all documents under a path; ``first``: of the first traces by file and place only."""
-    traces = traces_of(read_documents(spark, path, lines))
-    if first is not None:
-        traces = traces.orderBy("source", "pos").limit(first)
+def load(
+    spark: SparkSession, path: str, require_clean: bool = True, lines: bool = False, first: int | None = None, offset: int = 0, sample: int | None = None, seed: int = 42
+) -> DataFrame:
+    """The spans of all documents under a path.
+
+    ``offset`` and ``first``: of the traces by file and place, leave out some and take so many;
+    ``sample``: of so many files, drawn by a seeded hash of their name.
+    """
+    docs = read_documents(spark, path, lines)
+    if sample is not None:
+        drawn = docs.groupBy("source").agg(F.max("traceID").alias("t")).orderBy(F.xxhash64(F.lit(seed), "source"), "source").limit(sample)
+        docs = docs.join(F.broadcast(drawn.select("source")), "source", "left_semi")
+    traces = traces_of(docs)
+    if first is not None or offset:
+        traces = traces.orderBy("source", "pos").offset(offset)
+        traces = traces if first is None else traces.limit(first)
     raw = materialize(raw_spans(traces), "raw-spans")
     return strict(raw) if require_clean else lenient(raw)
 

@@ -84,6 +84,9 @@ def test_shapes_times_and_services(spark, tmp_path):
     assert [r.source.rsplit("/", 1)[1] for r in jaeger.bad_documents(docs).collect()] == ["2.json"]
     first = jaeger.load(spark, str(tmp_path), first=1).select("trace_id").distinct().collect()
     assert [r.trace_id for r in first] == [0x1A]
+    rest = jaeger.load(spark, str(tmp_path), offset=1).select("trace_id").distinct().collect()
+    assert [r.trace_id for r in rest] == [0x2B]
+    assert jaeger.load(spark, str(tmp_path), sample=9).count() == 4
 
 
 def test_explicit_parents_and_camel_case(spark, tmp_path):

@@ -158,16 +158,17 @@ def test_empty(spark):
     assert b.count() == 0 and scoring.violations(none, b).count() == 0
 
 
-def test_ledger_places_fragments_without_a_carrier(spark):
-    """With checkpoints five levels apart some fragments lose every carrier; the ledger finds them a place."""
-    from spanloom.operators import ledger  # noqa: F401 (adds its engine)
+@pytest.mark.parametrize("engine", ["ledger", "map"])
+def test_ledger_places_fragments_without_a_carrier(spark, engine):
+    """With checkpoints five levels apart some fragments lose every carrier; the ledgers find them a place."""
+    from spanloom.operators import ledger, map_engine  # noqa: F401 (add their engines)
     from spanloom.sources.views import wide_spans
 
     s = Scheme("pcrb", 5, fp=1e-9, prefix=8, prime=True)
     truth = with_payloads(wide_spans(binary_tree(spark, 8)), s, 0.6)
     alive = truth.where("not dropped")
     plain = scoring.score(reconstruct.bridges(alive, "pcrb", s), truth).first()
-    b = materialize(reconstruct.bridges(alive, "ledger", s), "bridges")
+    b = materialize(reconstruct.bridges(alive, engine, s), "bridges")
     full = scoring.score(b, truth).first()
     assert plain.unanchored > 0 and full.unanchored < plain.unanchored
     assert scoring.violations(alive, b).count() == 0
@@ -176,15 +177,16 @@ def test_ledger_places_fragments_without_a_carrier(spark):
     assert ends.open_ends > 0 and ends.open_ends_matched >= 0.9 * ends.open_ends
 
 
-def test_ledger_without_room(spark):
+@pytest.mark.parametrize("engine", ["ledger", "map"])
+def test_ledger_without_room(spark, engine):
     """A loose orphan whose filter nobody holds, and a trace of a root alone."""
     s = Scheme("pcrb", 4, prefix=8)
-    from spanloom.operators import ledger  # noqa: F401
+    from spanloom.operators import ledger, map_engine  # noqa: F401
 
     rows = survivors(spark, [(1, 0, 0, (), 0), (5, 77, 2, None, 0), (9, 3, 3, (3,), 1)], s)
-    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.bridges(rows, "ledger", s).collect()} == {(5, None), (9, 1)}
+    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.bridges(rows, engine, s).collect()} == {(5, None), (9, 1)}
     alone = survivors(spark, [(1, 0, 0, (), 0)], s)
-    assert reconstruct.bridges(alone, "ledger", s).count() == 0
+    assert reconstruct.bridges(alone, engine, s).count() == 0
 
 
 def test_fanouts_get_two_children(spark):
