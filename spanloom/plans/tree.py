@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spanloom.plans.traces import map_traces
-from spanloom.session import materialize
+from spanloom.session import discard, materialize
 
 #: Spans of a trace that one worker folds.
 GIANT = 4_000_000
@@ -149,7 +149,8 @@ def _by_joins(start: DataFrame, how: dict[str, str], parents: bool, carried: lis
             "top_parent": F.when(found, F.col("_up_top_parent")).otherwise(F.col("top_parent")),
             "_to": F.when(found, F.col("_up__to")).otherwise(F.lit(0)),
         }
-        state = materialize(both.withColumns(new).drop(*[f"_up_{c}" for c in folded]), "fold")
+        before, state = state, materialize(both.withColumns(new).drop(*[f"_up_{c}" for c in folded]), "fold")
+        discard(before)
         counts = state.groupBy("trace_id").agg(F.countDistinct("span_id").alias("n"), F.max(F.col("_to") != 0).alias("open"))
         largest = counts.where("open").agg(F.max("n")).first()[0]
         # 2**done steps up; a path past a missing parent settles one round later

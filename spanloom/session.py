@@ -7,6 +7,7 @@ import os
 import pathlib
 import tempfile
 import uuid
+import weakref
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 ROWS_OF_A_FILE = 200_000
 _shipped: set[str] = set()
+_kept: dict[int, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +55,19 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    kept = spark.read.schema(schema).parquet(path)
+    _kept[id(kept)] = (weakref.ref(kept, lambda _, key=id(kept): _kept.pop(key, None)), path)
+    return kept
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a materialized table that nothing reads any more (a state that the next round replaced)."""
+    held = _kept.pop(id(df), None)
+    if held is None or held[0]() is not df:
+        raise ValueError("not a materialized table")
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(held[1])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -35,3 +35,25 @@ def test_clip_and_checkpoints_of_a_deep_chain(spark):
     assert {(r.span_id, r.end_us) for r in structure.crisp_clip(df).collect()} == {(i, 10) for i in range(1, DEEP + 1)}
     held = {r.span_id: r.ckpt_id for r in loss.checkpoint_above(df, cpd=200).collect()}
     assert held == {i: (i - 2) // 200 * 200 + 1 for i in range(2, DEEP + 1)}
+
+
+def test_giant_traces_are_folded_by_joins(spark, monkeypatch):
+    """Traces above the bound give what the others give: sums, bounds, tops, children, parents' values."""
+    from pyspark.sql import functions as F
+
+    from spanloom.plans import tree
+
+    rows = [*chain(1, 90), *chain(2, 60, top=9999), (3, 1, 0), (3, 2, 3), (3, 3, 2), (3, 4, 3), (4, 1, 0), (4, 2, 1), (4, 3, 1)]
+    df = spans(spark, *rows).withColumn("start_us", F.col("span_id") % 7)
+    values = {"n": (F.lit(1), "sum"), "lo": (F.col("start_us"), "min"), "hi": (F.col("start_us"), "max"), "bits": (F.expr("shiftleft(1L, cast(span_id % 60 as int))"), "or"),
+              "odd": (F.col("span_id") % 11 == 0, "any"), "at": (F.col("span_id"), "first")}
+    settle = lambda d: sorted(tuple(r) for r in d.where("not unsettled").collect())
+    for stop in (None, F.col("span_id") % 13 == 0):
+        small = settle(fold_up(df, values, stop, parents=True))
+        lost = fold_up(df, values, stop, parents=True).where("unsettled").count()
+        monkeypatch.setattr(tree, "GIANT", 50)
+        joined = fold_up(df, values, stop, parents=True)
+        assert settle(joined.select(*fold_up(df.limit(0), values, stop, parents=True).columns)) == small
+        assert joined.where("unsettled").count() == lost
+        monkeypatch.setattr(tree, "GIANT", 4_000_000)
+        monkeypatch.setattr(tree, "_giants", set())
