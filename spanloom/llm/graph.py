@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.session import materialize
+from spanloom.session import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -21,7 +21,8 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     both = materialize(both, "links") if rows is None else materialize(both, "links", 2 * rows)
     rows = both.count()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id")
-    labels = materialize(labels, "labels", rows)
+    held = materialize(labels, "labels", rows)
+    labels = held
     for _ in range(MAX_ROUNDS):
         near = (
             both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near")).withColumnRenamed("a", "id")
@@ -34,6 +35,8 @@ def components(links: DataFrame, rows: int | None = None) -> DataFrame:
         new = materialize(new, "labels", rows)
         changed = new.where("label <> old").limit(1).count()
         labels = new.select("id", "label")
+        discard(held)  # this round's labels replace it
+        held = new
         if not changed:
             return labels.withColumnRenamed("label", "component")
     raise RuntimeError("components did not settle")
