@@ -27,7 +27,7 @@ from spanloom.functions.hashing import Blooms
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.traces import groups, map_traces
 
-ENGINES = {"pb": "pb", "pcr": "pcr", "pcrb": "pcrb", "pb2": "pcrb", "pb1": "pcrb", "pb0": "pcrb", "cgp": "cgprb", "ledger": "pcrb", "map": "pcrb"}
+ENGINES = {"pb": "pb", "pcr": "pcr", "pcrb": "pcrb", "pb2": "pcrb", "pb1": "pcrb", "pb0": "pcrb", "cgp": "cgprb", "ledger": "pcrb", "map": "pcrb", "cgprb": "cgprb"}
 BRIDGES = "trace_id bigint, orphan_id bigint, anchor_id bigint, synthetic int, ambiguous boolean, via_carrier bigint, fanout bigint"
 
 

@@ -169,17 +169,17 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _bridges(engine: str, columns: tuple[str, ...], **settings):
+def _bridges(engine: str, columns: tuple[str, ...], options: dict | None = None, **settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rebuilt(spark, sf_dir, engine, Scheme(cpd=CPD, **settings))[1].select(*columns)
+        return rebuilt(spark, sf_dir, engine, Scheme(cpd=CPD, **settings), **(options or {}))[1].select(*columns)
 
     return run
 
 
-def _true_bridges(engine: str) -> Entry:
+def _true_bridges(engine: str, **options) -> Entry:
     """An engine whose filters make no mistake: its bridges are the truth."""
     return Entry(
-        _bridges(engine, ("trace_id", "orphan_id", "anchor_id", "synthetic"), fp=RARE, prime=True),
+        _bridges(engine, ("trace_id", "orphan_id", "anchor_id", "synthetic"), options, fp=RARE, prime=True),
         WIDE + KINDS + ANCHORS + " SELECT trace_id, span_id AS orphan_id, anchor_id, gap::INTEGER AS synthetic FROM anchors",
     )
 
@@ -320,6 +320,9 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
         "pcr_totals": Entry(_scored("pcr", lambda b, t: scoring.totals(scoring.score(b, t)), name="pcr", prefix=1)),
         "pcr_lost_spans": Entry(_scored("pcr", scoring.lost_spans, name="pcr", prefix=4)),
         "pb_bridges": _true_bridges("pb"),
+        "pb_bottom_up": _true_bridges("pb", bottom_up=True),
+        "cgprb_bridges": _true_bridges("cgprb"),
+        "cgprb_topology": Entry(_scored("cgprb", lambda b, t: scoring.topology_totals(scoring.topology(b, t)), name="cgprb", fp=1e-2)),
         "pb_scores": Entry(_scored("pb", scoring.score, name="pb", fp=1e-2)),
         "pcrb_bridges": _true_bridges("pcrb"),
         "pb2_bridges": _true_bridges("pb2"),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
-from spanloom.operators import handlers, loss, reconstruct, scoring
+from spanloom.operators import handlers, ledger, loss, map_engine, reconstruct, scoring  # noqa: F401 (the ledgers add their engines)
 from spanloom.operators.handlers import Scheme
 from spanloom.session import materialize
 from spanloom.sources import reports
@@ -24,7 +24,7 @@ def with_payloads(spans, scheme, rate=1.0):
     return materialize(loss.with_drops(spans, rate, scheme.cpd).join(p, ["trace_id", "span_id"]), "tree")
 
 
-@pytest.mark.parametrize("engine", ["pb", "pb2", "pb1", "pb0", "cgp", "pcrb", "pcr"])
+@pytest.mark.parametrize("engine", ["pb", "pb2", "pb1", "pb0", "cgp", "pcrb", "pcr", "ledger", "map", "cgprb"])
 def test_binary_tree_with_all_inner_spans_lost(spark, engine):
     s = Scheme(reconstruct.ENGINES[engine], 3, prefix=8)
     truth = with_payloads(binary_tree(spark), s)
@@ -250,3 +250,82 @@ def test_event_orders_of_nested_spans(spark):
     assert event_order.owner_of((b"", 1, 5, [1]), [(top, 0), *((k, 1) for k in kids)], 16) == kids
     kids[0].kids[2].ends = [1]
     assert event_order.owner_of((b"", 1, 5, [1]), [(top, 0), *((k, 1) for k in kids)], 16) == [kids[1]]
+
+
+def score_of(book, items, chosen):
+    """What an assignment is worth by the stated rules; None if it is not allowed."""
+    moving = {i.span.id for i in items if i.kind == "reseat"}
+    taken, reserved, paid, total = {}, set(), set(), 0
+    for item, o in zip(items, chosen, strict=True):
+        if o is None:
+            total -= item.penalty
+            continue
+        total += o.gain
+        cells = [(s, s.depth) for s in o.spans] + ([(None, o.above)] if o.above is not None else [])
+        for s, depth in cells:
+            key = (id(o.chain), depth)
+            there, owner = o.chain.at.get(depth), o.chain.held.get(depth)
+            if s is not None:
+                if depth in o.chain.held and (owner is None or owner.id not in moving):
+                    return None
+                if taken.setdefault(key, s) is not s:
+                    return None
+            else:
+                reserved.add(key)
+            if there is not None and there is not s:
+                if o.chain.why[depth] == "B":
+                    guest = book.guest_of(there)
+                    if guest is None or guest.id not in moving:
+                        return None
+                elif key not in paid:
+                    paid.add(key)
+                    sole = o.chain.why[depth] in "CD" and there.payload is None and not there.kids and book.standing(there) <= 1
+                    total -= map_engine.COVER if sole else 1
+    return None if reserved & set(taken) else total
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_clusters_are_solved_to_the_optimum(seed):
+    """Branch and bound against all assignments, on small clusters of trees with false positives in their filters."""
+    import itertools
+    import random
+
+    from spanloom.operators.reconstruct import Fragments, Payload, Span
+
+    r = random.Random(seed)
+    parent = {1: 0}
+    for i in range(2, 46):
+        parent[i] = r.randrange(max(1, i - 9), i)
+    depth = {}
+    for i in parent:
+        depth[i] = depth[parent[i]] + 1 if parent[i] else 0
+    cpd, inner = 5, set(parent.values())
+    masks = {i: (1 << i) | (1 << 50 + i % 6) for i in range(1, 46)} | {0: 0}
+    path = lambda i: [i, *path(parent[i])] if i else []
+    lost = {i for i in parent if i in inner and depth[i] % cpd and r.random() < 0.6}
+    spans = []
+    for i in parent:
+        if i in lost:
+            continue
+        payload = None
+        if i not in inner or depth[i] % cpd == 0:
+            above = path(parent[i])
+            stop = next((k for k, a in enumerate(above) if depth[a] % cpd == 0), 0)
+            bits = 0
+            for a in above[:stop]:
+                bits |= masks[a]
+            bits |= sum(1 << k for k in range(1, 46) if r.random() < 0.15) | sum(1 << 50 + k for k in range(6))
+            payload = Payload((above[stop] if above else 0).to_bytes(8, "big"), bits)
+        spans.append(Span(i, parent[i], depth[i], payload, cpd))
+    book = map_engine.MapLedger(Fragments(spans, masks, cpd, 8))
+    book.propagate()
+    for items in book.clusters(book.items()):
+        n = 1
+        for i in items:
+            n *= len(i.options) + 1
+        if n > 3000:
+            continue
+        chosen = book.solve(items)  # puts the items in order
+        got = score_of(book, items, [chosen.get(k) for k in range(len(items))])
+        every = (score_of(book, items, pick) for pick in itertools.product(*[[None, *i.options] for i in items]))
+        assert got == max(s for s in every if s is not None)
