@@ -35,10 +35,10 @@ from spanloom.llm.batches import ship_texts
 from spanloom.session import materialize, shared_dir, table
 
 SHARDS = 24
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 LARGEST_BUCKET = 1 << 30
 MANY_BUCKETS = 20_000
-LEAST_BUCKETS = 16
+LEAST_BUCKETS = 8
 #: Records of more copies than this, and than their share of ``1 / HOT_RECORDS`` of all rows, are numbered.
 HOT_COPIES, HOT_RECORDS = 1000, 100_000
 #: Rows that leave a worker at a time.
