@@ -309,7 +309,10 @@ SELECT trace_id, count(*) AS num_spans, (9 * count(*) FILTER (carrier))::BIGINT
         "bagsize_document": Entry(_bagsize_document),
         "score_document": Entry(_score_document),
         "artifact_lines": Entry(_artifacts, recon.NO_ROWS),
-        "survivor_dump": Entry(_dumped),
+        "survivor_dump": Entry(
+            _dumped,
+            recon.WIDE + recon.KINDS + recon.PREFIX.format(shift=1 << 32) + " SELECT trace_id, count(*) AS orphans, count(anchor_id) AS reconnected FROM bridges GROUP BY trace_id",
+        ),
         "rebuilt_documents": Entry(
             _rebuilt_documents,
             recon.WIDE

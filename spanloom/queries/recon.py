@@ -141,6 +141,19 @@ SCORE_SQL = """ SELECT d.trace_id, any_value(d.spans) AS spans, any_value(d.gone
 FROM (SELECT trace_id, count(*) AS spans, count(*) FILTER (dropped) AS gone FROM drops GROUP BY trace_id) d
 LEFT JOIN graded g ON g.trace_id = d.trace_id LEFT JOIN skips s ON s.trace_id = g.trace_id AND s.orphan_id = g.orphan_id GROUP BY d.trace_id"""
 
+SUMMED = (
+    "spans", "dropped", "orphans", "reconnected", "unanchored", "anchor_correct", "anchor_ancestor", "gap_correct", "misattached", "misattached_ancestor",
+    "ambiguous", "ambiguous_bad", "borrowed", "synthetic", "ancestors_skipped",
+)
+TOTALS_SQL = (
+    " SELECT count(*) AS traces, "
+    + ", ".join(f"sum({c})::BIGINT AS {c}" for c in SUMMED)
+    + """, round(100.0::DOUBLE * sum(reconnected) / sum(orphans), 6) AS reconnected_pct, round(100.0::DOUBLE * sum(anchor_correct) / sum(reconnected), 6) AS exact_pct,
+  round(100.0::DOUBLE * sum(misattached_ancestor) / sum(reconnected), 6) AS benign_pct,
+  round(100.0::DOUBLE * (sum(misattached) - sum(misattached_ancestor)) / sum(reconnected), 6) AS wrong_pct,
+  round(100.0::DOUBLE * avg((misattached = 0)::INT), 6) AS clean_trace_pct FROM s"""
+)
+
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide_spans(heap_spans(spark, sf_dir))
@@ -277,7 +290,8 @@ FROM drops d LEFT JOIN ckpts c ON c.trace_id = d.trace_id AND c.span_id = d.span
             )
         ),
         "large_baggage": Entry(
-            lambda spark, sf_dir: handlers.large_baggage(handlers.payloads(heap_spans(spark, sf_dir), Scheme("cgpb", CPD)), 40).select("trace_id", "span_id", "depth")
+            lambda spark, sf_dir: handlers.large_baggage(handlers.payloads(heap_spans(spark, sf_dir), Scheme("cgpb", CPD)), 40),
+            SIZES_SQL[: SIZES_SQL.rindex("\nSELECT")] + "\nSELECT trace_id, span_id, depth, call::BIGINT AS baggage_bytes FROM sizes WHERE scheme = 'cgpb' AND call > 40",
         ),
         "end_lists": Entry(
             lambda spark, sf_dir: structure.end_lists(heap_spans(spark, sf_dir)).select("trace_id", "span_id", F.array_join("ends", ",").alias("ends")),
@@ -317,8 +331,25 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
         "pcr_scores": Entry(
             _scored("pcr", scoring.score, name="pcr", prefix=4), WIDE + KINDS + ANCHORS + PREFIX.format(shift=1 << 32) + GRADED + SCORE_SQL
         ),
-        "pcr_totals": Entry(_scored("pcr", lambda b, t: scoring.totals(scoring.score(b, t)), name="pcr", prefix=1)),
-        "pcr_lost_spans": Entry(_scored("pcr", scoring.lost_spans, name="pcr", prefix=4)),
+        "pcr_totals": Entry(
+            _scored("pcr", lambda b, t: scoring.totals(scoring.score(b, t)), name="pcr", prefix=1),
+            WIDE + KINDS + ANCHORS + PREFIX.format(shift=1 << 56) + GRADED + ", s AS (" + SCORE_SQL + ")" + TOTALS_SQL,
+        ),
+        "pcr_lost_spans": Entry(
+            _scored("pcr", scoring.lost_spans, name="pcr", prefix=4),
+            WIDE
+            + KINDS
+            + ANCHORS
+            + PREFIX.format(shift=1 << 32)
+            + GRADED
+            + """, f AS (SELECT trace_id, span_id, span_id AS frag_id FROM orphans
+  UNION ALL SELECT a.trace_id, a.span_id, f.frag_id FROM alive a JOIN f ON f.trace_id = a.trace_id AND f.span_id = a.parent_id
+), z AS (SELECT trace_id, frag_id, count(*) AS n FROM f GROUP BY ALL
+), g AS (SELECT g.trace_id, g.orphan_id, g.anchor_id, coalesce(s.skipped, 0) AS skipped, z.n FROM graded g JOIN z ON z.trace_id = g.trace_id AND z.frag_id = g.orphan_id
+  LEFT JOIN skips s ON s.trace_id = g.trace_id AND s.orphan_id = g.orphan_id)
+SELECT trace_id, count(*) FILTER (anchor_id IS NULL) AS fragments_lost, coalesce(sum(CASE WHEN anchor_id IS NULL THEN n END), 0)::BIGINT AS spans_lost,
+  count(*) FILTER (skipped > 0) AS fragments_past, coalesce(sum(CASE WHEN skipped > 0 THEN n END), 0)::BIGINT AS spans_in_skipped FROM g GROUP BY trace_id""",
+        ),
         "pb_bridges": _true_bridges("pb"),
         "pb_bottom_up": _true_bridges("pb", bottom_up=True),
         "cgprb_bridges": _true_bridges("cgprb"),
@@ -402,7 +433,12 @@ FROM drops o JOIN drops p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id
 SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::INTEGER AS parents, (count(*) FILTER (n > 1))::INTEGER AS end_order_ok,
   true AS order_ok, true AS critical_path_ok FROM k GROUP BY trace_id""",
         ),
-        "breadcrumb_outcomes": Entry(_outcomes),
+        "breadcrumb_outcomes": Entry(
+            _outcomes,
+            START
+            + """ SELECT count(DISTINCT trace_id) AS traces, 0::BIGINT AS unsolvable, 0::BIGINT AS wrong, count(DISTINCT trace_id) AS correct, count(DISTINCT trace_id) AS exact,
+  100.0::DOUBLE AS coverage_pct FROM spans""",
+        ),
         "tree_identity": Entry(_tree_identity(RARE, "cgp2", prime=True), None),
         "tree_identity_greedy": Entry(_tree_identity(1e-2, "cgp1")),
         "connectivity_ceilings": Entry(_scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1)),

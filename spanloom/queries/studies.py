@@ -302,7 +302,23 @@ SELECT w.trace_id, w.here AS span_id, w.fan AS parent_id, h.depth::BIGINT AS dep
 SELECT z.trace_id, sum(b)::BIGINT AS bloom_size, 6 * count(*) AS mode_size, any_value(t.n) AS total_nodes, sum(b)::BIGINT + 6 * count(*) AS total_ancestry_size
 FROM z JOIN t ON t.trace_id = z.trace_id GROUP BY z.trace_id""",
         ),
-        "hybrid_sizes": Entry(heap(lambda s: studies.ancestry_sizes(s, 3))),
+        "hybrid_sizes": Entry(
+            heap(lambda s: studies.ancestry_sizes(s, 3)),
+            START
+            + DEEP
+            + PATHS
+            + f""", o AS (SELECT *, row_number() OVER (PARTITION BY trace_id, parent_id ORDER BY start_us, span_id) AS seq FROM high
+), down AS (SELECT trace_id, span_id AS here, parent_id AS fan, high FROM o WHERE parent_id <> 0 AND seq = 2
+  UNION ALL SELECT w.trace_id, o.span_id, w.fan, o.high FROM down w JOIN o ON o.trace_id = w.trace_id AND o.parent_id = w.here AND o.seq = 1 WHERE NOT w.high
+), ent AS (SELECT w.trace_id, w.here AS span_id, sum(17 + length(h.depth::VARCHAR)) + count(*) - 1 AS hash FROM down w
+  JOIN high h ON h.trace_id = w.trace_id AND h.span_id = w.fan WHERE w.high GROUP BY ALL
+), z AS (SELECT h.trace_id, ({TEXT_BYTES.format("coalesce(len(p.path), 0)")})::BIGINT AS b, coalesce(e.hash, 0) AS hash FROM high h
+  LEFT JOIN paths p ON p.trace_id = h.trace_id AND p.span_id = h.span_id LEFT JOIN ent e ON e.trace_id = h.trace_id AND e.span_id = h.span_id WHERE h.high
+), t AS (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id
+), q AS (SELECT z.trace_id, sum(b)::BIGINT AS bloom_size, sum(hash)::BIGINT AS hash_size, 6 * count(*) AS mode_size, any_value(t.n) AS total_nodes FROM z
+  JOIN t ON t.trace_id = z.trace_id GROUP BY z.trace_id)
+SELECT *, bloom_size + hash_size + mode_size AS total_ancestry_size, (bloom_size + hash_size + mode_size)::DOUBLE / total_nodes AS avg_ancestry_size_per_span FROM q""",
+        ),
         "ancestry_reconnection": Entry(
             heap(lambda s: studies.reconnected_by_ancestry(s, 0.5, 3, loss.uniform()).where("anchor_id is not null").select("trace_id", "orphan_id", "anchor_id", "synthetic")),
             START
@@ -335,7 +351,17 @@ SELECT trace_id, frag_id AS orphan_id, anchor_id, (frag_depth - depth - 1)::INTE
 ), m AS (SELECT cpd, trace_id, 9 * count(*) FILTER (carrier)::DOUBLE / count(*) AS a FROM k GROUP BY ALL HAVING count(*) > 1)
 SELECT 'pcr' AS mode, cpd, count(*) AS traces, round(avg(a), 9) AS mean, round(stddev(a), 9) AS deviation FROM m GROUP BY cpd""",
         ),
-        "pooled_sizes": Entry(_pooled),
+        "pooled_sizes": Entry(
+            _pooled,
+            START
+            + DEEP
+            + """, k AS (SELECT d.trace_id, x.parent_id IS NULL OR d.depth % 3 = 0 AS carrier FROM deep d
+  LEFT JOIN (SELECT DISTINCT trace_id, parent_id FROM spans) x ON x.trace_id = d.trace_id AND x.parent_id = d.span_id
+), m AS (SELECT s.mode, trace_id, s.size * count(*) FILTER (carrier)::DOUBLE / count(*) AS a FROM k
+  CROSS JOIN (VALUES ('pcr', 9), ('pcrb', 9 + ceil(ceil(-2 * ln(0.0001) / (ln(2) * ln(2))) / 8)::BIGINT)) s(mode, size) GROUP BY s.mode, s.size, trace_id HAVING count(*) > 1
+), d AS (SELECT mode, trace_id % 2 AS day, count(*) AS n, round(avg(a), 9) AS a FROM m GROUP BY ALL)
+SELECT mode, 3 AS cpd, sum(n)::BIGINT AS traces, round(sum(a * n) / sum(n), 9) AS mean FROM d GROUP BY mode""",
+        ),
         "log_correlations": Entry(
             dirty(studies.log_correlations),
             f"WITH {DIRTY_SQL}"
