@@ -181,18 +181,31 @@ def recon_edges(bridges: DataFrame, truth: DataFrame) -> DataFrame:
     return real.unionByName(named).unionByName(upper)
 
 
-def edge_identity(edges: DataFrame, truth: DataFrame) -> DataFrame:
-    """Per trace: nodes with an edge, exact parents, anonymous parents where the true one was lost, wrong ones."""
-    own = truth.select("trace_id", F.col("span_id").alias("node_id"), F.col("parent_id").alias("true_parent"), F.col("dropped").alias("lost"))
+def edge_verdicts(edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """Every edge with the node's depth, whether the node was lost, and the verdict: exact, anon (lost, without identity) or wrong."""
+    own = truth.select("trace_id", F.col("span_id").alias("node_id"), F.col("parent_id").alias("true_parent"), F.col("dropped").alias("lost"), "depth")
     up = truth.select("trace_id", F.col("span_id").alias("true_parent"), F.col("dropped").alias("parent_lost"))
     rows = edges.join(own, ["trace_id", "node_id"]).join(up, ["trace_id", "true_parent"], "left")
     exact = ~F.col("is_anon") & F.coalesce(F.col("parent_id") == F.col("true_parent"), F.lit(False))
     fine = F.col("is_anon") & F.coalesce("parent_lost", F.lit(False))
+    verdict = F.when(exact, "exact").when(fine, "anon").otherwise("wrong")
+    return rows.select("trace_id", "node_id", "parent_id", "true_parent", "depth", "lost", verdict.alias("verdict"))
+
+
+def edge_depths(edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """Edges by depth of their node and verdict."""
+    return edge_verdicts(edges, truth).groupBy("depth", "verdict").agg(F.count(F.lit(1)).alias("edges"), _count(F.col("lost")).alias("of_lost_nodes"))
+
+
+def edge_identity(edges: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per trace: nodes with an edge, exact parents, anonymous parents where the true one was lost, wrong ones."""
+    rows = edge_verdicts(edges, truth)
+    exact = F.col("verdict") == "exact"
     return rows.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("real_nodes"),
         _count(exact).alias("edge_exact"),
-        _count(fine).alias("edge_anon_ok"),
-        _count(~exact & ~fine).alias("edge_wrong"),
+        _count(F.col("verdict") == "anon").alias("edge_anon_ok"),
+        _count(F.col("verdict") == "wrong").alias("edge_wrong"),
         _count(~F.col("lost")).alias("surv_nodes"),
         _count(~F.col("lost") & exact).alias("surv_exact"),
         _count(F.col("lost")).alias("named_nodes"),

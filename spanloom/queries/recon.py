@@ -389,6 +389,17 @@ SELECT trace_id, sum(n * (n - 1) // 2)::BIGINT AS true_pairs, sum(n * (n - 1) //
 ), s AS (SELECT trace_id, count(*) FILTER (NOT dropped AND parent_id <> 0) AS surv FROM drops GROUP BY trace_id)
 SELECT s.trace_id, surv + coalesce(named, 0) AS real_nodes, surv + coalesce(exact, 0) AS edge_exact, coalesce(named - exact, 0) AS edge_anon_ok, 0::BIGINT AS edge_wrong,
   surv AS surv_nodes, surv AS surv_exact, coalesce(named, 0) AS named_nodes, coalesce(exact, 0) AS named_exact FROM s LEFT JOIN l ON l.trace_id = s.trace_id""",
+        ),
+        "edge_depths": Entry(
+            _scored("cgp", lambda b, t: scoring.edge_depths(scoring.recon_edges(b, t), t), name="cgprb", fp=RARE),
+            WIDE
+            + KINDS
+            + ANCHORS
+            + """, lost AS (SELECT a.trace_id, d.parent_id AS id, min(a.gap) AS gap, any_value(d.depth) - 1 AS depth FROM anchors a
+  JOIN drops d ON d.trace_id = a.trace_id AND d.span_id = a.span_id GROUP BY ALL
+), v AS (SELECT depth, 'exact' AS verdict, false AS lost FROM drops WHERE NOT dropped AND parent_id <> 0
+  UNION ALL SELECT depth, CASE WHEN gap = 1 THEN 'exact' ELSE 'anon' END, true FROM lost)
+SELECT depth, verdict, count(*) AS edges, count(*) FILTER (lost) AS of_lost_nodes FROM v GROUP BY ALL""",
         ),
         "identity_totals": Entry(_scored("cgp", lambda b, t: scoring.identity_totals(scoring.strict_identity(b, t)), name="cgprb", fp=1e-2)),
         "wrong_edges": Entry(_scored("pb", scoring.wrong_edges, name="pb", fp=1e-1)),
