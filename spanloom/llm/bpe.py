@@ -37,7 +37,7 @@ REMEMBERED_BYTES = 128 << 20
 #: What an entry of that table takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Characters of text whose new words form one replayed corpus, and which leave the worker together.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
