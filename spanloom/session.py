@@ -54,7 +54,7 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     schema = df.schema
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // ROWS_OF_A_FILE)))
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)  # nobody waits for a marker
     kept = spark.read.schema(schema).parquet(path)
     _kept[id(kept)] = (weakref.ref(kept, lambda _, key=id(kept): _kept.pop(key, None)), path)
     return kept
