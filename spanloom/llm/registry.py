@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, chat, html_main, langid, minhash, mixing, neardup_vectors, sharding, token_counts, topk
+from spanloom.llm import bpe, centroids, chat, html_main, langid, minhash, mixing, neardup_vectors, sharding, token_counts, topk
 
 
 def queries():
@@ -18,10 +18,11 @@ def queries():
         "op8_mix": mixing.op8_mix,
         "op9_neardup_vectors": neardup_vectors.op9_neardup_vectors,
         "op10_shard": sharding.op10_shard,
+        "op13_centroids": centroids.op13_centroids,
         "mix_targets": mixing.mix_targets,
     }
 
 
 def oracle_sql():
     """DuckDB SQL for the queries that SQL can express."""
-    return {"op3_chat": chat.ORACLE, "op7_topk": topk.ORACLE, "op9_neardup_vectors": neardup_vectors.ORACLE, "mix_targets": mixing.TARGETS}
+    return {"op3_chat": chat.ORACLE, "op7_topk": topk.ORACLE, "op9_neardup_vectors": neardup_vectors.ORACLE, "op13_centroids": centroids.ORACLE, "mix_targets": mixing.TARGETS}
