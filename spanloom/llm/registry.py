@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanloom.llm import bpe, centroids, chat, html_main, langid, minhash, mixing, neardup_vectors, sharding, token_counts, topk, upsert
+from spanloom.llm import bpe, centroids, chat, html_main, langid, minhash, mixing, neardup_vectors, quality_rules, sharding, token_counts, topk, upsert
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op8_mix": mixing.op8_mix,
         "op9_neardup_vectors": neardup_vectors.op9_neardup_vectors,
         "op10_shard": sharding.op10_shard,
+        "op11_quality": quality_rules.op11_quality,
         "op12_upsert": upsert.op12_upsert,
         "op13_centroids": centroids.op13_centroids,
         "mix_targets": mixing.mix_targets,
