@@ -266,7 +266,7 @@ SELECT trace_id, span_id, depth, here AS ckpt_id FROM up WHERE at_depth % 3 = 0"
             + ANCHORS
             + recon.PREFIX.format(shift=1)
             + """ SELECT b.trace_id, count(*) AS orphans, count(b.anchor_id) AS reconnected, count(*) FILTER (b.anchor_id = a.anchor_id) AS anchor_correct
-FROM bridges b JOIN anchors a ON a.trace_id = b.trace_id AND a.span_id = b.orphan_id GROUP BY b.trace_id""",
+FROM links b JOIN anchors a ON a.trace_id = b.trace_id AND a.span_id = b.orphan_id GROUP BY b.trace_id""",
         ),
         "scheme_bytes": Entry(heap(payload.scheme_bytes), _bytes_sql()),
     }

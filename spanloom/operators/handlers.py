@@ -2,7 +2,7 @@
 
 Schemes: ``vanilla`` (nothing), ``pb`` (filter of the window's ids), ``cgpb`` (``pb`` and every branch
 above), ``pcr`` (prefix of the checkpoint above), ``pcrb`` (both, the filter without own ids), ``cgprb``
-(``pcrb`` and the branch that this span witnesses in its window), ``sbridge`` (breadcrumbs of start
+(``pcrb`` and the branch that this span witnesses in its window), ``crumbs`` (breadcrumbs of start
 ordinals, parent fingerprints and end order). A span whose depth is a multiple of ``cpd`` is a
 checkpoint; checkpoints and leaves persist a payload, all others their depth. A span without a
 known parent starts anew at depth 0.
@@ -26,7 +26,7 @@ from spanloom.functions.hashing import Blooms, bloom_size
 from spanloom.plans.traces import map_traces
 from spanloom.plans.tree import Folded, longest, parent_rows, walk_up
 
-SCHEMES = ("vanilla", "pb", "cgpb", "pcr", "pcrb", "cgprb", "sbridge")
+SCHEMES = ("vanilla", "pb", "cgpb", "pcr", "pcrb", "cgprb", "crumbs")
 PAYLOAD = (
     "trace_id bigint, span_id bigint, parent_id bigint, depth int, leaf boolean, carrier boolean, calls int, "
     "emit_bytes bigint, depth_bytes bigint, order_bytes bigint, baggage_bytes bigint, br binary"
@@ -241,7 +241,7 @@ def _breadcrumbs(rows: pa.Table, s: Scheme, queued: dict[int, bytes] | None = No
                                      depth[i], span_id >> 64 - s.mark_bits, rest, s.mark_bits)
             delayed.append((int(t.trace[i]), int(t.span[i]), services[i], int(end[i]), depth[i], quad))
     carrier = t.leaf | t.ckpt
-    emit = np.array([0 if b is None else wire.NAME_BYTES + wire.TYPE_BYTES["sbridge"] + wire.breadcrumb_size(b, s.mark_bits) for b in payload], dtype=np.int64)
+    emit = np.array([0 if b is None else wire.NAME_BYTES + wire.TYPE_BYTES["crumbs"] + wire.breadcrumb_size(b, s.mark_bits) for b in payload], dtype=np.int64)
     if s.emit_order:
         own = _varints(np.array(ordinal)) if not s.omit_ordinal else 0
         order_bytes = np.where(~carrier, wire.ORDER_NAME_BYTES + _varints(t.depth) + own, 0)
@@ -255,7 +255,7 @@ def payloads(spans: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
     Breadcrumbs come without delayed ends of other traces (:func:`with_delayed_ends` adds them).
     """
     s = scheme.settled()
-    run = (lambda rows: _breadcrumbs(rows, s)[0]) if s.name == "sbridge" else (lambda rows: _simple(rows, s))
+    run = (lambda rows: _breadcrumbs(rows, s)[0]) if s.name == "crumbs" else (lambda rows: _simple(rows, s))
     return map_traces(spans.select("trace_id", "span_id", "parent_id", "service", "start_us", "end_us"), run, PAYLOAD)
 
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from spanloom.operators.reconstruct import RUN, Bridge, Fragments, Span, _chain, by_prefix
+from spanloom.operators.reconstruct import RUN, Link, Fragments, Span, _chain, by_prefix
 
 REBINDS, ITEMS, STEPS = 3, 24, 20_000
 
@@ -23,15 +23,15 @@ REBINDS, ITEMS, STEPS = 3, 24, 20_000
 class Chain:
     """The levels between an anchor and a fragment's root."""
 
-    __slots__ = ("root", "anchor", "bits", "claims", "at", "why", "held", "guests", "bridge")
+    __slots__ = ("root", "anchor", "bits", "claims", "at", "why", "held", "guests", "link")
 
-    def __init__(self, bridge: Bridge, bits: int):
-        self.bridge, self.root, self.anchor, self.bits = bridge, bridge.orphan, bridge.anchor, bits
+    def __init__(self, link: Link, bits: int):
+        self.link, self.root, self.anchor, self.bits = link, link.orphan, link.anchor, bits
         self.claims: dict[int, list[Span]] = defaultdict(list)
         self.at: dict[int, Span] = {}
         self.why: dict[int, str] = {}
         #: Reserved levels with the orphan that needs them; None for the chain's own lost parent.
-        self.held: dict[int, Span | None] = {bridge.orphan.depth - 1: None}
+        self.held: dict[int, Span | None] = {link.orphan.depth - 1: None}
         self.guests: list[tuple[Span, list[Span]]] = []
 
     def inside(self, depth: int) -> bool:
@@ -50,9 +50,9 @@ class Ledger:
 
     def __init__(self, f: Fragments):
         self.f = f
-        bridges = by_prefix(f)
-        self.loose = [b.orphan for b in bridges if b.anchor is None]
-        self.chains = [Chain(b, (f.by_id[b.via] if b.via else b.orphan).payload.bits) for b in bridges if b.anchor]
+        links = by_prefix(f)
+        self.loose = [b.orphan for b in links if b.anchor is None]
+        self.chains = [Chain(b, (f.by_id[b.via] if b.via else b.orphan).payload.bits) for b in links if b.anchor]
         self.windows: dict[int, list[Chain]] = defaultdict(list)
         for c in self.chains:
             self.windows[c.anchor.id].append(c)
@@ -349,27 +349,27 @@ class Ledger:
             if not any([self.search(chains) for _, chains in sorted(self.windows.items())]):
                 break
 
-    def bridges(self) -> list[Bridge]:
+    def links(self) -> list[Link]:
         """Every fragment under the deepest occupant above it; orphans on the chain that took most of them."""
         out = []
         for c in self.chains:
             top = next((c.at[d] for d in range(c.root.depth - 1, c.anchor.depth, -1) if d in c.at), c.anchor)
-            out.append(Bridge(c.root, top, c.bridge.ambiguous, c.bridge.via))
+            out.append(Link(c.root, top, c.link.ambiguous, c.link.via))
         for r in self.loose:
             if r.id not in self.placed:
-                out.append(Bridge(r, None))
+                out.append(Link(r, None))
                 continue
             c, _ = max(self.placed[r.id], key=lambda x: len(x[1]))
             top = next((c.at[d] for d in range(r.depth - 1, c.anchor.depth, -1) if d in c.at and c.at[d] is not r), c.anchor)
-            out.append(Bridge(r, top))
+            out.append(Link(r, top))
         return out
 
 
-def by_ledger(f: Fragments) -> list[Bridge]:
+def by_ledger(f: Fragments) -> list[Link]:
     """``ledger``: the chains of all fragments threaded together."""
     ledger = Ledger(f)
     ledger.run()
-    return ledger.bridges()
+    return ledger.links()
 
 
 RUN["ledger"] = by_ledger

@@ -28,7 +28,7 @@ from spanloom.operators.handlers import Scheme
 from spanloom.plans.traces import groups, map_traces
 
 ENGINES = {"pb": "pb", "pcr": "pcr", "pcrb": "pcrb", "pb2": "pcrb", "pb1": "pcrb", "pb0": "pcrb", "cgp": "cgprb", "ledger": "pcrb", "map": "pcrb", "cgprb": "cgprb"}
-BRIDGES = "trace_id bigint, orphan_id bigint, anchor_id bigint, synthetic int, ambiguous boolean, via_carrier bigint, fanout bigint"
+LINKS = "trace_id bigint, orphan_id bigint, anchor_id bigint, synthetic int, ambiguous boolean, via_carrier bigint, fanout bigint"
 
 
 @dataclass
@@ -54,7 +54,7 @@ class Span:
 
 
 @dataclass
-class Bridge:
+class Link:
     """An orphan's new place."""
 
     orphan: Span
@@ -120,7 +120,7 @@ class Fragments:
         return (hits[0] if hits else None), len(hits) > 1
 
 
-def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True) -> list[Bridge]:
+def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True) -> list[Link]:
     """``pb``: the deepest survivor at least two levels up that the orphan's filter holds."""
     carriers = [s for s in f.spans if s.payload]
     placed: dict[int, list[Span]] = defaultdict(list)
@@ -128,15 +128,15 @@ def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True) -
     for o in sorted(f.orphans, key=lambda s: (-s.depth, s.key)) if bottom_up else f.orphans:
         bits, via = _covering(f, o, carriers, placed)
         low = (o.depth - 1) // f.cpd * f.cpd
-        bridge = Bridge(o, None)
+        link = Link(o, None)
         for depth in range(o.depth - 2, low - 1, -1) if bits is not None else ():
             hits = [s for s in f.by_depth[depth] if f.holds(bits, s.id) and (not chain_check or _chain(f, bits, s, low))]
             if hits:
-                bridge = Bridge(o, hits[0], len(hits) > 1, via)
+                link = Link(o, hits[0], len(hits) > 1, via)
                 if bottom_up:
                     placed[hits[0].id].append(o)
                 break
-        out.append(bridge)
+        out.append(link)
     return out
 
 
@@ -175,17 +175,17 @@ def _chain(f: Fragments, bits: int, s: Span, low: int) -> bool:
     return True
 
 
-def by_prefix(f: Fragments) -> list[Bridge]:
+def by_prefix(f: Fragments) -> list[Link]:
     """``pcr``: the checkpoint that the orphan's nearest carrier names."""
     out = []
     for o in f.orphans:
         carrier = f.nearest_carrier(o)
         anchor, ambiguous = f.checkpoint(carrier) if carrier else (None, False)
-        out.append(Bridge(o, anchor, ambiguous, carrier.id if carrier and carrier is not o else 0))
+        out.append(Link(o, anchor, ambiguous, carrier.id if carrier and carrier is not o else 0))
     return out
 
 
-def by_both(f: Fragments, stop_on_gap: bool = False) -> list[Bridge]:
+def by_both(f: Fragments, stop_on_gap: bool = False) -> list[Link]:
     """``pcrb``: anchored like ``pcr``, then threaded down through what the filter holds.
 
     Candidates are the anchor's surviving descendants and the other fragments of the window whose lost
@@ -261,7 +261,7 @@ def fanouts_of(f: Fragments) -> dict[int, tuple[int, Span]]:
     return out
 
 
-def by_windows(f: Fragments, pool: bool = True, lean: bool = False) -> list[Bridge]:
+def by_windows(f: Fragments, pool: bool = True, lean: bool = False) -> list[Link]:
     """``pb2`` (``pool``), ``pb1`` and ``pb0`` (``lean``): the deepest survivor that all filters of the window hold.
 
     With nothing but "one place per fragment" to satisfy, the best total of depths is the best depth of each.
@@ -277,7 +277,7 @@ def by_windows(f: Fragments, pool: bool = True, lean: bool = False) -> list[Brid
         if not p.root.parent:
             continue
         if p.top is None:
-            out.append(Bridge(p.root, None))
+            out.append(Link(p.root, None))
             continue
         low = p.top.depth
         team = siblings[p.root.parent] if pool else [p]
@@ -296,7 +296,7 @@ def by_windows(f: Fragments, pool: bool = True, lean: bool = False) -> list[Brid
                 anchor, ambiguous = hits[0], len(hits) > 1
                 break
         named = p.root.parent if p.root.parent in fanouts or len(siblings[p.root.parent]) > 1 else 0
-        out.append(Bridge(p.root, anchor, ambiguous, p.carrier.id if p.borrowed else 0, named))
+        out.append(Link(p.root, anchor, ambiguous, p.carrier.id if p.borrowed else 0, named))
     return out
 
 
@@ -336,14 +336,14 @@ def _survivors(rows: pa.Table, s: Scheme) -> Iterator[tuple[int, Fragments]]:
         yield int(trace[a]), Fragments(spans, masks, s.cpd, s.prefix)
 
 
-def bridges(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> DataFrame:
+def links(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> DataFrame:
     """Every orphan's place: ``anchor_id`` null where no evidence gives one, ``synthetic`` spans lost in between.
 
     ``survivors`` has ``trace_id, span_id, parent_id, depth, br`` (null ``br`` for spans that persisted
     only their depth). ``fanout`` is the lost parent that the orphan shares with others, 0 for none.
     """
     s = Scheme(**{**scheme.__dict__, "name": ENGINES[engine]}).settled()
-    names = [c.split()[0] for c in BRIDGES.split(", ")]
+    names = [c.split()[0] for c in LINKS.split(", ")]
 
     def run(rows: pa.Table) -> pa.Table:
         out = []
@@ -354,7 +354,7 @@ def bridges(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> Dat
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
         return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
 
-    return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), run, BRIDGES)
+    return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), run, LINKS)
 
 
 TIMINGS = "trace_id bigint, survivors int, orphans int, reconnected int, recon_ns bigint"

@@ -1,7 +1,7 @@
 """Rebuilt trees against the truth, and independent checks of a reconstruction.
 
-``truth`` is the whole trace table with ``depth`` and ``dropped``; ``bridges`` is what
-:func:`spanloom.operators.reconstruct.bridges` gives. Everything is joins on (trace, span) and sums.
+``truth`` is the whole trace table with ``depth`` and ``dropped``; ``links`` is what
+:func:`spanloom.operators.reconstruct.links` gives. Everything is joins on (trace, span) and sums.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ def fragment_roots(truth: DataFrame) -> DataFrame:
     return fold_up(alive, {}, sized=True).withColumnRenamed("top_id", "frag_id").drop("top_parent", "unsettled", "children")
 
 
-def graded(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
-    """``bridges`` plus the true nearest surviving ancestor, the true gap, and whether the anchor is an ancestor at all.
+def graded(links: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
+    """``links`` plus the true nearest surviving ancestor, the true gap, and whether the anchor is an ancestor at all.
 
     With ``lost_fragments`` the spans of fragments without an anchor count as lost too, and ``skipped``
     counts the kept ancestors strictly between orphan and anchor.
@@ -35,11 +35,11 @@ def graded(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -
     paths = ancestors(truth)
     state = truth.select("trace_id", F.col("span_id").alias("ancestor_id"), "dropped")
     if lost_fragments:
-        gone = bridges.where("anchor_id is null").select("trace_id", F.col("orphan_id").alias("frag_id"), F.lit(True).alias("gone"))
+        gone = links.where("anchor_id is null").select("trace_id", F.col("orphan_id").alias("frag_id"), F.lit(True).alias("gone"))
         frags = fragment_roots(truth).join(gone, ["trace_id", "frag_id"]).select("trace_id", F.col("span_id").alias("ancestor_id"), "gone")
         state = state.join(frags, ["trace_id", "ancestor_id"], "left").withColumn("dropped", F.col("dropped") | F.coalesce("gone", F.lit(False)))
     state = state.select("trace_id", "ancestor_id", (~F.col("dropped")).alias("kept"))
-    own = bridges.withColumnRenamed("orphan_id", "span_id")
+    own = links.withColumnRenamed("orphan_id", "span_id")
     rows = own.select("trace_id", "span_id", "anchor_id").join(paths, ["trace_id", "span_id"]).join(state, ["trace_id", "ancestor_id"])
     at = F.max(F.when(F.col("ancestor_id") == F.col("anchor_id"), F.col("distance")))
     found = rows.groupBy("trace_id", "span_id").agg(
@@ -50,7 +50,7 @@ def graded(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -
     out = own.join(found, ["trace_id", "span_id"], "left").withColumnRenamed("span_id", "orphan_id")
     skipped = F.size(F.filter("kept_at", lambda d: d < F.col("anchor_at")))
     return out.select(
-        *bridges.columns,
+        *links.columns,
         F.coalesce(F.col("near.ancestor_id"), F.lit(0)).alias("true_anchor"),
         F.coalesce(F.col("near.distance") - 1, F.lit(0)).alias("true_gap"),
         F.col("anchor_at").isNotNull().alias("is_ancestor"),
@@ -58,9 +58,9 @@ def graded(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -
     )
 
 
-def score(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
+def score(links: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
     """Per trace: how many orphans were reattached, rightly, to an ancestor, with the right gap, and by ambiguous evidence."""
-    g = graded(bridges, truth, lost_fragments)
+    g = graded(links, truth, lost_fragments)
     placed, right = F.col("anchor_id").isNotNull(), F.col("anchor_id") == F.col("true_anchor")
     sums = g.groupBy("trace_id").agg(
         F.count(F.lit(1)).alias("orphans"),
@@ -81,9 +81,9 @@ def score(bridges: DataFrame, truth: DataFrame, lost_fragments: bool = False) ->
     return spans.join(sums, "trace_id", "left").na.fill(0)
 
 
-def lost_spans(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def lost_spans(links: DataFrame, truth: DataFrame) -> DataFrame:
     """Per trace: fragments without an anchor and their spans, fragments that skip an ancestor and their spans."""
-    g = graded(bridges, truth, lost_fragments=True).select("trace_id", F.col("orphan_id").alias("frag_id"), "anchor_id", "skipped")
+    g = graded(links, truth, lost_fragments=True).select("trace_id", F.col("orphan_id").alias("frag_id"), "anchor_id", "skipped")
     sizes = fragment_roots(truth).groupBy("trace_id", "frag_id").agg(F.count(F.lit(1)).alias("n"))
     both = g.join(sizes, ["trace_id", "frag_id"])
     gone, past = F.col("anchor_id").isNull(), F.col("skipped") > 0
@@ -93,11 +93,11 @@ def lost_spans(bridges: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def open_ends(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def open_ends(links: DataFrame, truth: DataFrame) -> DataFrame:
     """Per trace: survivors without payload and without a surviving child, which lost all children, and those that got an orphan."""
     alive = truth.where("not dropped")
     kids = alive.select("trace_id", F.col("parent_id").alias("span_id")).distinct().withColumn("has", F.lit(True))
-    hit = bridges.where("anchor_id is not null").select("trace_id", F.col("anchor_id").alias("span_id")).distinct().withColumn("got", F.lit(True))
+    hit = links.where("anchor_id is not null").select("trace_id", F.col("anchor_id").alias("span_id")).distinct().withColumn("got", F.lit(True))
     ends = alive.where("not carrier").join(kids, ["trace_id", "span_id"], "left").where("has is null").join(hit, ["trace_id", "span_id"], "left")
     return ends.groupBy("trace_id").agg(F.count(F.lit(1)).alias("open_ends"), F.count("got").alias("open_ends_matched"))
 
@@ -117,7 +117,7 @@ def totals(scores: DataFrame) -> DataFrame:
     )
 
 
-def topology(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def topology(links: DataFrame, truth: DataFrame) -> DataFrame:
     """Per trace: siblings under lost parents that were rebuilt as siblings, connectivity, and both.
 
     ``conn_correct``: every orphan at its true nearest survivor. ``topo_correct``: that, and the sibling
@@ -126,7 +126,7 @@ def topology(bridges: DataFrame, truth: DataFrame) -> DataFrame:
     """
     branch = truth.where("parent_id <> 0").groupBy("trace_id", F.col("parent_id").alias("true_parent")).agg(F.count(F.lit(1)).alias("true_kids"))
     parents = truth.select("trace_id", F.col("span_id").alias("orphan_id"), F.col("parent_id").alias("true_parent"))
-    rows = graded(bridges, truth).join(parents, KEY).join(branch, ["trace_id", "true_parent"], "left")
+    rows = graded(links, truth).join(parents, KEY).join(branch, ["trace_id", "true_parent"], "left")
     pairs = lambda n: (n * (n - 1) / 2).cast("long")
     by_truth = rows.groupBy("trace_id", "true_parent").agg(F.count(F.lit(1)).alias("n"), _count(F.col("fanout") == F.col("true_parent")).alias("hit"))
     true_side = by_truth.groupBy("trace_id").agg(
@@ -161,18 +161,18 @@ def topology_totals(t: DataFrame) -> DataFrame:
     )
 
 
-def recon_edges(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def recon_edges(links: DataFrame, truth: DataFrame) -> DataFrame:
     """``trace_id, node_id, parent_id, is_anon``: the edges of the rebuilt tree with an identity.
 
     A survivor keeps its real parent. An orphan hangs on its lost parent, whose id it names (exact); if no
-    bridge was built it has no edge. The lost parent hangs on the anchor where nothing lies between,
+    link was built it has no edge. The lost parent hangs on the anchor where nothing lies between,
     else on an anonymous span.
     """
     alive = truth.where("not dropped")
     ids = alive.select("trace_id", F.col("span_id").alias("parent_id"))
     real = alive.join(ids, ["trace_id", "parent_id"], "left_semi").select("trace_id", F.col("span_id").alias("node_id"), "parent_id", F.lit(False).alias("is_anon"))
     up = alive.select("trace_id", F.col("span_id").alias("orphan_id"), F.col("parent_id").alias("named"))
-    placed = bridges.where("anchor_id is not null").join(up, KEY)
+    placed = links.where("anchor_id is not null").join(up, KEY)
     named = placed.select("trace_id", F.col("orphan_id").alias("node_id"), F.col("named").alias("parent_id"), F.lit(False).alias("is_anon"))
     # of several orphans with one lost parent the deepest anchor counts, then the smallest id
     best = F.max_by(F.struct("anchor_id", "synthetic"), F.struct((-F.col("synthetic")).alias("s"), (-F.col("anchor_id")).alias("a")))
@@ -213,10 +213,10 @@ def edge_identity(edges: DataFrame, truth: DataFrame) -> DataFrame:
     )
 
 
-def strict_identity(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def strict_identity(links: DataFrame, truth: DataFrame) -> DataFrame:
     """:func:`edge_identity` with every orphan off its true nearest survivor counted as a wrong edge too."""
-    edges = edge_identity(recon_edges(bridges, truth), truth)
-    off = graded(bridges, truth).where("anchor_id is not null and anchor_id <> true_anchor").groupBy("trace_id").agg(F.count(F.lit(1)).alias("off"))
+    edges = edge_identity(recon_edges(links, truth), truth)
+    off = graded(links, truth).where("anchor_id is not null and anchor_id <> true_anchor").groupBy("trace_id").agg(F.count(F.lit(1)).alias("off"))
     out = edges.join(off, "trace_id", "left").withColumn("edge_wrong", F.col("edge_wrong") + F.coalesce("off", F.lit(0)))
     return out.drop("off").withColumn("clean", F.col("edge_wrong") == 0)
 
@@ -231,9 +231,9 @@ def identity_totals(per: DataFrame) -> DataFrame:
     )
 
 
-def wrong_edges(bridges: DataFrame, truth: DataFrame) -> DataFrame:
-    """Bridges to a span that is no ancestor: where the wrong anchor's path and the orphan's leave each other."""
-    bad = graded(bridges, truth).where("anchor_id is not null and not is_ancestor").select(*KEY, "anchor_id", "true_anchor")
+def wrong_edges(links: DataFrame, truth: DataFrame) -> DataFrame:
+    """Links to a span that is no ancestor: where the wrong anchor's path and the orphan's leave each other."""
+    bad = graded(links, truth).where("anchor_id is not null and not is_ancestor").select(*KEY, "anchor_id", "true_anchor")
     depth = truth.select("trace_id", F.col("span_id").alias("ancestor_id"), "depth")
     paths = ancestors(truth).select("trace_id", "span_id", "ancestor_id")
     selves = truth.select("trace_id", "span_id", F.col("span_id").alias("ancestor_id"))
@@ -251,14 +251,14 @@ def tree_identity(edges: DataFrame, truth: DataFrame) -> DataFrame:
     return edge_identity(named, truth)
 
 
-def connectivity_ceilings(bridges: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row: wrong bridges of only children, of siblings of which one is right or none, and how many lie below a right branch.
+def connectivity_ceilings(links: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: wrong links of only children, of siblings of which one is right or none, and how many lie below a right branch.
 
     ``rescuable``: a lost branching span between the orphan and its true anchor also has an orphan below
     it that is placed rightly.
     """
     up = truth.select("trace_id", F.col("span_id").alias("orphan_id"), F.col("parent_id").alias("lost_id"))
-    g = graded(bridges.where("anchor_id is not null"), truth).join(up, KEY).withColumn("right", F.col("anchor_id") == F.col("true_anchor"))
+    g = graded(links.where("anchor_id is not null"), truth).join(up, KEY).withColumn("right", F.col("anchor_id") == F.col("true_anchor"))
     per = g.groupBy("trace_id", "lost_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("right")).alias("any_right"))
     both = g.join(per, ["trace_id", "lost_id"])
     branch = truth.where("parent_id <> 0").groupBy("trace_id", F.col("parent_id").alias("ancestor_id")).agg(F.count(F.lit(1)).alias("kids")).where("kids > 1")
@@ -286,20 +286,20 @@ def breadcrumb_outcomes(trees: DataFrame) -> DataFrame:
 # ---- independent checks ----
 
 
-def violations(survivors: DataFrame, bridges: DataFrame) -> DataFrame:
+def violations(survivors: DataFrame, links: DataFrame) -> DataFrame:
     """``trace_id, kind, span_id`` of every broken rule of a reconstruction; none if it is sound.
 
-    Rules: no span and no bridge twice, real edges one level apart, every fragment's root is the trace's
-    root, bridged or given up, bridges between existing spans, depths that add up, at least one
-    lost span in between, and no ring of bridges.
+    Rules: no span and no link twice, real edges one level apart, every fragment's root is the trace's
+    root, linked or given up, links between existing spans, depths that add up, at least one
+    lost span in between, and no ring of links.
     """
     say = lambda df, kind, id_: df.select("trace_id", F.lit(kind).alias("kind"), F.col(id_).alias("span_id"))
     many = lambda df, c: df.groupBy("trace_id", c).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     at = survivors.select("trace_id", F.col("span_id").alias("parent_id"), F.col("depth").alias("up_depth")).dropDuplicates(["trace_id", "parent_id"])
     linked = survivors.join(at, ["trace_id", "parent_id"], "left")
-    placed = bridges.where("anchor_id is not null")
+    placed = links.where("anchor_id is not null")
     roots = linked.where("up_depth is null").select("trace_id", F.col("span_id").alias("orphan_id"), "parent_id")
-    state = roots.join(bridges.select(*KEY, F.lit(1).alias("has")).dropDuplicates(KEY), KEY, "left")
+    state = roots.join(links.select(*KEY, F.lit(1).alias("has")).dropDuplicates(KEY), KEY, "left")
     wrong = state.where((F.col("parent_id") == 0).cast("int") + F.coalesce("has", F.lit(0)) != 1)
     own = survivors.select("trace_id", F.col("span_id").alias("orphan_id"), F.col("depth").alias("own_depth")).dropDuplicates(KEY)
     anchors = at.select("trace_id", F.col("parent_id").alias("anchor_id"), F.col("up_depth").alias("anchor_depth"))
@@ -311,7 +311,7 @@ def violations(survivors: DataFrame, bridges: DataFrame) -> DataFrame:
     tree = tree.select("trace_id", "span_id", F.coalesce("moved", "parent_id").alias("parent_id"))
     found = [
         say(many(survivors, "span_id"), "dup-span", "span_id"),
-        say(many(bridges, "orphan_id"), "dup-bridge", "orphan_id"),
+        say(many(links, "orphan_id"), "dup-link", "orphan_id"),
         say(linked.where("up_depth <> depth - 1"), "edge-depth", "span_id"),
         say(wrong, "disposition", "orphan_id"),
         say(both.where("own_depth is null or anchor_depth is null"), "dangling", "orphan_id"),
@@ -325,8 +325,8 @@ def violations(survivors: DataFrame, bridges: DataFrame) -> DataFrame:
     return out
 
 
-def evidence(survivors: DataFrame, bridges: DataFrame, scheme: Scheme) -> DataFrame:
-    """``trace_id, kind, span_id`` of bridges that their own payload speaks against: prefix, window, filter.
+def evidence(survivors: DataFrame, links: DataFrame, scheme: Scheme) -> DataFrame:
+    """``trace_id, kind, span_id`` of links that their own payload speaks against: prefix, window, filter.
 
     Read anew from the carrier's bytes: the anchor lies in the carrier's window, the window's top has the
     payload's prefix or lies above the anchor, and the filter holds a threaded anchor.
@@ -336,7 +336,7 @@ def evidence(survivors: DataFrame, bridges: DataFrame, scheme: Scheme) -> DataFr
     size = -(-m // 8)
     carrier = survivors.where("br is not null").select("trace_id", F.col("span_id").alias("carrier_id"), F.col("depth").alias("at"), "br")
     anchors = survivors.select("trace_id", F.col("span_id").alias("anchor_id"), F.col("depth").alias("anchor_depth"))
-    rows = bridges.where("anchor_id is not null").withColumn("carrier_id", F.when(F.col("via_carrier") != 0, F.col("via_carrier")).otherwise(F.col("orphan_id")))
+    rows = links.where("anchor_id is not null").withColumn("carrier_id", F.when(F.col("via_carrier") != 0, F.col("via_carrier")).otherwise(F.col("orphan_id")))
     rows = rows.join(carrier, ["trace_id", "carrier_id"]).join(anchors, ["trace_id", "anchor_id"])
     width = F.lit(1)
     for i in range(1, 4):
@@ -358,36 +358,36 @@ def evidence(survivors: DataFrame, bridges: DataFrame, scheme: Scheme) -> DataFr
     return out
 
 
-def with_faults(bridges: DataFrame, truth: DataFrame, every: int = 7) -> DataFrame:
-    """``bridges`` with one planted fault in about every ``every``-th trace, and its ``fault`` kind (else null).
+def with_faults(links: DataFrame, truth: DataFrame, every: int = 7) -> DataFrame:
+    """``links`` with one planted fault in about every ``every``-th trace, and its ``fault`` kind (else null).
 
     ``root``: the anchor becomes the trace's root; ``sibling``: a survivor of the anchor's depth that is
-    no ancestor; ``gap``: one lost span too many; ``lost``: no anchor; ``twice``: the bridge is doubled.
+    no ancestor; ``gap``: one lost span too many; ``lost``: no anchor; ``twice``: the link is doubled.
     """
     kinds = ("root", "sibling", "gap", "lost", "twice")
-    first = bridges.where("anchor_id is not null").groupBy("trace_id").agg(F.min("orphan_id").alias("orphan_id"))
+    first = links.where("anchor_id is not null").groupBy("trace_id").agg(F.min("orphan_id").alias("orphan_id"))
     pick = first.where(F.pmod("trace_id", F.lit(every)) == 0).withColumn("fault", F.element_at(F.array(*map(F.lit, kinds)), (F.pmod(F.floor(F.col("trace_id") / every), F.lit(len(kinds))) + 1).cast("int")))
     roots = truth.where("parent_id = 0").groupBy("trace_id").agg(F.min("span_id").alias("root_id"))
     alive = truth.where("not dropped").select("trace_id", F.col("span_id").alias("other"), F.col("depth").alias("d"))
     at = truth.select("trace_id", F.col("span_id").alias("anchor_id"), F.col("depth").alias("d"))
     paths = ancestors(truth).select("trace_id", F.col("span_id").alias("orphan_id"), F.col("ancestor_id").alias("other"))
-    beside = bridges.join(pick, KEY).where("fault = 'sibling'").join(at, ["trace_id", "anchor_id"]).join(alive, ["trace_id", "d"])
+    beside = links.join(pick, KEY).where("fault = 'sibling'").join(at, ["trace_id", "anchor_id"]).join(alive, ["trace_id", "d"])
     beside = beside.join(paths, [*KEY, "other"], "left_anti").groupBy(*KEY).agg(F.min("other").alias("beside"))
-    rows = bridges.join(pick, KEY, "left").join(roots, "trace_id", "left").join(beside, KEY, "left")
+    rows = links.join(pick, KEY, "left").join(roots, "trace_id", "left").join(beside, KEY, "left")
     rows = rows.withColumn("fault", F.when((F.col("fault") == "sibling") & F.col("beside").isNull(), None).otherwise(F.col("fault")))
     is_ = lambda k: F.coalesce(F.col("fault") == k, F.lit(False))
     moved = F.when(is_("root"), F.col("root_id")).when(is_("sibling"), F.col("beside")).when(is_("lost"), F.lit(None)).otherwise(F.col("anchor_id"))
     gap = F.when(is_("gap"), F.col("synthetic") + 1).when(is_("lost"), F.lit(None)).otherwise(F.col("synthetic"))
     copies = F.explode(F.when(is_("twice"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     out = rows.withColumn("anchor_id", moved).withColumn("synthetic", gap).withColumn("copy", copies)
-    return out.select(*bridges.columns, "fault")
+    return out.select(*links.columns, "fault")
 
 
-def audit(bridges: DataFrame, truth: DataFrame, every: int = 7) -> DataFrame:
+def audit(links: DataFrame, truth: DataFrame, every: int = 7) -> DataFrame:
     """Per kind of planted fault: how many were planted and how many the scores and checks saw."""
-    bad = with_faults(bridges, truth, every)
+    bad = with_faults(links, truth, every)
     planted = bad.where("fault is not null").select(*KEY, "fault").distinct()
-    before = graded(bridges, truth).select(*KEY, (F.col("anchor_id") == F.col("true_anchor")).alias("was"), (F.col("synthetic") == F.col("true_gap")).alias("gap_was"),
+    before = graded(links, truth).select(*KEY, (F.col("anchor_id") == F.col("true_anchor")).alias("was"), (F.col("synthetic") == F.col("true_gap")).alias("gap_was"),
                                            F.col("anchor_id").alias("old"))
     after = graded(bad.drop("fault").dropDuplicates(KEY), truth).select(*KEY, (F.col("anchor_id") == F.col("true_anchor")).alias("now"), F.col("synthetic"), "true_gap", "anchor_id", "is_ancestor")
     twice = bad.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))

@@ -135,9 +135,9 @@ def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, b = recon.rebuilt(spark, sf_dir, "pcr", s)
     path = _folder(spark, "artifacts")
     reports.write_lines(reports.artifacts(truth.where("not dropped"), b), path)
-    survivors, bridges = reports.from_artifacts(reports.read_lines(spark, path, reports.ARTIFACT))
-    survivors, bridges = materialize(survivors, "survivors"), materialize(bridges, "bridges")
-    return scoring.violations(survivors, bridges).unionByName(scoring.evidence(survivors, bridges, s))
+    survivors, links = reports.from_artifacts(reports.read_lines(spark, path, reports.ARTIFACT))
+    survivors, links = materialize(survivors, "survivors"), materialize(links, "links")
+    return scoring.violations(survivors, links).unionByName(scoring.evidence(survivors, links, s))
 
 
 def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def _dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "dump")
     recon.truth_of(spark, sf_dir, s).write.parquet(path)
     truth = spark.read.parquet(path)
-    return reconstruct.bridges(truth.where("not dropped"), "pcr", s).groupBy("trace_id").agg(F.count(F.lit(1)).alias("orphans"), F.count("anchor_id").alias("reconnected"))
+    return reconstruct.links(truth.where("not dropped"), "pcr", s).groupBy("trace_id").agg(F.count(F.lit(1)).alias("orphans"), F.count("anchor_id").alias("reconnected"))
 
 
 def _rebuilt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,7 +311,7 @@ SELECT trace_id, count(*) AS num_spans, (9 * count(*) FILTER (carrier))::BIGINT
         "artifact_lines": Entry(_artifacts, recon.NO_ROWS),
         "survivor_dump": Entry(
             _dumped,
-            recon.WIDE + recon.KINDS + recon.PREFIX.format(shift=1 << 32) + " SELECT trace_id, count(*) AS orphans, count(anchor_id) AS reconnected FROM bridges GROUP BY trace_id",
+            recon.WIDE + recon.KINDS + recon.PREFIX.format(shift=1 << 32) + " SELECT trace_id, count(*) AS orphans, count(anchor_id) AS reconnected FROM links GROUP BY trace_id",
         ),
         "rebuilt_documents": Entry(
             _rebuilt_documents,

@@ -113,7 +113,7 @@ PREFIX = (
 ), hits AS (
   SELECT n.trace_id, n.orphan_id, any_value(n.o_depth) AS o_depth, any_value(n.here) AS here, min(a.span_id) AS anchor_id, count(*) AS n, any_value(n.top) AS top
   FROM named n JOIN alive a ON a.trace_id = n.trace_id AND a.depth = n.top AND a.span_id // {shift} = n.head GROUP BY n.trace_id, n.orphan_id
-), bridges AS (
+), links AS (
   SELECT o.trace_id, o.span_id AS orphan_id, h.anchor_id, (h.o_depth - h.top - 1)::INTEGER AS synthetic, coalesce(h.n > 1, false) AS ambiguous,
     coalesce(CASE WHEN r.here <> o.span_id THEN r.here END, 0)::BIGINT AS via_carrier
   FROM orphans o LEFT JOIN hits h ON h.trace_id = o.trace_id AND h.orphan_id = o.span_id LEFT JOIN near r ON r.trace_id = o.trace_id AND r.orphan_id = o.span_id
@@ -125,7 +125,7 @@ GRADED = """, paths AS (
 ), graded AS (
   SELECT b.trace_id, b.orphan_id, b.anchor_id, b.synthetic, b.ambiguous, b.via_carrier, t.anchor_id AS true_anchor, t.gap,
     (SELECT p.distance FROM paths p WHERE p.trace_id = b.trace_id AND p.span_id = b.orphan_id AND p.a = b.anchor_id) AS anchor_at
-  FROM bridges b JOIN anchors t ON t.trace_id = b.trace_id AND t.span_id = b.orphan_id
+  FROM links b JOIN anchors t ON t.trace_id = b.trace_id AND t.span_id = b.orphan_id
 ), skips AS (
   SELECT g.trace_id, g.orphan_id, count(*) AS skipped FROM graded g JOIN paths p ON p.trace_id = g.trace_id AND p.span_id = g.orphan_id AND p.distance < g.anchor_at
   JOIN drops d ON d.trace_id = p.trace_id AND d.span_id = p.a AND NOT d.dropped GROUP BY ALL
@@ -168,9 +168,9 @@ def truth_of(spark: SparkSession, sf_dir: str, scheme: Scheme) -> DataFrame:
 
 
 def rebuilt(spark: SparkSession, sf_dir: str, engine: str, scheme: Scheme, **options) -> tuple[DataFrame, DataFrame]:
-    """``truth`` and ``bridges`` of an engine."""
+    """``truth`` and ``links`` of an engine."""
     truth = truth_of(spark, sf_dir, Scheme(**{**scheme.__dict__, "name": reconstruct.ENGINES[engine]}))
-    return truth, materialize(reconstruct.bridges(truth.where("not dropped"), engine, scheme, **options), "recon-bridges")
+    return truth, materialize(reconstruct.links(truth.where("not dropped"), engine, scheme, **options), "recon-links")
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,17 +182,17 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _bridges(engine: str, columns: tuple[str, ...], options: dict | None = None, **settings):
+def _links(engine: str, columns: tuple[str, ...], options: dict | None = None, **settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rebuilt(spark, sf_dir, engine, Scheme(cpd=CPD, **settings), **(options or {}))[1].select(*columns)
 
     return run
 
 
-def _true_bridges(engine: str, **options) -> Entry:
-    """An engine whose filters make no mistake: its bridges are the truth."""
+def _true_links(engine: str, **options) -> Entry:
+    """An engine whose filters make no mistake: its links are the truth."""
     return Entry(
-        _bridges(engine, ("trace_id", "orphan_id", "anchor_id", "synthetic"), options, fp=RARE, prime=True),
+        _links(engine, ("trace_id", "orphan_id", "anchor_id", "synthetic"), options, fp=RARE, prime=True),
         WIDE + KINDS + ANCHORS + " SELECT trace_id, span_id AS orphan_id, anchor_id, gap::INTEGER AS synthetic FROM anchors",
     )
 
@@ -206,7 +206,7 @@ def _scored(engine: str, measure, **settings):
 
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Scheme("sbridge", CPD)
+    s = Scheme("crumbs", CPD)
     spans = wide(spark, sf_dir)
     p = handlers.with_delayed_ends(spans, s).select("trace_id", "span_id", "br")
     order = structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal")
@@ -224,7 +224,7 @@ def _tree_identity(fp: float, engine: str, **settings):
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Scheme("sbridge", CPD)
+    s = Scheme("crumbs", CPD)
     # ends can be told only where children end before their parents
     spans = materialize(wide_spans(structure.clip(heap_spans(spark, sf_dir))), "nested")
     p = handlers.payloads(spans, s).select("trace_id", "span_id", "br")
@@ -265,11 +265,11 @@ NO_ROWS = "SELECT 0::BIGINT AS trace_id, '' AS kind, 0::BIGINT AS span_id WHERE
 
 def entries() -> dict[str, Entry]:
     """All entries by name."""
-    sbridge = Scheme("sbridge", CPD)
+    crumbs = Scheme("crumbs", CPD)
     return {
         "payload_sizes": Entry(_sizes, SIZES_SQL),
         "breadcrumb_sizes": Entry(
-            lambda spark, sf_dir: handlers.payloads(heap_spans(spark, sf_dir), Scheme("sbridge", CPD, topology_only=True, emit_order=True)).select(
+            lambda spark, sf_dir: handlers.payloads(heap_spans(spark, sf_dir), Scheme("crumbs", CPD, topology_only=True, emit_order=True)).select(
                 "trace_id", "span_id", "emit_bytes", "baggage_bytes", "order_bytes"
             ),
             BREADCRUMB_SQL,
@@ -305,14 +305,14 @@ FROM drops d LEFT JOIN ckpts c ON c.trace_id = d.trace_id AND c.span_id = d.span
 SELECT s.trace_id, s.span_id, e.ends FROM own s JOIN ends e ON e.trace_id = s.trace_id AND e.parent_id = s.parent_id AND e.g + 1 = s.g WHERE s.kind = 0""",
         ),
         "delayed_ends": Entry(
-            lambda spark, sf_dir: handlers.delayed_ends(heap_spans(spark, sf_dir), sbridge).select(
+            lambda spark, sf_dir: handlers.delayed_ends(heap_spans(spark, sf_dir), crumbs).select(
                 "trace_id", "span_id", "service", "ts", F.octet_length("quad").alias("bytes")
             ),
             START + DEEP + EVENTS + DELAYED_SQL + " SELECT trace_id, span_id, service, ts, (20 + n)::INTEGER AS bytes FROM delayed",
         ),
         "delayed_pickups": Entry(
             lambda spark, sf_dir: handlers.next_start(
-                handlers.delayed_ends(heap_spans(spark, sf_dir), sbridge), handlers._starts(heap_spans(spark, sf_dir))
+                handlers.delayed_ends(heap_spans(spark, sf_dir), crumbs), handlers._starts(heap_spans(spark, sf_dir))
             ).select("trace_id", "span_id", "service", "ts", "next_trace", "next_span"),
             START
             + DEEP
@@ -324,9 +324,9 @@ SELECT s.trace_id, s.span_id, e.ends FROM own s JOIN ends e ON e.trace_id = s.tr
   WINDOW f AS (PARTITION BY service ORDER BY ts, kind, turn, trace_id, span_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind = 1""",
         ),
-        "pcr_bridges": Entry(
-            _bridges("pcr", ("trace_id", "orphan_id", "anchor_id", "synthetic", "ambiguous", "via_carrier"), name="pcr", prefix=1),
-            WIDE + KINDS + PREFIX.format(shift=1 << 56) + " SELECT * FROM bridges",
+        "pcr_links": Entry(
+            _links("pcr", ("trace_id", "orphan_id", "anchor_id", "synthetic", "ambiguous", "via_carrier"), name="pcr", prefix=1),
+            WIDE + KINDS + PREFIX.format(shift=1 << 56) + " SELECT * FROM links",
         ),
         "pcr_scores": Entry(
             _scored("pcr", scoring.score, name="pcr", prefix=4), WIDE + KINDS + ANCHORS + PREFIX.format(shift=1 << 32) + GRADED + SCORE_SQL
@@ -350,18 +350,18 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
 SELECT trace_id, count(*) FILTER (anchor_id IS NULL) AS fragments_lost, coalesce(sum(CASE WHEN anchor_id IS NULL THEN n END), 0)::BIGINT AS spans_lost,
   count(*) FILTER (skipped > 0) AS fragments_past, coalesce(sum(CASE WHEN skipped > 0 THEN n END), 0)::BIGINT AS spans_in_skipped FROM g GROUP BY trace_id""",
         ),
-        "pb_bridges": _true_bridges("pb"),
-        "pb_bottom_up": _true_bridges("pb", bottom_up=True),
-        "cgprb_bridges": _true_bridges("cgprb"),
+        "pb_links": _true_links("pb"),
+        "pb_bottom_up": _true_links("pb", bottom_up=True),
+        "cgprb_links": _true_links("cgprb"),
         "cgprb_topology": Entry(_scored("cgprb", lambda b, t: scoring.topology_totals(scoring.topology(b, t)), name="cgprb", fp=1e-2)),
         "pb_scores": Entry(_scored("pb", scoring.score, name="pb", fp=1e-2)),
-        "pcrb_bridges": _true_bridges("pcrb"),
-        "pb2_bridges": _true_bridges("pb2"),
-        "pb1_bridges": _true_bridges("pb1"),
-        "pb0_bridges": _true_bridges("pb0"),
-        "cgp_bridges": _true_bridges("cgp"),
-        "ledger_bridges": _true_bridges("ledger"),
-        "map_bridges": _true_bridges("map"),
+        "pcrb_links": _true_links("pcrb"),
+        "pb2_links": _true_links("pb2"),
+        "pb1_links": _true_links("pb1"),
+        "pb0_links": _true_links("pb0"),
+        "cgp_links": _true_links("cgp"),
+        "ledger_links": _true_links("ledger"),
+        "map_links": _true_links("map"),
         "map_scores": Entry(_scored("map", scoring.score, name="pcrb", fp=1e-2)),
         "map_open_ends": Entry(_scored("map", scoring.open_ends, name="pcrb", fp=RARE), WIDE + KINDS + ANCHORS + OPEN_ENDS),
         "ledger_scores": Entry(_scored("ledger", scoring.score, name="pcrb", fp=1e-2)),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +18,33 @@ from spanloom.sources import corpus
 from spanloom.sources.views import heap_spans
 from spanloom.streaming import assembly
 
-STRETCHES = 4
+BATCHES = 4
+
 
+def _stretches(df: DataFrame, path: str) -> int:
+    """Rows into ``path``, a file for each stretch of ``pos``; returns how many files make a batch.
 
-def _stretches(df: DataFrame, path: str) -> None:
-    """Rows into ``path``, a file for each stretch of ``pos``, one after the other: a stream reads files by age."""
-    last = df.agg(F.max("pos")).first()[0] or 0
-    for k in range(STRETCHES):
-        part = df.where((F.col("pos") > last * k // STRETCHES) & (F.col("pos") <= last * (k + 1) // STRETCHES))
-        part.coalesce(1).sortWithinPartitions("pos").write.mode("append").parquet(path)
+    All files are written at once; then their ages are put into the order of the stretches, since a
+    stream reads files by age.
+    """
+    spark = df.sparkSession
+    parts = max(BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartitionByRange(parts, "pos").sortWithinPartitions("pos").write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+    began = int(time.time()) - len(files)
+    for i, p in enumerate(files):  # one step per file
+        fs.setTimes(p, (began + i) * 1000, -1)
+    return max(1, -(-len(files) // BATCHES))
 
 
 def _events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A stream of events in stretches of their order, and the table of traces."""
     path = _folder(spark, "stream")
     events = corpus.events_of(with_depth(in_ns(heap_spans(spark, sf_dir)))).select(*[c.split()[0] for c in assembly.EVENTS.split(", ")])
-    _stretches(events, path)
-    return assembly.event_stream(spark, path), corpus.meta_of(spark.read.parquet(path))
+    files = _stretches(events, path)
+    return assembly.event_stream(spark, path, files), corpus.meta_of(spark.read.parquet(path))
 
 
 def _assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +67,14 @@ def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pickups(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = heap_spans(spark, sf_dir)
-    ends = handlers.delayed_ends(spans, Scheme("sbridge", recon.CPD)).withColumn("kind", F.lit(1)).withColumn("turn", -F.col("depth"))
+    ends = handlers.delayed_ends(spans, Scheme("crumbs", recon.CPD)).withColumn("kind", F.lit(1)).withColumn("turn", -F.col("depth"))
     starts = handlers._starts(spans).withColumn("kind", F.lit(0)).withColumn("turn", F.col("depth"))
     columns = ["service", "ts", "kind", "turn", "trace_id", "span_id"]
     rows = numbered(starts.select(*columns).unionByName(ends.select(*columns)), [F.col(c) for c in ("ts", "kind", "turn", "trace_id", "span_id")])
     path = _folder(spark, "queue")
-    _stretches(rows.drop("turn"), path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return assembly.run(assembly.picked_up(stream), _folder(spark, "pickups"))
+    files = _stretches(rows.drop("turn"), path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    return assembly.pick_up(stream, _folder(spark, "pickups"), slice_rows=1000)
 
 
 def entries() -> dict[str, Entry]:

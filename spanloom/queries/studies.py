@@ -88,7 +88,7 @@ def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
         from spanloom.operators import handlers, reconstruct
 
         truth = materialize(loss.with_drops(t).join(handlers.payloads(t, s).select("trace_id", "span_id", "br"), ["trace_id", "span_id"]), "online-truth")
-        b = materialize(reconstruct.bridges(truth.where("not dropped"), engine, s), "online-bridges")
+        b = materialize(reconstruct.links(truth.where("not dropped"), engine, s), "online-links")
         part = scoring.totals(scoring.score(b, truth)).select(F.lit(engine).alias("engine"), "traces", "spans", "dropped", "orphans", "reconnected", "anchor_correct", "wrong_pct")
         out = part if out is None else out.unionByName(part)
     return out

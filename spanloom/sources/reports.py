@@ -85,36 +85,36 @@ def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def artifacts(survivors: DataFrame, bridges: DataFrame) -> DataFrame:
-    """Per trace its survivors, bridges and orphans without a place: what a checker needs to replay a reconstruction."""
+def artifacts(survivors: DataFrame, links: DataFrame) -> DataFrame:
+    """Per trace its survivors, links and orphans without a place: what a checker needs to replay a reconstruction."""
     own = survivors.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "parent_id", "depth", F.base64("br").alias("br")))).alias("survivors"))
     placed = F.array_sort(F.collect_list(F.when(F.col("anchor_id").isNotNull(), F.struct("orphan_id", "anchor_id", "synthetic", "ambiguous", "via_carrier"))))
     lost = F.array_sort(F.collect_list(F.when(F.col("anchor_id").isNull(), F.col("orphan_id"))))
-    return own.join(bridges.groupBy("trace_id").agg(placed.alias("bridges"), lost.alias("unanchored")), "trace_id", "left")
+    return own.join(links.groupBy("trace_id").agg(placed.alias("links"), lost.alias("unanchored")), "trace_id", "left")
 
 
 ARTIFACT = (
     "trace_id bigint, survivors array<struct<span_id: bigint, parent_id: bigint, depth: int, br: string>>, "
-    "bridges array<struct<orphan_id: bigint, anchor_id: bigint, synthetic: int, ambiguous: boolean, via_carrier: bigint>>, unanchored array<bigint>"
+    "links array<struct<orphan_id: bigint, anchor_id: bigint, synthetic: int, ambiguous: boolean, via_carrier: bigint>>, unanchored array<bigint>"
 )
 
 
 def from_artifacts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Survivors and bridges of artifact lines."""
+    """Survivors and links of artifact lines."""
     s = lines.select("trace_id", F.explode("survivors").alias("s")).select("trace_id", "s.span_id", "s.parent_id", "s.depth", F.unbase64("s.br").alias("br"))
-    b = lines.select("trace_id", F.explode("bridges").alias("b")).select("trace_id", "b.*", F.lit(0).cast("long").alias("fanout"))
+    b = lines.select("trace_id", F.explode("links").alias("b")).select("trace_id", "b.*", F.lit(0).cast("long").alias("fanout"))
     none = lines.select("trace_id", F.explode("unanchored").alias("orphan_id"))
     return s, b.unionByName(none, allowMissingColumns=True)
 
 
-def rebuilt_spans(bridges: DataFrame, truth: DataFrame) -> DataFrame:
+def rebuilt_spans(links: DataFrame, truth: DataFrame) -> DataFrame:
     """The survivors and the spans put in for lost ones, as one tree: ``synthetic`` says which are which.
 
     The lowest lost span keeps the id that its orphan names; those above get ids made from it and their
     distance. Their times are the orphan's, their service is unknown.
     """
     alive = truth.where("not dropped").select("trace_id", "span_id", "parent_id", "service", "start_us", "end_us", F.lit(False).alias("synthetic"))
-    placed = bridges.where("anchor_id is not null and synthetic > 0").select("trace_id", F.col("orphan_id").alias("span_id"), "anchor_id", F.col("synthetic").alias("n"))
+    placed = links.where("anchor_id is not null and synthetic > 0").select("trace_id", F.col("orphan_id").alias("span_id"), "anchor_id", F.col("synthetic").alias("n"))
     rows = placed.join(alive.drop("synthetic"), ["trace_id", "span_id"])
     # orphans with one lost parent share it; the nearest anchor says what hangs between
     best = F.min(F.struct("n", "anchor_id", "span_id"))

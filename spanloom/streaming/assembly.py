@@ -2,30 +2,41 @@
 
 Events come in global order (``pos``), a file per stretch of it. A trace is complete when all its
 events are there; how many that are is known from a table of traces (``total``). State is kept per
-trace and dropped at that moment, so memory follows the traces that are open, not those that were.
-With ``patience_ms`` a trace that has not moved for so long is given out as it is, marked incomplete;
-that is for streams that go on, since the wait is by the clock.
+trace and dropped at that moment, so memory follows the traces that are open, not those that were: an
+assembled trace is a list to which a batch appends its own events only, a measured one is eight numbers.
+With ``patience_ms`` a trace whose newest event lies so far behind the stream's watermark is given out as
+it is, marked incomplete, by a timer on event time; what comes for it later starts it anew.
+
+Queues run batch by batch as a segmented scan: positions are cut into slices, every slice answers from its
+own starts, one row per slice carries the first start back to the slices before it, and what is still
+waiting at the end of a batch is a table that the next batch reads. No service is one task.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+from pyspark.sql.window import Window
 
-from spanloom.session import ship, shared_dir
+from spanloom.session import materialize, ship, shared_dir
 
 EVENTS = "pos long, trace_id long, span_id long, parent_id long, service string, kind int, ts long, depth int"
 SPANS = "trace_id long, span_id long, parent_id long, service string, start_ns long, end_ns long, depth int, complete boolean"
 METRICS = "trace_id long, num_spans long, max_depth int, start_ns long, end_ns long, max_concurrent long, last_pos long, complete boolean"
-BUFFER = "pos array<long>, span_id array<long>, parent_id array<long>, service array<string>, kind array<int>, ts array<long>, depth array<int>"
+HELD = "pos long, span_id long, parent_id long, service string, kind int, ts long, depth int"
 RUNNING = "seen long, starts long, depth int, first long, last long, open long, most long, pos long"
 PICKUPS = "service string, trace_id long, span_id long, ts long, next_trace long, next_span long"
-QUEUE = "trace_id array<long>, span_id array<long>, ts array<long>"
+QUEUED = "service string, pos long, kind int, trace_id long, span_id long, ts long"
+#: Positions of a slice of the queues.
+SLICE = 100_000
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -38,101 +49,167 @@ def with_totals(events: DataFrame, meta: DataFrame) -> DataFrame:
     return events.join(meta.select("trace_id", (2 * F.col("num_spans")).alias("total")), "trace_id")
 
 
-def _timeout(patience_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if patience_ms else GroupStateTimeout.NoTimeout
-
-
-def _spans(trace: int, held: dict[str, list], complete: bool) -> pd.DataFrame:
-    rows = pd.DataFrame(held)
+def _spans(trace: int, held: list[tuple], complete: bool) -> pd.DataFrame:
+    rows = pd.DataFrame([tuple(x) for x in held], columns=[c.split()[0] for c in HELD.split(", ")])
     starts, ends = rows[rows.kind == 0], rows[rows.kind == 1][["span_id", "ts"]].rename(columns={"ts": "end_ns"})
     out = starts.rename(columns={"ts": "start_ns"}).merge(ends, on="span_id", how="left").sort_values("pos")
     out["end_ns"] = out["end_ns"].astype("Int64")
     return out.assign(trace_id=trace, complete=complete)[["trace_id", "span_id", "parent_id", "service", "start_ns", "end_ns", "depth", "complete"]]
 
 
-def assembled(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
-    """Spans of each trace, given out when its last event has come. Events of an open trace are held."""
-    ship(events.sparkSession)
-    names = [c.split()[0] for c in BUFFER.split(", ")]
+class _Open(StatefulProcessor):
+    """What all processors of open traces share: a clock of event time per trace."""
+
+    def __init__(self, patience_ms: int | None):
+        self.patience_ms = patience_ms
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(names, (list(x) for x in state.get), strict=True)) if state.exists else {n: [] for n in names}
-        if state.hasTimedOut:
-            state.remove()
-            yield _spans(key[0], held, complete=False)
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "at long")
+
+    def wait(self, newest_ns: int) -> None:
+        """Give the trace up ``patience_ms`` after its newest event."""
+        if self.patience_ms is None:
+            return
+        before = self.clock.get()[0] if self.clock.exists() else None
+        at = newest_ns // 1_000_000 + self.patience_ms
+        if before is None or at > before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(at)
+            self.clock.update((at,))
+
+    def forget(self) -> None:
+        if self.clock.exists():
+            self.handle.deleteTimer(self.clock.get()[0])
+            self.clock.clear()
+
+    def close(self) -> None:
+        pass
+
+
+class _Assembler(_Open):
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.held = handle.getListState("events", HELD)
+        self.count = handle.getValueState("seen", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        seen = (self.count.get()[0] if self.count.exists() else 0) + len(new)
+        own = list(new[[c.split()[0] for c in HELD.split(", ")]].itertuples(index=False, name=None))
+        if seen < int(new["total"].iloc[0]):
+            self.held.appendList(own)  # only what is new is written
+            self.count.update((seen,))
+            self.wait(int(new["ts"].max()))
             return
-        total = 0
-        for rows in batches:
-            total = int(rows["total"].iloc[0]) if len(rows) else total
-            for n in names:
-                held[n] += rows[n].tolist()
-        if len(held["pos"]) >= total:
-            if state.exists:
-                state.remove()
-            yield _spans(key[0], held, complete=True)
+        before = list(self.held.get()) if self.count.exists() else []
+        self.drop()
+        yield _spans(key[0], [*before, *own], complete=True)
+
+    def drop(self) -> None:
+        self.held.clear()
+        self.count.clear()
+        self.forget()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        before = list(self.held.get())
+        self.drop()
+        yield _spans(key[0], before, complete=False)
+
+
+class _Meter(_Open):
+    def init(self, handle) -> None:
+        super().init(handle)
+        self.state = handle.getValueState("running", RUNNING)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("pos")  # a group may come in several parts
+        seen, starts, depth, first, last, open_, most, pos = self.state.get() if self.state.exists() else (0, 0, 0, None, None, 0, 0, 0)
+        begun, ended = new[new.kind == 0], new[new.kind == 1]
+        running = open_ + (1 - 2 * new["kind"]).cumsum()
+        seen, starts = seen + len(new), starts + len(begun)
+        if len(begun):
+            depth, first = max(depth, int(begun["depth"].max())), min(x for x in (first, int(begun["ts"].min())) if x is not None)
+        if len(ended):
+            last = max(x for x in (last, int(ended["ts"].max())) if x is not None)
+        open_, most, pos = int(running.iloc[-1]), max(most, int(running.max())), max(pos, int(new["pos"].max()))
+        if seen >= int(new["total"].iloc[0]):
+            self.state.clear()
+            self.forget()
+            yield self.line(key[0], (starts, depth, first, last, most, pos), True)
             return
-        state.update(tuple(held[n] for n in names))
-        if patience_ms:
-            state.setTimeoutDuration(patience_ms)
+        self.state.update((seen, starts, depth, first, last, open_, most, pos))
+        self.wait(int(new["ts"].max()))
 
-    return events.groupBy("trace_id").applyInPandasWithState(step, SPANS, BUFFER, "append", _timeout(patience_ms))
+    @staticmethod
+    def line(trace: int, values: tuple, complete: bool) -> pd.DataFrame:
+        return pd.DataFrame([(trace, *values, complete)], columns=[c.split()[0] for c in METRICS.split(", ")])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        _, starts, depth, first, last, _, most, pos = self.state.get()
+        self.state.clear()
+        self.clock.clear()
+        yield self.line(key[0], (starts, depth, first, last, most, pos), False)
 
-def measured(events: DataFrame, patience_ms: int | None = None) -> DataFrame:
-    """Per trace, when its last event has come: spans, depth, times, most open spans. Eight numbers are held per open trace."""
+
+def _stateful(events: DataFrame, processor: _Open, schema: str, patience_ms: int | None, late: str) -> DataFrame:
     ship(events.sparkSession)
+    mode = "None"
+    if patience_ms is not None:
+        events = events.withColumn("at", F.timestamp_micros(F.floor(F.col("ts") / 1000).cast("long"))).withWatermark("at", late)
+        mode = "EventTime"
+    return events.groupBy("trace_id").transformWithStateInPandas(processor, schema, "append", mode)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, starts, depth, first, last, open_, most, pos = state.get if state.exists else (0, 0, 0, None, None, 0, 0, 0)
-        done = state.hasTimedOut
-        total = None
-        if not done:
-            for rows in batches:
-                rows = rows.sort_values("pos")
-                total = int(rows["total"].iloc[0])
-                begun = rows[rows.kind == 0]
-                running = open_ + (1 - 2 * rows["kind"]).cumsum()
-                seen, starts = seen + len(rows), starts + len(begun)
-                if len(begun):
-                    depth, first = max(depth, int(begun["depth"].max())), min(x for x in (first, int(begun["ts"].min())) if x is not None)
-                ends = rows[rows.kind == 1]
-                if len(ends):
-                    last = max(x for x in (last, int(ends["ts"].max())) if x is not None)
-                open_, most, pos = int(running.iloc[-1]), max(most, int(running.max())), max(pos, int(rows["pos"].max()))
-        if done or (total is not None and seen >= total):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame([(key[0], starts, depth, first, last, most, pos, not done)], columns=[c.split()[0] for c in METRICS.split(", ")])
-            return
-        state.update((seen, starts, depth, first, last, open_, most, pos))
-        if patience_ms:
-            state.setTimeoutDuration(patience_ms)
 
-    return events.groupBy("trace_id").applyInPandasWithState(step, METRICS, RUNNING, "append", _timeout(patience_ms))
+def assembled(events: DataFrame, patience_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """Spans of each trace, given out when its last event has come. Events of an open trace are held."""
+    return _stateful(events, _Assembler(patience_ms), SPANS, patience_ms, late)
 
 
-def picked_up(queued: DataFrame) -> DataFrame:
-    """A queue per service across traces: what ``kind`` 1 rows put in, the service's next ``kind`` 0 row takes out whole.
+def measured(events: DataFrame, patience_ms: int | None = None, late: str = "0 seconds") -> DataFrame:
+    """Per trace, when its last event has come: spans, depth, times, most open spans. Eight numbers are held per open trace."""
+    return _stateful(events, _Meter(patience_ms), METRICS, patience_ms, late)
 
-    Input rows: ``service, pos, kind, trace_id, span_id, ts``, in order of ``pos``. A service's rows of one
-    batch go through one worker, as its queue has one order; the queue empties at every start.
-    """
-    ship(queued.sparkSession)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting = list(zip(*state.get, strict=True)) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("pos")
-        out = []
-        for kind, trace, span, ts in rows[["kind", "trace_id", "span_id", "ts"]].itertuples(index=False, name=None):
-            if kind:
-                waiting.append((trace, span, ts))
-            elif waiting:
-                out += [(key[0], t, s, at, trace, span) for t, s, at in waiting]
-                waiting = []
-        state.update(tuple([x[i] for x in waiting] for i in range(3)))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in PICKUPS.split(", ")])
+def answered(rows: DataFrame, slice_rows: int = SLICE) -> DataFrame:
+    """``rows`` of kind 1 with the next row of kind 0 on their service (``next_trace, next_span``), null where none follows.
+
+    A service's positions are cut into slices; a slice that has no start behind a row takes the first start of the
+    next slice that has one.
+    """
+    start = F.when(F.col("kind") == 0, F.struct("pos", "trace_id", "span_id"))
+    cut = rows.withColumn("slice", F.floor(F.col("pos") / slice_rows))
+    after = Window.partitionBy("service", "slice").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
+    inside = cut.withColumn("inside", F.first(start, ignorenulls=True).over(after)).where("kind = 1")
+    per = cut.groupBy("service", "slice").agg(F.min(start).alias("first"))
+    later = Window.partitionBy("service").orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    per = per.withColumn("later", F.first("first", ignorenulls=True).over(later)).select("service", "slice", "later")
+    out = inside.join(per, ["service", "slice"]).withColumn("next", F.coalesce("inside", "later"))
+    return out.select("service", "pos", "kind", "trace_id", "span_id", "ts", F.col("next.trace_id").alias("next_trace"), F.col("next.span_id").alias("next_span"))
+
+
+def pick_up(queued: DataFrame, path: str, slice_rows: int = SLICE) -> DataFrame:
+    """Run queues per service across traces: what ``kind`` 1 rows put in, the service's next ``kind`` 0 row takes out whole.
+
+    Input rows: ``QUEUED``, in order of ``pos``. Each batch writes what it answers into ``path`` and what still waits
+    into a table under its number, so a batch that is run again writes the same.
+    """
+    spark = queued.sparkSession
+    waiting = f"{shared_dir(spark)}/waiting-{uuid.uuid4().hex}"
+    names = [c.split()[0] for c in QUEUED.split(", ")]
+
+    def step(rows: DataFrame, batch: int) -> None:
+        own = rows.select(*names)
+        if batch:
+            own = own.unionByName(own.sparkSession.read.schema(QUEUED).parquet(f"{waiting}/{batch - 1}"))
+        out = materialize(answered(own, slice_rows), "answered")
+        out.where("next_span is not null").select(*[c.split()[0] for c in PICKUPS.split(", ")]).write.mode("overwrite").parquet(f"{path}/batch-{batch}")
+        out.where("next_span is null").select(*names).write.mode("overwrite").parquet(f"{waiting}/{batch}")
 
-    return queued.groupBy("service").applyInPandasWithState(step, PICKUPS, QUEUE, "append", GroupStateTimeout.NoTimeout)
+    marks = f"{shared_dir(spark)}/marks-{uuid.uuid4().hex}"
+    queued.writeStream.foreachBatch(step).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(PICKUPS).option("recursiveFileLookup", True).parquet(path)
 
 
 def densities(events: DataFrame, window: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -141,15 +218,27 @@ def densities(events: DataFrame, window: str = "1 day", late: str = "1 day") ->
     return events.withColumn("at", at).withWatermark("at", late).groupBy(F.window("at", window)).agg(F.count(F.lit(1)).alias("events"))
 
 
+@contextlib.contextmanager
+def _keyed_state(spark: SparkSession):
+    """Lists and timers need a state store that reads single keys; a stream takes the setting over when it starts."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before)
+
+
 def run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into Parquet (``append``) or a table written anew by every batch (``complete``)."""
     spark = stream.sparkSession
     marks = f"{shared_dir(spark)}/marks-{uuid.uuid4().hex}"
     writer = stream.writeStream.option("checkpointLocation", marks).outputMode(mode).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").start(path)
-    else:
-        query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
+    with _keyed_state(spark):
+        if mode == "append":
+            query = writer.format("parquet").start(path)
+        else:
+            query = writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
     return spark.read.parquet(path)
 
@@ -157,4 +246,7 @@ def run(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
 def append_csv(stream: DataFrame, path: str) -> None:
     """Run a stream over all that is there, a CSV line for every row as it comes out."""
     marks = f"{shared_dir(stream.sparkSession)}/marks-{uuid.uuid4().hex}"
-    stream.writeStream.format("csv").option("header", True).option("checkpointLocation", marks).trigger(availableNow=True).start(path).awaitTermination()
+    writer = stream.writeStream.format("csv").option("header", True).option("checkpointLocation", marks).trigger(availableNow=True)
+    with _keyed_state(stream.sparkSession):
+        query = writer.start(path)
+    query.awaitTermination()

@@ -201,9 +201,9 @@ def test_payloads_equal_a_replay(spark, name, cpd):
 
 def test_payload_sizes_follow_the_bytes(spark):
     rows = random_tree(120, 3)
-    for name in ("pb", "pcrb", "cgprb", "sbridge"):
+    for name in ("pb", "pcrb", "cgprb", "crumbs"):
         for r in handlers.payloads(spark.createDataFrame(rows, SCHEMA), Scheme(name, 3)).where("br is not null").collect():
-            assert r.emit_bytes == len(r.br) + (6 if name == "sbridge" else 3)
+            assert r.emit_bytes == len(r.br) + (6 if name == "crumbs" else 3)
 
 
 def test_odd_traces(spark):
@@ -220,7 +220,7 @@ def test_delayed_ends_go_to_the_next_start(spark):
     """Three children end after the last one starts: the first two ends wait for the next start on the owner's service."""
     rows = [(1, 1, 0, "a", 0, 50), (1, 2, 1, "b", 1, 20), (1, 3, 1, "b", 2, 30), (1, 4, 1, "b", 3, 40), (2, 9, 0, "b", 55, 60), (2, 10, 9, "a", 58, 59), (3, 1, 0, "a", 70, 80)]
     spans = spark.createDataFrame(rows, SCHEMA)
-    s = Scheme("sbridge", 3)
+    s = Scheme("crumbs", 3)
     (quad,) = handlers.delayed_ends(spans, s).collect()
     assert (quad.span_id, quad.service, wire.read_delayed(bytes(quad.quad))[0][3]) == (1, "a", [1, 2])
     (got,) = handlers.picked_up(spans, s).collect()

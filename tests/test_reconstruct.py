@@ -12,7 +12,7 @@ from spanloom.session import materialize
 from spanloom.sources import reports
 
 SCHEMA = "trace_id long, span_id long, parent_id long, service string, start_us long, end_us long"
-BRIDGES = "trace_id long, orphan_id long, anchor_id long, synthetic int, ambiguous boolean, via_carrier long, fanout long"
+LINKS = "trace_id long, orphan_id long, anchor_id long, synthetic int, ambiguous boolean, via_carrier long, fanout long"
 
 
 def binary_tree(spark, depth=5):
@@ -28,7 +28,7 @@ def with_payloads(spans, scheme, rate=1.0):
 def test_binary_tree_with_all_inner_spans_lost(spark, engine):
     s = Scheme(reconstruct.ENGINES[engine], 3, prefix=8)
     truth = with_payloads(binary_tree(spark), s)
-    b = materialize(reconstruct.bridges(truth.where("not dropped"), engine, s), "bridges")
+    b = materialize(reconstruct.links(truth.where("not dropped"), engine, s), "links")
     r = scoring.score(b, truth).first()
     want = (63, 22, 40, 40, 40, 40, 48)
     assert (r.spans, r.dropped, r.orphans, r.reconnected, r.anchor_correct, r.gap_correct, r.synthetic) == want
@@ -61,7 +61,7 @@ def survivors(spark, rows, scheme):
 def test_threading_by_the_filter(spark, members, want):
     s = Scheme("pcrb", 4, prefix=8)
     rows = survivors(spark, [(1, 0, 0, (), 0), (2, 1, 1, None, 0), (9, 3, 3, members, 1)], s)
-    (b,) = reconstruct.bridges(rows, "pcrb", s).collect()
+    (b,) = reconstruct.links(rows, "pcrb", s).collect()
     assert (b.anchor_id, b.synthetic) == want
 
 
@@ -69,13 +69,13 @@ def test_no_carrier_and_no_checkpoint(spark):
     """An orphan without a carrier, or whose prefix names nothing, keeps no anchor."""
     s = Scheme("pcrb", 4, prefix=8)
     rows = survivors(spark, [(1, 0, 0, (), 0), (5, 77, 2, None, 0), (9, 3, 3, (3,), 4444)], s)
-    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.bridges(rows, "pcrb", s).collect()} == {(5, None), (9, None)}
+    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.links(rows, "pcrb", s).collect()} == {(5, None), (9, None)}
 
 
 def test_prefix_collision_is_flagged(spark):
     s = Scheme("pcrb", 2, prefix=1)
     rows = survivors(spark, [(1, 0, 0, (), 0), (2, 1, 1, None, 0), (3, 2, 2, (), 1), (4, 2, 2, (), 1), (9, 8, 4, (8,), 3)], s)
-    (b,) = reconstruct.bridges(rows, "pcrb", s).collect()
+    (b,) = reconstruct.links(rows, "pcrb", s).collect()
     assert (b.anchor_id, b.ambiguous) == (3, True)
 
 
@@ -84,20 +84,20 @@ def test_scores_of_wrong_anchors(spark):
     rows = [(1, 0, 0), (2, 1, 1), (3, 2, 2), (4, 3, 3), (5, 4, 4), (6, 2, 2)]
     truth = spark.createDataFrame([(1, s, p, d, s == 3, s == 6) for s, p, d in rows], "trace_id long, span_id long, parent_id long, depth int, dropped boolean, carrier boolean")
     for anchor, synthetic, right, ancestor, divergence in ((2, 1, 1, 1, None), (1, 2, 0, 1, None), (5, 1, 0, 0, 3), (6, 0, 0, 0, 1)):
-        b = spark.createDataFrame([(1, 4, anchor, synthetic, False, 0, 0)], BRIDGES)
+        b = spark.createDataFrame([(1, 4, anchor, synthetic, False, 0, 0)], LINKS)
         r = scoring.score(b, truth).first()
         assert (r.anchor_correct, r.anchor_ancestor, r.misattached) == (right, ancestor, 1 - right)
         wrong = scoring.wrong_edges(b, truth).collect()
         assert [x.divergence_depth for x in wrong] == ([] if divergence is None else [divergence])
-    kinds = lambda b: {x.kind for x in scoring.violations(truth.where("not dropped"), spark.createDataFrame(b, BRIDGES)).collect()}
+    kinds = lambda b: {x.kind for x in scoring.violations(truth.where("not dropped"), spark.createDataFrame(b, LINKS)).collect()}
     assert kinds([(1, 4, 2, 1, False, 0, 0)]) == set()
     assert kinds([(1, 4, 2, 2, False, 0, 0)]) == {"depth-arith"}
     assert kinds([(1, 4, 6, 0, False, 0, 0)]) == {"spacing"}
     assert kinds([(1, 4, 99, 1, False, 0, 0)]) == {"dangling"}
-    assert kinds([(1, 4, 2, 1, False, 0, 0)] * 2) == {"dup-bridge"}
+    assert kinds([(1, 4, 2, 1, False, 0, 0)] * 2) == {"dup-link"}
     assert kinds([(1, 4, 5, 1, False, 0, 0)]) == {"depth-arith", "cycle"}
     assert kinds([(1, 6, 1, 0, False, 0, 0)]) >= {"disposition"}
-    lost = spark.createDataFrame([(1, 4, None, None, False, 0, 0)], BRIDGES)
+    lost = spark.createDataFrame([(1, 4, None, None, False, 0, 0)], LINKS)
     r = scoring.lost_spans(lost, truth).first()
     assert (r.fragments_lost, r.spans_lost) == (1, 2)
 
@@ -106,7 +106,7 @@ def test_planted_faults_are_seen(spark):
     s = Scheme("pcrb", 3, prefix=8)
     spans = binary_tree(spark).withColumn("trace_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(70).cast("long"))))
     truth = with_payloads(spans, s)
-    b = materialize(reconstruct.bridges(truth.where("not dropped"), "pcrb", s), "bridges")
+    b = materialize(reconstruct.links(truth.where("not dropped"), "pcrb", s), "links")
     for r in scoring.audit(b, truth, every=2).collect():
         assert r.planted == r.seen
     bad = materialize(scoring.with_faults(b, truth, every=2), "bad")
@@ -117,7 +117,7 @@ def test_evidence_speaks_against_a_wrong_anchor(spark):
     s = Scheme("pcrb", 3, prefix=8)
     truth = with_payloads(binary_tree(spark), s)
     alive = truth.where("not dropped")
-    b = reconstruct.bridges(alive, "pcrb", s)
+    b = reconstruct.links(alive, "pcrb", s)
     assert scoring.evidence(alive, b, s).count() == 0
     off = b.withColumn("anchor_id", F.when(F.col("orphan_id") == 32, 9).otherwise(F.col("anchor_id")))
     assert {r.kind for r in scoring.evidence(alive, off, s).collect()} == {"prefix"}
@@ -127,13 +127,13 @@ def test_breadcrumb_trees(spark):
     from spanloom.operators.structure import sibling_ordinals
     from spanloom.sources.views import wide_spans
 
-    s = Scheme("sbridge", 3)
+    s = Scheme("crumbs", 3)
     spans = wide_spans(binary_tree(spark))
     truth = with_payloads(spans, s, 0.6).join(sibling_ordinals(spans).withColumnRenamed("seq", "ordinal"), ["trace_id", "span_id"])
     r = reconstruct.breadcrumb_trees(truth, s).first()
     assert r.solved and r.embeds and r.exact and r.nodes == 63 and r.known == r.survivors
     # two checkpoints with one anchor cannot be told apart
-    near = s.__class__("sbridge", 3, anchor_bytes=1)
+    near = s.__class__("crumbs", 3, anchor_bytes=1)
     clash = with_payloads(binary_tree(spark), near).join(sibling_ordinals(binary_tree(spark)).withColumnRenamed("seq", "ordinal"), ["trace_id", "span_id"])
     r = reconstruct.breadcrumb_trees(clash, near).first()
     assert not r.solved and "anchor" in r.reason
@@ -144,7 +144,7 @@ def test_rebuilt_tree_hangs_together(spark):
 
     s = Scheme("pcrb", 3, prefix=8)
     truth = with_payloads(binary_tree(spark), s)
-    b = materialize(reconstruct.bridges(truth.where("not dropped"), "pcrb", s), "bridges")
+    b = materialize(reconstruct.links(truth.where("not dropped"), "pcrb", s), "links")
     tree = with_depth(reports.rebuilt_spans(b, truth)).collect()
     depth = {r.span_id: r.depth for r in truth.collect()}
     assert all(r.rooted for r in tree) and len(tree) == len({r.span_id for r in tree})
@@ -154,7 +154,7 @@ def test_rebuilt_tree_hangs_together(spark):
 def test_empty(spark):
     s = Scheme("pcrb")
     none = spark.createDataFrame([], "trace_id long, span_id long, parent_id long, depth int, br binary")
-    b = reconstruct.bridges(none, "pcrb", s)
+    b = reconstruct.links(none, "pcrb", s)
     assert b.count() == 0 and scoring.violations(none, b).count() == 0
 
 
@@ -167,8 +167,8 @@ def test_ledger_places_fragments_without_a_carrier(spark, engine):
     s = Scheme("pcrb", 5, fp=1e-9, prefix=8, prime=True)
     truth = with_payloads(wide_spans(binary_tree(spark, 8)), s, 0.6)
     alive = truth.where("not dropped")
-    plain = scoring.score(reconstruct.bridges(alive, "pcrb", s), truth).first()
-    b = materialize(reconstruct.bridges(alive, engine, s), "bridges")
+    plain = scoring.score(reconstruct.links(alive, "pcrb", s), truth).first()
+    b = materialize(reconstruct.links(alive, engine, s), "links")
     full = scoring.score(b, truth).first()
     assert plain.unanchored > 0 and full.unanchored < plain.unanchored
     assert scoring.violations(alive, b).count() == 0
@@ -184,9 +184,9 @@ def test_ledger_without_room(spark, engine):
     from spanloom.operators import ledger, map_engine  # noqa: F401
 
     rows = survivors(spark, [(1, 0, 0, (), 0), (5, 77, 2, None, 0), (9, 3, 3, (3,), 1)], s)
-    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.bridges(rows, engine, s).collect()} == {(5, None), (9, 1)}
+    assert {(b.orphan_id, b.anchor_id) for b in reconstruct.links(rows, engine, s).collect()} == {(5, None), (9, 1)}
     alone = survivors(spark, [(1, 0, 0, (), 0)], s)
-    assert reconstruct.bridges(alone, engine, s).count() == 0
+    assert reconstruct.links(alone, engine, s).count() == 0
 
 
 def test_fanouts_get_two_children(spark):
@@ -233,7 +233,7 @@ def test_event_orders_of_nested_spans(spark):
 
     rows = [(1, 1, 0, "a", 0, 100), (1, 2, 1, "b", 1, 90), (1, 3, 1, "b", 2, 30), (1, 4, 1, "b", 40, 60), (1, 5, 1, "b", 45, 55), (1, 6, 2, "c", 10, 20), (1, 7, 2, "c", 11, 15)]
     spans = spark.createDataFrame(rows, SCHEMA).withColumns({"span_id": F.col("span_id") * (1 << 56), "parent_id": F.col("parent_id") * (1 << 56)})
-    s = Scheme("sbridge", 3)
+    s = Scheme("crumbs", 3)
     d = loss.with_drops(spans, 1.0).join(handlers.payloads(spans, s).select("trace_id", "span_id", "br"), ["trace_id", "span_id"])
     d = d.join(structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal"), ["trace_id", "span_id"])
     d = d.join(structure.ordered_events(spans).where("kind = 1").select("trace_id", "span_id", F.col("pos").alias("end_pos")), ["trace_id", "span_id"])
