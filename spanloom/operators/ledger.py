@@ -5,19 +5,18 @@ one occupant, is reserved for a lost parent, or is open; the level above the roo
 the root's own lost parent. Rules are applied until nothing moves. Collapse: an open level with one
 viable claimant takes it. Binding: a fragment without a carrier is put on the chains of one window whose
 filters hold its root and its lost parent, with as much of it as hangs together uniquely. Coverage: a
-survivor that lost all its children is written wherever it may stand. What is left then makes others move:
-wider binding, displacement (an orphan moves as a whole, and back if it finds no other place), and at
-last a search over all placements of a window. Work per trace is bounded by ``REBINDS``, ``ITEMS`` and
-``STEPS``; beyond them a fragment keeps the deepest certain place it has.
+survivor that lost all its children is written wherever it may stand. What is left without a place is
+then placed together with everything that may move for it, window by window, as a program of yes-or-no
+choices that :mod:`exact` solves to the optimum: as many as possible stand, and what was placed stays placed.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from dataclasses import dataclass
 
-from spanloom.operators.reconstruct import RUN, Link, Fragments, Span, _chain, by_prefix
-
-REBINDS, ITEMS, STEPS = 3, 24, 20_000
+from spanloom.operators.exact import Program, Solution, solve
+from spanloom.operators.reconstruct import RUN, Fragments, Link, Span, _chain, by_prefix
 
 
 class Chain:
@@ -45,6 +44,57 @@ class Chain:
         self.why.pop(depth, None)
 
 
+@dataclass
+class Option:
+    """A place for an item: spans on a chain's levels, the level above that has to be free for a lost parent, ids it explains."""
+
+    chain: Chain
+    spans: list[Span]
+    above: int | None
+    gain: int
+
+    def levels(self) -> list[int]:
+        return [s.depth for s in self.spans] + ([] if self.above is None else [self.above])
+
+
+@dataclass
+class Item:
+    """What wants a place: ``kind`` is orphan, moved (an orphan that has one), end or thread (an open level)."""
+
+    span: Span
+    kind: str
+    options: list[Option]
+
+
+@dataclass
+class Stakes:
+    """What counts, each more than all of the next: moved orphans placed, demands placed, ends covered, ids explained, early options."""
+
+    moved: int
+    demand: int
+    cover: int
+    unit: int
+
+    @classmethod
+    def of(cls, items: list[Item], occupied: int, soles: int) -> Stakes:
+        unit = 1 + sum(len(i.options) for i in items)
+        cover = unit * (1 + occupied + sum(max((o.gain for o in i.options), default=0) for i in items))
+        demand = cover * (1 + soles + len(items))
+        return cls(demand * (1 + len(items)), demand, cover, unit)
+
+    def worth(self, item: Item, o: Option, place: int) -> int:
+        base = {"thread": 0, "moved": self.moved + self.cover}.get(item.kind, self.demand + self.cover)
+        return base + o.gain * self.unit - place
+
+
+@dataclass
+class Problem:
+    """A joint placement as a program, and which variable is which option of which item."""
+
+    program: Program
+    choice: dict[int, tuple[int, Option]]
+
+
 class Ledger:
     """All chains of a trace and the moves on them."""
 
@@ -58,7 +108,6 @@ class Ledger:
             self.windows[c.anchor.id].append(c)
         self.pool: dict[int, dict[int, list[Span]]] = defaultdict(lambda: defaultdict(list))
         self.placed: dict[int, list[tuple[Chain, list[Span]]]] = {}
-        self.moves: dict[int, int] = defaultdict(int)
         self.ends = [s for s in f.spans if s.payload is None and not s.kids]
         for c in self.chains:
             self._claim(c)
@@ -196,158 +245,162 @@ class Ledger:
             s = self.f.by_id[s.parent]
         return s if s.id in self.placed else None
 
-    def make_room(self, c: Chain, depth: int, seen: set) -> bool:
-        """Free a level: what can stand elsewhere or need not stand goes; the own lost parent's level stays."""
-        if not c.inside(depth) or (id(c), depth) in seen:
-            return False
-        seen.add((id(c), depth))
-        if depth in c.held:
-            owner = c.held[depth]
-            return owner is not None and self.rebind(owner, seen) and c.free(depth)
+    # ---- joint placement ----
+
+    def ways(self, r: Span, chains: list[Chain] | None = None) -> list[tuple[Chain, list[Span]]]:
+        """The chains that an orphan's evidence allows, whatever stands there, with the spans that would."""
+        found = [(c, self.way_down(r, c, lambda d: True)) for c in (self.chains if chains is None else chains) if r.depth > c.anchor.depth + 1]
+        return [(c, p) for c, p in found if p]
+
+    def orphan_item(self, r: Span, kind: str, chains: list[Chain] | None = None) -> Item:
+        return Item(r, kind, [Option(c, p, r.depth - 1, len(p) + 1) for c, p in self.ways(r, chains)])
+
+    def end_item(self, e: Span, chains: list[Chain] | None = None) -> Item:
+        return Item(e, "end", [Option(c, [e], None, 1) for c in (self.chains if chains is None else chains) if self.may_stand(c, e)])
+
+    def occupancy(self, c: Chain, depth: int, moving: set[int]) -> tuple[bool, Span | None, bool, bool]:
+        """Of a level: closed to spans; its occupant, whether that stays, and whether it is an end's only place."""
+        closed = depth in c.held and (c.held[depth] is None or c.held[depth].id not in moving)
         s = c.at.get(depth)
         if s is None:
-            return True
+            return closed, None, False, False
         if c.why[depth] == "B":
-            owner = self.guest_of(s)
-            return owner is not None and self.rebind(owner, seen) and depth not in c.at
-        if s.payload is None and not s.kids and self.standing(s) == 1:
-            for other in self.chains:
-                if other is not c and self.may_stand(other, s) and (other.free(s.depth) or self.make_room(other, s.depth, seen)):
-                    self.put(other, s, "D")
-                    c.clear(depth)
-                    return True
-            return False
-        c.clear(depth)
-        return True
-
-    def force(self, r: Span, c: Chain, seen: set) -> list[Span] | None:
-        """An orphan's path on a chain, with what stands in its way moved."""
-        path = self.way_down(r, c, c.inside)
-        if path is None:
-            return None
-        for depth in (r.depth - 1, *(s.depth for s in path)):
-            if (depth in c.held or depth in c.at) and not self.make_room(c, depth, seen):
-                return None
-        return path
-
-    def rebind(self, r: Span, seen: set) -> bool:
-        """Move a placed orphan as a whole to another chain; back if there is none."""
-        if self.moves[r.id] >= REBINDS or r.id not in self.placed:
-            return False
-        old = self.unsettle(r)
-        self.moves[r.id] += 1
-        for c in self.chains:
-            if all(c is not was for was, _ in old):
-                path = self.force(r, c, seen)
-                if path:
-                    self.settle(r, [(c, path)])
-                    return True
-        self.settle(r, old)
-        return False
-
-    def displace(self) -> bool:
-        """Ends and orphans without a place make room for themselves."""
-        moved = False
-        for e in self.ends:
-            if not self.standing(e):
-                for c in self.chains:
-                    if self.may_stand(c, e) and (c.free(e.depth) or self.make_room(c, e.depth, set())):
-                        moved |= self.put(c, e, "D")
-                        break
-        for r in self.loose:
-            if r.id not in self.placed:
+            guest = self.guest_of(s)
+            return closed, s, guest is None or guest.id not in moving, False
+        return closed, s, False, self.sole(c, depth)
+
+    def sole(self, c: Chain, depth: int) -> bool:
+        """Whether a level is the only place of a survivor that lost all its children."""
+        s = c.at[depth]
+        return c.why[depth] in "CD" and s.payload is None and not s.kids and self.standing(s) <= 1
+
+    def problem(self, items: list[Item]) -> Problem:
+        """The joint placement of items as a program: what stands where, who needs which level free, what is displaced."""
+        moving = {i.span.id for i in items if i.kind == "moved"}
+        levels = {(id(o.chain), d): (o.chain, d) for i in items for o in i.options for d in o.levels()}
+        state = {k: self.occupancy(c, d, moving) for k, (c, d) in levels.items()}
+        stakes = Stakes.of(items, sum(s[1] is not None for s in state.values()), sum(s[3] for s in state.values()))
+        p = Program()
+        shown: dict[tuple[tuple[int, int], int], int] = {}
+        parent: dict[tuple[int, int], int] = {}
+        choice: dict[int, tuple[int, Option]] = {}
+        options: list[list[int]] = []
+        for n, item in enumerate(items):
+            own = []
+            for place, o in enumerate(item.options):
+                cells = [((id(o.chain), s.depth), s) for s in o.spans]
+                above = (id(o.chain), o.above) if o.above is not None else None
+                if any(state[k][0] or (state[k][2] and state[k][1] is not s) for k, s in cells) or (above and state[above][2]):
+                    continue
+                x = p.var(stakes.worth(item, o, place))
+                for k, s in cells:
+                    if (k, s.id) not in shown:
+                        shown[k, s.id] = p.var()
+                    p.implies(x, shown[k, s.id])
+                if above:
+                    if above not in parent:
+                        parent[above] = p.var()
+                    p.implies(x, parent[above])
+                own.append(x)
+                choice[x] = n, o
+            p.group(own)
+            options.append(own)
+        by_level: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for (k, id_), v in shown.items():
+            by_level[k].append((id_, v))
+        for k, (_, there, _, sole) in state.items():
+            lost = [parent[k]] if k in parent else []
+            p.at_most_one([v for _, v in by_level[k]] + lost)
+            away = [v for id_, v in by_level[k] if there is not None and id_ != there.id] + (lost if there is not None else [])
+            if away:
+                y = p.var(-(stakes.cover if sole else stakes.unit))
+                for v in away:
+                    p.implies(v, y)
+        self._alike(items, options, choice, p)
+        return Problem(p, choice)
+
+    @staticmethod
+    def _alike(items: list[Item], options: list[list[int]], choice: dict[int, tuple[int, Option]], p: Program) -> None:
+        """Orphans with the same places are told apart by order only: the first takes the earlier place."""
+        shared: dict[int, int] = defaultdict(int)
+        for i in items:
+            for id_ in {s.id for o in i.options for s in o.spans}:
+                shared[id_] += 1
+        classes: dict[tuple, list[int]] = defaultdict(list)
+        for n, item in enumerate(items):
+            if item.kind == "orphan" and options[n] and all(shared[s.id] == 1 for o in item.options for s in o.spans):
+                classes[tuple((id(choice[x][1].chain), tuple(choice[x][1].levels()), choice[x][1].gain) for x in options[n])].append(n)
+        for members in classes.values():
+            for a, b in zip(members[:-1], members[1:], strict=True):
+                for k, x in enumerate(options[b]):
+                    p.one_of([-x, *options[a][: k + 1]])
+
+    def solve(self, items: list[Item]) -> tuple[dict[int, Option], Solution]:
+        """The best placement by place in ``items`` (left out items are missing), and what the search says of it."""
+        items.sort(key=lambda i: (i.kind == "thread", len(i.options), i.span.key))
+        problem = self.problem(items)
+        found = solve(problem.program)
+        return {n: o for v, (n, o) in problem.choice.items() if v in found.true}, found
+
+    def apply(self, items: list[Item], chosen: dict[int, Option]) -> bool:
+        """Write a placement; whether it changed the ledger."""
+        before = self.picture()
+        for n, item in enumerate(items):
+            if item.kind == "moved" and n in chosen:
+                self.unsettle(item.span)
+            elif item.kind == "end":
                 for c in self.chains:
-                    path = self.force(r, c, set())
-                    if path:
-                        self.settle(r, [(c, path)])
-                        moved = True
-                        break
-        return moved
-
-    def search(self, chains: list[Chain]) -> bool:
-        """Place all that wants a place in one window, by trying; only a full placement is applied."""
-        items: list[tuple[Span, bool, list[tuple[Chain, list[Span]]]]] = []
-        seen = set()
-
-        def ask(s: Span, orphan: bool) -> bool:
-            if s.id in seen:
-                return False
-            seen.add(s.id)
-            if orphan:
-                found = [(c, self.way_down(s, c, lambda d: True)) for c in chains if s.depth > c.anchor.depth + 1]
-                options = [(c, p) for c, p in found if p]
-            else:
-                options = [(c, [s]) for c in chains if self.may_stand(c, s)]
-            if options:
-                items.append((s, orphan, options))
-            return bool(options)
-
-        wanted = [ask(r, True) for r in self.loose if r.id not in self.placed] + [ask(e, False) for e in self.ends if not self.standing(e)]
-        if not any(wanted):
-            return False
-        for c in chains:
-            for r, _ in c.guests:
-                ask(r, True)
-            for depth in sorted(c.at):
-                if c.why[depth] in "CD" and c.at[depth].payload is None and not c.at[depth].kids:
-                    ask(c.at[depth], False)
-        if len(items) > ITEMS:
-            return False
-        items.sort(key=lambda x: (len(x[2]), x[0].key))
-        taken, reserved = set(), defaultdict(int)
-        chosen: list[tuple[Chain, list[Span]]] = []
-        steps = STEPS
-
-        def place(i: int) -> bool:
-            nonlocal steps
-            steps -= 1
-            if i == len(items) or steps < 0:
-                return i == len(items)
-            s, orphan, options = items[i]
-            for c, path in options:
-                cells = [(id(c), x.depth) for x in path]
-                above = (id(c), s.depth - 1)
-                wall = any(x.depth in c.held and c.held[x.depth] is None for x in path)
-                if wall or any(k in taken or reserved[k] for k in cells) or (orphan and above in taken):
+                    if c.at.get(item.span.depth) is item.span and c.why[item.span.depth] in "CD":
+                        c.clear(item.span.depth)
+        for o in chosen.values():
+            for depth in o.levels():
+                if o.chain.why.get(depth) in ("A", "C", "D", "T"):
+                    o.chain.clear(depth)
+        for kinds, why in ((("orphan", "moved"), "B"), (("thread",), "T"), (("end",), "D")):
+            for n, o in chosen.items():
+                if items[n].kind not in kinds:
                     continue
-                taken.update(cells)
-                reserved[above] += orphan
-                chosen.append((c, path))
-                if place(i + 1):
-                    return True
-                chosen.pop()
-                reserved[above] -= orphan
-                taken.difference_update(cells)
-            return False
-
-        if not place(0):
+                if why == "B":
+                    self.settle(items[n].span, [(o.chain, o.spans)])
+                    continue
+                for s in o.spans:
+                    if s.id in self.placed and (o.chain.free(s.depth - 1) or s.depth - 1 in o.chain.held):
+                        o.chain.held.setdefault(s.depth - 1, s)
+                    self.put(o.chain, s, why)
+        return before != self.picture()
+
+    def picture(self) -> tuple:
+        """What stands and is reserved where."""
+        return tuple(
+            (tuple(sorted((d, s.id, c.why[d]) for d, s in c.at.items())), tuple(sorted((d, o.id if o else 0) for d, o in c.held.items()))) for c in self.chains
+        )
+
+    def rearrange(self, chains: list[Chain]) -> bool:
+        """Place more of what has no place in one window, with everything that may move there moving; whether more stand then."""
+        open_ = [self.orphan_item(r, "orphan", chains) for r in self.loose if r.id not in self.placed]
+        open_ = [i for i in open_ + [self.end_item(e, chains) for e in self.ends if not self.standing(e)] if i.options]
+        if not open_:
             return False
-        for s, orphan, _ in items:
-            if orphan and s.id in self.placed:
-                self.unsettle(s)
-        for c in chains:
-            for depth in [d for d, why in c.why.items() if why in "ACD"]:
-                c.clear(depth)
-        for (s, orphan, _), (c, path) in zip(items, chosen, strict=True):
-            if orphan:
-                self.settle(s, [(c, path)])
-            else:
-                c.clear(s.depth)
-                self.put(c, s, "D")
-        return True
+        guests = {r.id: r for c in chains for r, _ in c.guests}
+        written = {c.at[d].id: c.at[d] for c in chains for d in c.at if c.why[d] in "CD" and c.at[d].payload is None and not c.at[d].kids}
+        held = [self.orphan_item(r, "moved", chains) for r in guests.values()] + [self.end_item(e, chains) for e in written.values()]
+        items = open_ + [i for i in held if i.options]
+        standing = len(items) - len(open_)
+        chosen, _ = self.solve(items)
+        return len(chosen) > standing and self.apply(items, chosen)
 
     def run(self) -> None:
-        """The rules to their fixpoint, then one escalation after the other."""
-        for _ in range(len(self.chains) + len(self.loose) + 8):
+        """The rules to their fixpoint, then joint placements as long as they place more."""
+        while True:
             moved = self.collapse()
             moved |= self.bind(wide=False)
             moved |= self.cover()
-            if moved or self.bind(wide=True) or self.displace():
+            if moved or self.bind(wide=True):
                 continue
             if all(r.id in self.placed for r in self.loose) and all(map(self.standing, self.ends)):
-                break
-            if not any([self.search(chains) for _, chains in sorted(self.windows.items())]):
-                break
+                return
+            if not any([self.rearrange(chains) for _, chains in sorted(self.windows.items())]):
+                return
 
     def links(self) -> list[Link]:
         """Every fragment under the deepest occupant above it; orphans on the chain that took most of them."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
 from spanloom.operators import handlers, ledger, loss, map_engine, reconstruct, scoring  # noqa: F401 (the ledgers add their engines)
+from spanloom.operators.exact import verified
 from spanloom.operators.handlers import Scheme
 from spanloom.session import materialize
 from spanloom.sources import reports
@@ -253,14 +254,18 @@ def test_event_orders_of_nested_spans(spark):
 
 
 def score_of(book, items, chosen):
-    """What an assignment is worth by the stated rules; None if it is not allowed."""
-    moving = {i.span.id for i in items if i.kind == "reseat"}
-    taken, reserved, paid, total = {}, set(), set(), 0
+    """What a placement is worth by the stated order of stakes; None if it is not allowed."""
+    moving = {i.span.id for i in items if i.kind == "moved"}
+    taken, reserved, paid = {}, set(), {}
+    moved = demands = covered = explained = early = 0
     for item, o in zip(items, chosen, strict=True):
         if o is None:
-            total -= item.penalty
             continue
-        total += o.gain
+        moved += item.kind == "moved"
+        demands += item.kind in ("orphan", "end")
+        covered += item.kind != "thread"
+        explained += o.gain
+        early -= item.options.index(o)
         cells = [(s, s.depth) for s in o.spans] + ([(None, o.above)] if o.above is not None else [])
         for s, depth in cells:
             key = (id(o.chain), depth)
@@ -277,16 +282,17 @@ def score_of(book, items, chosen):
                     guest = book.guest_of(there)
                     if guest is None or guest.id not in moving:
                         return None
-                elif key not in paid:
-                    paid.add(key)
-                    sole = o.chain.why[depth] in "CD" and there.payload is None and not there.kids and book.standing(there) <= 1
-                    total -= map_engine.COVER if sole else 1
-    return None if reserved & set(taken) else total
+                    paid[key] = 0
+                else:
+                    paid[key] = 1 + (o.chain.why[depth] in "CD" and there.payload is None and not there.kids and book.standing(there) <= 1)
+    if reserved & set(taken):
+        return None
+    return moved, demands, covered - sum(x == 2 for x in paid.values()), explained - sum(x != 2 for x in paid.values()), early
 
 
 @pytest.mark.parametrize("seed", range(40))
 def test_clusters_are_solved_to_the_optimum(seed):
-    """Branch and bound against all assignments, on small clusters of trees with false positives in their filters."""
+    """The search against all placements, on small clusters of trees with false positives in their filters."""
     import itertools
     import random
 
@@ -325,7 +331,8 @@ def test_clusters_are_solved_to_the_optimum(seed):
             n *= len(i.options) + 1
         if n > 3000:
             continue
-        chosen = book.solve(items)  # puts the items in order
+        chosen, found = book.solve(items)  # puts the items in order
+        assert found.proved and verified(book.problem(items).program, found)
         got = score_of(book, items, [chosen.get(k) for k in range(len(items))])
         every = (score_of(book, items, pick) for pick in itertools.product(*[[None, *i.options] for i in items]))
         assert got == max(s for s in every if s is not None)
