@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import payload
 from spanloom.operators import arrival, cleaning, loss, structure
 from spanloom.plans.tree import with_depth
-from spanloom.queries import ingest, recon, streams, studies
+from spanloom.queries import collisions, ingest, recon, streams, studies
 from spanloom.queries.base import ANCHORS, DEEP, KINDS, START, Entry
 from spanloom.sources.views import DIRTY_SQL, dirty_spans, heap_spans
 
@@ -275,7 +275,7 @@ FROM links b JOIN anchors a ON a.trace_id = b.trace_id AND a.span_id = b.orphan_
 def all_entries() -> dict[str, Entry]:
     """The entries of all families by name."""
     found = entries()
-    for family in (recon, ingest, studies, streams):
+    for family in (recon, collisions, ingest, studies, streams):
         found |= family.entries()
     return found
 

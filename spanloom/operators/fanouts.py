@@ -13,19 +13,18 @@ The rest of a gap is filled with spans without identity.
 
 from __future__ import annotations
 
-import sys
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from spanloom.operators.exact import Program, solve
 from spanloom.operators.handlers import Scheme
 from spanloom.operators.reconstruct import Fragments, Part, Span, _survivors, fanouts_of, parts_of
 from spanloom.plans.traces import map_traces
 
 EDGES = "trace_id bigint, node_id bigint, parent_id bigint, is_anon boolean, parent_anon boolean, is_fanout boolean"
-STEPS = 50_000
 
 
 @dataclass
@@ -102,31 +101,29 @@ def satisfy(choices: list[Choice], fans: dict[int, tuple[int, Span]], windows: d
         grown = bool(more)
         group |= more
     free = [c for c in choices if any(c in routes[m] for m in group)]
-    best: tuple[int, list[int]] | None = None
-    steps = STEPS
-    open_after = [{m: sum(c in routes[m] for c in free[i:]) for m in group} for i in range(len(free) + 1)]
-
-    def place(i: int, cost: int, have: dict[int, int], picks: list[int]) -> None:
-        nonlocal best, steps
-        steps -= 1
-        if steps < 0 or (best is not None and cost >= best[0]) or any(have[m] + open_after[i][m] < need[m] for m in group):
-            return
-        if i == len(free):
-            best = (cost, list(picks))
-            return
-        c = free[i]
-        seen = set()
+    p = Program()
+    picks: dict[int, tuple[Choice, int]] = {}
+    through: dict[int, list[int]] = {m: [] for m in group}
+    for c in free:
+        seen, own = set(), []
         for k, anchor in enumerate(c.anchors):
             passed = frozenset(m for m in group if c in routes[m] and passing(m, anchor.depth))
             if passed in seen:
                 continue  # a deeper ancestor passes the same spans
             seen.add(passed)
-            place(i + 1, cost + c.anchors[0].depth - anchor.depth, {m: n + (m in passed) for m, n in have.items()}, [*picks, k])
-
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * len(free) + 1000))
-    place(0, 0, dict.fromkeys(group, 0), [])
-    if best is not None:
-        for c, k in zip(free, best[1], strict=True):
+            v = p.var(anchor.depth - c.anchors[0].depth)
+            picks[v] = c, k
+            own.append(v)
+            for m in passed:
+                through[m].append(v)
+        p.group(own)
+        p.one_of(own)
+    for m in group:
+        p.at_least([(1, v) for v in through[m]], need[m])
+    found = solve(p)
+    if found is not None:  # else some spans cannot all have two children, and every fragment stays where it is
+        for v in found.true:
+            c, k = picks[v]
             c.at = k
 
 

@@ -148,7 +148,7 @@ def _covering(f: Fragments, o: Span, carriers: list[Span], placed: dict[int, lis
     level = [(k, False) for k in o.kids] + [(k, True) for k in placed.get(o.id, ())]
     while level:
         below = []
-        for s, guessed in level:
+        for s, guessed in sorted(level, key=lambda x: (x[1], x[0].key)):
             if s.depth > band:
                 continue
             if s.payload is None:

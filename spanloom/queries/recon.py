@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
 from spanloom.operators import (  # noqa: F401 (the ledgers add their engines)
+    certificates,
     event_order,
     fanouts,
     handlers,
@@ -162,7 +163,7 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def truth_of(spark: SparkSession, sf_dir: str, scheme: Scheme) -> DataFrame:
     """The whole trace table with depth, carrier, dropped and payloads, written once."""
     spans = wide(spark, sf_dir)
-    d = loss.with_drops(spans)
+    d = loss.with_drops(spans, cpd=scheme.cpd)
     p = handlers.payloads(spans, scheme).select("trace_id", "span_id", "br")
     return materialize(d.join(p, ["trace_id", "span_id"]), "recon-truth")
 
@@ -237,15 +238,15 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_order.orders(d.join(quads, ["trace_id", "span_id"], "left"), s)
 
 
-def _timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the slowest and the median trace take to rebuild, by engine (index rule)."""
-    truth = truth_of(spark, sf_dir, Scheme("pcrb", CPD))
-    out = None
-    for engine in ("pcrb", "ledger", "map"):
-        t = materialize(reconstruct.timings(truth.where("not dropped"), engine, Scheme("pcrb", CPD)), "timings")
-        part = structure.index_percentiles(t, "recon_ns", (0.5, 0.99, 1.0)).select(F.lit(engine).alias("engine"), "p", F.col("value").alias("recon_ns"))
-        out = part if out is None else out.unionByName(part)
-    return out
+def _certificates(engine: str, cpd: int, fp: float):
+    """Every cluster that an engine solved, judged by itself."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Scheme("pcrb", cpd, fp=fp)
+        dump = materialize(certificates.clusters(truth_of(spark, sf_dir, s).where("not dropped"), engine, s), "clusters")
+        return certificates.certify(dump)
+
+    return run
 
 
 def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -363,6 +364,8 @@ SELECT trace_id, count(*) FILTER (anchor_id IS NULL) AS fragments_lost, coalesce
         "ledger_links": _true_links("ledger"),
         "map_links": _true_links("map"),
         "map_scores": Entry(_scored("map", scoring.score, name="pcrb", fp=1e-2)),
+        "map_certificates": Entry(_certificates("map", 5, 1e-1)),
+        "ledger_certificates": Entry(_certificates("ledger", 5, 1e-1)),
         "map_open_ends": Entry(_scored("map", scoring.open_ends, name="pcrb", fp=RARE), WIDE + KINDS + ANCHORS + OPEN_ENDS),
         "ledger_scores": Entry(_scored("ledger", scoring.score, name="pcrb", fp=1e-2)),
         "ledger_open_ends": Entry(
@@ -453,7 +456,6 @@ SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::I
         "tree_identity": Entry(_tree_identity(RARE, "cgp2", prime=True), None),
         "tree_identity_greedy": Entry(_tree_identity(1e-2, "cgp1")),
         "connectivity_ceilings": Entry(_scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1)),
-        "recon_timings": Entry(_timings),
         "seeded_interior_drops": Entry(lambda spark, sf_dir: loss.seeded_interior_drops(wide(spark, sf_dir), 0.5)),
         "filter_sizes": Entry(
             lambda spark, sf_dir: spark.createDataFrame(

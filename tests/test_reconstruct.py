@@ -336,3 +336,28 @@ def test_clusters_are_solved_to_the_optimum(seed):
         got = score_of(book, items, [chosen.get(k) for k in range(len(items))])
         every = (score_of(book, items, pick) for pick in itertools.product(*[[None, *i.options] for i in items]))
         assert got == max(s for s in every if s is not None)
+
+
+def test_certificates_tell_false_claims(spark):
+    """Dumped clusters are certified; a claim that leaves something out, or breaks a row, is not."""
+    import json
+
+    from spanloom.operators import certificates
+    from spanloom.sources.views import wide_spans
+
+    from spanloom.sources.views import heap_spans
+
+    s = Scheme("pcrb", 5, fp=0.1)
+    spans = wide_spans(heap_spans(spark, "/root/testdata/sf0.01"))
+    p = handlers.payloads(spans, s).select("trace_id", "span_id", "br")
+    alive = materialize(loss.with_drops(spans, 0.5, 5).where("not dropped").join(p, ["trace_id", "span_id"]), "alive")
+    for engine in ("map", "ledger"):
+        dump = materialize(certificates.clusters(alive, engine, s), "dump")
+        rows = certificates.certify(dump).collect()
+        assert rows and all(r.allowed and r.best and r.checked and r.gap == "0" and not r.capped for r in rows)
+        less = spark.createDataFrame([r.asDict() | {"claim": "[]"} for r in dump.collect()], dump.schema)
+        rows = certificates.certify(less).collect()
+        assert all(r.allowed and not r.best and int(r.gap) > 0 for r in rows)
+        all_ = [r.asDict() | {"claim": json.dumps(list(range(1, 1 + len(json.loads(r.program)["weights"]))))} for r in dump.collect()]
+        assert not any(r.allowed for r in certificates.certify(spark.createDataFrame(all_, dump.schema)).collect())
+    assert certificates.certify(dump.limit(0)).count() == 0
