@@ -10,7 +10,9 @@ that holds every content block and every sentence that is not a link. The blocks
 the main text, except elements that are never article text - menus, page headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments - which are known by tag, role, or a whole name in
 their class or id (its other words may only say where it is on the page), and, outside an article,
-blocks that are mostly links and on no content path.
+blocks that are mostly links and on no content path. Inside an article, elements whose name an article's
+parts bear too (``copyright``, ``discussion``, ``related``) stay where their path is a content path. A form that holds
+an article, a main part or a title, or most of the page's sentences, is the page's frame and no form.
 
 White space inside a block (a ``br`` counts as white space) becomes one space; blocks are joined by
 one newline; character references are decoded once. Nothing else is dropped or cut.
@@ -43,7 +45,8 @@ TOKEN = re.compile(
     r"""|<(?P<close2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*+)(?:>|\Z)""",
     re.S,
 )
-ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after the other: a name, and a value where an equals sign follows; values are never searched.
+ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]*))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？،؟।]")
 
 # Element names by their part in HTML.
@@ -53,7 +56,7 @@ INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 NEVER = set(
-    "head nav footer aside form button select option textarea input fieldset dialog menu script style noscript template iframe svg canvas object embed audio video map title".split()
+    "head nav footer aside button select option textarea input fieldset dialog menu script style noscript template iframe svg canvas object embed audio video map title".split()
 )
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -71,6 +74,13 @@ BOILERPLATE_WORDS = set(
     share sharing social follow related recommended recommendations recirculation trending widget widgets toolbar pager pagination
     hidden skip""".split()
 )
+#: Of these, names that parts of an article bear too: inside one, the path's ratio decides.
+DOUBTFUL = set(
+    """copyright legal discussion related trending follow reply replies respond subscribe register search form widget widgets recommended
+    recommendations notice notices alert alerts promo share sharing social side rail sponsor skip""".split()
+)
+#: Sentences that a form without article, main part or title must hold, with half of the page's, to be more than a form.
+FORM_SENTENCES = 3
 #: Words that say where on the page an element is; beside them, a boilerplate word is the name.
 LAYOUT_WORDS = set(
     """site page main global top bottom left right upper lower primary secondary container wrapper wrap box bar block area section
@@ -91,11 +101,11 @@ CONTAINERS = set("html body div section article main".split())
 class Element:
     """An open element of the page, with what holds for everything in it."""
 
-    __slots__ = ("tag", "node", "own", "never", "kept")
+    __slots__ = ("tag", "node", "own", "never", "kept", "doubt", "form")
 
-    def __init__(self, tag: str, node: int, own: bool, never: bool, kept: bool):
-        #: ``node`` is that of the innermost block element; ``own``: this element is excluded itself.
-        self.tag, self.node, self.own, self.never, self.kept = tag, node, own, never, kept
+    def __init__(self, tag: str, node: int, own: bool, never: bool, kept: bool, doubt: bool, form: int):
+        #: ``node`` is that of the innermost block element; ``own``: this element is excluded itself; ``form``: number of the form it is in.
+        self.tag, self.node, self.own, self.never, self.kept, self.doubt, self.form = tag, node, own, never, kept, doubt, form
 
 
 class Paths:
@@ -132,12 +142,25 @@ class Paths:
 
 
 class Block:
-    """A text block: its path, its text, how many of its characters are links, whether it is never article text."""
+    """A text block: its path, its text, how many of its characters are links, whether it is never article text, or in doubt, and its form."""
+
+    __slots__ = ("node", "text", "links", "never", "doubt", "form")
+
+    def __init__(self, node: int, text: str, links: int, never: bool, doubt: bool = False, form: int = 0):
+        self.node, self.text, self.links, self.never, self.doubt, self.form = node, text, links, never, doubt, form
+
+    def sentence(self) -> bool:
+        return 2 * self.links <= len(self.text) and bool(SENTENCE.search(self.text))
 
-    __slots__ = ("node", "text", "links", "never")
 
-    def __init__(self, node: int, text: str, links: int, never: bool):
-        self.node, self.text, self.links, self.never = node, text, links, never
+def _doubtful(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
+    """Whether only names speak against an element of an article, and only such as its parts may bear."""
+    if not inside_article or tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or attrs.get("role", "").lower() in BOILERPLATE_ROLES:
+        return False
+    names = [n for n in attrs.get("class", "").split() if _named(n, BOILERPLATE_WORDS)]
+    found = {w.lower() for n in names for w in WORDS.findall(n)} & BOILERPLATE_WORDS
+    ids = any(_named(n, BOILERPLATE_WORDS & NO_HEADING) for n in attrs.get("id", "").split())
+    return bool(found) and found <= DOUBTFUL and not ids and "display:none" not in attrs.get("style", "").replace(" ", "").lower()
 
 
 def _boilerplate(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
@@ -166,8 +189,9 @@ def _named(name: str, known: set[str]) -> bool:
 
 
 def blocks_of(page: str) -> tuple[list[Block], Paths]:
-    """The text blocks in page order and their paths, in time linear in the page."""
+    """The text blocks in page order and their paths, in time linear in the page; those of real forms are never article text."""
     out: list[Block] = []
+    forms, wrappers = 0, set()
     paths = Paths()
     stack: list[Element] = []
     count: dict[str, int] = {}
@@ -179,8 +203,8 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
         if held:
             text = " ".join("".join(held).split())
             if text:
-                node, never = (stack[-1].node, stack[-1].never) if stack else (0, False)
-                out.append(Block(node, text, min(links, len(text)), never))
+                at = stack[-1] if stack else NOWHERE
+                out.append(Block(at.node, text, min(links, len(text)), at.never, at.doubt, at.form))
             held.clear()
         links = 0
 
@@ -244,9 +268,17 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
         if tag in IMPLIED:
             close(IMPLIED[tag])
         attr = m["attr"] or m["attr2"] or ""
-        attrs = {k.lower(): (v or "").strip("\"'") for k, v in ATTR.findall(attr)} if attr.strip() else {}
-        over = stack[-1] if stack else Element("", 0, False, False, False)
+        attrs: dict[str, str] = {}
+        for k, v in ATTR.findall(attr) if attr.strip() else ():
+            attrs.setdefault(k.lower(), entities.unescape(v[1:-1] if v[:1] in ("'", '"') else v))
+        over = stack[-1] if stack else NOWHERE
         own = _boilerplate(tag, attrs, over.kept)
+        doubt = own and _doubtful(tag, attrs, over.kept)
+        own = own and not doubt
+        form = over.form
+        if tag == "form":
+            forms += 1
+            form = forms
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
@@ -261,12 +293,26 @@ def blocks_of(page: str) -> tuple[list[Block], Paths]:
             if tag not in INLINE:
                 label = ".".join(filter(None, [tag, attrs.get("id", ""), *attrs.get("class", "").split()]))
                 node = paths.child(node, f"{label}#{number}" if kept or tag in ("div", "section") else label)
-            stack.append(Element(tag, node, own, over.never or own, over.kept or kept))
+            if (kept or tag == "h1") and over.form:
+                wrappers.add(over.form)
+            stack.append(Element(tag, node, own, over.never or own, over.kept or kept, over.doubt or doubt, form))
             count[tag] = count.get(tag, 0) + 1
     flush()
+    if forms:
+        said: dict[int, int] = {}
+        for b in out:
+            if not b.never and b.sentence():
+                said[b.form] = said.get(b.form, 0) + 1
+        half = sum(said.values()) / 2
+        wrappers |= {f for f, n in said.items() if n >= FORM_SENTENCES and n >= half}
+        for b in out:
+            b.never |= b.form > 0 and b.form not in wrappers
     return out, paths
 
 
+NOWHERE = Element("", 0, False, False, False, False, 0)
+
+
 def path_ratios(blocks: list[Block], paths: Paths) -> dict[int, float]:
     """Smoothed and fused ratio of every tag path, by its plain node."""
     sums: dict[int, list[float]] = {}
@@ -315,7 +361,7 @@ def content_root(blocks: list[Block], chosen: list[Block], paths: Paths, ratio:
     if articles:
         return articles, True
     on = {paths.plain[b.node] for b in chosen}
-    held = [b for b in blocks if paths.plain[b.node] in on or (2 * b.links <= len(b.text) and SENTENCE.search(b.text))]
+    held = [b for b in blocks if paths.plain[b.node] in on or b.sentence()]
     ends = {b.node for b in held}
     within = paths.sums(dict.fromkeys(ends, 1.0))
     below: dict[int, int] = {}
@@ -351,6 +397,8 @@ def main_text(page: str | None) -> str:
         inside[node] = node == root or (node > root and inside[paths.parent[node]])
     kept = []
     for b in blocks:
+        if b.doubt and not (paths.plain[b.node] in content and 2 * b.links <= len(b.text)):
+            continue
         heading = paths.label[b.node][:2] in HEADINGS and paths.parent[b.node] in chain
         if (inside[b.node] or heading) and (whole or paths.plain[b.node] in content or 2 * b.links <= len(b.text)):
             kept.append(b.text)
