@@ -16,9 +16,13 @@ ordered document by document. The number of slices follows the number of documen
 ``BROADCAST_SOURCES`` sources are broadcast to the documents; of more, those with a large share of the
 rows are (``HOT_SOURCES`` at most), the rest are joined by a shuffle.
 
-Cases: null text has size 0; a null source is a source of its own, last in order; empty tables give
-no rows; documents of size 0 take nothing; rows that repeat a document id and source are one unit
-and get equal copies; extra columns are ignored. Equal hashes are ordered by document id.
+A row is a unit, whatever its id: its hash is made from all its columns, and rows that are equal in all of
+them are counted first (combined before they are moved) and numbered, each number with a hash of its own.
+
+Cases: null text has size 0; a null source is a source of its own, last in order; null ids and ids that repeat
+are units like others; equal rows cannot be told apart, so reruns agree although any of them may be the
+one that is taken; empty tables give no rows; documents of size 0 take nothing; extra columns only tell
+rows apart. Equal hashes are ordered by document id.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.llm.sharding import _hashes
 from spanloom.session import materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +42,8 @@ BROADCAST_UNITS = 1_000_000
 #: Slices of the hash order: at least so many, more where a slice would hold this many units.
 HASH_SLICES, SLICE_UNITS = 4096, 100_000
 SEED = 20_011
+#: Equal rows are numbered in blocks of so many, each block a row that can be dealt anew.
+EQUAL_BLOCK = 10_000
 NEWTON_STEPS = 60
 SOLVED = 1e-9
 GAP_STEPS = 3
@@ -82,20 +89,25 @@ def sources_of(base: DataFrame) -> DataFrame:
 def targets_of(sources: DataFrame, weights=WEIGHTS, cap: float = MAX_COPIES) -> DataFrame:
     """``sources`` plus ``target``: the words that each one is to give."""
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
-    rows = materialize(sources.withColumn("weight", weight), "mix-weights")
     most = F.lit(float(cap)) * F.col("words")
-    total = float(rows.agg(F.sum("words")).first()[0] or 0)
-    level, capped = 0.0, -1
-    while True:  # every pass but the last one caps a source more
-        over = most < F.col("weight") * F.lit(level)
-        sums = rows.agg(
-            F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.sum(F.when(over, most)).alias("words"), F.count(F.when(over, 1)).alias("n")
-        ).first()
-        if sums["n"] == capped or not sums["weight"]:
-            break
-        capped = sums["n"]
-        level = (total - (sums["words"] or 0.0)) / sums["weight"]
-    return rows.withColumn("target", F.least(most, F.col("weight") * F.lit(level))).drop("weight")
+    rows = sources.withColumn("weight", weight).withColumn("_most", most).withColumn("_ratio", most / F.col("weight"))
+    parts = max(1, -(-rows.count() // BROADCAST_SOURCES))
+    dealt = materialize(rows.repartitionByRange(parts, "_ratio", "place").withColumn("part", F.spark_partition_id()), "mix-weights")
+    sums = sorted(dealt.groupBy("part").agg(F.sum("_most").alias("most"), F.sum("weight").alias("weight"), F.sum("words").alias("words")).collect())  # one row per BROADCAST_SOURCES sources
+    total, open_ = float(sum(r["words"] for r in sums)), sum(r["weight"] for r in sums)
+    # sources are capped in the order of their ratios, up to the first one that the level of the rest does not reach
+    capped, still, done = F.lit(0.0), F.lit(0.0), 0.0
+    for r in sums:
+        here = F.col("part") == r["part"]
+        capped, still = F.when(here, F.lit(done)).otherwise(capped), F.when(here, F.lit(open_)).otherwise(still)
+        done, open_ = done + r["most"], open_ - r["weight"]
+    before = Window.partitionBy("part").orderBy("_ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
+    sum_before = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
+    level = (F.lit(total) - capped - sum_before("_most")) / (still - sum_before("weight"))
+    levels = dealt.withColumn("_level", level).where(F.col("_ratio") >= F.col("_level"))
+    found = levels.agg(F.min_by("_level", F.struct("_ratio", "place"))).first()[0]
+    target = F.least(F.col("_most"), F.col("weight") * F.lit(float(found or 0.0)))
+    return dealt.withColumn("target", target).drop("weight", "_most", "_ratio", "part")
 
 
 def solve_rates(targets: DataFrame, copies: int = MAX_COPIES) -> DataFrame:
@@ -171,7 +183,7 @@ def round_copies(base: DataFrame, sources: DataFrame, copies: int = MAX_COPIES)
         ((F.col("slice") <= F.col("last_full")) | F.coalesce("at_edge", F.lit(False))).cast("int")
         * (F.col("whole") < copies).cast("int"),
     )
-    drawn = materialize(drawn.select("row", "doc_id", "source_key", "size", "u", "whole", "target", "extra", "slice", "last_full"), "mix-drawn")
+    drawn = materialize(drawn.select("row", "one", "two", "n", "doc_id", "source", "source_key", "size", "u", "whole", "target", "extra", "slice", "last_full"), "mix-drawn")
     turned = None
     for _ in range(GAP_STEPS):
         now = drawn if turned is None else _turn(drawn, turned)
@@ -196,12 +208,18 @@ def _turn(drawn: DataFrame, turned: DataFrame) -> DataFrame:
     return drawn.join(times, "row", "left").withColumn("extra", (F.col("extra") + F.coalesce("times", F.lit(0))) % 2).drop("times")
 
 
-def _unit_key() -> dict[str, Column]:
-    """What the mix knows of a row besides its size: source key and hash."""
-    return {
-        "source_key": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")),
-        "u": F.xxhash64(F.lit(SEED), "doc_id"),
-    }
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def _numbered(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Every row ``count`` times, numbered from 1; a row that comes very often is dealt over many tasks."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / EQUAL_BLOCK).cast("int"))))
+    if rows.where(F.col(count) > EQUAL_BLOCK).limit(1).count():
+        blocks = blocks.repartition(F.xxhash64("one", "two", "_block"))
+    first = F.col("_block").cast("long") * EQUAL_BLOCK
+    upto = F.least(F.col(count), first + EQUAL_BLOCK)
+    return blocks.withColumn(name, F.explode(F.sequence(first + 1, upto))).drop("_block")
 
 
 def _slice(slices: int) -> Column:
@@ -213,34 +231,27 @@ def _by_rule(copies: int) -> Column:
     return F.col("whole") + ((F.col("slice") <= F.col("last_full")) & (F.col("whole") < copies)).cast("int")
 
 
-def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Sizes of all rows, copies of every unit (rows that share doc_id and source), the sources' targets and rates, slices."""
-    sized = docs.select(
-        F.col("doc_id"),
-        F.col("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *[c.alias(name) for name, c in _unit_key().items()],
-    )
-    sized = materialize(sized, "mix-sizes")
-    rows = sized.count()
+def _units(docs: DataFrame, weights, copies: int) -> tuple[DataFrame, DataFrame, int]:
+    """Every row as a unit with its copies (``one, two``: its hashes, ``n``: how many rows are equal to it), the sources' targets and rates, slices."""
+    one, two = _hashes(docs, SEED)
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = docs.select(one.alias("one"), two.alias("two"), "doc_id", "source", _source_key().alias("source_key"), size.alias("size"))
+    same = [F.first(c).alias(c) for c in ("doc_id", "source", "source_key", "size")]
+    once = materialize(sized.groupBy("one", "two").agg(F.count(F.lit(1)).alias("n"), *same), "mix-sizes")
+    rows = once.agg(F.sum("n")).first()[0] or 0
     slices = max(HASH_SLICES, rows // SLICE_UNITS)
-    base = sized.groupBy("doc_id", "source", "source_key", "u").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
-    base = materialize(base.withColumn("slice", _slice(slices)).withColumn("row", F.monotonically_increasing_id()), "mix-units", rows)
+    each = _numbered(once, "n", "i").withColumn("u", F.when(F.col("i") == 1, F.col("one")).otherwise(F.xxhash64("one", "two", "i")))
+    base = materialize(each.withColumn("slice", _slice(slices)).withColumn("row", F.monotonically_increasing_id()), "mix-units")
     sources = solve_rates(targets_of(sources_of(base), weights, copies), copies)
-    return sized, round_copies(base, sources, copies), sources, slices
+    return round_copies(base, sources, copies), sources, slices
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> DataFrame:
-    """``doc_id, source, size, source_size, target, rate, copies``: one row per row of ``docs``.
-
-    Rows that share ``doc_id`` and ``source`` are mixed as one unit, so they get equal copies.
-    """
-    sized, units, sources, _ = _units(docs, weights, copies)
-    taken = units.select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("copies"))
-    per = sources.select("source_key", F.col("words").alias("source_size"), "target", "rate")
-    same = sized["doc_id"].eqNullSafe(taken["_id"]) & (sized["source_key"] == taken["_key"])
-    both = _with_source(sized.join(taken, same), per, sources)
-    return both.select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    """``doc_id, source, size, source_size, target, rate, copies``: one row per row of ``docs``."""
+    units, sources, _ = _units(docs, weights, copies)
+    per = sources.select("source_key", F.col("words").alias("source_size"), F.col("target").alias("_target"), "rate")
+    both = _with_source(units.select("doc_id", "source", "source_key", "size", F.col("copies").cast("int").alias("copies")), per, sources)
+    return both.select("doc_id", "source", "size", "source_size", F.col("_target").alias("target"), "rate", "copies")
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,21 +264,32 @@ def apply_mix(docs: DataFrame, weights=WEIGHTS, copies: int = MAX_COPIES) -> Dat
     """The mixed corpus: every row of ``docs`` as often as the mix takes it, columns unchanged.
 
     Texts are not dealt out: the plan of a source gives a row's copies from its hash, and only the
-    units of the edge slices and of the last turns, a small share, are looked up by id.
+    units of the edge slices and of the last turns, a small share, are looked up. Of rows that are equal in
+    all columns one is kept and repeated.
     """
-    _, units, sources, slices = _units(docs, weights, copies)
-    units = materialize(units.select("doc_id", "source_key", "slice", "whole", "last_full", "copies"), "mix-copies")
+    units, sources, slices = _units(docs, weights, copies)
+    names = ["one", "two", "n", "source_key", "slice", "whole", "last_full", "copies"]
+    units = materialize(units.select(*names), "mix-copies")
     plan = units.groupBy("source_key").agg(F.first("whole").alias("whole"), F.first("last_full").alias("last_full"))
-    odd = units.where(F.col("copies") != _by_rule(copies))
-    odd = materialize(
-        odd.select(F.col("doc_id").alias("_id"), F.col("source_key").alias("_key"), F.col("copies").cast("int").alias("_copies")), "mix-odd"
-    )
-    odd = F.broadcast(odd) if odd.count() <= BROADCAST_UNITS else odd
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "doc_id", "source")
-    rows = _with_source(rows.withColumns(_unit_key()).withColumn("slice", _slice(slices)), plan, sources)
-    rows = rows.join(odd, rows["doc_id"].eqNullSafe(odd["_id"]) & (rows["source_key"] == odd["_key"]), "left")
-    taken = rows.withColumn("_copies", F.coalesce("_copies", _by_rule(copies))).where("_copies > 0")
-    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+    key = ["_one", "_two"]
+    own = F.col("one").alias("_one"), F.col("two").alias("_two")
+    odd = units.where((F.col("n") == 1) & (F.col("copies") != _by_rule(copies))).select(*own, F.col("copies").cast("int").alias("_copies"))
+    equal = units.where("n > 1").groupBy(*own).agg(F.sum("copies").cast("long").alias("_total"))
+    odd, equal = materialize(odd, "mix-odd"), materialize(equal, "mix-equal")
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_UNITS else df
+    one, two = _hashes(docs, SEED)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _source_key().alias("source_key"), one.alias("_one"), two.alias("_two"))
+    repeats = equal.count()
+    single = rows.join(few(equal.select(*key), repeats), key, "left_anti") if repeats else rows
+    single = _with_source(single.withColumn("slice", F.pmod("_one", F.lit(slices)).cast("int")), plan, sources)
+    single = single.join(few(odd, odd.count()), key, "left")
+    taken = single.withColumn("_copies", F.coalesce("_copies", _by_rule(copies))).where("_copies > 0")
+    out = taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+    if repeats:
+        held = rows.join(few(equal.where("_total > 0"), repeats), key).groupBy(*key).agg(F.first("_row").alias("_row"), F.first("_total").alias("_total"))
+        held = held.withColumnsRenamed({"_one": "one", "_two": "two"})
+        out = out.unionByName(_numbered(held, "_total", "_copy").select("_row.*"))
+    return out
 
 
 def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
