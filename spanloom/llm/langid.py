@@ -13,7 +13,8 @@ else covers all rows.
 Cases: a null ``doc_id`` is not held out; null texts, and texts without a letter, are ``und`` with score 0; empty tables give no rows;
 a single learned language is predicted for every text with letters, and with no training row every
 text is ``und``; very long texts are read whole; repeated rows each give a row; extra columns are
-ignored. Exact ties go to the language first in code point order.
+ignored. Exact ties go to the language first in code point order. More than
+``MOST_LANGUAGES`` labels are an error.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from spanloom.session import table
 
 CELLS = 1 << 14
 TRAIN_ROWS = 2400
+#: More labels than this are refused: there are not so many languages with texts, and there is a machine per pair in a family.
+MOST_LANGUAGES = 400
 EPOCHS = 12
 PENALTY = 30.0
 #: Characters of a text whose n-grams are counted at a time.
@@ -117,25 +120,27 @@ def _grams(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.concatenate(parts).astype(np.int64), minlength=CELLS)
 
 
-def features(counts: np.ndarray) -> np.ndarray:
-    """Unit-length feature vector of n-gram counts."""
-    return np.sqrt(counts / counts.sum()).astype(np.float32)
+def features(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit-length feature vector of n-gram counts: its cells, and their values."""
+    at = np.flatnonzero(counts)
+    return at, np.sqrt(counts[at] / counts[at].sum()).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
+def fit_svm(x: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
     """Linear support vector machine (hinge loss) by dual coordinate ascent; y is +1 or -1."""
     draw = np.random.Generator(np.random.PCG64(seed))
-    w, bias = np.zeros(x.shape[1], dtype=np.float64), 0.0
+    w, bias = np.zeros(CELLS, dtype=np.float64), 0.0
     alpha = np.zeros(len(y))
-    norm = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1.0  # no wide copy of x
+    norm = [float(v @ v) + 1.0 for _, v in x]
     for _ in range(EPOCHS):
         moved = 0.0
         for i in draw.permutation(len(y)):
-            margin = y[i] * (x[i] @ w + bias)
+            at, value = x[i]
+            margin = y[i] * (w[at] @ value + bias)
             new = min(PENALTY, max(0.0, alpha[i] + (1 - margin) / norm[i]))
             step = (new - alpha[i]) * y[i]
             if step:
-                w += step * x[i]
+                w[at] += step * value
                 bias += step
                 alpha[i] = new
                 moved = max(moved, abs(step))
@@ -147,7 +152,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> tuple[np.ndarray, fl
 class Hierarchy:
     """Family machines and, inside each family, pairwise machines."""
 
-    def __init__(self, languages: list[str], x: np.ndarray, labels: np.ndarray):
+    def __init__(self, languages: list[str], x: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
         self.languages = sorted(languages)
         families = sorted({family_of(s) for s in self.languages})
         self.members = [[s for s in self.languages if family_of(s) == f] for f in families]
@@ -163,9 +168,9 @@ class Hierarchy:
             pairs = []
             for i in range(len(names)):
                 for j in range(i + 1, len(names)):
-                    rows = (labels == names[i]) | (labels == names[j])
+                    rows = np.flatnonzero((labels == names[i]) | (labels == names[j]))
                     pairs.append((i, j, len(heads)))
-                    heads.append(fit_svm(x[rows], np.where(labels[rows] == names[i], 1.0, -1.0)))
+                    heads.append(fit_svm([x[r] for r in rows], np.where(labels[rows] == names[i], 1.0, -1.0)))
             self.pair_heads.append(pairs)
         self.weights = np.array([w for w, _ in heads], dtype=np.float32).reshape(len(heads), CELLS).T.copy()
         self.bias = np.array([b for _, b in heads], dtype=np.float32)
@@ -175,7 +180,8 @@ class Hierarchy:
         counts = ngram_counts(text)
         if counts is None or not self.languages:
             return UNKNOWN, 0.0
-        margin = features(counts) @ self.weights + self.bias
+        at, value = features(counts)
+        margin = value @ self.weights[at] + self.bias
         sure = 1.0
         f = 0
         if self.family_heads:
@@ -208,8 +214,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
     labelled = labelled.withColumn("u", F.xxhash64("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("u", 0.02).alias("n")).collect()}
     if not counts:
-        return Hierarchy([], np.zeros((0, CELLS), np.float32), np.zeros(0, str))
-    each = max(20, rows // len(counts))
+        return Hierarchy([], [], np.zeros(0, str))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} labels are no languages; at most {MOST_LANGUAGES} are learned")
+    each = max(1, rows // len(counts))
     # a hash threshold takes about 1.3 times the texts wanted; the first by hash are kept
     span = float(1 << 63)
     bound = F.lit(0.0)
@@ -240,11 +248,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", rows: int = T
     chosen = found.withColumn("place", place).where(F.col("place") <= each).collect()
     picked = [(r["lang"], (bytes(r["index"]), bytes(r["value"]))) for r in sorted(chosen, key=lambda r: (r["lang"], r["place"]))]
     held = {name for name, _ in picked}
-    x = np.zeros((len(picked), CELLS), dtype=np.float32)
-    for i, (_, (index, value)) in enumerate(picked):
+    x = []
+    for _, (index, value) in picked:
         dense = np.zeros(CELLS, dtype=np.int64)
         dense[np.frombuffer(index, "<u2").astype(np.int64)] = np.frombuffer(value, "<u4")
-        x[i] = features(dense)
+        x.append(features(dense))
     return Hierarchy(sorted(held), x, np.array([name for name, _ in picked]))
 
 
