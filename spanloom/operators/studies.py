@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions import hashing, tags
-from spanloom.operators import handlers, structure
+from spanloom.operators import handlers, reservoir, structure
 from spanloom.operators.arrival import trace_properties
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.traces import groups, map_traces
@@ -331,7 +331,8 @@ def select_traces(spans: DataFrame, first: int | None = None, sample: int | None
     if only is not None:
         return spans.where(F.col("trace_id").isin(only))
     if sample is not None:
-        ids = ids.orderBy(F.xxhash64(F.lit(seed), "trace_id"), "trace_id").limit(sample)
+        drawn = ids.withColumn("priority", reservoir.priority(reservoir.keyed(F.col("trace_id"), seed)))
+        ids = reservoir.sample(drawn, sample, ties=("trace_id",)).select("trace_id")
     if first is not None:
         ids = ids.orderBy(hashing.unsigned(F.col("trace_id"))).limit(first)
     return spans.join(ids, "trace_id", "left_semi")

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions import tags
-from spanloom.operators import handlers, reconstruct, scoring
+from spanloom.operators import handlers, reconstruct, scoring, structure
 from spanloom.operators.handlers import Scheme
+from spanloom.plans.order import numbered
 from spanloom.plans.tree import with_depth
 from spanloom.queries import recon
 from spanloom.queries.base import DEEP, START, Entry
 from spanloom.session import materialize, shared_dir
-from spanloom.sources import corpus, jaeger, reports
+from spanloom.sources import binary, corpus, jaeger, reports
 from spanloom.sources.views import DIRTY_SQL, dirty_spans, heap_spans
 
 
@@ -84,8 +85,66 @@ def _archive_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("kind").agg(F.count(F.lit(1)).alias("events"), F.countDistinct("trace_id").alias("traces"), F.max("pos").alias("last"))
 
 
+def _services(rows: DataFrame) -> DataFrame:
+    """Services by number, in code point order."""
+    names = rows.select("service").distinct()
+    return numbered(names, [F.col("service")], "service_id", first=0).withColumn("service_id", F.col("service_id").cast("int"))
+
+
+def _with_ids(rows: DataFrame, services: DataFrame) -> DataFrame:
+    return rows.join(F.broadcast(services), "service")
+
+
+def _binary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, str]:
+    """Events in order, the services by number, and a folder for binary files."""
+    spans = with_depth(in_ns(heap_spans(spark, sf_dir)))
+    events = corpus.events_of(spans)
+    return events, materialize(_services(spans), "services"), _folder(spark, "binary")
+
+
+def _binary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, services, path = _binary(spark, sf_dir)
+    rows = _with_ids(events, services).repartitionByRange("pos").sortWithinPartitions("pos")
+    binary.write(rows.select(*[c.split()[0] for c in binary.SCHEMAS["events"].split(", ")]), path, "events")
+    back = _with_ids(binary.read(spark, path, "events").join(F.broadcast(services), "service_id").drop("service_id"), services)
+    return back.select("pos", "trace_id", "span_id", "parent_id", "service", "kind", "ts", "depth")
+
+
+def _binary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, services, path = _binary(spark, sf_dir)
+    rows = _with_ids(events, services).repartition("trace_id").sortWithinPartitions("trace_id", "pos")
+    binary.write(rows.select("trace_id", "kind", "span_id", "parent_id", "service_id", "ts"), path, "store")
+    back = binary.read(spark, path, "store").join(F.broadcast(services), "service_id")
+    return back.select("trace_id", "span_id", "parent_id", "service", "kind", "ts", "place")
+
+
+def _binary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, services, path = _binary(spark, sf_dir)
+    rows = _with_ids(corpus.spans_of(events).withColumn("flags", F.lit(0)), services).repartition("trace_id").sortWithinPartitions("trace_id", "start_ns")
+    binary.write(rows.select("trace_id", "flags", "span_id", "parent_id", "service_id", "start_ns", "end_ns"), path, "archive")
+    back = binary.read(spark, path, "archive").join(F.broadcast(services), "service_id")
+    return back.select("trace_id", "span_id", "parent_id", "service", "start_ns", "end_ns", "flags")
+
+
+def _binary_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, services, path = _binary(spark, sf_dir)
+    none = lambda kind: F.lit(None).cast(kind)
+    named = services.select(F.col("service_id").cast("long").alias("place"), "service", none("long").alias("trace_id"), none("long").alias("num_spans"))
+    traces = corpus.meta_of(events).select(F.col("completion").alias("place"), none("string").alias("service"), "trace_id", "num_spans")
+    binary.write(named.unionByName(traces), path, "meta")
+    return binary.read(spark, path, "meta").where("service is null").select("trace_id", "num_spans")
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.part_loads(_short(spark, sf_dir), 4).select("part", "components", "traces", "spans", "over")
+    """Sums over all parts, and whether the heaviest one is within four thirds of the least that any rule could reach."""
+    spans = _short(spark, sf_dir)
+    loads = materialize(corpus.part_loads(spans, 4), "loads")
+    labelled = structure.trace_components(spans, "start_ns", "end_ns").groupBy("component").agg(F.count(F.lit(1)).alias("n"))  # a trace is a span here
+    least = F.broadcast(labelled.agg(F.greatest(F.max("n"), F.ceil(F.sum("n") / 4)).alias("least")))
+    return loads.crossJoin(least).agg(
+        F.count(F.lit(1)).alias("parts"), F.sum("components").alias("components"), F.sum("traces").alias("traces"), F.sum("spans").alias("spans"),
+        (F.max("spans") <= F.max("least") * 4 / 3 + 1).alias("level"),
+    )
 
 
 def _short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +270,16 @@ ORDER = """, e AS (SELECT trace_id, span_id, parent_id, service, 0 AS kind, star
 ), meta AS (SELECT trace_id, count(*) FILTER (kind = 0) AS num_spans, count(DISTINCT service) AS num_services, min(pos) AS first_pos, max(pos) AS last_pos FROM events GROUP BY trace_id)"""
 
 
+#: Largest first, each to the lightest, is never worse than four thirds of the best.
+PARTS_SQL = (
+    START
+    + """, t AS (SELECT trace_id * 1000000 + span_id AS id, start_us * 1000 AS lo, (start_us + (end_us - start_us) // 1000) * 1000 AS hi FROM spans
+), m AS (SELECT *, max(hi) OVER (ORDER BY lo, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM t
+), c AS (SELECT sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, id ROWS UNBOUNDED PRECEDING) AS component FROM m)
+SELECT 4::BIGINT AS parts, count(DISTINCT component) AS components, count(*) AS traces, count(*) AS spans, true AS level FROM c"""
+)
+
+
 def entries() -> dict[str, Entry]:
     """All entries by name."""
     dirty = f"WITH RECURSIVE {DIRTY_SQL}" + NORM
@@ -277,7 +346,23 @@ SELECT kind, count(*) AS events, count(DISTINCT trace_id) AS traces, max(pos) AS
             lambda spark, sf_dir: corpus.root_counts(dirty_spans(spark, sf_dir)),
             f"WITH {DIRTY_SQL}" + ", r AS (SELECT count(*) FILTER (parent_id = 0) AS roots FROM dirty GROUP BY trace_id) SELECT roots, count(*) AS traces FROM r GROUP BY roots",
         ),
-        "component_parts": Entry(_parts),
+        "component_parts": Entry(_parts, PARTS_SQL),
+        "binary_events": Entry(
+            _binary_events,
+            START + DEEP + ORDER.replace("events AS", "ordered AS").replace("FROM events", "FROM ordered") + " SELECT pos, trace_id, span_id, parent_id, service, kind, ts, depth FROM ordered",
+        ),
+        "binary_store": Entry(
+            _binary_store,
+            START
+            + DEEP
+            + ORDER.replace("events AS", "ordered AS").replace("FROM events", "FROM ordered")
+            + " SELECT trace_id, span_id, parent_id, service, kind, ts, row_number() OVER (PARTITION BY trace_id ORDER BY pos)::INTEGER AS place FROM ordered",
+        ),
+        "binary_archive": Entry(
+            _binary_archive,
+            START + " SELECT trace_id, span_id, parent_id, service, start_us * 1000 AS start_ns, end_us * 1000 AS end_ns, 0 AS flags FROM spans",
+        ),
+        "binary_meta": Entry(_binary_meta, START + " SELECT trace_id, count(*) AS num_spans FROM spans GROUP BY trace_id"),
         "traces_csv": Entry(
             _trace_csv,
             START

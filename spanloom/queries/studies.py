@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import generate, loss, scoring, structure, studies
+from spanloom.operators import generate, loss, reservoir, scoring, structure, studies
 from spanloom.operators.generate import Shape
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.tree import with_depth
@@ -146,6 +146,20 @@ CHAIN = (
 )
 
 
+def _weighted(spans: DataFrame) -> DataFrame:
+    """Traces drawn by their number of spans: two halves sampled on their own, then merged."""
+    per = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("num_spans"))
+    per = per.withColumn("priority", reservoir.priority(reservoir.keyed(F.col("trace_id")), F.col("num_spans")))
+    halves = [reservoir.sample(per.where(F.col("trace_id") % 2 == k), 25, ties=("trace_id",)) for k in (0, 1)]
+    return reservoir.merged(*halves, 25, ties=("trace_id",)).withColumn("priority", F.round("priority", 9))
+
+
+def _by_service(spans: DataFrame) -> DataFrame:
+    """Twenty spans of every service."""
+    rows = spans.withColumn("priority", reservoir.priority(reservoir.keyed(F.col("trace_id") * 100_003 + F.col("span_id"))))
+    return reservoir.sample(rows, 20, ("service",), ties=("trace_id", "span_id")).select("service", "trace_id", "span_id")
+
+
 def entries() -> dict[str, Entry]:
     """All entries by name."""
     joins = START + JOINS
@@ -341,7 +355,24 @@ SELECT trace_id, frag_id AS orphan_id, anchor_id, (frag_depth - depth - 1)::INTE
         "select_only": Entry(
             heap(lambda s: studies.select_traces(s, only=[3, 5, 8]).select("trace_id", "span_id")), START + " SELECT trace_id, span_id FROM spans WHERE trace_id IN (3, 5, 8)"
         ),
-        "select_sample": Entry(heap(lambda s: studies.select_traces(s, sample=25).select("trace_id").distinct())),
+        "select_sample": Entry(
+            heap(lambda s: studies.select_traces(s, sample=25).select("trace_id").distinct()),
+            START
+            + f""", u AS (SELECT trace_id, {reservoir.keyed_sql("trace_id")} AS u FROM (SELECT DISTINCT trace_id FROM spans))
+SELECT trace_id FROM u ORDER BY -ln(u), trace_id LIMIT 25""",
+        ),
+        "select_weighted": Entry(
+            heap(_weighted),
+            START
+            + f""", u AS (SELECT trace_id, n, -ln({reservoir.keyed_sql("trace_id")}) / n AS p FROM (SELECT trace_id, count(*) AS n FROM spans GROUP BY trace_id))
+SELECT trace_id, n AS num_spans, round(p, 9) AS priority FROM u ORDER BY p, trace_id LIMIT 25""",
+        ),
+        "sample_by_service": Entry(
+            heap(_by_service),
+            START
+            + f""", u AS (SELECT service, trace_id, span_id, -ln({reservoir.keyed_sql("trace_id * 100003 + span_id")}) AS p FROM spans)
+SELECT service, trace_id, span_id FROM u QUALIFY row_number() OVER (PARTITION BY service ORDER BY p, trace_id, span_id) <= 20""",
+        ),
         "sizes_by_distance": Entry(
             heap(lambda s: studies.sizes_by_distance(s, ("pcr",), (2, 3, 5))),
             START

@@ -7,7 +7,9 @@ traces numbered in the order they complete. ``archive``: spans with flags, each
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import heapq
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -128,22 +130,72 @@ def root_counts(spans: DataFrame) -> DataFrame:
     return per.groupBy("roots").agg(F.count(F.lit(1)).alias("traces"))
 
 
-def component_parts(components: DataFrame, parts: int, exact: int = 100_000) -> DataFrame:
+#: Sizes up to so many are classes of their own; larger ones share a class with those that differ by one part in so many.
+FINE = 64
+
+
+def size_class(size) -> Column:
+    """The class of a size: itself up to ``FINE``, then ``FINE`` classes for every doubling."""
+    double = F.floor(F.log2(size.cast("double") / FINE))
+    inside = F.floor((size / F.pow(F.lit(2.0), double) - FINE))
+    return F.when(size <= FINE, size).otherwise(FINE + double * FINE + inside + 1).cast("int")
+
+
+def deal_counts(classes: list[tuple[int, int, int]], parts: int) -> dict[int, list[int]]:
+    """How many components of each class every part gets: ``(class, components, spans)``, the largest sizes first.
+
+    A class goes to the lightest parts one by one as far as that is a matter of single components, and by the
+    level that its parts reach together before.
+    """
+    load = [0.0] * parts
+    out = {}
+    for k, n, spans in sorted(classes, key=lambda c: -c[2] / c[1]):
+        size, got, left = spans / n, [0] * parts, n
+        if n > 4 * parts:
+            order, low, filled = sorted(range(parts), key=load.__getitem__), 0.0, 0
+            for i, part in enumerate(order, 1):
+                low += load[part]
+                filled = (low + spans) / i
+                if i == parts or filled <= load[order[i]]:
+                    break
+            for part in order[:i]:
+                got[part] = max(0, min(left, int((filled - load[part]) / size)))
+                left -= got[part]
+                load[part] += got[part] * size
+        heap = [(w, part) for part, w in enumerate(load)]
+        heapq.heapify(heap)
+        for _ in range(left):
+            w, part = heapq.heappop(heap)
+            got[part] += 1
+            heapq.heappush(heap, (w + size, part))
+        for w, part in heap:
+            load[part] = w
+        out[k] = got
+    return out
+
+
+def component_parts(components: DataFrame, parts: int) -> DataFrame:
     """``component, part``: components of traces dealt out by load, the largest first to the lightest part.
 
-    The ``exact`` largest components go by that rule (two numbers a row, on the driver); the rest, small
-    beside them, follow by their hash, so that nothing unbounded is gathered.
+    What is dealt are classes of sizes with their counts - a few thousand whatever the number of components -
+    and a component's place in its class says which part it belongs to.
     """
     spark = components.sparkSession
-    top = components.orderBy(F.desc("spans"), "component").limit(exact)
-    load, dealt = [0] * parts, []
-    for r in top.select("component", "spans").collect():
-        k = min(range(parts), key=lambda i: (load[i], i))
-        load[k] += r["spans"]
-        dealt.append((r["component"], k))
-    chosen = spark.createDataFrame(dealt, "component long, part int")
-    rest = components.select("component").join(chosen, "component", "left_anti")
-    return chosen.unionByName(rest.withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts)).cast("int")))
+    rows = components.select("component", "spans", size_class(F.col("spans")).alias("class"))
+    sums = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("spans").alias("spans")).collect()  # one row per class
+    counts = deal_counts([(r["class"], r["n"], r["spans"]) for r in sums], parts)
+    upto, plan = 0, []
+    for r in sorted(sums, key=lambda r: -r["class"]):
+        ends, total = [], 0
+        for n in counts[r["class"]]:
+            total += n
+            ends.append(total)
+        plan.append((r["class"], upto, ends))
+        upto += r["n"]
+    known = F.broadcast(spark.createDataFrame(plan, "class int, before long, ends array<long>"))
+    placed = numbered(rows, [F.desc("class"), F.col("component")], "_place", first=0).join(known, "class")
+    rank = F.col("_place") - F.col("before")
+    return placed.select("component", F.size(F.filter("ends", lambda e: e <= rank)).alias("part"))
 
 
 def part_loads(spans: DataFrame, parts: int) -> DataFrame:
