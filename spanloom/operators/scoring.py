@@ -283,6 +283,27 @@ def breadcrumb_outcomes(trees: DataFrame) -> DataFrame:
     )
 
 
+def two_steps(links: DataFrame, truth: DataFrame) -> DataFrame:
+    """Per trace, links by what is right of two steps up: the anchor, and the anchor of the fragment that it lies in.
+
+    ``on_the_root`` are links into the root's fragment, which has no second step; for them the first one counts alone.
+    """
+    frag = fragment_roots(truth).select("trace_id", F.col("span_id").alias("anchor_id"), "frag_id")
+    right = graded(links, truth).select(*KEY, "anchor_id", F.coalesce(F.col("anchor_id") == F.col("true_anchor"), F.lit(False)).alias("own"))
+    above = right.select("trace_id", F.col("orphan_id").alias("frag_id"), F.col("own").alias("above"))
+    rows = right.join(frag, ["trace_id", "anchor_id"], "left").join(above, ["trace_id", "frag_id"], "left")
+    placed, own, up = F.col("anchor_id").isNotNull(), F.col("own"), F.col("above")
+    on_top = up.isNull()
+    return rows.groupBy("trace_id").agg(
+        _count(placed).alias("placed"),
+        _count(placed & on_top).alias("on_the_root"),
+        _count(placed & own & (on_top | up)).alias("both_right"),
+        _count(placed & own & ~on_top & ~up).alias("parent_right"),
+        _count(placed & ~own & ~on_top & up).alias("grandparent_right"),
+        _count(placed & ~own & (on_top | ~up)).alias("none_right"),
+    )
+
+
 # ---- independent checks ----
 
 

@@ -261,6 +261,70 @@ def _sound(measure):
     return run
 
 
+def _planted_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checker says of true links with one fault in seven traces of eight, by trace id."""
+    truth, b = rebuilt(spark, sf_dir, "pcrb", Scheme("pcrb", CPD, fp=RARE, prime=True))
+    first = materialize(b.groupBy("trace_id").agg(F.min("orphan_id").alias("orphan_id")), "firsts").withColumn("fault", F.col("trace_id") % 8)
+    rows = b.join(first, ["trace_id", "orphan_id"], "left").na.fill(0, ["fault"])
+    is_ = lambda k: F.col("fault") == k
+    gap = F.when(is_(1), F.col("synthetic") + 1).when(is_(5), F.lit(0)).otherwise(F.col("synthetic"))
+    copies = F.explode(F.when(is_(3), F.array(F.lit(0), F.lit(1))).when(is_(4), F.array().cast("array<int>")).otherwise(F.array(F.lit(0))))
+    links = rows.withColumn("synthetic", gap).withColumn("anchor_id", F.when(is_(2), F.lit(5)).otherwise(F.col("anchor_id"))).select(*b.columns, copies).drop("col")
+    alive = truth.where("not dropped").join(first.withColumnRenamed("orphan_id", "span_id"), ["trace_id", "span_id"], "left").na.fill(0, ["fault"])
+    twice = F.explode(F.when(is_(7), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    alive = alive.withColumn("depth", F.col("depth") + is_(6).cast("int")).select(*truth.columns, twice).drop("col")
+    return scoring.violations(alive, links)
+
+
+PLANTED = """, o AS (SELECT trace_id, min(span_id) AS span_id, trace_id % 8 AS fault FROM anchors GROUP BY trace_id)
+SELECT trace_id, kind, span_id FROM o JOIN (VALUES (1, 'depth-arith'), (2, 'dangling'), (3, 'dup-link'), (4, 'disposition'), (5, 'spacing'), (5, 'depth-arith'), (6, 'depth-arith'), (7, 'dup-span')) f(f, kind) ON f.f = o.fault
+UNION ALL SELECT d.trace_id, 'edge-depth', d.span_id FROM o JOIN drops d ON d.trace_id = o.trace_id AND d.parent_id = o.span_id WHERE o.fault = 6 AND NOT d.dropped
+UNION ALL SELECT a.trace_id, 'depth-arith', a.span_id FROM o JOIN anchors a ON a.trace_id = o.trace_id AND a.anchor_id = o.span_id WHERE o.fault = 6"""
+
+
+def _planted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the replay of the payloads says of true links of which one in every trace was moved.
+
+    In even traces to the root, in odd ones to another checkpoint of the window's level.
+    """
+    s = Scheme("pcr", CPD)
+    truth, b = rebuilt(spark, sf_dir, "pcr", s)
+    alive = truth.where("not dropped")
+    first = b.where("anchor_id is not null").groupBy("trace_id").agg(F.min("orphan_id").alias("orphan_id"))
+    at = alive.select("trace_id", F.col("span_id").alias("anchor_id"), F.col("depth").alias("level"))
+    picked = b.join(first, ["trace_id", "orphan_id"]).join(at, ["trace_id", "anchor_id"])
+    beside = alive.select("trace_id", "span_id", F.col("depth").alias("level"))
+    other = picked.join(beside, ["trace_id", "level"]).where("span_id <> anchor_id").groupBy("trace_id", "orphan_id").agg(F.min("span_id").alias("other"))
+    roots = alive.where("parent_id = 0").select("trace_id", F.col("span_id").alias("root_id"))
+    moved = F.when(F.col("trace_id") % 2 == 0, F.col("root_id")).otherwise(F.coalesce("other", "anchor_id"))
+    links = picked.join(other, ["trace_id", "orphan_id"], "left").join(roots, "trace_id").withColumn("anchor_id", moved).select(*b.columns)
+    rest = b.join(first, ["trace_id", "orphan_id"], "left_anti")
+    return scoring.evidence(alive, rest.unionByName(links), s)
+
+
+MOVED = """, o AS (SELECT trace_id, min(orphan_id) AS orphan_id FROM links WHERE anchor_id IS NOT NULL GROUP BY trace_id
+), m AS (SELECT l.trace_id, l.orphan_id, l.anchor_id, n.top FROM o JOIN links l ON l.trace_id = o.trace_id AND l.orphan_id = o.orphan_id JOIN named n ON n.trace_id = l.trace_id AND n.orphan_id = l.orphan_id)
+SELECT trace_id, 'window' AS kind, orphan_id AS span_id FROM m WHERE trace_id % 2 = 0 AND top > 0
+UNION ALL SELECT trace_id, 'prefix', orphan_id FROM m WHERE trace_id % 2 <> 0 AND EXISTS (SELECT 1 FROM alive a WHERE a.trace_id = m.trace_id AND a.depth = m.top AND a.span_id <> m.anchor_id)"""
+
+
+def _parents_above(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per trace: how often a fragment's anchor is right, and the anchor's own place of the anchor's fragment too."""
+    s = Scheme("pcr", CPD, prefix=1)
+    truth, b = rebuilt(spark, sf_dir, "pcr", s)
+    return scoring.two_steps(b, truth)
+
+
+TWO_STEPS = """, f AS (SELECT trace_id, span_id, span_id AS frag_id FROM alive a WHERE parent_id = 0 OR NOT EXISTS (SELECT 1 FROM alive p WHERE p.trace_id = a.trace_id AND p.span_id = a.parent_id)
+  UNION ALL SELECT s.trace_id, s.span_id, f.frag_id FROM f JOIN alive s ON s.trace_id = f.trace_id AND s.parent_id = f.span_id
+), g AS (SELECT l.trace_id, l.anchor_id IS NOT NULL AND l.anchor_id = t.anchor_id AS own, up.anchor_id IS NOT DISTINCT FROM ut.anchor_id AS above, f.frag_id = 0 OR up.orphan_id IS NULL AS top, l.anchor_id IS NOT NULL AS placed
+  FROM links l JOIN anchors t ON t.trace_id = l.trace_id AND t.span_id = l.orphan_id LEFT JOIN f ON f.trace_id = l.trace_id AND f.span_id = l.anchor_id
+  LEFT JOIN links up ON up.trace_id = f.trace_id AND up.orphan_id = f.frag_id LEFT JOIN anchors ut ON ut.trace_id = up.trace_id AND ut.span_id = up.orphan_id)
+SELECT trace_id, count(*) FILTER (placed) AS placed, count(*) FILTER (placed AND top) AS on_the_root, count(*) FILTER (placed AND own AND (top OR above)) AS both_right,
+  count(*) FILTER (placed AND own AND NOT top AND NOT above) AS parent_right, count(*) FILTER (placed AND NOT own AND NOT top AND above) AS grandparent_right,
+  count(*) FILTER (placed AND NOT own AND (top OR NOT above)) AS none_right FROM g GROUP BY trace_id"""
+
+
 NO_ROWS = "SELECT 0::BIGINT AS trace_id, '' AS kind, 0::BIGINT AS span_id WHERE false"
 
 
@@ -429,6 +493,9 @@ FROM drops o JOIN drops p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id
         ),
         "recon_violations": Entry(_sound(scoring.violations), NO_ROWS),
         "recon_evidence": Entry(_sound(lambda s, b: scoring.evidence(s, b, Scheme("pcrb", CPD))), NO_ROWS),
+        "planted_violations": Entry(_planted_violations, WIDE + KINDS + ANCHORS + PLANTED),
+        "planted_evidence": Entry(_planted_evidence, WIDE + KINDS + PREFIX.format(shift=1 << 32) + MOVED),
+        "two_step_edges": Entry(_parents_above, WIDE + KINDS + ANCHORS + PREFIX.format(shift=1 << 56) + TWO_STEPS),
         "fault_audit": Entry(_scored("pcrb", scoring.audit, name="pcrb")),
         "breadcrumb_trees": Entry(
             _trees,
