@@ -7,7 +7,7 @@ together number the whole permutation, which is cut into ``shards`` runs of equa
 most), so a bucket adds one file to the shard it lies in, or one to each of the shards that meet
 inside it. The law held is ``rows``: shard counts differ by one at most and slots are gapless.
 
-A bucket has ``BUCKET_BYTES``; where that made more than ``MANY_BUCKETS`` of them they grow, up to
+A bucket has ``BUCKET_BYTES`` of whole records, extra columns included; where that made more than ``MANY_BUCKETS`` of them they grow, up to
 ``LARGEST_BUCKET``, so that the number of shuffle blocks stays in bounds. The bucket counts (one row
 per bucket) are the only thing gathered.
 
@@ -29,14 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from spanloom.llm.batches import ship_texts
 from spanloom.session import materialize, shared_dir, table
 
 SHARDS = 24
 BUCKET_BYTES = 16 << 20
-LARGEST_BUCKET = 1 << 30
+LARGEST_BUCKET = 1 << 28
 MANY_BUCKETS = 20_000
 LEAST_BUCKETS = 8
 #: Records of more copies than this, and than their share of ``1 / HOT_RECORDS`` of all rows, are numbered.
@@ -67,6 +67,17 @@ def size_of(text: str = "text") -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long")
 
 
+def record_bytes(docs: DataFrame) -> Column:
+    """About what a whole record takes in memory: the bytes of texts, of other values as text, and a few per column."""
+    out = F.lit(2 * len(docs.columns) * RECORD_BYTES).cast("long")
+    for f in docs.schema:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.simpleString() not in ("string", "binary"):
+            c = F.to_json(F.struct(c)) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else c.cast("string")
+        out = out + F.coalesce(F.octet_length(c), F.lit(0))
+    return out
+
+
 def crc_of(text: str = "text") -> Column:
     """Unsigned crc32 of the text's bytes; that of nothing where it is null."""
     return F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long")
@@ -105,7 +116,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     own = docs.withColumnsRenamed({c: f"__{c}" for c in docs.columns if c in ADDED})
     one, two = _hashes(own, seed)
     keyed = own.withColumn("one", one).withColumn("two", two)
-    hashes = materialize(keyed.select("one", "two", size_of().alias("size")), "shard-hashes")
+    hashes = materialize(keyed.select("one", "two", record_bytes(own).alias("size")), "shard-hashes")
     sums = hashes.agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
     rows, total = sums["rows"], int(sums["bytes"] or 0)
     held = max(bucket_bytes, min(LARGEST_BUCKET, total // MANY_BUCKETS))

@@ -224,6 +224,13 @@ def test_shards_hold_the_law(spark, odd, tmp_path):
     assert shards_of(odd.limit(0)) == []
 
 
+def test_buckets_are_cut_by_whole_records(spark):
+    wide = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.repeat(F.lit("x"), 5000).alias("extra"), F.array(F.lit(1), F.lit(2)).alias("a"), F.struct(F.lit(1).alias("k")).alias("s"))
+    sizes = {r.n for r in wide.select(sharding.record_bytes(wide).alias("n")).collect()}
+    assert min(sizes) > 5000 and max(sizes) < 5300
+    assert len(shards_of(wide, shards=3, bucket_bytes=20_000)) == 50
+
+
 def test_shards_of_repeated_rows(spark, monkeypatch):
     """A record in thousands of copies is dealt over the buckets; rows that differ in one extra column keep apart on reruns."""
     monkeypatch.setattr(sharding, "HOT_COPIES", 100)
