@@ -157,7 +157,12 @@ def place_times(parent: list[int], concurrency: float) -> tuple[np.ndarray, np.n
 
 def traces(spark: SparkSession, n: int, c: Shape = Shape()) -> DataFrame:
     """``n`` traces, each drawn from a stream of its own (the seed and its number), so any part of them can be made again."""
-    ship(spark)
+    return traces_of(spark.range(n).withColumnRenamed("id", "trace_id"), c)
+
+
+def traces_of(numbers: DataFrame, c: Shape = Shape()) -> DataFrame:
+    """A trace for every ``trace_id`` (not negative), drawn from a stream of its own."""
+    ship(numbers.sparkSession)
     names = [x.split()[0] for x in SPANS.split(", ")]
 
     def run(batches):
@@ -172,7 +177,7 @@ def traces(spark: SparkSession, n: int, c: Shape = Shape()) -> DataFrame:
                 columns = [np.full(len(ids), i, dtype=np.int64), ids, up, pa.array(service), start, end, np.array(depth, dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
-    return spark.range(n).mapInArrow(run, SPANS)
+    return numbers.select("trace_id").mapInArrow(run, SPANS)
 
 
 def complete_trees(spark: SparkSession, grid: list[tuple[int, int]], base_us: int = BASE_US) -> DataFrame:

@@ -62,9 +62,14 @@ def _pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.pooled(days, ["mode", "cpd"], "traces", ["mean"])
 
 
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of the observed traces: a synthetic one is made for each."""
+    return heap_spans(spark, sf_dir).select("trace_id").distinct()
+
+
 def _generated(shape: str, **settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = generate.traces(spark, 50, Shape(shape, **settings))
+        t = generate.traces_of(_numbers(spark, sf_dir), Shape(shape, **settings))
         return t.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), F.max("depth").cast("long").alias("max_depth"), (F.max("end_us") - F.min("start_us") + 1).alias("ticks"))
 
     return run
@@ -73,7 +78,7 @@ def _generated(shape: str, **settings):
 def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for law in ("zipf", "poisson", "geometric", "measured"):
-        t = generate.traces(spark, 20, Shape("branch", depth=8, fanout=2, fanout_law=law, depth_law="zipf"))
+        t = generate.traces_of(_numbers(spark, sf_dir), Shape("branch", depth=8, fanout=2, fanout_law=law, depth_law="zipf"))
         part = t.agg(F.lit(law).alias("law"), F.count(F.lit(1)).alias("spans"), F.max("depth").alias("max_depth"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -81,7 +86,7 @@ def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Made, sized, thinned out, rebuilt by two schemes and scored in one go."""
-    t = materialize(generate.traces(spark, 40, Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300)).drop("depth"), "online")
+    t = materialize(generate.traces_of(_numbers(spark, sf_dir), Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300)).drop("depth"), "online")
     out = None
     for engine in ("pcrb", "cgp"):
         s = Scheme("pcrb" if engine == "pcrb" else "cgprb", 3)
@@ -426,15 +431,21 @@ SELECT p, l[1 + least(floor(p * len(l))::BIGINT, len(l) - 1)] AS value FROM l CR
 ), l AS (SELECT count(*) AS components, max(n) AS largest, min(gap) AS gap_min, max(gap) AS gap_max, list(gap ORDER BY gap) FILTER (gap IS NOT NULL) AS gaps FROM d)
 SELECT components, largest, gap_min, gap_max, gaps[1 + floor(0.5 * (len(gaps) - 1))::BIGINT] AS gap_median FROM l""",
         ),
-        "generated_chain": Entry(_generated("chain", depth=7), "SELECT i::BIGINT AS trace_id, 8::BIGINT AS spans, 7::BIGINT AS max_depth, 16::BIGINT AS ticks FROM range(50) r(i)"),
-        "generated_star": Entry(_generated("star", depth=3, fanout=5), "SELECT i::BIGINT AS trace_id, 6::BIGINT AS spans, 1::BIGINT AS max_depth, 12::BIGINT AS ticks FROM range(50) r(i)"),
-        "generated_kary": Entry(_generated("kary", depth=4, fanout=3), "SELECT i::BIGINT AS trace_id, 121::BIGINT AS spans, 4::BIGINT AS max_depth, 242::BIGINT AS ticks FROM range(50) r(i)"),
+        "generated_chain": Entry(_generated("chain", depth=7), START + " SELECT DISTINCT trace_id, 8::BIGINT AS spans, 7::BIGINT AS max_depth, 16::BIGINT AS ticks FROM spans"),
+        "generated_star": Entry(_generated("star", depth=3, fanout=5), START + " SELECT DISTINCT trace_id, 6::BIGINT AS spans, 1::BIGINT AS max_depth, 12::BIGINT AS ticks FROM spans"),
+        "generated_kary": Entry(_generated("kary", depth=4, fanout=3), START + " SELECT DISTINCT trace_id, 121::BIGINT AS spans, 4::BIGINT AS max_depth, 242::BIGINT AS ticks FROM spans"),
         "generated_skewed": Entry(_generated("skewed", depth=6, fanout=3)),
         "generated_spine": Entry(_generated("spine", depth=20, fanout=2, fanout_law="geometric", max_spans=300)),
         "generated_deepwide": Entry(_generated("deepwide", depth=12, fanout=4, max_spans=400)),
         "generated_slab": Entry(_generated("slab", depth=10, fanout=3, max_spans=300, spindle=5, concurrency=0.5)),
         "generated_laws": Entry(_laws),
         "online_evaluation": Entry(_online),
+    }
+
+
+def fixed_entries() -> dict[str, Entry]:
+    """Closed forms over stated settings: they read no table, so they are not registered; tests compare them with SQL."""
+    return {
         "complete_trees": Entry(
             _complete,
             """WITH RECURSIVE grid(t, depth, width) AS (VALUES (0, 2, 1), (1, 2, 2), (2, 3, 3), (3, 4, 2)
