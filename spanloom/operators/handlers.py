@@ -65,7 +65,7 @@ class Scheme:
 
 
 class Trees:
-    """Parents, depths, leaves and checkpoints of a run of whole traces."""
+    """Parents, depths, leaves and checkpoints of a run of whole traces, or of parts whose ``at_depth`` and ``is_leaf`` are known."""
 
     def __init__(self, rows: pa.Table, cpd: int):
         self.trace, self.span, self.parent = (rows.column(c).to_numpy() for c in ("trace_id", "span_id", "parent_id"))
@@ -77,6 +77,9 @@ class Trees:
         self.up = np.where(lost, -1, self.up)  # a cycle has no top: its spans stand alone
         self.depth = np.where(lost, 0, steps.value - 1)
         self.leaf = np.bincount(self.up[self.up >= 0], minlength=n) == 0
+        if "at_depth" in rows.column_names:
+            self.depth = rows.column("at_depth").to_numpy().astype(np.int64)
+            self.leaf = rows.column("is_leaf").to_numpy(zero_copy_only=False)
         self.ckpt = self.depth % cpd == 0
 
     def at_up(self, value: np.ndarray, none) -> np.ndarray:

@@ -17,6 +17,7 @@ from spanloom.operators import (  # noqa: F401 (the ledgers add their engines)
     reconstruct,
     scoring,
     structure,
+    windows,
 )
 from spanloom.operators.handlers import Scheme
 from spanloom.queries.base import ANCHORS, DEEP, EVENTS, KINDS, START, WIDE, Entry
@@ -183,6 +184,22 @@ def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _window_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes of all schemes that stay in their window, from payloads made window by window."""
+    spans = heap_spans(spark, sf_dir)
+    out = None
+    for name in windows.SCHEMES:
+        part = handlers.trace_metrics(windows.payloads(spans, Scheme(name, CPD))).select("trace_id", F.lit(name).alias("scheme"), *METRICS)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _prefix_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Scheme("pcr", CPD, prefix=1)
+    alive = truth_of(spark, sf_dir, s).where("not dropped")
+    return windows.prefix_links(alive, s).select("trace_id", "orphan_id", "anchor_id", "synthetic", "ambiguous", "via_carrier")
+
+
 def _links(engine: str, columns: tuple[str, ...], options: dict | None = None, **settings):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rebuilt(spark, sf_dir, engine, Scheme(cpd=CPD, **settings), **(options or {}))[1].select(*columns)
@@ -349,6 +366,18 @@ def entries() -> dict[str, Entry]:
             + """ SELECT d.trace_id, d.span_id, '04' || format('{:02x}', d.depth) || substr(format('{:016x}', coalesce(c.ckpt_id, 0)), 1, 8) AS br
 FROM drops d LEFT JOIN ckpts c ON c.trace_id = d.trace_id AND c.span_id = d.span_id WHERE d.carrier""",
         ),
+        "window_payloads": Entry(
+            lambda spark, sf_dir: windows.payloads(wide(spark, sf_dir), Scheme("pcr", CPD))
+            .where("br is not null")
+            .select("trace_id", "span_id", F.lower(F.hex("br")).alias("br")),
+            WIDE
+            + KINDS
+            + CHECKPOINTS
+            + """ SELECT d.trace_id, d.span_id, '04' || format('{:02x}', d.depth) || substr(format('{:016x}', coalesce(c.ckpt_id, 0)), 1, 8) AS br
+FROM drops d LEFT JOIN ckpts c ON c.trace_id = d.trace_id AND c.span_id = d.span_id WHERE d.carrier""",
+        ),
+        "window_sizes": Entry(_window_sizes, f"SELECT * FROM ({SIZES_SQL}) WHERE scheme <> 'cgpb'"),
+        "prefix_joins": Entry(_prefix_joins, WIDE + KINDS + PREFIX.format(shift=1 << 56) + " SELECT * FROM links"),
         "window_filters": Entry(
             lambda spark, sf_dir: handlers.payloads(wide(spark, sf_dir), Scheme("pb", CPD)).where("br is not null").select(
                 "trace_id", "span_id", F.lower(F.hex("br")).alias("br")
