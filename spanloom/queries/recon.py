@@ -223,8 +223,7 @@ def _scored(engine: str, measure, **settings):
     return run
 
 
-def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = Scheme("crumbs", CPD)
+def _trees(spark: SparkSession, sf_dir: str, s: Scheme = Scheme("crumbs", CPD)) -> DataFrame:
     spans = wide(spark, sf_dir)
     p = handlers.with_delayed_ends(spans, s).select("trace_id", "span_id", "br")
     order = structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal")
@@ -542,6 +541,18 @@ FROM drops o JOIN drops p ON p.trace_id = o.trace_id AND p.span_id = o.parent_id
 ), k AS (SELECT trace_id, parent_id, count(*) AS n FROM clip GROUP BY ALL)
 SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::INTEGER AS parents, (count(*) FILTER (n > 1))::INTEGER AS end_order_ok,
   true AS order_ok, true AS critical_path_ok FROM k GROUP BY trace_id""",
+        ),
+        "short_anchors": Entry(
+            lambda spark, sf_dir: _trees(spark, sf_dir, SHORT).select("trace_id", "solved", "nodes", "embeds", "exact"),
+            WIDE + KINDS + CLASHES + " SELECT trace_id, fine AS solved, (CASE WHEN fine THEN n ELSE 0 END)::INTEGER AS nodes, fine AS embeds, fine AS exact FROM c",
+        ),
+        "short_anchor_outcomes": Entry(
+            lambda spark, sf_dir: scoring.breadcrumb_outcomes(_trees(spark, sf_dir, SHORT)),
+            WIDE
+            + KINDS
+            + CLASHES
+            + """ SELECT count(*) AS traces, count(*) FILTER (NOT fine) AS unsolvable, 0::BIGINT AS wrong, count(*) FILTER (fine) AS correct, count(*) FILTER (fine) AS exact,
+  round(100.0::DOUBLE * sum(alive) FILTER (fine) / sum(alive), 6) AS coverage_pct FROM c""",
         ),
         "breadcrumb_outcomes": Entry(
             _outcomes,
@@ -571,6 +582,9 @@ SELECT n, p, m, greatest(1, ceil(m / c * ln(2)))::INTEGER AS k FROM m""",
     }
 
 
+#: Anchors of one byte: some traces have two checkpoints that look alike, and their trees are given up.
+SHORT = Scheme("crumbs", CPD, anchor_bytes=1)
+CLASHES = """, c AS (SELECT trace_id, count(*) AS n, count(*) FILTER (NOT dropped) AS alive, count(*) FILTER (depth % 3 = 0) = count(DISTINCT CASE WHEN depth % 3 = 0 THEN span_id >> 56 END) AS fine FROM drops GROUP BY trace_id)"""
 OPEN_ENDS = """, ends AS (SELECT d.trace_id, d.span_id FROM drops d WHERE NOT d.dropped AND NOT d.carrier
   AND NOT EXISTS (SELECT 1 FROM drops k WHERE k.trace_id = d.trace_id AND k.parent_id = d.span_id AND NOT k.dropped))
 SELECT e.trace_id, count(*) AS open_ends, count(*) FILTER (EXISTS (SELECT 1 FROM anchors a WHERE a.trace_id = e.trace_id AND a.anchor_id = e.span_id)) AS open_ends_matched
