@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spanloom.functions.hashing import ADD1, ADD2, C1, C2, MIX1, MIX2, bloom_size
 from spanloom.operators import range_join, reconstruct
 from spanloom.operators.handlers import Scheme
-from spanloom.queries.base import KINDS, WIDE, Entry
+from spanloom.queries.base import ANCHORS, KINDS, WIDE, Entry
 from spanloom.session import materialize
 
 CPD, RATE = 5, 0.1
@@ -177,6 +177,19 @@ LEFT JOIN tops t ON t.trace_id = o.trace_id AND t.frag_id = o.span_id LEFT JOIN
     )
 
 
+def filters_sql(cpd: int, rate: float) -> str:
+    """``pb`` payloads byte by byte: type, depth, and the filter of the window with the lowest bit of a byte first."""
+    m, k = bloom_size(cpd, rate)
+    bytes_ = " || ".join(f"format('{{:02x}}', coalesce(list_sum([1 << (p % 8) for p in b.bits if p // 8 = {j}]), 0)::BIGINT)" for j in range(-(-m // 8)))
+    return evidence_sql(cpd, m, k, whole=True) + f" SELECT b.trace_id, b.span_id, '01' || format('{{:02x}}', b.depth) || {bytes_} AS br FROM bits b"
+
+
+def as_links(sql: str) -> str:
+    """An engine's SQL with its rows under the name ``links``, and the true anchors beside them."""
+    at = sql.rindex("SELECT o.trace_id")
+    return sql[:at].rstrip() + ANCHORS + ", links AS (" + sql[at:] + ")"
+
+
 COLUMNS = ("trace_id", "orphan_id", "anchor_id", "synthetic", "ambiguous", "via_carrier")
 
 

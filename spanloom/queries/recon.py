@@ -20,6 +20,7 @@ from spanloom.operators import (  # noqa: F401 (the ledgers add their engines)
     windows,
 )
 from spanloom.operators.handlers import Scheme
+from spanloom.queries import collisions
 from spanloom.queries.base import ANCHORS, DEEP, EVENTS, KINDS, START, WIDE, Entry
 from spanloom.session import materialize
 from spanloom.sources.views import heap_spans, wide_spans
@@ -381,7 +382,8 @@ FROM drops d LEFT JOIN ckpts c ON c.trace_id = d.trace_id AND c.span_id = d.span
         "window_filters": Entry(
             lambda spark, sf_dir: handlers.payloads(wide(spark, sf_dir), Scheme("pb", CPD)).where("br is not null").select(
                 "trace_id", "span_id", F.lower(F.hex("br")).alias("br")
-            )
+            ),
+            collisions.filters_sql(CPD, Scheme.fp),
         ),
         "large_baggage": Entry(
             lambda spark, sf_dir: handlers.large_baggage(handlers.payloads(heap_spans(spark, sf_dir), Scheme("cgpb", CPD)), 40),
@@ -448,7 +450,19 @@ SELECT trace_id, count(*) FILTER (anchor_id IS NULL) AS fragments_lost, coalesce
         "pb_bottom_up": _true_links("pb", bottom_up=True),
         "cgprb_links": _true_links("cgprb"),
         "cgprb_topology": Entry(_scored("cgprb", lambda b, t: scoring.topology_totals(scoring.topology(b, t)), name="cgprb", fp=1e-2)),
-        "pb_scores": Entry(_scored("pb", scoring.score, name="pb", fp=1e-2)),
+        "pb_scores": Entry(_scored("pb", scoring.score, name="pb", fp=1e-2), collisions.as_links(collisions.pb_sql(CPD, 1e-2)) + GRADED + SCORE_SQL),
+        "pb_lying_totals": Entry(
+            _scored("pb", lambda b, t: scoring.totals(scoring.score(b, t)), name="pb", fp=1e-1),
+            collisions.as_links(collisions.pb_sql(CPD, 1e-1)) + GRADED + ", s AS (" + SCORE_SQL + ")" + TOTALS_SQL,
+        ),
+        "pb2_lying_totals": Entry(
+            _scored("pb2", lambda b, t: scoring.totals(scoring.score(b, t)), name="pcrb", fp=1e-1),
+            collisions.as_links(collisions.windows_sql(True, False, CPD, 1e-1)) + GRADED + ", s AS (" + SCORE_SQL + ")" + TOTALS_SQL,
+        ),
+        "pcrb_lying_totals": Entry(
+            _scored("pcrb", lambda b, t: scoring.totals(scoring.score(b, t)), name="pcrb", fp=1e-1),
+            collisions.as_links(collisions.threaded_sql(CPD, 1e-1)) + GRADED + ", s AS (" + SCORE_SQL + ")" + TOTALS_SQL,
+        ),
         "pcrb_links": _true_links("pcrb"),
         "pb2_links": _true_links("pb2"),
         "pb1_links": _true_links("pb1"),
