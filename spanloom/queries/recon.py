@@ -512,7 +512,15 @@ SELECT s.trace_id, surv + coalesce(named, 0) AS real_nodes, surv + coalesce(exac
 SELECT depth, verdict, count(*) AS edges, count(*) FILTER (lost) AS of_lost_nodes FROM v GROUP BY ALL""",
         ),
         "identity_totals": Entry(_scored("cgp", lambda b, t: scoring.identity_totals(scoring.strict_identity(b, t)), name="cgprb", fp=1e-2)),
-        "wrong_edges": Entry(_scored("pb", scoring.wrong_edges, name="pb", fp=1e-1)),
+        "wrong_edges": Entry(
+            _scored("pb", scoring.wrong_edges, name="pb", fp=1e-1),
+            collisions.as_links(collisions.pb_sql(CPD, 1e-1))
+            + GRADED
+            + """, whole AS (SELECT trace_id, span_id, a FROM paths UNION ALL SELECT trace_id, span_id, span_id FROM drops
+), bad AS (SELECT trace_id, orphan_id, anchor_id, true_anchor FROM graded WHERE anchor_id IS NOT NULL AND anchor_at IS NULL)
+SELECT b.trace_id, b.orphan_id, b.anchor_id, b.true_anchor, max(d.depth) AS divergence_depth FROM bad b JOIN whole x ON x.trace_id = b.trace_id AND x.span_id = b.orphan_id
+JOIN whole y ON y.trace_id = b.trace_id AND y.span_id = b.anchor_id AND y.a = x.a JOIN drops d ON d.trace_id = b.trace_id AND d.span_id = x.a GROUP BY ALL""",
+        ),
         "open_ends": Entry(
             _scored("pb2", scoring.open_ends, name="pcrb", fp=RARE),
             WIDE + KINDS + ANCHORS + OPEN_ENDS,
@@ -565,7 +573,19 @@ SELECT trace_id, true AS solved, false AS rejected, (count(*) FILTER (n > 1))::I
         ),
         "tree_identity": Entry(_tree_identity(RARE, "cgp2", prime=True), None),
         "tree_identity_greedy": Entry(_tree_identity(1e-2, "cgp1")),
-        "connectivity_ceilings": Entry(_scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1)),
+        "connectivity_ceilings": Entry(
+            _scored("pb", scoring.connectivity_ceilings, name="pb", fp=1e-1),
+            collisions.as_links(collisions.pb_sql(CPD, 1e-1))
+            + GRADED
+            + """, r AS (SELECT g.*, d.parent_id AS lost_id, g.anchor_id = g.true_anchor AS fits FROM graded g JOIN drops d ON d.trace_id = g.trace_id AND d.span_id = g.orphan_id WHERE g.anchor_id IS NOT NULL
+), w AS (SELECT *, count(*) OVER (PARTITION BY trace_id, lost_id) AS n, bool_or(fits) OVER (PARTITION BY trace_id, lost_id) AS any_right FROM r
+), branch AS (SELECT trace_id, parent_id AS a FROM drops WHERE parent_id <> 0 GROUP BY ALL HAVING count(*) > 1
+), fans AS (SELECT w.trace_id, w.orphan_id, p.a, w.fits FROM w JOIN paths p ON p.trace_id = w.trace_id AND p.span_id = w.orphan_id AND p.distance <= w.gap JOIN branch b ON b.trace_id = p.trace_id AND b.a = p.a
+), state AS (SELECT f.trace_id, f.orphan_id, bool_or(EXISTS (SELECT 1 FROM fans o WHERE o.trace_id = f.trace_id AND o.a = f.a AND o.fits)) AS rescue FROM fans f WHERE NOT f.fits GROUP BY ALL)
+SELECT count(*) AS wrong, count(*) FILTER (n = 1) AS only_child, count(*) FILTER (n > 1 AND any_right) AS sibling_right, count(*) FILTER (n > 1 AND NOT any_right) AS siblings_wrong,
+  count(*) FILTER (ambiguous) AS ambiguous, count(*) FILTER (rescue) AS rescuable, count(*) FILTER (NOT rescue) AS fanout_without_right, count(*) FILTER (rescue IS NULL) AS no_fanout
+FROM w LEFT JOIN state s ON s.trace_id = w.trace_id AND s.orphan_id = w.orphan_id WHERE NOT w.fits""",
+        ),
         "seeded_interior_drops": Entry(lambda spark, sf_dir: loss.seeded_interior_drops(wide(spark, sf_dir), 0.5)),
     }
 
