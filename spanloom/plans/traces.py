@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.session import ship
 
@@ -44,6 +45,15 @@ def _cut(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with the rows of equal keys in one partition.
+
+    Dealt by a hash of its own: a ``repartition`` by columns that a join or an aggregate has dealt by already is dropped
+    from the plan, and where that join then turns out small enough to be broadcast, its other side is read as it lies.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def map_traces(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "trace_id", chunk: int = CHUNK) -> DataFrame:
     """``fn`` over all rows, called with whole groups of ``key`` (many at a time, sorted by it)."""
     ship(df.sparkSession)
@@ -52,7 +62,7 @@ def map_traces(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, k
         for rows in _cut(batches, key, chunk):
             yield from fn(rows.combine_chunks()).to_batches()
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return dealt(df, key).sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def groups(keys: np.ndarray) -> list[tuple[int, int]]:

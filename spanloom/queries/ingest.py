@@ -11,6 +11,7 @@ from spanloom.functions import tags
 from spanloom.operators import handlers, reconstruct, scoring, structure
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.order import numbered
+from spanloom.plans.traces import dealt
 from spanloom.plans.tree import with_depth
 from spanloom.queries import recon
 from spanloom.queries.base import DEEP, START, Entry
@@ -112,7 +113,7 @@ def _binary_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _binary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, services, path = _binary(spark, sf_dir)
-    rows = _with_ids(events, services).repartition("trace_id").sortWithinPartitions("trace_id", "pos")
+    rows = dealt(_with_ids(events, services), "trace_id").sortWithinPartitions("trace_id", "pos")
     binary.write(rows.select("trace_id", "kind", "span_id", "parent_id", "service_id", "ts"), path, "store")
     back = binary.read(spark, path, "store").join(F.broadcast(services), "service_id")
     return back.select("trace_id", "span_id", "parent_id", "service", "kind", "ts", "place")
@@ -120,7 +121,7 @@ def _binary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _binary_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     events, services, path = _binary(spark, sf_dir)
-    rows = _with_ids(corpus.spans_of(events).withColumn("flags", F.lit(0)), services).repartition("trace_id").sortWithinPartitions("trace_id", "start_ns")
+    rows = dealt(_with_ids(corpus.spans_of(events).withColumn("flags", F.lit(0)), services), "trace_id").sortWithinPartitions("trace_id", "start_ns")
     binary.write(rows.select("trace_id", "flags", "span_id", "parent_id", "service_id", "start_ns", "end_ns"), path, "archive")
     back = binary.read(spark, path, "archive").join(F.broadcast(services), "service_id")
     return back.select("trace_id", "span_id", "parent_id", "service", "start_ns", "end_ns", "flags")

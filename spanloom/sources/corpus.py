@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from spanloom.functions.hashing import unsigned
 from spanloom.operators import cleaning, structure
 from spanloom.plans.order import numbered
+from spanloom.plans.traces import dealt
 from spanloom.plans.tree import with_depth
 from spanloom.sources import jaeger
 
@@ -75,7 +76,7 @@ def write(df: DataFrame, path: str, name: str) -> None:
     """Write one part of a corpus; rows of a trace lie together in stores and archives, events in order."""
     by_trace = {"store": ["completion", "place"], "archive": ["trace_id", "start_ns", "span_id"]}
     if name in by_trace:
-        df = df.repartition("trace_id").sortWithinPartitions(*by_trace[name])
+        df = dealt(df, "trace_id").sortWithinPartitions(*by_trace[name])
     elif name == "events":
         df = df.repartitionByRange("pos").sortWithinPartitions("pos")
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
@@ -203,8 +204,8 @@ def part_loads(spans: DataFrame, parts: int) -> DataFrame:
     labelled = structure.trace_components(spans, "start_ns", "end_ns")
     sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
     per = labelled.join(sizes, "trace_id").groupBy("component").agg(F.count(F.lit(1)).alias("traces"), F.sum("n").alias("spans"))
-    dealt = per.join(component_parts(per, parts), "component")
-    sums = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("components"), F.sum("traces").alias("traces"), F.sum("spans").alias("spans"))
+    placed = per.join(component_parts(per, parts), "component")
+    sums = placed.groupBy("part").agg(F.count(F.lit(1)).alias("components"), F.sum("traces").alias("traces"), F.sum("spans").alias("spans"))
     mean = sums.agg((F.sum("spans") / parts).alias("mean"))
     return sums.crossJoin(F.broadcast(mean)).withColumn("over", F.round(F.col("spans") / F.col("mean") - 1, 6)).drop("mean")
 
@@ -215,4 +216,4 @@ def write_parts(spans: DataFrame, path: str, parts: int) -> None:
     sizes = spans.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"))
     per = labelled.join(sizes, "trace_id").groupBy("component").agg(F.sum("n").alias("spans"))
     at = labelled.join(component_parts(per, parts), "component").select("trace_id", "part")
-    spans.join(at, "trace_id").repartition("part", "trace_id").sortWithinPartitions("part", "trace_id").write.mode("overwrite").partitionBy("part").parquet(path)
+    dealt(spans.join(at, "trace_id"), "part", "trace_id").sortWithinPartitions("part", "trace_id").write.mode("overwrite").partitionBy("part").parquet(path)
