@@ -65,9 +65,14 @@ def child_of(references: Column) -> Column:
     return F.coalesce(F.array_distinct(F.transform(named, lambda r: r["spanID"])), F.array().cast("array<string>"))
 
 
+def micros_of(nanos: Column) -> Column:
+    """Whole microseconds of nanoseconds, rounded down, in whole numbers: a double is exact up to 2^53 only."""
+    return F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000))
+
+
 def start_ns(start: Column) -> Column:
     """A start time in nanoseconds."""
-    micros = F.when(start >= FINE, F.floor(start / 1000)).otherwise(start)
+    micros = F.when(start >= FINE, micros_of(start)).otherwise(start)
     return micros.cast("long") * 1000
 
 
@@ -177,13 +182,13 @@ def to_documents(spans: DataFrame, wrap: bool = True) -> DataFrame:
         F.col("parent_id") != 0,
         F.array(F.struct(F.lit("CHILD_OF").alias("refType"), hexed("trace_id").alias("traceID"), hexed("parent_id").alias("spanID"))),
     ).otherwise(F.array().cast("array<struct<refType:string,traceID:string,spanID:string>>"))
-    begin = F.floor(F.col("start_ns") / 1000).cast("long")
+    begin = micros_of(F.col("start_ns"))
     span = F.struct(
         hexed("span_id").alias("spanID"),
         F.col("service").alias("operationName"),
         refs.alias("references"),
         begin.alias("startTime"),
-        F.floor((F.col("end_ns") - F.col("start_ns")) / 1000).cast("long").alias("duration"),
+        micros_of(F.col("end_ns") - F.col("start_ns")).alias("duration"),
         F.concat(F.lit("p"), F.lower(F.hex(F.xxhash64("service")))).alias("processID"),
     )
     keyed = spans.select("trace_id", F.struct("start_ns", "span_id", span.alias("s")).alias("k"), "service")

@@ -175,3 +175,17 @@ def test_multi_parents_meet(spark):
     two = spans.unionByName(spark.createDataFrame([(1, 9, 0, "z")], spans.schema))
     r = studies.multi_roots(two, refs).first()
     assert (r.roots, r.parts, r.largest, r.apart) == (2, 2, 5, True)
+
+
+def test_fine_times_are_rounded_down_in_whole_numbers(spark):
+    """Above 2^53 a division in doubles is off by one now and then."""
+    micros = [1_704_546_846_418_000, 1_704_154_120_618_000, 1_704_546_846_417_999, 1_704_546_846_418_001, 10**15, 5, 0]
+    nanos = [m * 1000 for m in micros] + [m * 1000 + 999 for m in micros] + [-1, -1000, -1001]
+    df = spark.createDataFrame([(n,) for n in nanos], "n long")
+    assert [r[0] for r in df.select(jaeger.micros_of(F.col("n"))).collect()] == [n // 1000 for n in nanos]
+    starts = [*range(1_704_546_846_417_990_000, 1_704_546_846_418_010_000, 977), *range(10**15, 10**15 + 5000, 7)]
+    got = spark.createDataFrame([(n,) for n in starts], "n long").select(jaeger.start_ns(F.col("n"))).collect()
+    assert [r[0] for r in got] == [n // 1000 * 1000 for n in starts]
+    spans = spark.createDataFrame([(1, i + 1, min(i, 1), "a", m * 1000, m * 1000 + 418_000) for i, m in enumerate(micros)], "trace_id long, span_id long, parent_id long, service string, start_ns long, end_ns long")
+    written = spark.createDataFrame(jaeger.to_documents(spans).select(F.explode("data.spans").alias("s")).select(F.explode("s").alias("s")).select("s.startTime", "s.duration").collect())
+    assert sorted(map(tuple, written.collect())) == sorted((m, 418) for m in micros)
