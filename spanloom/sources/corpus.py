@@ -206,6 +206,8 @@ def part_loads(spans: DataFrame, parts: int) -> DataFrame:
     per = labelled.join(sizes, "trace_id").groupBy("component").agg(F.count(F.lit(1)).alias("traces"), F.sum("n").alias("spans"))
     placed = per.join(component_parts(per, parts), "component")
     sums = placed.groupBy("part").agg(F.count(F.lit(1)).alias("components"), F.sum("traces").alias("traces"), F.sum("spans").alias("spans"))
+    every = spans.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    sums = every.join(sums, "part", "left").na.fill(0)  # a part may stay empty
     mean = sums.agg((F.sum("spans") / parts).alias("mean"))
     return sums.crossJoin(F.broadcast(mean)).withColumn("over", F.round(F.col("spans") / F.col("mean") - 1, 6)).drop("mean")
 

@@ -189,3 +189,10 @@ def test_fine_times_are_rounded_down_in_whole_numbers(spark):
     spans = spark.createDataFrame([(1, i + 1, min(i, 1), "a", m * 1000, m * 1000 + 418_000) for i, m in enumerate(micros)], "trace_id long, span_id long, parent_id long, service string, start_ns long, end_ns long")
     written = spark.createDataFrame(jaeger.to_documents(spans).select(F.explode("data.spans").alias("s")).select(F.explode("s").alias("s")).select("s.startTime", "s.duration").collect())
     assert sorted(map(tuple, written.collect())) == sorted((m, 418) for m in micros)
+
+
+def test_every_part_has_a_load(spark):
+    """Parts that no component falls to are there with nothing in them."""
+    spans = spark.createDataFrame([(t, 1, 0, "a", 0, 10) for t in range(5)], "trace_id long, span_id long, parent_id long, service string, start_ns long, end_ns long")
+    got = sorted((r.part, r.components, r.traces, r.spans, r.over) for r in corpus.part_loads(spans, 4).collect())
+    assert got == [(0, 1, 5, 5, 3.0), (1, 0, 0, 0, -1.0), (2, 0, 0, 0, -1.0), (3, 0, 0, 0, -1.0)]
