@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from spanloom.session import ship
 
-CHUNK = 200_000
+#: A row of an engine is an object of about a kilobyte, so a worker holds some 20 MB of them whatever the table's size.
+CHUNK = 20_000
 
 
 def _cut(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa.Table]:
@@ -30,10 +31,11 @@ def _cut(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa
         rows += batch.num_rows
         if rows < chunk:
             continue
+        last = batch.column(key)[batch.num_rows - 1]
+        if held[0].column(key)[0] == last:
+            continue  # one group so far
         whole = pa.Table.from_batches(held)
         keys = whole.column(key)
-        last = keys[-1]
-        edge = rows - 1
         # the last group may go on in the next batch: it starts where the equal keys begin
         at = np.flatnonzero(pc.not_equal(keys, last).to_numpy(zero_copy_only=False))
         edge = int(at[-1]) + 1 if len(at) else 0
@@ -42,7 +44,9 @@ def _cut(batches: Iterator[pa.RecordBatch], key: str, chunk: int) -> Iterator[pa
             held = whole.slice(edge).to_batches()
             rows -= edge
     if held:
-        yield pa.Table.from_batches(held)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        held.clear()  # a giant trace is held once
+        yield whole
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
