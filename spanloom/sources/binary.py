@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pfs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,7 @@ HEADER = 8
 EVENT = np.dtype([("ts", "<i8"), ("span_id", "<i8"), ("parent_id", "<i8"), ("trace_id", "<i8"), ("depth", "<u2"), ("service_id", "<u2"), ("kind", "u1"), ("pad", "u1", 3)])
 STORED = np.dtype([("kind", "u1"), ("span_id", "<i8"), ("parent_id", "<i8"), ("service_id", "<u2"), ("ts", "<i8")])
 SPAN = np.dtype([("span_id", "<i8"), ("parent_id", "<i8"), ("service_id", "<u2"), ("start_ns", "<i8"), ("end_ns", "<i8")])
+META = np.dtype([("trace_id", "<i8"), ("num_spans", "<u4")])
 SCHEMAS = {
     "events": "pos bigint, ts bigint, span_id bigint, parent_id bigint, trace_id bigint, depth int, service_id int, kind int",
     "store": "file int, block bigint, place int, trace_id bigint, kind int, span_id bigint, parent_id bigint, service_id int, ts bigint",
@@ -153,9 +155,8 @@ class Reader(DataSourceReader):
             (size,) = struct.unpack("<I", f.read(4))
             yield batch("meta", {"place": [k], "service": [f.read(size).decode()], "trace_id": [None], "num_spans": [None]})
         (n,) = struct.unpack("<Q", f.read(8))
-        kind = np.dtype([("trace_id", "<i8"), ("num_spans", "<u4")])
         for at in range(0, n, 65_536):
-            rows = np.frombuffer(f.read(min(65_536, n - at) * kind.itemsize), dtype=kind)
+            rows = np.frombuffer(f.read(min(65_536, n - at) * META.itemsize), dtype=META)
             yield batch("meta", {"place": np.arange(at, at + len(rows)), "service": [None] * len(rows), "trace_id": rows["trace_id"], "num_spans": rows["num_spans"].astype(np.int64)})
 
 
@@ -188,7 +189,7 @@ class Writer(DataSourceArrowWriter):
                         out[c] = rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
                     f.write(out.tobytes())
             elif self.part == "meta":
-                self._meta(f, pa.Table.from_batches(list(iterator)).to_pydict())
+                self._meta(f, list(iterator))
             else:
                 self._blocks(f, iterator, offsets)
         if self.part in ("store", "archive"):
@@ -228,15 +229,23 @@ class Writer(DataSourceArrowWriter):
             put(held)
 
     @staticmethod
-    def _meta(f, rows: dict) -> None:
-        services = sorted((p, s) for p, s in zip(rows["place"], rows["service"], strict=True) if s is not None)
-        traces = sorted((p, t, n) for p, s, t, n in zip(rows["place"], rows["service"], rows["trace_id"], rows["num_spans"], strict=True) if s is None)
+    def _meta(f, batches: list[pa.RecordBatch]) -> None:
+        services, traces = [], [np.zeros((3, 0), dtype=np.int64)]
+        for rows in batches:
+            named = pc.is_valid(rows.column("service"))
+            own = rows.filter(named)
+            services += zip(own.column("place").to_pylist(), own.column("service").to_pylist(), strict=True)
+            own = rows.filter(pc.invert(named))
+            traces.append(np.stack([own.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("place", "trace_id", "num_spans")]))
+        place, trace, n = np.concatenate(traces, axis=1)
+        order = np.lexsort((n, trace, place))
+        out = np.zeros(len(order), dtype=META)
+        out["trace_id"], out["num_spans"] = trace[order], n[order]
         f.write(struct.pack("<I", len(services)))
-        for _, s in services:
+        for _, s in sorted(services):
             f.write(struct.pack("<I", len(s.encode())) + s.encode())
-        f.write(struct.pack("<Q", len(traces)))
-        for _, t, n in traces:
-            f.write(struct.pack("<qI", t, n))
+        f.write(struct.pack("<Q", len(out)))
+        f.write(out.tobytes())
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, _ = filesystem(self.path)
