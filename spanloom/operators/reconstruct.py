@@ -120,9 +120,15 @@ class Fragments:
         return (hits[0] if hits else None), len(hits) > 1
 
 
-def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True) -> list[Link]:
-    """``pb``: the deepest survivor at least two levels up that the orphan's filter holds."""
+def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True, siblings: bool = False) -> list[Link]:
+    """``pb``: the deepest survivor at least two levels up that the orphan's filter holds.
+
+    ``siblings``: of several at that level, those that the filters of the fragments with the same lost parent hold too.
+    """
     carriers = [s for s in f.spans if s.payload]
+    teams: dict[int, list[Span]] = defaultdict(list)
+    for o in f.orphans:
+        teams[o.parent].append(o)
     placed: dict[int, list[Span]] = defaultdict(list)
     out = []
     for o in sorted(f.orphans, key=lambda s: (-s.depth, s.key)) if bottom_up else f.orphans:
@@ -132,6 +138,9 @@ def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True) -
         for depth in range(o.depth - 2, low - 1, -1) if bits is not None else ():
             hits = [s for s in f.by_depth[depth] if f.holds(bits, s.id) and (not chain_check or _chain(f, bits, s, low))]
             if hits:
+                if siblings and len(hits) > 1:
+                    near = [f.nearest_carrier(q) for q in teams[o.parent] if q is not o]
+                    hits = [s for s in hits if all(f.holds(c.payload.bits, s.id) for c in near if c)] or hits
                 link = Link(o, hits[0], len(hits) > 1, via)
                 if bottom_up:
                     placed[hits[0].id].append(o)

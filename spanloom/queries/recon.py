@@ -446,8 +446,8 @@ SELECT trace_id, span_id, service, ts, next_trace, next_span FROM w WHERE kind =
 SELECT trace_id, count(*) FILTER (anchor_id IS NULL) AS fragments_lost, coalesce(sum(CASE WHEN anchor_id IS NULL THEN n END), 0)::BIGINT AS spans_lost,
   count(*) FILTER (skipped > 0) AS fragments_past, coalesce(sum(CASE WHEN skipped > 0 THEN n END), 0)::BIGINT AS spans_in_skipped FROM g GROUP BY trace_id""",
         ),
-        "pb_links": _true_links("pb"),
-        "pb_bottom_up": _true_links("pb", bottom_up=True),
+        "pb_links": _true_links("pb", siblings=True),
+        "pb_bottom_up": _true_links("pb", bottom_up=True, siblings=True),
         "cgprb_links": _true_links("cgprb"),
         "cgprb_topology": Entry(_scored("cgprb", lambda b, t: scoring.topology_totals(scoring.topology(b, t)), name="cgprb", fp=1e-2)),
         "pb_scores": Entry(_scored("pb", scoring.score, name="pb", fp=1e-2), collisions.as_links(collisions.pb_sql(CPD, 1e-2)) + GRADED + SCORE_SQL),

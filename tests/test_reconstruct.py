@@ -361,3 +361,14 @@ def test_certificates_tell_false_claims(spark):
         all_ = [r.asDict() | {"claim": json.dumps(list(range(1, 1 + len(json.loads(r.program)["weights"]))))} for r in dump.collect()]
         assert not any(r.allowed for r in certificates.certify(spark.createDataFrame(all_, dump.schema)).collect())
     assert certificates.certify(dump.limit(0)).count() == 0
+
+
+def test_filters_of_siblings_tell_equal_hits_apart():
+    """A filter that holds a wrong checkpoint by accident is overruled by that of a fragment with the same lost parent."""
+    own = lambda bits: reconstruct.Payload(b"", bits)
+    masks = {0: 0, 1: 1, 2: 2, 3: 4, 10: 8, 20: 16, 21: 32, 99: 64}
+    rows = [(1, 0, 0, own(0)), (2, 10, 3, own(0)), (3, 10, 3, own(0)), (20, 99, 6, own(2 | 4 | 64)), (21, 99, 6, own(4 | 64))]
+    f = reconstruct.Fragments([reconstruct.Span(i, p, d, b, 3) for i, p, d, b in rows], masks, 3, 4)
+    at = lambda **o: {b.orphan.id: (b.anchor.id, b.ambiguous) for b in reconstruct.by_filter(f, chain_check=False, **o) if b.anchor and b.orphan.depth == 6}
+    assert at() == {20: (2, True), 21: (3, False)}
+    assert at(siblings=True) == at(siblings=True, bottom_up=True) == {20: (3, False), 21: (3, False)}
