@@ -144,15 +144,16 @@ def draw_tree(c: Shape, draw: np.random.Generator) -> tuple[list[int], list[int]
 def place_times(parent: list[int], concurrency: float) -> tuple[np.ndarray, np.ndarray]:
     """Start and end ticks: a span lasts as long as its subtree needs, siblings follow or slide together."""
     n = len(parent)
-    need = np.full(n, 2, dtype=np.int64)
+    need = [2] * n
     for i in range(n - 1, 0, -1):  # children come after their parents
         need[parent[i]] += need[i]
-    start, used = np.zeros(n, dtype=np.int64), np.ones(n, dtype=np.int64)
+    start, used = [0] * n, [1] * n
     for i in range(1, n):
         p = parent[i]
         start[i] = start[p] + 1 + int((used[p] - 1) * (1 - concurrency))
         used[p] += need[i]
-    return start, start + need - 1
+    first = np.array(start, dtype=np.int64)
+    return first, first + np.array(need, dtype=np.int64) - 1
 
 
 def traces(spark: SparkSession, n: int, c: Shape = Shape()) -> DataFrame:
@@ -161,8 +162,13 @@ def traces(spark: SparkSession, n: int, c: Shape = Shape()) -> DataFrame:
 
 
 def traces_of(numbers: DataFrame, c: Shape = Shape()) -> DataFrame:
-    """A trace for every ``trace_id`` (not negative), drawn from a stream of its own."""
-    ship(numbers.sparkSession)
+    """A trace for every ``trace_id`` (not negative), drawn from a stream of its own.
+
+    The numbers are dealt over a stated count of partitions: they are few bytes, which adaptive execution would
+    read in one task, while the traces made of them are hundreds of rows each.
+    """
+    spark = ship(numbers.sparkSession)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     names = [x.split()[0] for x in SPANS.split(", ")]
 
     def run(batches):
@@ -177,7 +183,7 @@ def traces_of(numbers: DataFrame, c: Shape = Shape()) -> DataFrame:
                 columns = [np.full(len(ids), i, dtype=np.int64), ids, up, pa.array(service), start, end, np.array(depth, dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)
 
-    return numbers.select("trace_id").mapInArrow(run, SPANS)
+    return numbers.select("trace_id").repartition(parts, F.xxhash64("trace_id")).mapInArrow(run, SPANS)
 
 
 def complete_trees(spark: SparkSession, grid: list[tuple[int, int]], base_us: int = BASE_US) -> DataFrame:

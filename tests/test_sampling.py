@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import reservoir
+from spanloom.operators import generate, reservoir
 from spanloom.sources import corpus
 
 
@@ -87,3 +87,11 @@ def test_ten_million_components_are_dealt_quickly():
     assert time.time() - began < 20
     load = [sum(counts[k][p] * k for k, _, _ in classes) for p in range(200)]
     assert all(sum(counts[k]) == n for k, n, _ in classes) and max(load) - min(load) <= 2
+
+
+def test_traces_are_made_in_many_tasks(spark):
+    """The numbers are few bytes, yet no task makes all their traces."""
+    numbers = spark.range(4000).select((F.col("id") % 2000).alias("trace_id")).distinct()
+    made = generate.traces_of(numbers, generate.Shape("chain", depth=1)).withColumn("part", F.spark_partition_id())
+    per = made.groupBy("part").agg(F.countDistinct("trace_id").alias("n")).collect()
+    assert len(per) == 8 and sum(r.n for r in per) == 2000 and max(r.n for r in per) < 400
