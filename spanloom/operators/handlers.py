@@ -25,6 +25,7 @@ from spanloom.functions import wire
 from spanloom.functions.hashing import Blooms, bloom_size
 from spanloom.plans.traces import map_traces
 from spanloom.plans.tree import Folded, longest, parent_rows, walk_up
+from spanloom.session import materialize
 
 SCHEMES = ("vanilla", "pb", "cgpb", "pcr", "pcrb", "cgprb", "crumbs")
 PAYLOAD = (
@@ -286,16 +287,22 @@ def next_start(queued: DataFrame, starts: DataFrame, slice_us: int = 3_600_000_0
     key = F.struct("ts", "depth", "trace_id", "span_id")
     begin = cut(starts).withColumn("kind", F.lit(0)).select("service", "slice", "ts", "depth", "trace_id", "span_id", "kind")
     ends = cut(queued).withColumn("kind", F.lit(1)).withColumn("turn", -F.col("depth"))
-    both = begin.withColumn("turn", F.col("depth")).unionByName(ends.select("service", "slice", "ts", "depth", "trace_id", "span_id", "kind", "turn"))
-    after = Window.partitionBy("service", "slice").orderBy("ts", "kind", "turn", "trace_id", "span_id").rowsBetween(1, Window.unboundedFollowing)
-    inside = F.first(F.when(F.col("kind") == 0, key), ignorenulls=True).over(after)
+    own = ["quad"] if "quad" in queued.columns else []  # what is queued goes along
+    both = begin.withColumn("turn", F.col("depth")).unionByName(
+        ends.select("service", "slice", "ts", "depth", "trace_id", "span_id", "kind", "turn", *own), allowMissingColumns=True
+    )
+    # looked at backwards: a frame that grows row by row is linear, one that shrinks is summed anew for every row
+    order = [F.desc(c) for c in ("ts", "kind", "turn", "trace_id", "span_id")]
+    after = Window.partitionBy("service", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.last(F.when(F.col("kind") == 0, key), ignorenulls=True).over(after)
     found = both.withColumn("inside", inside).where("kind = 1")
     per = begin.groupBy("service", "slice").agg(F.min(key).alias("first"))
     slices = per.unionByName(found.select("service", "slice").distinct(), allowMissingColumns=True).groupBy("service", "slice").agg(F.min("first").alias("first"))
-    later = Window.partitionBy("service").orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
-    slices = slices.withColumn("later", F.first("first", ignorenulls=True).over(later)).select("service", "slice", "later")
+    later = Window.partitionBy("service").orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("later", F.last("first", ignorenulls=True).over(later)).select("service", "slice", "later")
     out = found.join(slices, ["service", "slice"]).withColumn("next", F.coalesce("inside", "later"))
-    return out.select("service", "trace_id", "span_id", "ts", F.col("next.trace_id").alias("next_trace"), F.col("next.span_id").alias("next_span"))
+    found = [F.col("next.trace_id").alias("next_trace"), F.col("next.span_id").alias("next_span")]
+    return out.select("service", "trace_id", "span_id", "ts", *found, *(["depth", "quad"] if own else []))
 
 
 def _starts(spans: DataFrame) -> DataFrame:
@@ -306,9 +313,8 @@ def _starts(spans: DataFrame) -> DataFrame:
 
 def picked_up(spans: DataFrame, scheme: Scheme) -> DataFrame:
     """``trace_id, span_id, incoming``: delayed ends, oldest first, that a span's start takes from its service's queue."""
-    queued = delayed_ends(spans, scheme)
-    met = next_start(queued, _starts(spans)).where("next_span is not null")
-    both = queued.select("trace_id", "span_id", "ts", "depth", "quad").join(met.drop("ts"), ["trace_id", "span_id"])
+    queued = materialize(delayed_ends(spans, scheme), "delayed")  # read for its slices too
+    both = next_start(queued, _starts(spans)).where("next_span is not null")
     held = F.array_sort(F.collect_list(F.struct("ts", (-F.col("depth")).alias("turn"), "trace_id", "span_id", "quad")))
     per = both.groupBy(F.col("next_trace").alias("t"), F.col("next_span").alias("s")).agg(held.alias("held"))
     return per.select(F.col("t").alias("trace_id"), F.col("s").alias("span_id"), F.col("held.quad").alias("incoming"))

@@ -226,7 +226,7 @@ def _scored(engine: str, measure, **settings):
 
 def _trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = Scheme("crumbs", CPD)
-    spans = wide(spark, sf_dir)
+    spans = materialize(wide(spark, sf_dir), "wide")  # read by every step below
     p = handlers.with_delayed_ends(spans, s).select("trace_id", "span_id", "br")
     order = structure.sibling_ordinals(spans).withColumnRenamed("seq", "ordinal")
     d = loss.with_drops(spans).join(p, ["trace_id", "span_id"]).join(order, ["trace_id", "span_id"])

@@ -228,3 +228,12 @@ def test_delayed_ends_go_to_the_next_start(spark):
     full = {(r.trace_id, r.span_id): r.br and bytes(r.br) for r in handlers.with_delayed_ends(spans, s).collect()}
     assert full[2, 10].endswith(bytes(quad.quad)) and not full[3, 1].endswith(bytes(quad.quad))
     assert handlers.large_pickups(spans, s, 5).count() == 1 and handlers.large_pickups(spans, s, 500).count() == 0
+
+
+def test_next_starts_read_each_slice_once(spark):
+    """A frame that reaches to a slice's end is summed anew for every row of it."""
+    starts = spark.createDataFrame([("a", 5, 0, 1, 1), ("a", 5, 1, 1, 2), ("a", 9, 0, 2, 1)], "service string, ts long, depth int, trace_id long, span_id long")
+    queued = spark.createDataFrame([("a", 5, 0, 7, 7), ("a", 9, 0, 7, 8)], starts.schema)
+    got = handlers.next_start(queued, starts, slice_us=4)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+    assert {(r.trace_id, r.span_id, r.next_trace, r.next_span) for r in got.collect()} == {(7, 7, 2, 1), (7, 8, None, None)}
