@@ -60,6 +60,7 @@ def grows(run, rows_of, key: str) -> float:
 ENGINES = {
     "ledger_links": ("ledger", Scheme(cpd=recon.CPD, fp=recon.RARE, prime=True)),
     "cgprb_topology": ("cgprb", Scheme(cpd=recon.CPD, fp=1e-2)),
+    "topology_totals": ("cgp", Scheme(cpd=recon.CPD, fp=1e-2)),
 }
 
 
