@@ -70,3 +70,29 @@ def test_an_engine_holds_no_more_of_a_larger_partition(monkeypatch, spark, query
     run, key = handed(monkeypatch, reconstruct, lambda df: reconstruct.links(df, engine, s))
     named = Scheme(**{**s.__dict__, "name": reconstruct.ENGINES[engine]}).settled()
     assert grows(run, lambda n: survivors(n, named), key) < 1.5
+
+
+def windowed_heaps(n: int, cpd: int) -> pa.Table:
+    """What :func:`windows.payloads` hands to the workers: the rows of every window together, non-root checkpoints in two."""
+    rows = heaps(n)
+    trace, span, parent, start = (rows.column(c).to_numpy() for c in ("trace_id", "span_id", "parent_id", "start_us"))
+    at = np.tile(np.arange(1, SPANS + 1), n)
+    depth = np.floor(np.log2(at)).astype(np.int64)
+    top = np.arange(n * SPANS) - at + (at >> np.where(depth > 0, (depth - 1) % cpd + 1, 0))
+    own, head = np.flatnonzero(depth > 0), np.flatnonzero(depth % cpd == 0)
+    row, window = np.concatenate([head, own]), np.concatenate([head, top[own]])
+    by = np.argsort(window, kind="stable")
+    row, window, is_head = row[by], window[by], (np.arange(len(row)) < len(head))[by]
+    return pa.table({
+        "key": window, "trace_id": trace[row], "window": span[window], "head": is_head, "span_id": span[row], "parent_id": parent[row],
+        "start_us": start[row], "depth": depth[row].astype(np.int32), "is_leaf": 2 * at[row] > SPANS,
+    })
+
+
+@pytest.mark.parametrize("scheme", ("pcr", "cgprb"))
+def test_windows_hold_no_more_of_a_larger_partition(monkeypatch, spark, scheme):
+    s = Scheme(scheme, recon.CPD)
+    for name in ("with_tree", "materialize", "windowed"):
+        monkeypatch.setattr(windows, name, lambda df, *_: df)
+    run, key = handed(monkeypatch, windows, lambda df: windows.payloads(df, s))
+    assert grows(run, lambda n: windowed_heaps(n, s.cpd), key) < 1.5
