@@ -61,6 +61,7 @@ ENGINES = {
     "ledger_links": ("ledger", Scheme(cpd=recon.CPD, fp=recon.RARE, prime=True)),
     "cgprb_topology": ("cgprb", Scheme(cpd=recon.CPD, fp=1e-2)),
     "topology_totals": ("cgp", Scheme(cpd=recon.CPD, fp=1e-2)),
+    "pb2_collisions": ("pb2", Scheme(cpd=collisions.CPD, fp=collisions.RATE)),
 }
 
 
