@@ -62,6 +62,7 @@ ENGINES = {
     "cgprb_topology": ("cgprb", Scheme(cpd=recon.CPD, fp=1e-2)),
     "topology_totals": ("cgp", Scheme(cpd=recon.CPD, fp=1e-2)),
     "pb2_collisions": ("pb2", Scheme(cpd=collisions.CPD, fp=collisions.RATE)),
+    "recon_evidence": ("pcrb", Scheme(cpd=recon.CPD)),
 }
 
 
