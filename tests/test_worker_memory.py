@@ -98,3 +98,8 @@ def test_windows_hold_no_more_of_a_larger_partition(monkeypatch, spark, scheme):
         monkeypatch.setattr(windows, name, lambda df, *_: df)
     run, key = handed(monkeypatch, windows, lambda df: windows.payloads(df, s))
     assert grows(run, lambda n: windowed_heaps(n, s.cpd), key) < 1.5
+
+
+def test_paths_hold_no_more_of_a_larger_partition(monkeypatch, spark):
+    run, key = handed(monkeypatch, tree, tree.ancestors)
+    assert grows(run, lambda n: heaps(n).rename_columns(["trace_id", "span_id", "_to", "start_us"]), key) < 1.5
