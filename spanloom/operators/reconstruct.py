@@ -67,9 +67,10 @@ class Link:
 class Fragments:
     """The survivors of one trace and what they hang together by."""
 
-    def __init__(self, spans: list[Span], masks: dict[int, int], cpd: int, prefix: int):
+    def __init__(self, spans: list[Span], masks: dict[int, int], cpd: int, prefix: int, probes: int = 1 << 30):
         self.spans = sorted(spans, key=lambda s: (s.depth, s.key))
-        self.masks, self.cpd, self.prefix = masks, cpd, prefix
+        #: ``probes``: the bits of a filter that an id sets at most.
+        self.masks, self.cpd, self.prefix, self.probes = masks, cpd, prefix, probes
         self.by_id = {s.id: s for s in self.spans}
         self.by_depth: dict[int, list[Span]] = defaultdict(list)
         self.orphans: list[Span] = []
@@ -123,7 +124,8 @@ class Fragments:
 def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True, siblings: bool = False) -> list[Link]:
     """``pb``: the deepest survivor at least two levels up that the orphan's filter holds.
 
-    ``siblings``: of several at that level, those that the filters of the fragments with the same lost parent hold too.
+    ``siblings``: only those under which all bits of the filter can have been set; of several at that level, those that the
+    filters of the fragments with the same lost parent hold too, and of these the one that is held by accident least likely.
     """
     carriers = [s for s in f.spans if s.payload]
     teams: dict[int, list[Span]] = defaultdict(list)
@@ -137,10 +139,16 @@ def by_filter(f: Fragments, bottom_up: bool = False, chain_check: bool = True, s
         link = Link(o, None)
         for depth in range(o.depth - 2, low - 1, -1) if bits is not None else ():
             hits = [s for s in f.by_depth[depth] if f.holds(bits, s.id) and (not chain_check or _chain(f, bits, s, low))]
+            if siblings and hits and not via:
+                left = {s.id: _unset(f, f.nearest_carrier(o), o, s, low) for s in hits}
+                hits = [s for s in hits if left[s.id] is not None]
             if hits:
                 if siblings and len(hits) > 1:
                     near = [f.nearest_carrier(q) for q in teams[o.parent] if q is not o]
                     hits = [s for s in hits if all(f.holds(c.payload.bits, s.id) for c in near if c)] or hits
+                    if not via:
+                        least = min(left[s.id] for s in hits)
+                        hits = [s for s in hits if left[s.id] == least]
                 link = Link(o, hits[0], len(hits) > 1, via)
                 if bottom_up:
                     placed[hits[0].id].append(o)
@@ -184,6 +192,31 @@ def _chain(f: Fragments, bits: int, s: Span, low: int) -> bool:
     return True
 
 
+def _named(f: Fragments, s: Span, top: int) -> tuple[int, int]:
+    """The bits of a span and of all that can be named above it down from level ``top``, and how many there have no name."""
+    bits = f.masks[s.id]
+    while s.depth > top and s.parent:
+        bits |= f.masks[s.parent]
+        if s.parent not in f.by_id:
+            return bits, s.depth - 1 - top
+        s = f.by_id[s.parent]
+    return bits, 0
+
+
+def _unset(f: Fragments, carrier: Span, o: Span, anchor: Span, low: int) -> tuple[int, int] | None:
+    """What speaks against an anchor: the filter's bits that nothing named on the path sets, and how few bits the anchor itself needs.
+
+    None where the lost spans without a name cannot have set them all. A filter is no more than the bits of its path, and an
+    id of few bits (its probes may fall together) is soon held by accident.
+    """
+    below, _ = _named(f, carrier, o.depth)
+    above, lost = _named(f, anchor, low)
+    left = (carrier.payload.bits & ~(below | above | f.masks[o.parent])).bit_count()
+    if left > (lost + o.depth - anchor.depth - 2) * f.probes:
+        return None
+    return left, -above.bit_count()
+
+
 def by_prefix(f: Fragments) -> list[Link]:
     """``pcr``: the checkpoint that the orphan's nearest carrier names."""
     out = []
@@ -342,7 +375,7 @@ def _survivors(rows: pa.Table, s: Scheme) -> Iterator[tuple[int, Fragments]]:
                     if e not in masks:
                         masks[e] = int.from_bytes(blooms.masks(np.array([e]))[0].tobytes(), "little")
             spans.append(Span(int(span[i]), int(parent[i]), int(depth[i]), payload, s.cpd))
-        yield int(trace[a]), Fragments(spans, masks, s.cpd, s.prefix)
+        yield int(trace[a]), Fragments(spans, masks, s.cpd, s.prefix, s.filter_size[1])
 
 
 def links(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> DataFrame:

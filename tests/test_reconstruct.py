@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from spanloom.operators.exact import verified
 from spanloom.operators.handlers import Scheme
 from spanloom.session import materialize
 from spanloom.sources import reports
+from spanloom.sources.views import WIDE_SEED
 
 SCHEMA = "trace_id long, span_id long, parent_id long, service string, start_us long, end_us long"
 LINKS = "trace_id long, orphan_id long, anchor_id long, synthetic int, ambiguous boolean, via_carrier long, fanout long"
@@ -372,3 +374,41 @@ def test_filters_of_siblings_tell_equal_hits_apart():
     at = lambda **o: {b.orphan.id: (b.anchor.id, b.ambiguous) for b in reconstruct.by_filter(f, chain_check=False, **o) if b.anchor and b.orphan.depth == 6}
     assert at() == {20: (2, True), 21: (3, False)}
     assert at(siblings=True) == at(siblings=True, bottom_up=True) == {20: (3, False), 21: (3, False)}
+
+
+def test_what_a_filter_cannot_be_made_of_is_no_anchor():
+    """A wrong span of few bits, deeper than the anchor, leaves bits of the filter that nothing on its path sets."""
+    own = lambda bits: reconstruct.Payload(b"", bits)
+    masks = {0: 0, 1: 0b1, 5: 0b10, 6: 0b1100, 99: 0b10010, 20: 0b100000}
+    rows = [(1, 0, 0, own(1)), (5, 1, 1, None), (20, 99, 3, own(0b111111))]
+    f = reconstruct.Fragments([reconstruct.Span(i, p, d, b, 3) for i, p, d, b in rows], masks, 3, 4, 2)
+    at = lambda **o: [(b.orphan.id, b.anchor.id) for b in reconstruct.by_filter(f, **o)]
+    assert at() == [(20, 5)]
+    assert at(siblings=True) == at(siblings=True, bottom_up=True) == [(20, 1)]
+
+
+@pytest.mark.parametrize("trace", [36720, 89590, 1036750])
+def test_an_id_whose_probes_fall_together_is_no_anchor(trace):
+    """At the rate of ``pb_links`` 31 probes of some ids set 5 or 6 bits, and all filters of a team hold them by accident."""
+    wide = lambda i: ((trace % 100_003 * 7_919 + i * 104_729 + WIDE_SEED) * 48_271 % 2_147_483_647 << 32) + i
+    s = Scheme("pb", 3, fp=1e-9, prime=True)
+    for size in (66, 80, 99):
+        ids = [wide(i) for i in range(1, size + 1)]
+        up = {i: ids[k // 2 - 1] if k > 1 else 0 for k, i in enumerate(ids, 1)}
+        heap = pa.table({"trace_id": [trace] * size, "span_id": ids, "parent_id": [up[i] for i in ids], "start_us": range(size)})
+        rows = handlers._simple(heap, s)
+        lost = [
+            not c and (trace % 100_003 * 7_919 + i % 100_003 * 104_729 + 42 * 1_299_709) * 48_271 % 2_147_483_647 % 10_000 < 5_000
+            for i, c in zip(rows.column("span_id").to_pylist(), rows.column("carrier").to_pylist(), strict=True)
+        ]
+        alive = rows.filter(pa.array([not x for x in lost]))
+        ((_, f),) = reconstruct._survivors(alive, s)
+
+        def above(i, there=f.by_id):
+            while up[i] not in there:
+                i = up[i]
+            return up[i]
+
+        for bottom_up in (False, True):
+            found = {b.orphan.id: b.anchor.id for b in reconstruct.by_filter(f, bottom_up, siblings=True)}
+            assert found == {i: above(i) for i in found} and len(found) == sum(up[i] and up[i] not in f.by_id for i in f.by_id)
