@@ -285,6 +285,8 @@ class Ledger:
         parent: dict[tuple[int, int], int] = {}
         choice: dict[int, tuple[int, Option]] = {}
         options: list[list[int]] = []
+        needs: dict[int, list[int]] = {}
+        needed_by: dict[int, list[int]] = defaultdict(list)
         for n, item in enumerate(items):
             own = []
             for place, o in enumerate(item.options):
@@ -293,18 +295,27 @@ class Ledger:
                 if any(state[k][0] or (state[k][2] and state[k][1] is not s) for k, s in cells) or (above and state[above][2]):
                     continue
                 x = p.var(stakes.worth(item, o, place))
+                needs[x] = []
                 for k, s in cells:
                     if (k, s.id) not in shown:
                         shown[k, s.id] = p.var()
-                    p.implies(x, shown[k, s.id])
+                    needs[x].append(shown[k, s.id])
                 if above:
                     if above not in parent:
                         parent[above] = p.var()
-                    p.implies(x, parent[above])
+                    needs[x].append(parent[above])
+                for v in needs[x]:
+                    needed_by[v].append(x)
                 own.append(x)
                 choice[x] = n, o
-            p.group(own)
             options.append(own)
+        first = {(xs[0], v): xs for v, wanted in needed_by.items() for xs in self._rivals(wanted, choice)}
+        for own in options:
+            for x in own:
+                for v in needs[x]:
+                    if (x, v) in first:
+                        p.covers(v, first[x, v])
+            p.group(own)
         by_level: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for (k, id_), v in shown.items():
             by_level[k].append((id_, v))
@@ -314,11 +325,33 @@ class Ledger:
             away = [v for id_, v in by_level[k] if there is not None and id_ != there.id] + (lost if there is not None else [])
             if away:
                 y = p.var(-(stakes.cover if sole else stakes.unit))
-                for v in away:
-                    p.implies(v, y)
+                p.covers(y, away)
         self._alike(items, options, choice, p)
         return Problem(p, choice)
 
+    @staticmethod
+    def _rivals(wanted: list[int], choice: dict[int, tuple[int, Option]]) -> list[list[int]]:
+        """Options dealt into sets of which at most one holds: of one item, or with different needs of one level."""
+
+        def rivals(a: int, b: int) -> bool:
+            (m, o), (n, q) = choice[a], choice[b]
+            if m == n:
+                return True
+            if o.chain is not q.chain:
+                return False
+            there = {s.depth: s.id for s in o.spans} | ({} if o.above is None else {o.above: None})
+            also = {s.depth: s.id for s in q.spans} | ({} if q.above is None else {q.above: None})
+            return any(there[d] != also[d] for d in there.keys() & also.keys())
+
+        out: list[list[int]] = []
+        for x in wanted:
+            held = next((xs for xs in out if all(rivals(x, y) for y in xs)), None)
+            if held is None:
+                out.append([x])
+            else:
+                held.append(x)
+        return out
+
     @staticmethod
     def _alike(items: list[Item], options: list[list[int]], choice: dict[int, tuple[int, Option]], p: Program) -> None:
         """Orphans with the same places are told apart by order only: the first takes the earlier place."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import hashing
 from spanloom.operators import handlers, ledger, loss, map_engine, reconstruct, scoring  # noqa: F401 (the ledgers add their engines)
-from spanloom.operators.exact import verified
+from spanloom.operators.exact import solve, verified
 from spanloom.operators.handlers import Scheme
 from spanloom.session import materialize
 from spanloom.sources import reports
@@ -387,24 +387,28 @@ def test_what_a_filter_cannot_be_made_of_is_no_anchor():
     assert at(siblings=True) == at(siblings=True, bottom_up=True) == [(20, 1)]
 
 
+def heap_survivors(trace: int, size: int, s: Scheme) -> tuple[reconstruct.Fragments, dict[int, int]]:
+    """What half of the losses leave of a heap-shaped trace with wide ids, and every span's parent."""
+    wide = lambda i: ((trace % 100_003 * 7_919 + i * 104_729 + WIDE_SEED) * 48_271 % 2_147_483_647 << 32) + i
+    ids = [wide(i) for i in range(1, size + 1)]
+    up = {i: ids[k // 2 - 1] if k > 1 else 0 for k, i in enumerate(ids, 1)}
+    heap = pa.table({"trace_id": [trace] * size, "span_id": ids, "parent_id": [up[i] for i in ids], "start_us": range(size)})
+    rows = handlers._simple(heap, s)
+    lost = [
+        not c and (trace % 100_003 * 7_919 + i % 100_003 * 104_729 + 42 * 1_299_709) * 48_271 % 2_147_483_647 % 10_000 < 5_000
+        for i, c in zip(rows.column("span_id").to_pylist(), rows.column("carrier").to_pylist(), strict=True)
+    ]
+    ((_, f),) = reconstruct._survivors(rows.filter(pa.array([not x for x in lost])), s)
+    return f, up
+
+
 @pytest.mark.parametrize("trace", [36720, 89590, 1036750])
 def test_an_id_whose_probes_fall_together_is_no_anchor(trace):
     """At the rate of ``pb_links`` 31 probes of some ids set 5 or 6 bits, and all filters of a team hold them by accident."""
-    wide = lambda i: ((trace % 100_003 * 7_919 + i * 104_729 + WIDE_SEED) * 48_271 % 2_147_483_647 << 32) + i
-    s = Scheme("pb", 3, fp=1e-9, prime=True)
     for size in (66, 80, 99):
-        ids = [wide(i) for i in range(1, size + 1)]
-        up = {i: ids[k // 2 - 1] if k > 1 else 0 for k, i in enumerate(ids, 1)}
-        heap = pa.table({"trace_id": [trace] * size, "span_id": ids, "parent_id": [up[i] for i in ids], "start_us": range(size)})
-        rows = handlers._simple(heap, s)
-        lost = [
-            not c and (trace % 100_003 * 7_919 + i % 100_003 * 104_729 + 42 * 1_299_709) * 48_271 % 2_147_483_647 % 10_000 < 5_000
-            for i, c in zip(rows.column("span_id").to_pylist(), rows.column("carrier").to_pylist(), strict=True)
-        ]
-        alive = rows.filter(pa.array([not x for x in lost]))
-        ((_, f),) = reconstruct._survivors(alive, s)
-
-        def above(i, there=f.by_id):
+        f, up = heap_survivors(trace, size, Scheme("pb", 3, fp=1e-9, prime=True))
+
+        def above(i, up=up, there=f.by_id):
             while up[i] not in there:
                 i = up[i]
             return up[i]
@@ -412,3 +416,18 @@ def test_an_id_whose_probes_fall_together_is_no_anchor(trace):
         for bottom_up in (False, True):
             found = {b.orphan.id: b.anchor.id for b in reconstruct.by_filter(f, bottom_up, siblings=True)}
             assert found == {i: above(i) for i in found} and len(found) == sum(up[i] and up[i] not in f.by_id for i in f.by_id)
+
+
+@pytest.mark.parametrize("trace, size", [(81252, 73), (47265, 60), (64480, 71), (40080, 67)])
+def test_clusters_whose_items_want_the_same_chains_are_proved_soon(trace, size):
+    """Items that exclude each other on a level displace what stands there once each: the relaxation has to know."""
+    f, _ = heap_survivors(trace, size, Scheme("pcrb", 5, fp=0.1))
+    book = ledger.Ledger(f)
+    made = []
+    plain = book.problem
+    book.problem = lambda items: made.append(plain(items)) or made[-1]
+    book.run()
+    assert made
+    for problem in made:
+        found = solve(problem.program, 100)
+        assert found.proved and verified(problem.program, found)
