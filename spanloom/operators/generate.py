@@ -162,7 +162,7 @@ def traces(spark: SparkSession, n: int, c: Shape = Shape()) -> DataFrame:
 
 
 def traces_of(numbers: DataFrame, c: Shape = Shape()) -> DataFrame:
-    """A trace for every ``trace_id`` (not negative), drawn from a stream of its own.
+    """A trace for every ``trace_id`` (not negative), drawn from a stream of its own; the rows come trace by trace.
 
     The numbers are dealt over a stated count of partitions: they are few bytes, which adaptive execution would
     read in one task, while the traces made of them are hundreds of rows each.

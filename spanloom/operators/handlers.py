@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from spanloom.functions import wire
 from spanloom.functions.hashing import Blooms, bloom_size
-from spanloom.plans.traces import map_traces
+from spanloom.plans.traces import map_traces, map_whole
 from spanloom.plans.tree import Folded, longest, parent_rows, walk_up
 from spanloom.session import materialize
 
@@ -253,14 +253,14 @@ def _breadcrumbs(rows: pa.Table, s: Scheme, queued: dict[int, bytes] | None = No
     return _table(t, carrier, t.up >= 0, emit, np.zeros(n, dtype=np.int64), order_bytes, baggage, br), delayed
 
 
-def payloads(spans: DataFrame, scheme: Scheme = Scheme()) -> DataFrame:
+def payloads(spans: DataFrame, scheme: Scheme = Scheme(), whole: bool = False) -> DataFrame:
     """Per span: depth, leaf, carrier, calls (1 if the parent handed something down), byte counts and the payload ``br``.
 
-    Breadcrumbs come without delayed ends of other traces (:func:`with_delayed_ends` adds them).
+    Breadcrumbs come without delayed ends of other traces (:func:`with_delayed_ends` adds them). ``whole``: the rows come trace by trace.
     """
     s = scheme.settled()
     run = (lambda rows: _breadcrumbs(rows, s)[0]) if s.name == "crumbs" else (lambda rows: _simple(rows, s))
-    return map_traces(spans.select("trace_id", "span_id", "parent_id", "service", "start_us", "end_us"), run, PAYLOAD)
+    return (map_whole if whole else map_traces)(spans.select("trace_id", "span_id", "parent_id", "service", "start_us", "end_us"), run, PAYLOAD)
 
 
 def delayed_ends(spans: DataFrame, scheme: Scheme) -> DataFrame:

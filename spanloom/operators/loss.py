@@ -34,9 +34,14 @@ def with_kind(spans: DataFrame, cpd: int = CPD) -> DataFrame:
     return with_tree(spans).withColumn("leaf", leaf).withColumn("carrier", leaf | (F.col("depth") % cpd == 0)).drop("children")
 
 
+def dropped(rate: float = RATE, seed: int = SEED) -> Column:
+    """Whether a span is lost, by its ``carrier``: only spans without a payload can be."""
+    return ~F.col("carrier") & (F.lit(rate >= 1.0) | (uniform(seed) < rate))
+
+
 def with_drops(spans: DataFrame, rate: float = RATE, cpd: int = CPD, seed: int = SEED) -> DataFrame:
     """``with_kind`` plus ``dropped``: only spans without a payload can be lost."""
-    return with_kind(spans, cpd).withColumn("dropped", ~F.col("carrier") & (F.lit(rate >= 1.0) | (uniform(seed) < rate)))
+    return with_kind(spans, cpd).withColumn("dropped", dropped(rate, seed))
 
 
 def nested_drops(spans: DataFrame, rates: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95, 1.0), cpd: int = CPD) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import time
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -74,6 +74,7 @@ class Fragments:
         self.by_id = {s.id: s for s in self.spans}
         self.by_depth: dict[int, list[Span]] = defaultdict(list)
         self.orphans: list[Span] = []
+        self.heads: dict[int, dict[bytes, list[Span]]] = {}
         for s in self.spans:
             self.by_depth[s.depth].append(s)
             if s.parent in self.by_id:
@@ -116,8 +117,11 @@ class Fragments:
         top = self.window_top(carrier.depth)
         if top < 0:
             return None, False
-        head = carrier.payload.prefix
-        hits = [s for s in self.by_depth[top] if s.key.to_bytes(8, "big")[: self.prefix] == head]
+        if top not in self.heads:
+            self.heads[top] = heads = defaultdict(list)
+            for s in self.by_depth[top]:
+                heads[s.key.to_bytes(8, "big")[: self.prefix]].append(s)
+        hits = self.heads[top].get(carrier.payload.prefix, ())
         return (hits[0] if hits else None), len(hits) > 1
 
 
@@ -362,9 +366,12 @@ def _survivors(rows: pa.Table, s: Scheme) -> Iterator[tuple[int, Fragments]]:
         blooms = Blooms(*s.filter_size)
         size = blooms.bytes
         ids = np.unique(np.concatenate([span, parent]))
-        masks |= {i: int.from_bytes(m.tobytes(), "little") for i, m in zip(ids.tolist(), blooms.masks(ids), strict=True)}
+        held = blooms.masks(ids).tobytes()
+        masks |= {i: int.from_bytes(held[k * size : (k + 1) * size], "little") for k, i in enumerate(ids.tolist())}
     br = rows.column("br").to_pylist()
-    for a, b in groups(trace):
+    runs = groups(trace)
+    trace, span, parent, depth = (x.tolist() for x in (trace, span, parent, depth))
+    for a, b in runs:
         spans = []
         for i in range(a, b):
             payload = None
@@ -374,8 +381,20 @@ def _survivors(rows: pa.Table, s: Scheme) -> Iterator[tuple[int, Fragments]]:
                 for e, _ in entries:
                     if e not in masks:
                         masks[e] = int.from_bytes(blooms.masks(np.array([e]))[0].tobytes(), "little")
-            spans.append(Span(int(span[i]), int(parent[i]), int(depth[i]), payload, s.cpd))
-        yield int(trace[a]), Fragments(spans, masks, s.cpd, s.prefix, s.filter_size[1])
+            spans.append(Span(span[i], parent[i], depth[i], payload, s.cpd))
+        yield trace[a], Fragments(spans, masks, s.cpd, s.prefix, s.filter_size[1])
+
+
+def places(rows: pa.Table, engine: Callable[..., list[Link]], s: Scheme, **options) -> pa.Table:
+    """``LINKS`` of a run of whole traces' survivors; ``engine`` is one of ``RUN`` (a worker knows only those of this module), ``s`` its own scheme."""
+    names = [c.split()[0] for c in LINKS.split(", ")]
+    out = []
+    for trace, f in _survivors(rows, s):
+        for b in engine(f, **options):
+            lost = b.orphan.depth - b.anchor.depth - 1 if b.anchor else None
+            out.append((trace, b.orphan.id, b.anchor.id if b.anchor else None, lost, b.ambiguous, b.via, b.fanout))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
 
 
 def links(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> DataFrame:
@@ -385,18 +404,8 @@ def links(survivors: DataFrame, engine: str, scheme: Scheme, **options) -> DataF
     only their depth). ``fanout`` is the lost parent that the orphan shares with others, 0 for none.
     """
     s = Scheme(**{**scheme.__dict__, "name": ENGINES[engine]}).settled()
-    names = [c.split()[0] for c in LINKS.split(", ")]
-
-    def run(rows: pa.Table) -> pa.Table:
-        out = []
-        for trace, f in _survivors(rows, s):
-            for b in RUN[engine](f, **options):
-                lost = b.orphan.depth - b.anchor.depth - 1 if b.anchor else None
-                out.append((trace, b.orphan.id, b.anchor.id if b.anchor else None, lost, b.ambiguous, b.via, b.fanout))
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64()]
-        return pa.table([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names=names)
-
-    return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), run, LINKS)
+    own = RUN[engine]
+    return map_traces(survivors.select("trace_id", "span_id", "parent_id", "depth", "br"), lambda rows: places(rows, own, s, **options), LINKS)
 
 
 TIMINGS = "trace_id bigint, survivors int, orphans int, reconnected int, recon_ns bigint"

@@ -6,12 +6,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import hashing, wire
 from spanloom.operators.handlers import Scheme
-from spanloom.plans.tree import ancestors, fold_up
+from spanloom.operators.reconstruct import ENGINES, LINKS, RUN, places
+from spanloom.plans.traces import map_whole
+from spanloom.plans.tree import ancestors, fold_up, longest, parent_rows
 
 KEY = ["trace_id", "orphan_id"]
 
@@ -60,12 +64,18 @@ def graded(links: DataFrame, truth: DataFrame, lost_fragments: bool = False) ->
 
 def score(links: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> DataFrame:
     """Per trace: how many orphans were reattached, rightly, to an ancestor, with the right gap, and by ambiguous evidence."""
-    g = graded(links, truth, lost_fragments)
+    sums = graded(links, truth, lost_fragments).groupBy("trace_id").agg(*_sums())
+    spans = truth.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), _count(F.col("dropped")).alias("dropped"))
+    return spans.join(sums, "trace_id", "left").na.fill(0)
+
+
+def _sums() -> list[Column]:
+    """What :func:`score` counts of graded links; rows without an orphan count for nothing."""
     placed, right = F.col("anchor_id").isNotNull(), F.col("anchor_id") == F.col("true_anchor")
-    sums = g.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("orphans"),
+    return [
+        F.count("orphan_id").alias("orphans"),
         _count(placed).alias("reconnected"),
-        _count(~placed).alias("unanchored"),
+        _count(F.col("orphan_id").isNotNull() & ~placed).alias("unanchored"),
         _count(right).alias("anchor_correct"),
         _count(placed & F.col("is_ancestor")).alias("anchor_ancestor"),
         _count(right & (F.col("synthetic") == F.col("true_gap"))).alias("gap_correct"),
@@ -76,9 +86,55 @@ def score(links: DataFrame, truth: DataFrame, lost_fragments: bool = False) -> D
         _count(placed & (F.col("via_carrier") != 0)).alias("borrowed"),
         F.coalesce(F.sum("synthetic"), F.lit(0)).cast("long").alias("synthetic"),
         F.coalesce(F.sum(F.when(placed, F.col("skipped"))), F.lit(0)).cast("long").alias("ancestors_skipped"),
-    )
-    spans = truth.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), _count(F.col("dropped")).alias("dropped"))
-    return spans.join(sums, "trace_id", "left").na.fill(0)
+    ]
+
+
+WHOLE = LINKS + ", dropped boolean, true_anchor bigint, true_gap int, is_ancestor boolean, skipped int"
+
+
+def graded_whole(truth: DataFrame, engine: str, scheme: Scheme) -> DataFrame:
+    """A row per span of ``truth``, which comes trace by trace (see :func:`map_whole`): its link by ``engine``, graded.
+
+    An orphan has the columns of :func:`graded`; of other spans nothing but ``trace_id`` and ``dropped`` counts. Links are
+    made and graded where the trace is, so neither they nor the paths above them are shuffled or written.
+    """
+    s = Scheme(**{**scheme.__dict__, "name": ENGINES[engine]}).settled()
+    own = RUN[engine]
+    names = [c.split()[0] for c in LINKS.split(", ")]
+
+    def run(rows: pa.Table) -> pa.Table:
+        trace, span, parent = (rows.column(c).to_numpy() for c in ("trace_id", "span_id", "parent_id"))
+        dropped = rows.column("dropped").to_numpy()
+        found = places(rows.filter(pa.array(~dropped)), own, s)
+        at = {k: i for i, k in enumerate(zip(found.column("trace_id").to_pylist(), found.column("orphan_id").to_pylist(), strict=True))}
+        link = np.array([at.get(k, -1) for k in zip(trace.tolist(), span.tolist(), strict=True)], dtype=np.int64)
+        of = found.take(pa.array(link, mask=link < 0))
+        anchored = of.column("anchor_id").is_valid().to_numpy()
+        anchor = of.column("anchor_id").fill_null(0).to_numpy()
+        near, gap, anchor_at, kept_so_far, skipped = (np.zeros(len(span), dtype=np.int64) for _ in range(5))
+        up = parent_rows(trace, span, parent)
+        live = np.flatnonzero((link >= 0) & (up >= 0))
+        above = up[live]
+        for distance in range(1, longest(trace) + 1):
+            if not len(live):
+                break
+            kept = ~dropped[above]
+            first = live[kept & (kept_so_far[live] == 0)]
+            near[first], gap[first] = span[above[kept & (kept_so_far[live] == 0)]], distance - 1
+            hit = live[anchored[live] & (span[above] == anchor[live])]
+            anchor_at[hit], skipped[hit] = distance, kept_so_far[hit]
+            kept_so_far[live] += kept
+            on = (up[above] >= 0) & (up[above] != live)
+            live, above = live[on], up[above[on]]
+        columns = [rows.column("trace_id"), *[of.column(c) for c in names[1:]], dropped, near, gap.astype(np.int32), anchor_at > 0, skipped.astype(np.int32)]
+        return pa.table(columns, names=[c.split()[0] for c in WHOLE.split(", ")])
+
+    return map_whole(truth.select("trace_id", "span_id", "parent_id", "depth", "dropped", "br"), run, WHOLE)
+
+
+def score_whole(rows: DataFrame) -> DataFrame:
+    """:func:`score` of what :func:`graded_whole` gives."""
+    return rows.groupBy("trace_id").agg(F.count(F.lit(1)).alias("spans"), _count(F.col("dropped")).alias("dropped"), *_sums())
 
 
 def lost_spans(links: DataFrame, truth: DataFrame) -> DataFrame:

@@ -60,13 +60,21 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
 
 def map_traces(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "trace_id", chunk: int = CHUNK) -> DataFrame:
     """``fn`` over all rows, called with whole groups of ``key`` (many at a time, sorted by it)."""
+    return map_whole(dealt(df, key).sortWithinPartitions(key), fn, schema, key, chunk)
+
+
+def map_whole(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "trace_id", chunk: int = CHUNK) -> DataFrame:
+    """:func:`map_traces` of rows that come group by group as it is, in any order: nothing is shuffled.
+
+    They come so from a step that made them so, with nothing but columns and filters since.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _cut(batches, key, chunk):
             yield from fn(rows.combine_chunks()).to_batches()
 
-    return dealt(df, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def groups(keys: np.ndarray) -> list[tuple[int, int]]:

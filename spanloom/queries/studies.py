@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.operators import generate, loss, reservoir, scoring, structure, studies
+from spanloom.operators import generate, handlers, loss, reservoir, scoring, structure, studies
 from spanloom.operators.generate import Shape
 from spanloom.operators.handlers import Scheme
 from spanloom.plans.tree import with_depth
 from spanloom.queries import ingest, recon
 from spanloom.queries.base import ANCHORS, DEEP, KINDS, START, WIDE, Entry
-from spanloom.session import materialize
 from spanloom.sources import jaeger
 from spanloom.sources.views import DIRTY_SQL, chain_spans, dirty_spans, heap_spans, wide_spans
 
@@ -85,16 +84,14 @@ def _laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made, sized, thinned out, rebuilt by two schemes and scored in one go."""
-    t = materialize(generate.traces_of(_numbers(spark, sf_dir), Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300)).drop("depth"), "online")
+    """Made, sized, thinned out, rebuilt by two schemes and scored in one go, trace by trace: no span is shuffled or written."""
+    t = generate.traces_of(_numbers(spark, sf_dir), Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300))
     out = None
     for engine in ("pcrb", "cgp"):
         s = Scheme("pcrb" if engine == "pcrb" else "cgprb", 3)
-        from spanloom.operators import handlers, reconstruct
-
-        truth = materialize(loss.with_drops(t).join(handlers.payloads(t, s).select("trace_id", "span_id", "br"), ["trace_id", "span_id"]), "online-truth")
-        b = materialize(reconstruct.links(truth.where("not dropped"), engine, s), "online-links")
-        part = scoring.totals(scoring.score(b, truth)).select(F.lit(engine).alias("engine"), "traces", "spans", "dropped", "orphans", "reconnected", "anchor_correct", "wrong_pct")
+        truth = handlers.payloads(t, s, whole=True).withColumn("dropped", loss.dropped())
+        scores = scoring.score_whole(scoring.graded_whole(truth, engine, s))
+        part = scoring.totals(scores).select(F.lit(engine).alias("engine"), "traces", "spans", "dropped", "orphans", "reconnected", "anchor_correct", "wrong_pct")
         out = part if out is None else out.unionByName(part)
     return out
 

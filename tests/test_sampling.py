@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators import generate, reservoir
+from spanloom import session
+from spanloom.operators import generate, handlers, loss, reconstruct, reservoir, scoring
+from spanloom.operators.generate import Shape
+from spanloom.operators.handlers import Scheme
+from spanloom.session import materialize
 from spanloom.sources import corpus
 
 
@@ -95,3 +100,35 @@ def test_traces_are_made_in_many_tasks(spark):
     made = generate.traces_of(numbers, generate.Shape("chain", depth=1)).withColumn("part", F.spark_partition_id())
     per = made.groupBy("part").agg(F.countDistinct("trace_id").alias("n")).collect()
     assert len(per) == 8 and sum(r.n for r in per) == 2000 and max(r.n for r in per) < 400
+
+
+@pytest.mark.parametrize("engine, name", [("pcrb", "pcrb"), ("cgp", "cgprb"), ("pcr", "pcr")])
+def test_links_graded_where_the_trace_is(spark, engine, name):
+    """The same scores as from tables of links and paths, with links that are wrong, ambiguous and missing."""
+    s = Scheme(name, 3, fp=0.2, prefix=1)
+    t = generate.traces(spark, 30, Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300))
+    truth = handlers.payloads(t, s, whole=True).withColumn("dropped", loss.dropped())
+    kept = materialize(loss.with_drops(t.drop("depth")).join(handlers.payloads(t, s).select("trace_id", "span_id", "br"), ["trace_id", "span_id"]), "kept")
+    links = materialize(reconstruct.links(kept.where("not dropped"), engine, s), "links")
+    plain = scoring.score(links, kept)
+    whole = scoring.score_whole(scoring.graded_whole(truth, engine, s)).select(*plain.columns).collect()
+    assert sorted(whole) == sorted(plain.collect())
+    assert all(sum(r[c] for r in whole) for c in ("misattached", "anchor_correct", "synthetic"))
+    assert engine != "pcr" or all(sum(r[c] for r in whole) for c in ("ancestors_skipped", "misattached_ancestor"))
+
+
+def test_made_traces_are_scored_without_a_shuffle_of_spans(spark):
+    """``online_evaluation`` writes no table, and deals numbers of traces and sums of traces only."""
+    from spanloom.queries import studies
+
+    folder = session.shared_dir(spark).removeprefix("file:")
+    there = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    df = studies._online(spark, "/root/testdata/sf0.001")
+    assert len(df.collect()) == 2
+    assert not (set(os.listdir(folder)) if os.path.isdir(folder) else set()) - there
+    spans = F.count(F.lit(1)).alias("spans")
+    t = generate.traces(spark, 60, Shape("branch", depth=9, fanout=2, fanout_law="poisson", max_spans=300))
+    s = Scheme("pcrb", 3)
+    made = scoring.graded_whole(handlers.payloads(t, s, whole=True).withColumn("dropped", loss.dropped()), "pcrb", s)
+    assert made._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange") == 1  # the numbers
+    assert made.agg(spans).first().spans == t.count()
